@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from tessera.llm import bpe, secrets, url_filter
+from tessera.llm import bpe, fixity, packing, secrets, url_filter
 
-_MODULES = (url_filter, bpe, secrets)
+_MODULES = (url_filter, bpe, packing, fixity, secrets)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
