@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCABULARY, Numbers, encode_words, gather
+from tessera.llm.bpe import VOCABULARY, Numbers, encode_kept_words, gather
 from tessera.llm.common import table
 
 LENGTH = 4096
 END_ID = 2
 #: Documents whose ids share a shard.
-SHARD = 4096
+SHARD = 8192
 #: Penalties in ids of padding: a cut at a sentence's end, and one elsewhere.
 SENTENCE, ELSEWHERE = 4, 32
 #: Where two places are further apart than GAP, every STEP ids between them is one more.
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, en
         for text in rows.column("text"):
             words = text.as_py().split()
             texts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        flat, lens = encode_words(list(known), vocabulary)
+        flat, lens = encode_kept_words(list(known), vocabulary)
         lens = lens.astype(np.int64)
         starts = np.cumsum(lens) - lens
         closes = np.fromiter((w.rstrip(_CLOSERS)[-1:] in (b".", b"!", b"?") for w in known), bool, len(known))
