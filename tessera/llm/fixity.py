@@ -18,8 +18,7 @@ from pyspark.sql import Window
 
 from tessera.llm.common import durable, table
 
-BITS = 6  # of an id that a level takes: 64 children
-NO_ID = -(1 << 63)
+BITS = 6  # of a node's number that a level takes: 64 children
 
 
 def record_bytes(url: Column, body: Column) -> Column:
@@ -28,59 +27,59 @@ def record_bytes(url: Column, body: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def leaves(pages: DataFrame) -> DataFrame:
-    """level 0: node (the id), length in bytes, digest; one row per id."""
+def leaves(pages: DataFrame, base: int) -> DataFrame:
+    """node, length in bytes, digest; one row per id. An id's node is its distance from base, that of rows without one is 0."""
     record = record_bytes(F.col("url"), F.col("html"))
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("node"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+    node = F.coalesce(F.col("page_id").cast("long") - F.lit(base), F.lit(0).cast("long"))
+    rows = pages.select(node.alias("node"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
     part = lambda k: F.sum(F.conv(F.substring("digest", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     several = F.sha2(F.concat_ws("|", F.count("*"), *(part(k) for k in range(4))), 256)
     return rows.groupBy("node").agg(F.sum("length").alias("length"), F.when(F.count("*") == 1, F.min("digest")).otherwise(several).alias("digest"))
 
 
-def tree(pages: DataFrame, levels: int) -> DataFrame:
-    """level, node, length, digest of all nodes; the root is node 0 of the last level."""
-    below = durable(leaves(pages).select(F.lit(0).alias("level"), "node", "length", "digest"), "fixity-0")
-    whole = below
+def up(node: str = "node") -> Column:
+    """The node above."""
+    return F.shiftright(node, BITS)
+
+
+def tree(pages: DataFrame, base: int, levels: int) -> list[DataFrame]:
+    """node, length, digest of each level: leaves first, the root, node 0, last. Each level is written before the next."""
+    found = [durable(leaves(pages, base), "fixity-0")]
     for level in range(1, levels + 1):
-        up = F.lit(0).cast("long") if level == levels else F.shiftright("node", BITS)
-        child = F.concat_ws(":", "node", "length", "digest")
-        below = below.groupBy(up.alias("node")).agg(F.sum("length").alias("length"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", child.alias("text")))), lambda c: c["text"]), "|"), 256).alias("digest"))
-        below = durable(below.select(F.lit(level).alias("level"), "node", "length", "digest"), f"fixity-{level}")
-        whole = whole.unionAll(below)
-    return whole
-
-
-def levels_for(*archives: DataFrame) -> int:
-    """Levels above the leaves, until one node holds all ids; 12 at most."""
-    spans = [a.agg(F.min(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID))), F.max("page_id")).first() for a in archives]
-    low, high = min((s[0] for s in spans if s[0] is not None), default=0), max((s[1] for s in spans if s[1] is not None), default=0)
-    return next((k for k in range(1, 12) if low >> BITS * k == high >> BITS * k), 12)
-
-
-def audit(primary: DataFrame, replica: DataFrame, levels: int) -> DataFrame:
-    """node, digest, replica_digest of the leaves that differ, found from the roots down. Both are trees of so many levels."""
-    def at(t: DataFrame, level: int, name: str, within: DataFrame | None) -> DataFrame:
-        nodes = t.filter(F.col("level") == level).select("node", F.col("digest").alias(name))
-        if within is None:
-            return nodes
-        up = F.lit(0).cast("long") if level + 1 == levels else F.shiftright("node", BITS)
-        return nodes.withColumn("up", up).join(within.select(F.col("node").alias("up")), "up", "left_semi").drop("up")
+        child = F.struct("node", F.concat_ws(":", "node", "length", "digest").alias("text"))
+        digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: c["text"]), "|"), 256)  # of 64 children at most
+        above = found[-1].groupBy(up().alias("node")).agg(F.sum("length").alias("length"), digest.alias("digest"))
+        found.append(durable(above, f"fixity-{level}"))
+    return found
+
+
+def span(*archives: DataFrame) -> tuple[int, int]:
+    """base, one less than the least id, and the levels above the leaves until one node holds all."""
+    ends = [a.agg(F.min("page_id"), F.max("page_id")).first() for a in archives]
+    low = min((e[0] for e in ends if e[0] is not None), default=0)
+    high = max((e[1] for e in ends if e[1] is not None), default=0)
+    base = low - 1
+    return base, max(1, -(-(high - base).bit_length() // BITS))
+
 
+def audit(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
+    """node, digest, replica_digest of the leaves that differ, found from the roots down. Both are trees of as many levels."""
     bad = None
-    for level in range(levels, -1, -1):
-        both = at(primary, level, "digest", bad).join(at(replica, level, "replica_digest", bad), "node", "full")
-        bad = durable(both.filter(~F.col("digest").eqNullSafe(F.col("replica_digest"))), f"fixity-bad-{level}")
+    for ours, theirs in zip(primary[::-1], replica[::-1], strict=True):
+        if bad is not None:
+            within = bad.select(F.col("node").alias("up"))
+            ours, theirs = (t.withColumn("up", up()).join(within, "up", "left_semi") for t in (ours, theirs))
+        both = ours.select("node", "digest").join(theirs.select("node", F.col("digest").alias("replica_digest")), "node", "full")
+        bad = durable(both.filter(~F.col("digest").eqNullSafe(F.col("replica_digest"))), "fixity-bad")
     return bad
 
 
-def offsets(whole: DataFrame, levels: int) -> DataFrame:
+def offsets(levels: list[DataFrame]) -> DataFrame:
     """node, offset, length, digest of the leaves. Offsets come down from the root: a node's is its parent's and its elder siblings' lengths."""
-    above = whole.filter(F.col("level") == levels).select(F.col("node").alias("up"), F.lit(0).cast("long").alias("base"))
-    for level in range(levels - 1, -1, -1):
-        up = F.lit(0).cast("long") if level + 1 == levels else F.shiftright("node", BITS)
-        elder = Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
-        nodes = whole.filter(F.col("level") == level).withColumn("up", up)
-        nodes = nodes.join(above, "up").withColumn("offset", F.col("base") + F.coalesce(F.sum("length").over(elder), F.lit(0)))
+    above = levels[-1].select(F.col("node").alias("up"), F.lit(0).cast("long").alias("base"))
+    elder = Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
+    for level in levels[-2::-1]:
+        nodes = level.withColumn("up", up()).join(above, "up").withColumn("offset", F.col("base") + F.coalesce(F.sum("length").over(elder), F.lit(0)))
         above = nodes.select(F.col("node").alias("up"), F.col("offset").alias("base"))
     return nodes.select("node", "offset", "length", "digest")
 
@@ -90,12 +89,12 @@ def verify(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
     status: ok, changed, missing (from the replica), extra (in the replica only; offset and length are null).
     """
-    levels = levels_for(primary, replica)
-    ours, theirs = tree(primary, levels), tree(replica, levels)
-    bad = audit(ours, theirs, levels).select("node", "replica_digest", (F.col("digest").isNull()).alias("extra"))
-    placed = offsets(ours, levels).join(bad.withColumn("bad", F.lit(True)), "node", "full")
+    base, levels = span(primary, replica)
+    ours, theirs = tree(primary, base, levels), tree(replica, base, levels)
+    bad = audit(ours, theirs).select("node", "replica_digest", F.col("digest").isNull().alias("extra"))
+    placed = offsets(ours).join(bad.withColumn("bad", F.lit(True)), "node", "full")
     status = F.when(F.col("bad").isNull(), "ok").when(F.col("extra"), "extra").when(F.col("replica_digest").isNull(), "missing").otherwise("changed")
-    page = F.when(F.col("node") != NO_ID, F.col("node"))
+    page = F.when(F.col("node") != 0, F.col("node") + F.lit(base))
     return placed.select(page.alias("page_id"), "offset", "length", "digest", F.when(status == "ok", F.col("digest")).otherwise(F.col("replica_digest")).alias("replica_digest"), status.alias("status"))
 
 
