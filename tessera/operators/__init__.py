@@ -1 +1 @@
-
+"""Operators from DataFrames to DataFrames."""

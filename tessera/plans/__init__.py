@@ -1 +1 @@
-
+"""Queries over the driver's tables, each with its SQL."""

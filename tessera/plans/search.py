@@ -98,9 +98,9 @@ def search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abstain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every vector whose id is divisible by 25: its nearest other, and whether that lies below the floor."""
+    """For twenty stated vectors: the nearest other, and whether that lies below the floor."""
     vectors = read(spark, sf_dir, "embeddings")
-    queries = vectors.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = vectors.filter("vec_id % 25 = 0 and vec_id < 500").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     best = dense.top_k_many(vectors, queries, 2).filter("vec_id <> query_id").groupBy("query_id").agg(F.max("similarity").alias("top_cosine"))
     return best.select("query_id", "top_cosine", (F.col("top_cosine") < 0.5).alias("abstained"))
 
@@ -172,7 +172,7 @@ ORACLES = {
     "best_per_group": f"with {WEIGHTS}, {_RANKED.format(k=50)}, own as (select *, row_number() over (partition by source, lang order by r) as n from hits) select r::int as rank, doc_id, source, lang from own where n = 1",
     "lineage_append": f"with {WEIGHTS}, asked as (select * from ({_ASKED}) join (select doc_id, source, lang from documents) using (doc_id)), main as (select doc_id, score, row_number() over (order by score desc, doc_id) as r, 0 as arm from (select * from asked where lang = 'en' order by score desc, doc_id limit 8)), older as (select *, row_number() over (order by score desc, doc_id) as r from (select * from asked where lang <> 'en' order by score desc, doc_id limit 3)), own as (select doc_id, score, r, row_number() over (partition by source, lang order by r) as n from older), listed as (select doc_id, score, r, arm from main union all select doc_id, score, r, 1 from own where n = 1) select (row_number() over (order by arm, r, doc_id))::int as rank, doc_id, score from listed",
     "search_hydrated": _SEARCH,
-    "abstain_flags": f"with s as (select q.vec_id as query_id, e.vec_id, {COSINE} as c from embeddings e, embeddings q where q.vec_id % 25 = 0), t as (select *, row_number() over (partition by query_id order by c desc, vec_id) as r from s), b as (select query_id, max(c) as top_cosine from t where r <= 2 and vec_id <> query_id group by 1) select query_id, top_cosine, top_cosine < 0.5 as abstained from b",
+    "abstain_flags": f"with s as (select q.vec_id as query_id, e.vec_id, {COSINE} as c from embeddings e, embeddings q where q.vec_id % 25 = 0 and q.vec_id < 500), t as (select *, row_number() over (partition by query_id order by c desc, vec_id) as r from s), b as (select query_id, max(c) as top_cosine from t where r <= 2 and vec_id <> query_id group by 1) select query_id, top_cosine, top_cosine < 0.5 as abstained from b",
     "citation_match": _match_sql(),
     "citation_clean": _clean_sql(),
 }

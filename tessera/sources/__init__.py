@@ -1 +1 @@
-
+"""Captures and their parsers."""
