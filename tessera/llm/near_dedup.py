@@ -6,12 +6,13 @@
 3. Bands of 4 registers bring classes together. Two classes at the threshold of 0.8 share none of the 32 bands with
    a probability of 5e-8.
 4. In each band's bucket all classes are paired with its first and last class only. Pairs whose estimate, corrected
-   for registers that agree by chance, comes near the threshold are confirmed on their full sets, and linked ones are
-   merged to components.
-5. What is left of a bucket are classes of different components. Classes outside the bucket's largest component are
-   paired with all others of another component there; the same estimate is a condition of that join, so that only
-   likely pairs leave it, to be confirmed likewise. So no link between different texts is lost to step 4, and a group
-   of near copies, however large, never forms all its pairs.
+   for registers that agree by chance, comes near the threshold are likely; likely ones make clusters. Likely pairs
+   are confirmed on their full sets, and linked ones make components within the clusters.
+5. What is left to compare are classes of different components. Within a cluster, those outside its largest component
+   are compared with all others there, in blocks of bounded size; each block holds sets and returns links only.
+   Across clusters, likely pairs of a bucket are few; the estimate is a condition of their join, and they are
+   confirmed as in step 4. So no link between different texts is lost, and a group of near copies, however large,
+   never forms all its pairs.
 
 Components come from alternating star contractions, each written before the next. Classes, links and labels are
 always distributed tables.
@@ -42,6 +43,8 @@ BY_CHANCE, BY_CHANCE_FOLDED = 0.1699 * 2.0**-MANTISSA_BITS, 2.0**-7
 SKETCH = -(-REGISTERS // 7)
 #: Estimates are confirmed from the threshold less five standard errors.
 MARGIN = 5.0
+#: Classes in a block, about.
+BLOCK = 256
 
 _ORDER = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)), axis=1)
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -186,6 +189,49 @@ def components(edges: DataFrame) -> DataFrame:
         edges = durable(small, "edges")
 
 
+def compare_blocks(members: DataFrame, texts: DataFrame, size: int, similarity: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members of one cluster and different components. members: node, cluster, root.
+
+    Members of a cluster's largest component are its major ones and not compared with each other. Minor and major
+    ones are dealt to blocks by hash; each pair of a minor block with any block is one group.
+    """
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = sizes.select("cluster", "major", blocks(F.col("n_major")).alias("majors"), blocks(F.col("n") - F.col("n_major")).alias("minors"))
+    held = members.join(sizes, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    held = held.withColumn("own", own).join(texts, "node")
+    others = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), F.lit(False).alias("vs")))
+    against = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("vs")))
+    by_minor = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(True).alias("vs")))
+    dealt = held.select("cluster", "node", "root", "is_major", "text", F.explode(F.when(F.col("is_major"), by_minor).otherwise(F.concat(others, against))).alias("to")).select("cluster", "to.*", "node", "root", "is_major", "text")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        known = _Hashes()
+        nodes, roots, major = (rows.column(c).to_pylist() for c in ("node", "root", "is_major"))
+        sets = [shingle_set(t.as_py(), size, known) for t in rows.column("text")]
+        regs, lens = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
+        vs, near = key[3].as_py(), similarity / 100
+        near -= MARGIN * (near * (1 - near) / REGISTERS) ** 0.5
+        numbers = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+        own = np.array([numbers[r] for r in roots])
+        out = []
+        for x in range(len(nodes)):
+            if vs and major[x]:
+                continue
+            y = np.arange(len(nodes)) > x if not vs else np.array(major)
+            y = np.nonzero(y & (own != own[x]) & (100 * np.minimum(lens, lens[x]) >= similarity * np.maximum(lens, lens[x])))[0]
+            for k in y[(regs[y] == regs[x]).mean(1) >= near].tolist():
+                if own[k] != own[x]:
+                    both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                    if 100 * both >= similarity * (lens[x] + lens[k] - both):
+                        out.append((nodes[x], nodes[k]))
+                        own[own == own[k]] = own[x]
+        return pa.table([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
+
+    return dealt.groupBy("cluster", "i", "j", "vs").applyInArrow(compare, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, place, n_shingles, node, component (least node; null for an empty set) of every row of docs."""
     sig = durable(signatures(docs, size), "signatures")
@@ -206,19 +252,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     star = shared.select("node", F.explode(F.array("first", "last")).alias("hub")).filter("node <> hub")
     star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     star = star.join(sketch.select(F.col("node").alias("a"), F.struct(*sketch.columns[1:]).alias("x")), "a").join(sketch.select(F.col("node").alias("b"), F.struct(*sketch.columns[1:]).alias("y")), "b")
-    linked = durable(confirm(star.filter(likely("x", "y", similarity)).select("a", "b"), texts, size, similarity), "links")
-    roots = components(linked)
+    star = durable(star.filter(likely("x", "y", similarity)).select("a", "b"), "likely")
+    linked = durable(confirm(star, texts, size, similarity), "links")
+    roots, clusters = components(linked), components(star).withColumnRenamed("root", "cluster")
+
+    here = shared.select("band", "node").join(roots, "node", "left").join(clusters, "node", "left")
+    here = durable(here.select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("cluster", "node").alias("cluster")), "band-roots")
+    within = compare_blocks(here.select("node", "cluster", "root").distinct(), texts, size, similarity)
 
-    here = shared.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    here = durable(here, "band-roots")
-    sizes = here.groupBy("band", "root").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    most = here.groupBy("band", "cluster").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("most"), F.count("*").alias("clusters")).filter("clusters > 1").drop("clusters")
     open_bands = here.join(most, "band").join(sketch, "node")
-    minor, every = open_bands.filter("root <> most").alias("x"), open_bands.alias("y")
-    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
+    minor, every = open_bands.filter("cluster <> most").alias("x"), open_bands.alias("y")
+    apart = (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
     rest = minor.join(every, (F.col("x.band") == F.col("y.band")) & apart & likely("x", "y", similarity))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = durable(confirm(rest, texts, size, similarity), "more-links")
+    more = durable(within.unionAll(confirm(rest, texts, size, similarity)), "more-links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     labelled = sig.drop("registers").join(roots, "node", "left")
