@@ -65,3 +65,17 @@ def report(rows: list[dict], columns: list[str]) -> str:
 
 def report_json(meta: dict, cases: list[dict], aggregate: dict) -> dict:
     return {"schema_version": 1, **meta, "aggregate": aggregate, "cases": cases}
+
+
+def lanes(cases: DataFrame, expected: DataFrame, hits: DataFrame, pinned_hits: DataFrame) -> dict[str, DataFrame]:
+    """Summaries of the open lane, whose searches name no framework, and of the pinned one, and the gate, which stands on the open lane only."""
+    found = {"open": summary(case_metrics(cases, expected, hits)), "pinned": summary(case_metrics(cases, expected, pinned_hits))}
+    return found | {"gate": gate(found["open"])}
+
+
+def pool_recall(expected: DataFrame, pool: DataFrame) -> DataFrame:
+    """How much of what is expected a deeper pool of hits holds, over all cases: found, want, recall."""
+    low = [F.lower(k).alias(k) for k in KEYS]
+    have = pool.select("case_id", *low).distinct().withColumn("hit", F.lit(1))
+    held = expected.select("case_id", *low).join(have, ["case_id", *KEYS], "left")
+    return held.agg(F.count("hit").alias("found"), F.count("*").alias("want"), F.when(F.count("*") > 0, F.round(F.count("hit") / F.count("*"), 6)).otherwise(0.0).alias("recall"))

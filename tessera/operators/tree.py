@@ -90,3 +90,10 @@ def source_urls(documents: DataFrame, source_files: DataFrame) -> DataFrame:
     least = source_files.filter("source_url <> ''").groupBy("sha256").agg(F.min("source_url").alias("source_url"))
     held = documents.select("id", F.col("source_file_sha256").alias("sha256")).join(least, "sha256", "left")
     return held.select("id", F.coalesce("source_url", F.lit("")).alias("source_url"))
+
+
+def curated_titles(controls: DataFrame, titles: DataFrame, framework: str, version: str) -> DataFrame:
+    """Controls of a version with the curated title, where there is one, in place of their own. titles: registry rows of all versions."""
+    own = titles.filter((F.col("framework_code") == framework) & (F.col("version_label") == version)).select("citation_norm", F.col("title").alias("__curated"))
+    held = controls.join(own, "citation_norm", "left").withColumn("title", F.coalesce("__curated", "title"))
+    return held.select(controls.columns)

@@ -136,3 +136,17 @@ def test_search_pins_and_options(spark):
         retrieval.search(chunk, None, "x", o=retrieval.Options(mode="vector"))
     assert status.clamp_limit(0, 5, 10) == 5 and status.clamp_limit(99, 5, 10) == 10
     assert [g["kind"] for g in retrieval.gaps(0, "nope", "", {"fw": ["v1"]})] == ["unknown_framework", "no_evidence"]
+
+
+def test_lanes_pool_and_titles(spark):
+    cases = spark.createDataFrame([("p", False, False)], "case_id string, expect_abstain boolean, expect_fail boolean")
+    expected = spark.createDataFrame([("p", "F", "v1", "X")], "case_id string, framework_code string, version_label string, citation_norm string")
+    hit = lambda norm: spark.createDataFrame([("p", 1, "f", "v1", norm, True)], "case_id string, rank int, framework_code string, version_label string, citation_norm string, is_current boolean")
+    got = evaluation.lanes(cases, expected, hit("y"), hit("x"))
+    assert got["open"].first().recall == 0 and got["pinned"].first().recall == 1
+    assert {r.metric for r in got["gate"].collect()} == {"recall", "mrr"}
+    assert evaluation.pool_recall(expected, hit("x")).first().recall == 1.0
+    assert evaluation.report([{"a": 1, "b": "xy"}], ["a", "b"]) == "a  b\n1  xy"
+    controls = spark.createDataFrame([(1, "A", "own"), (2, "B", "own")], "id long, citation_norm string, title string")
+    titles = spark.createDataFrame([("fw", "v1", "A", "ours"), ("fw", "v2", "B", "not this")], "framework_code string, version_label string, citation_norm string, title string")
+    assert {(r.id, r.title) for r in tree.curated_titles(controls, titles, "fw", "v1").collect()} == {(1, "ours"), (2, "own")}
