@@ -67,21 +67,22 @@ def encode_words(words: list[bytes], vocabulary: str, step: int = 4096) -> tuple
 
 
 #: Words that a Python worker keeps the ids of, over tasks.
-KEPT_WORDS = 400_000
-_kept: dict[tuple[str, bytes], bytes] = {}
+KEPT_WORDS = 600_000
+_kept: dict[str, dict[bytes, bytes]] = {}
 
 
 def encode_kept_words(words: list[bytes], vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """As encode_words(), but what this worker has encoded before is not encoded again. The first words stay, being the frequent ones."""
-    new = [w for w in words if (vocabulary, w) not in _kept]
+    kept = _kept.setdefault(vocabulary, {})
+    new = [w for w in words if w not in kept]
     flat, lens = encode_words(new, vocabulary)
     own, at, raw = {}, 0, flat.tobytes()
     for w, n in zip(new, lens.tolist(), strict=True):
         own[w] = raw[4 * at : 4 * (at + n)]
         at += n
-    found = [own[w] if w in own else _kept[vocabulary, w] for w in words]
-    for w in new[: max(0, KEPT_WORDS - len(_kept))]:
-        _kept[vocabulary, w] = own[w]
+    found = [own[w] if w in own else kept[w] for w in words]
+    for w in new[: max(0, KEPT_WORDS - len(kept))]:
+        kept[w] = own[w]
     return np.frombuffer(b"".join(found), np.uint32), np.fromiter((len(x) // 4 for x in found), np.uint32, len(found))
 
 
