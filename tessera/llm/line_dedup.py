@@ -1,15 +1,15 @@
-"""Line dedup by winnowing: later repeats of runs of lines are deleted.
+"""Line dedup by runs: later repeats of runs of lines are deleted.
 
 A line's hash is taken from its text without outer white space; lines without a word do not count. From each line on,
-a window holds the lines that begin within `least` words, and the line with the least hash in it is a fingerprint. Two
-documents that share a run of at least `least` words share the window at its start, and so its fingerprint. Each
-fingerprint is joined with one earlier place of the same hash: the nearest one in its own document, or else the first
-one of all. Documents are then compared along that shift, which extends the match both ways; equal lines that follow
-one another form a run, and a run of at least `least` words is deleted from the later place. A line is only ever
-deleted for an equal one at an earlier place, so the first of all stays.
+the run ahead holds the fewest lines that reach `least` words, and the run behind holds the fewest that reach them up
+to this line. Each run has one key of all its hashes. Whatever stretch of at least `least` words also stands earlier,
+in another document or in its own, is covered by its runs ahead and behind, and these stand at the same earlier place,
+since what a run holds depends on its lines alone. So a run is deleted if its key has an earlier place at all: the
+first place of each key decides, and no pair of places is compared. A line is only ever deleted for an equal one at an
+earlier place, so the first of all stays.
 
-Everything is DataFrame operations. A hash's first place comes from partial minima; the join that follows meets a
-frequent line once a document and may split it. Windows hold the lines of one document.
+Everything is DataFrame operations. A key's first place comes from partial minima; the join that follows meets a
+frequent run once a document and may split it. Windows hold the lines of one document, frames `least` lines at most.
 
 Defined results: a null text has no lines and stays null; an empty one stays empty. A document that is deleted whole
 is an empty text. Order is that of doc_id, nulls last, then of a hash of the text. Equal rows are one document here:
@@ -41,41 +41,38 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("place"), found.alias("lines"))
 
 
-def fingerprints(lines: DataFrame, least: int) -> DataFrame:
-    """doc, place, pos, hash, before: window minima, with the nearest earlier place of the hash among the document's own minima."""
-    each = lines.select(*_KEY, F.posexplode("lines").alias("pos", "line")).select(*_KEY, "pos", "line.hash", "line.words")
-    order = Window.partitionBy(*_KEY).orderBy("pos")
-    each = each.withColumn("begin", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    window = Window.partitionBy(*_KEY).orderBy("begin").rangeBetween(0, least - 1)
-    minima = each.select(*_KEY, F.min(F.struct("hash", "pos")).over(window).alias("m")).select(*_KEY, "m.hash", "m.pos").distinct()
-    return minima.withColumn("before", F.lag("pos").over(Window.partitionBy(*_KEY, "hash").orderBy("pos")))
+def runs_of(lines: DataFrame, least: int) -> DataFrame:
+    """doc, place, start, end, key, check: the shortest runs of at least `least` words from each line on and up to it; key and check are hashes of all their lines."""
+    each = lines.dropDuplicates(_KEY).select(*_KEY, F.posexplode("lines").alias("pos", "line")).select(*_KEY, "pos", "line.hash", "line.words")
+    each = each.withColumn("ends", F.sum("words").over(Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    each = each.withColumn("begins", F.col("ends") - F.col("words"))
+    frames = {"ahead": Window.partitionBy(*_KEY).orderBy("begins").rangeBetween(0, least - 1), "behind": Window.partitionBy(*_KEY).orderBy("ends").rangeBetween(1 - least, 0)}
+    for way, frame in frames.items():
+        each = each.withColumns({way: F.collect_list("hash").over(frame), f"{way}_words": F.sum("words").over(frame)})
+    hashes = lambda way: (F.xxhash64(F.lit(way), way).alias("key"), F.xxhash64(F.lit(f"{way} again"), way).alias("check"))
+    run = lambda way, start, end: F.when(F.col(f"{way}_words") >= least, F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *hashes(way)))
+    ahead = run("ahead", F.col("pos"), F.col("pos") + F.size("ahead") - 1)
+    behind = run("behind", F.col("pos") - F.size("behind") + 1, F.col("pos"))
+    return each.select(*_KEY, F.inline(F.array_compact(F.array(ahead, behind))))
 
 
-def shifts(prints: DataFrame) -> DataFrame:
-    """doc, place, doc0, place0, shift: which earlier document, and how far its lines lie before those that match."""
-    own = prints.filter("before is not null").select(*_KEY, F.col("doc").alias("doc0"), F.col("place").alias("place0"), (F.col("pos") - F.col("before")).alias("shift"))
-    at = prints.filter("before is null")
-    first = at.groupBy("hash").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "pos")).alias("at"), F.count("*").alias("n")).filter("n > 1")
-    joined = at.join(first, "hash").filter(~(F.col("doc").eqNullSafe(F.col("at.doc")) & (F.col("place") == F.col("at.place"))))
-    other = joined.select(*_KEY, F.col("at.doc").alias("doc0"), F.col("at.place").alias("place0"), (F.col("pos") - F.col("at.pos")).alias("shift"))
-    return own.unionAll(other).distinct()
+def later_runs(runs: DataFrame) -> DataFrame:
+    """doc, place, start, end: the runs that also stand at an earlier place."""
+    first = runs.groupBy("key", "check").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "start")).alias("at"), F.count("*").alias("n")).filter("n > 1")
+    own = F.col("doc").eqNullSafe(F.col("at.doc")) & (F.col("place") == F.col("at.place")) & (F.col("start") == F.col("at.start"))
+    return runs.join(first, ["key", "check"]).filter(~own).select(*_KEY, "start", "end")
 
 
 def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
     """doc, place, removed: numbers of the lines of later repeated runs, for documents that have any."""
-    found = shifts(durable(fingerprints(lines, least), "fingerprints"))
-    early = lines.select(F.col("doc").alias("doc0"), F.col("place").alias("place0"), F.transform("lines", lambda x: x["hash"]).alias("earlier")).dropDuplicates(["doc0", "place0"])
-    same = lambda a, b: (F.col(f"x.{a}").eqNullSafe(F.col(f"y.{b}")))
-    held = found.alias("x").join(early.alias("y"), same("doc0", "doc0") & same("place0", "place0")).select("x.*", "y.earlier")
-    late = lines.dropDuplicates(_KEY)
-    held = held.alias("x").join(late.alias("y"), same("doc", "doc") & same("place", "place")).select("x.*", "y.lines")
-    at = lambda x, i: F.struct(i.alias("pos"), x["raw"].alias("raw"), x["words"].alias("words"), ((i >= F.col("shift")) & (x["hash"] == F.get("earlier", i - F.col("shift")))).alias("equal"))
-    equal = F.filter(F.transform("lines", at), lambda x: x["equal"])
-    each = held.select(*_KEY, "doc0", "place0", "shift", F.inline(equal)).drop("equal")
-    match = [*_KEY, "doc0", "place0", "shift"]
-    each = each.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*match).orderBy("pos")))
-    total = F.sum("words").over(Window.partitionBy(*match, "run"))
-    return each.withColumn("total", total).filter(F.col("total") >= least).groupBy(*_KEY).agg(F.array_sort(F.collect_set("raw")).alias("removed"))
+    later = later_runs(durable(runs_of(lines, least), "runs"))
+    reach = F.max("end").over(Window.partitionBy(*_KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = later.withColumn("start", F.greatest("start", reach + 1)).filter("start <= end")  # what no run before holds, so that each line is in one piece
+    pieces = pieces.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
+    same = lambda a: (F.col(f"x.{a}").eqNullSafe(F.col(f"y.{a}")))
+    held = pieces.alias("x").join(lines.dropDuplicates(_KEY).alias("y"), same("doc") & same("place")).select("x.*", "y.lines")
+    numbers = F.flatten(F.transform("pieces", lambda p: F.transform(F.slice("lines", p["start"] + 1, p["end"] - p["start"] + 1), lambda x: x["raw"])))
+    return held.select(*_KEY, F.array_sort(numbers).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -39,3 +39,47 @@ def test_odd_rows(spark):
     assert (None, "", 1) in got and (3, None, 0) in got and (4, "", 0) in got and (5, "\n\n", 0) in got and (7, " a", 1) in got
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert ld.dedup_lines(df.limit(0)).count() == 0
+
+
+def brute(docs, least):
+    """Removed line numbers by doc, over all earlier places; docs: (doc_id, text) in order of doc_id, all lines with words."""
+    removed = {}
+    held = [(d, t.split("\n")) for d, t in docs]
+    for late, (d, x) in enumerate(held):
+        gone = set()
+        for early in range(late + 1):
+            y = held[early][1]
+            for shift in range(1 if early == late else 1 - len(y), len(x)):
+                run = []
+                for k in range(len(x) + 1):
+                    if k < len(x) and 0 <= k - shift < len(y) and x[k] == y[k - shift]:
+                        run.append(k)
+                        continue
+                    if sum(len(x[i].split()) for i in run) >= least:
+                        gone.update(run)
+                    run = []
+        removed[d] = gone
+    return removed
+
+
+def test_against_all_earlier_places(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = [words(f"w{k}_", rng.choice([1, 2, 3, 5, 12])) for k in range(12)]
+    docs = [(d, "\n".join(rng.choices(pool, k=rng.randint(1, 30)))) for d in range(40)]
+    passages = [docs[rng.randrange(40)][1].split("\n")[:6] for _ in range(6)]
+    docs += [(40 + d, "\n".join([*rng.choices(pool, k=3), *rng.choice(passages), *rng.choices(pool, k=3)])) for d in range(30)]
+    want = brute(docs, 10)
+    assert any(want.values())
+    for d, t, n in run(spark, docs, 10):
+        lines = dict(docs)[d].split("\n")
+        assert n == len(want[d]) and t == "\n".join(x for k, x in enumerate(lines) if k not in want[d])
+
+
+def test_passage_whose_least_line_stands_elsewhere(spark):
+    lines = [words(f"p{k}_", 10) for k in range(6)]
+    alone = [(k, f"head{k}\n{x}\ntail{k}") for k, x in enumerate(lines)]  # every line has an earlier place outside the passage
+    docs = [*alone, (10, "\n".join(["b", *lines, "b2"])), (11, "\n".join(["c", lines[3], "c2", *lines, "c3"]))]
+    got = {d: (t, n) for d, t, n in run(spark, docs)}
+    assert got[10] == (docs[6][1], 0) and got[11] == (f"c\n{lines[3]}\nc2\nc3", 6)
