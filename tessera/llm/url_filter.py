@@ -2,8 +2,9 @@
 
 Trust starts at hosts with an allowed page and follows links forward as a personalised PageRank. Distrust starts at
 hosts most of whose pages a rule blocks and follows links backward: who links to bad hosts is suspect. A host's share
-of distrust in both scores is held against a threshold. Everything is DataFrame operations; host edges and seeds are
-written once, so that no iteration parses a page again.
+of distrust in both scores is held against a threshold. Steps go on, in blocks of ITERATIONS, until no host is newly
+reached and no score changes by more than TOLERANCE of itself; each block ends with one aggregate of one row. Everything
+is DataFrame operations; host edges and seeds are written once, so that no iteration parses a page again.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed. Nulls in
 html give no links. Repeated rows stay, each with its verdict. An empty table gives no rows. Columns of the input
@@ -30,6 +31,10 @@ RULES = (
 
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'>\s]+)"""
 ITERATIONS = 8
+#: Largest change of any score in the last step, as a part of the score.
+TOLERANCE = 1e-8
+#: Scores below it count as settled: doubles end soon after.
+_SMALL = 1e-290
 DAMPING = 0.85
 THRESHOLD = 0.5
 
@@ -66,9 +71,12 @@ def host_seeds(ruled: DataFrame) -> DataFrame:
     return seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.lit(1.0) / F.col("of")).alias("s"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, cut_every: int = 4) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, cut_every: int = 4, tolerance: float | None = None) -> DataFrame:
     """(kind, host, score) after so many steps of personalised PageRank: trust along the links, distrust against them.
 
+    With a tolerance, blocks of so many steps follow one another until no score changes by more than this part of itself
+    in the last step; a host reached in that step has changed by all of its score. This is an action a block.
+
     links: (src, dst), distinct. seeds: (kind, host, s). A host without links passes nothing on. Both kinds move in
     the same join; each step is one join and one sum on the same key, with partial sums before the shuffle.
     """
@@ -79,24 +87,37 @@ def propagate(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     seeds = durable(seeds, "host-seeds")
     start = seeds.select("kind", "host", (F.col("s") * (1 - damping)).alias("score"))
     scores = seeds.withColumnRenamed("s", "score")
-    for i in range(1, iterations + 1):
-        moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("w")).alias("score"))
-        scores = start.unionAll(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % cut_every == 0 and i < iterations:
-            scores = durable(scores, "host-scores")
+    settled = False
+    while not settled:
+        for i in range(1, iterations + 1):
+            moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("w")).alias("score"))
+            new = start.unionAll(moved)
+            if tolerance is not None and i == iterations:
+                both = new.withColumn("before", F.lit(0.0)).unionAll(scores.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before")))
+                scores = durable(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "host-scores")
+            else:
+                scores = new.groupBy("kind", "host").agg(F.sum("score").alias("score"))
+                if i % cut_every == 0 and i < iterations:
+                    scores = durable(scores, "host-scores")
+        if tolerance is None:
+            return scores
+        change = F.abs(F.col("score") - F.col("before")) / F.greatest("score", F.lit(_SMALL))
+        settled = (scores.agg(F.max(change)).first()[0] or 0.0) <= tolerance
+        scores = scores.drop("before")
     return scores
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, damping: float = DAMPING, tolerance: float | None = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, distrust of every page; distrust is the host's share, null where no score reached it.
 
-    A page that no rule fits is blocked if its host's share of distrust is over the threshold.
+    A page that no rule fits is blocked if its host's share of distrust is over the threshold. iterations and tolerance
+    are as in `propagate`.
     """
     host, path = url_parts(F.col("url"))
     ruled = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
     ruled = ruled.withColumns({"rule": rule, "action": action})
-    scores = propagate(host_links(ruled), host_seeds(ruled.drop("html")), iterations, damping)
+    scores = propagate(host_links(ruled), host_seeds(ruled.drop("html")), iterations, damping, tolerance=tolerance)
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     shares = scores.groupBy("host").agg((part("distrust") / (part("distrust") + part("trust"))).alias("distrust"))
     verdict = F.coalesce("action", F.when(F.col("distrust") > threshold, "block"), F.lit("allow"))

@@ -38,3 +38,26 @@ def test_propagation_against_plain_loops(spark):
         score = new
     got = url_filter.propagate(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(*k, v) for k, v in seeds.items()], "kind string, host string, s double")).collect()
     assert {(r.kind, r.host) for r in got} == set(score) and all(abs(r.score - score[r.kind, r.host]) < 1e-9 for r in got)
+
+
+def test_propagation_until_it_settles(spark):
+    chain = [(f"h{k}", f"h{k + 1}") for k in range(12)]
+    links = [*chain, ("h3", "h1"), ("h5", "x"), ("x", "h2")]
+    seeds = {("trust", "h0"): 1.0, ("distrust", "h12"): 0.5, ("distrust", "h5"): 0.5}
+    score = dict(seeds)
+    for _ in range(300):
+        new = {k: 0.15 * v for k, v in seeds.items()}
+        for kind, pairs in (("trust", links), ("distrust", [(y, x) for x, y in links])):
+            for x, y in pairs:
+                if (kind, x) in score:
+                    new[kind, y] = new.get((kind, y), 0) + 0.85 * score[kind, x] / sum(a == x for a, _ in pairs)
+        score = new
+    got = url_filter.propagate(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(*k, v) for k, v in seeds.items()], "kind string, host string, s double"), tolerance=1e-4).collect()
+    assert {(r.kind, r.host) for r in got} == set(score) and all(abs(r.score - score[r.kind, r.host]) < 1e-3 * score[r.kind, r.host] for r in got)
+
+
+def test_distrust_goes_further_than_eight_links(spark):
+    hosts = [f"h{k}.io" for k in range(12)]
+    rows = [(k, f"http://{h}/", f'<a href="//{hosts[k + 1]}/">' if k < 11 else '<a href="//bad.com/">') for k, h in enumerate(hosts)] + [(99, "http://bad.com/en/1", None)]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"} and len(got) == 13
