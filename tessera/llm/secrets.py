@@ -33,7 +33,7 @@ LEAST = 8
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ID_WORDS = ("user", "login", "account", "client", "access")
 WEAK_ID = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,64}(?![A-Za-z0-9+/_=-])")
+WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{4,}""", re.A)
 
 SCOPE = 200

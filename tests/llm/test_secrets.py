@@ -59,3 +59,15 @@ def test_mask(spark):
     got = sorted(((r.doc_id, r.text, r.extra) for r in secrets.mask_secrets(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, extra int")).collect()), key=repr)
     assert got == sorted([(1, "a [SECRET] b [SECRET].", 1)] * 2 + [(2, "clean", 1), (3, None, 1), (None, "éé [SECRET]", 1)], key=repr)
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_keys(spark):
+    import random
+
+    rng = random.Random(3)
+    keys = {n: "aB3" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789+/", k=n - 5)) + "==" for n in (64, 65, 88, 300, 5000)}
+    docs = [(n, f"https://h.example/x {ACCESS} {key} end") for n, key in keys.items()] + [(-n, f"only {key} end") for n, key in keys.items()]
+    got = kinds(spark, docs)
+    assert all(got[n] == ["endpoint", "access", "key"] and got[-n] == [] for n in keys)
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(masked[n] == "[SECRET] [SECRET] [SECRET] end" for n in keys)
