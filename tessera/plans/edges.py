@@ -69,7 +69,7 @@ def unresolved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outbound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, *_ = controls(spark, sf_dir)
-    return mapping.outbound(_resolved(spark, sf_dir), held).filter("from_control_id % 100 = 1").select(*_EDGE, "to_control_id", "to_citation", "resolved")
+    return mapping.outbound(_resolved(spark, sf_dir), held).select(*_EDGE, "to_control_id", "to_citation", "resolved")
 
 
 def inbound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
