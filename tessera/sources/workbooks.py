@@ -119,16 +119,21 @@ def cis_tree(cells: DataFrame) -> DataFrame:
     return _tree(held, F.when(control, F.col("A")).otherwise(F.col("B")), F.when(control, "control").otherwise("safeguard"), F.col("E"), body, F.when(~control, F.col("__p")))
 
 
+#: A domain's name and acronym, and the shapes of a crosswalk's two columns.
+DOMAIN = r"\s-\s([A-Z][A-Z&]+)$"
+CROSSWALK = (r"^[A-Z]{2}-\d{2}(\(\d{2}\))?$", r"^(A\.)?\d+(\.\d+)*$")
+
+
 def ccm_tree(cells: DataFrame, sheet: str = "CCM", applicability: dict[str, str] | None = None) -> DataFrame:
     """Domains from `Name - ACR` rows, and controls under the last one above them. Rows from 4 on; others are passed over."""
     applicability = applicability or {}
     rows = grid(cells.filter(F.col("sheet").contains(sheet)), ["A", "B", "C", "D", *applicability]).filter("row >= 4")
-    acronym = F.regexp_extract("A", r"\s-\s([A-Z][A-Z&]+)$", 1)
+    acronym = F.regexp_extract("A", DOMAIN, 1)
     domain = (F.col("A") != "") & (F.col("C") == "") & (acronym != "")
     last = Window.partitionBy("doc_key", "sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     held = rows.withColumn("__d", F.last(F.when(domain, acronym), ignorenulls=True).over(last)).filter(domain | (F.col("C") != ""))
     body = F.when(~domain, labelled_body(F.col("D"), [(label, F.col(c)) for c, label in applicability.items()])).otherwise("")
-    title = F.when(domain, F.regexp_replace("A", r"\s-\s[A-Z][A-Z&]+$", "")).otherwise(F.col("B"))
+    title = F.when(domain, F.regexp_replace("A", DOMAIN, "")).otherwise(F.col("B"))
     return _tree(held, F.when(domain, acronym).otherwise(F.col("C")), F.when(domain, "domain").otherwise("control"), title, body, F.when(~domain, F.upper("__d")))
 
 
@@ -171,7 +176,7 @@ def csf_withdrawals(cells: DataFrame, sheet: str = "CSF") -> DataFrame:
 def crosswalk_edges(cells: DataFrame) -> DataFrame:
     """from_norm, to_norm, provenance of a crosswalk's shaped pairs, once each, from the lowest row of the first sheet."""
     rows = grid(cells.filter("sheet <> 'Definitions'"), ["A", "D"])
-    shaped = rows.filter(F.col("A").rlike(r"^[A-Z]{2}-\d{2}(\(\d{2}\))?$") & F.col("D").rlike(r"^(A\.)?\d+(\.\d+)*$"))
+    shaped = rows.filter(F.col("A").rlike(CROSSWALK[0]) & F.col("D").rlike(CROSSWALK[1]))
     first = shaped.groupBy("doc_key", F.upper("A").alias("from_norm"), F.upper("D").alias("to_norm")).agg(F.min(F.struct("sheet", "row")).alias("at"))
     return first.select("doc_key", "from_norm", "to_norm", F.concat(F.lit("sheet "), "at.sheet", F.lit(" row "), F.col("at.row").cast("string")).alias("provenance"))
 

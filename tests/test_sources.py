@@ -2,6 +2,8 @@ import io
 import json
 import zipfile
 
+from pyspark.sql import functions as F
+
 from tessera.functions.citations import csf_target
 from tessera.sources import catalogs, pages, workbooks
 
@@ -94,3 +96,40 @@ def test_page_trees(spark):
     doc = [("d", 1, "4.1\nReplace the text\n9.9\nAdd more detail\nA.5.7\nDelete this")]
     got = {(r.citation, r.action) for r in pages.amendments(spark.createDataFrame(doc, "doc_key string, page int, text string")).collect()}
     assert got == {("4.1", "replace"), ("A.5.7", "delete")}
+
+
+def read_pages(spark, lines, scheme):
+    doc = [("d", k + 1, text) for k, text in enumerate(lines)]
+    return {r.citation: r for r in pages.page_tree(spark.createDataFrame(doc, "doc_key string, page int, text string"), pages.SCHEMES[scheme]).collect()}
+
+
+def test_ids_within_a_line(spark):
+    lines = ["1.1 Group\n1.1.1 First text. 1.1.2 Second text.\n1.1.3 Third", "2.1.1 Alone (see 2.1.2 there)\nversion 9.8.7 of it\n2.1.3 More 1.1.3 again"]
+    got = read_pages(spark, lines, "pci-requirement")
+    assert set(got) == {"1.1", "1.1.1", "1.1.2", "1.1.3", "2.1.1", "2.1.3"}
+    assert got["1.1.2"].parent == "1.1" and got["1.1.1"].body == "First text." and "9.8.7" in got["2.1.1"].body and got["2.1.3"].body == "More 1.1.3 again"
+
+
+def test_schemes_of_the_control_catalogues(spark):
+    got = read_pages(spark, ["5 Organizational controls\n5.1 Policies for security\nControl text\n5.1.2 Not a control\n8.34 Last one"], "iso27002")
+    assert {c: r.kind for c, r in got.items()} == {"5": "domain", "5.1": "control", "8.34": "control"} and got["5.1"].parent == "5"
+    got = read_pages(spark, ["5 Policies\n5.1 Direction\n5.1.1 Rules\ntext\n18 Compliance\nCLD.6.3 Relationship\nCLD.6.3.1 Shared roles\nmore"], "iso27017")
+    assert {c: (r.kind, r.parent) for c, r in got.items()} == {"5": ("domain", None), "5.1": ("objective", "5"), "5.1.1": ("control", "5.1"), "18": ("domain", None), "CLD.6.3": ("domain", None), "CLD.6.3.1": ("control", "CLD.6.3")}
+    got = read_pages(spark, ["9 Access\n9.2 User access\n9.2.1 Registration\nA.2 Consent\nA.2.1 Obligation\nwhat it says"], "iso27018")
+    assert {c: r.kind for c, r in got.items()} == {"9": "domain", "9.2": "objective", "9.2.1": "control", "A.2": "domain", "A.2.1": "annex-control"} and got["A.2.1"].parent == "A.2" and got["A.2.1"].body == "Obligation\nwhat it says"
+
+
+def test_amendment_bodies(spark):
+    doc = [("d", 1, "Foreword\n4.1\nAdd the following sentence:\nThe organization shall determine it."), ("d", 2, "more of it\n4.2\nReplace this note\nNOTE New.\n9.9\nnot an instruction"), ("e", 1, "A.5.1\nDelete a word")]
+    rows = pages.amendment_tree(spark.createDataFrame(doc, "doc_key string, page int, text string")).collect()
+    got = {(r.doc_key, r.citation): (r.ordinal, r.amend_action, r.body) for r in rows}
+    assert got == {
+        ("d", "4.1"): (0, "add", "Add the following sentence:\nThe organization shall determine it.\nmore of it"),
+        ("d", "4.2"): (1, "replace", "Replace this note\nNOTE New.\n9.9\nnot an instruction"), ("e", "A.5.1"): (0, "delete", "Delete a word"),
+    }
+
+
+def test_bodies_without_their_attributes(spark):
+    texts = [("Control type\n#Preventive\nx\nControl\nThe text stays.", "The text stays."), ("No table here.\nControl\nrest", "No table here.\nControl\nrest"), ("#tag only", "#tag only")]
+    rows = spark.createDataFrame(texts, "body string, want string").select(pages.strip_attributes(F.col("body")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows)
