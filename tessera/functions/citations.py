@@ -19,6 +19,9 @@ SCHEMES = {
     "cscf-control": r"\b(\d\.\d+[A-Z]?)\b",
 }
 
+#: Forms of an ISO reference; the second names a clause, the others a control of the annex.
+ISO_FORMS = ("Annex A Controls:", "Mandatory Clause:", "Control")
+
 
 def match_citations(query: Column, scheme: str | None = None) -> Column:
     """Distinct (scheme, citation) in order, of one scheme or of all; an unknown scheme matches nothing."""
@@ -79,20 +82,22 @@ def cell_row(ref: Column) -> Column:
 
 
 def iso_reference(text: Column) -> Column:
-    """The citation in an ISO reference of the 2022 edition; null for another edition, `none`, or a list.
+    """The citation in an ISO reference of the 2022 edition; null for another edition or form, for none, and for a list.
 
-    `27001:2022: Annex A Controls 5.1` names A.5.1, `Mandatory Clause: 4.1` names 4.1. One comma at the end is let pass.
+    `2022: Annex A Controls: 5.1` and `2022: Control 5.1` name A.5.1, `2022: Mandatory Clause: 4.1` names 4.1. Commas
+    at the end are let pass.
     """
-    rest = F.trim(F.regexp_replace(F.trim(F.regexp_extract(text, r"^\s*2022:\s*(.*)$", 1)), r",$", ""))
-    number = F.regexp_extract(rest, r"(\d+(?:\.\d+)*)\s*$", 1)
-    skip = (rest == "") | F.lower(rest).contains("none") | rest.contains(",") | (number == "")
-    return F.when(skip, None).otherwise(F.when(F.lower(rest).startswith("annex"), F.concat(F.lit("A."), number)).otherwise(number))
+    form = rf"^2022:\s*({'|'.join(ISO_FORMS)})(.*)$"
+    named = F.trim(F.regexp_extract(text, form, 2))
+    cite = F.trim(F.regexp_replace(named, r",+$", ""))
+    skip = (cite == "") | (F.lower(named) == "none") | cite.contains(",")
+    return F.when(~skip, F.when(F.regexp_extract(text, form, 1) == ISO_FORMS[1], cite).otherwise(F.concat(F.lit("A."), cite)))
 
 
 def iso_target(text: Column) -> Column:
-    """An Annex A target as A.x.y; null if it is of no such shape."""
-    bare = F.upper(F.trim(text))
-    return F.when(bare.rlike(r"^(?:A\.)?\d+\.\d+$"), F.concat(F.lit("A."), F.regexp_replace(bare, r"^A\.", "")))
+    """A target in an ISO standard: A5.9 of its annex as A.5.9, a clause's number as it is; null for other shapes."""
+    bare = F.trim(text)
+    return F.when(bare.rlike(r"^A\d+\.\d+$"), F.regexp_replace(bare, "^A", "A.")).when(bare.rlike(r"^\d+(?:\.\d+)*$"), bare)
 
 
 def csf_target(text: Column) -> Column:
@@ -102,5 +107,6 @@ def csf_target(text: Column) -> Column:
 
 def sp80053_target(text: Column) -> Column:
     """A control or enhancement with two digits in each number: AC-2(3) is AC-02(03)."""
-    bare = F.regexp_replace(F.upper(text), r"\s+", "")
-    return F.when(bare.rlike(r"^[A-Z]{2}-\d{1,2}(?:\(\d{1,2}\))?$"), zero_pad(bare))
+    bare = F.upper(F.trim(text))
+    padded = F.regexp_replace(F.regexp_replace(bare, r"-(\d)($|\()", "-0$1$2"), r"\((\d)\)", "(0$1)")
+    return F.when(bare.rlike(r"^[A-Z]{2}-\d+(?:\(\d+\))?$"), padded)

@@ -13,16 +13,22 @@ FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 STOPWORDS = ("what", "how", "which", "does", "the", "for", "and", "are", "is", "of", "that", "a", "to", "in", "an", "control", "requirement", "cover", "address")
 
 
+#: At the start of a run that has a letter with a digit or a dot, or a digit with a dot, the run up to its last character
+#: that is no dot; elsewhere a word. Each lookahead stops at what it looks for, so that a run is passed a few times only.
+_WITHIN = r"[\p{L}\p{Nd}.()&-]"
+_LETTER_AND = r"(?=[\p{Nd}.()&-]*\p{L})(?=[\p{L}()&-]*[\p{Nd}.])"
+_DIGIT_AND_DOT = r"(?=[\p{L}.()&-]*\p{Nd})(?=[\p{L}\p{Nd}()&-]*\.)"
+TOKEN = rf"(?<!{_WITHIN})(?:{_LETTER_AND}|{_DIGIT_AND_DOT}){_WITHIN}*[\p{{L}}\p{{Nd}}()&-]|{WORD}"
+
+
 def is_citation_token(run: Column) -> Column:
     """A letter with a digit or a dot, or a digit with a dot: such a run is kept whole."""
     return (run.rlike(r"\p{L}") & run.rlike(r"[\p{Nd}.]")) | (run.rlike(r"\p{Nd}") & run.contains("."))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens in order. Citation-like runs lose dots at their end only; others fall into words."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RUN), F.lit(0))
-    whole = lambda r: F.filter(F.array(F.regexp_replace(r, r"\.+$", "")), lambda x: x != "")
-    return F.flatten(F.transform(runs, lambda r: F.when(is_citation_token(r), whole(r)).otherwise(F.regexp_extract_all(r, F.lit(WORD), F.lit(0)))))
+    """Lower-cased tokens in order, in one pass. Citation-like runs lose dots at their end only; others fall into words."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def query_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:

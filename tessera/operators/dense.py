@@ -21,7 +21,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v as a unit vector; a zero vector stays."""
-    return F.transform(v, lambda x: F.when(norm(v) > 0, x.cast("double") / norm(v)).otherwise(x.cast("double")))
+    scaled = lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))  # the norm is taken once, not at each element
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Below these a metric fails.
 FLOORS = {"recall": 0.66, "mrr": 0.44, "current": 0.98, "abstain": 0.90}
 KEYS = ("framework_code", "version_label", "citation_norm")
 

@@ -1,10 +1,16 @@
-"""BM25: statistics and weights of terms, hashed document vectors, top-k."""
+"""BM25: statistics and weights of terms, hashed document vectors, top-k.
+
+index(), asked_index() and many_asked_index() write their table when they are called; all else only plans.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import durable
 from tessera.functions.tokens import dimension, query_tokens, tokens
 
 K1, B = 1.2, 0.75
@@ -14,13 +20,17 @@ DECIMALS = 6
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term, tf, dl; one pass over the text and one shuffle with partial counts. A text without tokens has no row."""
-    split = docs.select(key, tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return split.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    split = docs.select(key, tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), "tokens")
+    each = split.select(key, "dl", F.explode_outer("tokens").alias("term")).filter("term is not null")  # explode() would have the size tested below, in a second run of the pattern
+    return each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def corpus_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n and avgdl, which is 1 where there is no token. Texts without tokens count among n."""
-    sizes = docs.select(F.size(tokens(F.col(text))).alias("dl"))
+    return _statistics(docs.select(F.size(tokens(F.col(text))).alias("dl")))
+
+
+def _statistics(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).select("n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
 
 
@@ -28,28 +38,54 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """key, term, w: the BM25 weight of every term of every document, statistics being those of all documents.
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The lexical index, (key, term, tf, dl), written as a table so that the text is read once, and n and avgdl in one row."""
+    tf = durable(term_frequencies(docs, key, text), "lexical-index")
+    n, total = docs.agg(F.count("*").alias("n")), tf.agg(F.sum("tf").alias("total"))
+    stats = n.crossJoin(F.broadcast(total)).select("n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
+    return tf, stats
 
-    terms: (term), those that will be asked for. They are few, so frequencies of others are dropped at once and
-    neither counted nor shuffled.
-    """
+
+def asked_index(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, dl, terms: every document's length, and those of its tokens that one query asks for; written, so that the text is read once."""
+    split = docs.select(key, tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), "tokens")
+    return durable(split.select(key, "dl", F.filter("tokens", lambda t: t.isin(*terms)).alias("terms")), "asked-index")
+
+
+def many_asked_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """asked_index() for the terms of many queries: a table (term) that is joined, however large."""
     split = docs.select(key, tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), "tokens")
-    stats = split.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).select("n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
-    each = split.select(key, "dl", F.explode("tokens").alias("term"))
-    if terms is not None:
-        each = each.join(F.broadcast(terms), "term", "left_semi")
-    tf = each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    each = split.select(key, "dl", F.explode_outer("tokens").alias("term")).join(terms.select("term").distinct().withColumn("__asked", F.lit(True)), "term", "left")
+    return durable(each.groupBy(key, "dl").agg(F.collect_list(F.when(F.col("__asked"), F.col("term"))).alias("terms")), "asked-index")
+
+
+def weights(tf: DataFrame, stats: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, term, dim, w: BM25 weights of a table (key, term, tf, dl). Where terms are few, Spark broadcasts their frequencies; a frequent term's rows may be split."""
+    df = document_frequencies(tf).withColumn("dim", dimension(F.col("term")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    df = document_frequencies(tf)
-    df = F.broadcast(df) if terms is not None else df
-    return tf.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", weight.alias("w"))
+    return tf.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", "dim", weight.alias("w"))
+
+
+def asked_weights(asked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """weights() of an asked_index(), statistics being those of all documents."""
+    tf = asked.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    return weights(tf, _statistics(asked), key)
+
+
+def term_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """key, term, dim, w: the BM25 weight of every term of every document, statistics being those of all documents.
+
+    terms: (term), those that will be asked for; others are neither counted nor shuffled then.
+    """
+    if terms is None:
+        return weights(*index(docs, key, text), key)
+    return asked_weights(many_asked_index(docs, terms, key, text), key)
 
 
 def document_vectors(weights: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, dim, w: weights summed by hashed dimension, so that terms that collide add up."""
-    return weights.groupBy(key, dimension(F.col("term")).alias("dim")).agg(F.sum("w").alias("w"))
+    return weights.groupBy(key, "dim").agg(F.sum("w").alias("w"))
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -63,12 +99,20 @@ def score(weights: DataFrame, asked: DataFrame, key: str = "doc_id", query: str
     return scored.filter("score > 0")
 
 
+def terms_of(spark: SparkSession, query: str) -> list[str]:
+    """The distinct terms of one query."""
+    return spark.range(1).select(query_tokens(F.lit(query))).first()[0]
+
+
 def top_k(docs: DataFrame, query: str, k: int = TOP_K, within: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of the k best documents for one query, ties to the smaller key. within: (key), those that may be found."""
-    spark = docs.sparkSession
-    terms = spark.range(1).select(F.explode(query_tokens(F.lit(query))).alias("term"))
-    weights = term_weights(docs, key, text, terms)
+    return best(asked_index(docs, terms_of(docs.sparkSession, query), key, text), k, within, key)
+
+
+def best(asked: DataFrame, k: int = TOP_K, within: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """top_k() over an asked_index() of the query's terms, which several arms may share."""
+    held = asked_weights(asked, key)
     if within is not None:
-        weights = weights.join(within.select(key).distinct(), key, "left_semi")
-    scored = weights.groupBy(key).agg(F.round(F.sum("w"), DECIMALS).alias("score")).filter("score > 0")
+        held = held.join(within.select(key).distinct(), key, "left_semi")
+    scored = held.groupBy(key).agg(F.round(F.sum("w"), DECIMALS).alias("score")).filter("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The framework whose bare numbers may mean its annex, and known successors (from, to).
@@ -109,6 +109,33 @@ def unresolved_groups(edges: DataFrame, limit: int | None = None) -> DataFrame:
     return found.orderBy(F.desc("edges"), "to_framework_code", "to_citation_norm", F.asc_nulls_first("to_version_label"), "mapping_source_code").limit(limit)
 
 
+#: What makes an edge one and the same; its relationship and provenance may change.
+EDGE_KEY = ("from_control_id", "to_framework_code", "to_version_label", "to_citation_norm", "mapping_source_code")
+DOCUMENT_KEY, RELATION_KEY = ("doc_key",), ("from_framework_code", "from_version_label", "to_framework_code", "to_version_label", "relation_type")
+
+
+def rebuild_controls(controls: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Controls and edges after documents are rebuilt, those of new: their old controls go with the edges from them, edges to them stay open."""
+    ids = new.select("document_id").distinct()
+    gone = controls.join(ids, "document_id", "left_semi").select(F.col("id").alias("__gone")).distinct()
+    kept = controls.join(ids, "document_id", "left_anti").unionByName(new)
+    held = edges.join(gone, F.col("from_control_id") == F.col("__gone"), "left_anti").join(gone, F.col("to_control_id") == F.col("__gone"), "left")
+    return kept, held.withColumn("to_control_id", F.when(F.col("__gone").isNull(), F.col("to_control_id"))).select(edges.columns)
+
+
+def known_supersessions(spark: SparkSession) -> DataFrame:
+    """The relations that come with the program, as rows to upsert."""
+    rows = [(*s, "supersedes", f"{s[1]} supersedes {s[3]}") for s in SUPERSESSIONS]
+    return spark.createDataFrame(rows, "from_framework_code string, from_version_label string, to_framework_code string, to_version_label string, relation_type string, note string")
+
+
+def norms_to_ids(rows: DataFrame, controls: DataFrame, documents: DataFrame, versions: DataFrame, framework: str, norm: str = "citation_norm") -> DataFrame:
+    """rows with control_id: the framework's control of that norm in the main document of its current version; null where there is none, which callers count."""
+    docs = documents.filter((F.col("framework_code") == framework) & (F.col("doc_role") == "main")).join(versions.filter("is_current").select("framework_code", "version_label"), ["framework_code", "version_label"], "left_semi")
+    ids = controls.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").groupBy(F.col("citation_norm").alias(norm)).agg(F.max("id").alias("control_id"))
+    return rows.join(ids, norm, "left")
+
+
 def dedupe_edges(edges: DataFrame, key: list[str]) -> DataFrame:
     """One edge for a key, nulls being equal, with all its sources' names in order."""
     return edges.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("source_name")), "; ").alias("sources"))

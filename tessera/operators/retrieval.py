@@ -88,9 +88,10 @@ def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Seq
     near = none("similarity")
     if o.mode != "bm25":
         near = fusion.with_rank(dense.top_k(vectors, vector, o.vector_k, allowed, "chunk_id"), "similarity", "chunk_id")
-    words = none("bm25_score")
+    words, asked = none("bm25_score"), None
     if o.mode != "vector":
-        words = fusion.with_rank(lexical.top_k(chunks, query, o.bm25_k, allowed, "chunk_id", "content"), "score", "chunk_id").withColumnRenamed("score", "bm25_score")
+        asked = lexical.asked_index(chunks, lexical.terms_of(spark, query), "chunk_id", "content")
+        words = fusion.with_rank(lexical.best(asked, o.bm25_k, allowed, "chunk_id"), "score", "chunk_id").withColumnRenamed("score", "bm25_score")
     weight = max(o.lexical_weight, fusion.PINNED_WEIGHT) if n_pins else o.lexical_weight
     left = max(o.top_k - n_pins, 1)
     fused = fusion.fuse(near, words, "chunk_id", o.rrf_k, weight).limit(left)
@@ -103,20 +104,19 @@ def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Seq
         lead = pins.select("chunk_id", F.lit(1.0).alias("score"), F.lit(0).alias("vector_rank"), F.lit(0).alias("bm25_rank"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("bm25_score"), "rank")
         hits = fusion.merge_pinned(lead, hits, "chunk_id", o.top_k)
     if o.current_only is None and not o.version:
-        hits = fusion.append_new(hits, lineage_hits(chunks, vectors, query, vector, o), "chunk_id")
+        hits = fusion.append_new(hits, lineage_hits(keys, vectors, vector, o, asked), "chunk_id")
     return hits.join(keys, "chunk_id").orderBy("rank")
 
 
-def lineage_hits(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Sequence[float] | None, o: Options) -> DataFrame:
-    """A few hits of versions that are not current, the best of each framework and version."""
-    keys = chunks.drop("content")
+def lineage_hits(keys: DataFrame, vectors: DataFrame | None, vector: Sequence[float] | None, o: Options, asked: DataFrame | None = None) -> DataFrame:
+    """A few hits of versions that are not current, the best of each framework and version. keys: chunks without content; asked: their index of the query's terms."""
     allowed = eligible(keys, o, non_current=True).select("chunk_id")
     k = min(LINEAGE, o.top_k)
     null = F.lit(None).cast("double")
     if o.mode != "bm25":
         found = fusion.with_rank(dense.top_k(vectors, vector, k, allowed, "chunk_id"), "similarity", "chunk_id").withColumns({"bm25_score": null, "vector_rank": F.col("rank"), "bm25_rank": F.lit(0), "score": F.col("similarity") * 0})
     else:
-        found = fusion.with_rank(lexical.top_k(chunks, query, k, allowed, "chunk_id", "content"), "score", "chunk_id").withColumnRenamed("score", "bm25_score").withColumns({"similarity": null, "vector_rank": F.lit(0), "bm25_rank": F.col("rank"), "score": F.lit(0.0)})
+        found = fusion.with_rank(lexical.best(asked, k, allowed, "chunk_id"), "score", "chunk_id").withColumnRenamed("score", "bm25_score").withColumns({"similarity": null, "vector_rank": F.lit(0), "bm25_rank": F.col("rank"), "score": F.lit(0.0)})
     own = fusion.best_per_group(found.join(keys.select("chunk_id", "framework_code", "version_label"), "chunk_id"), ["framework_code", "version_label"])
     return own.select("chunk_id", "score", "vector_rank", "bm25_rank", "similarity", "bm25_score", "rank")
 

@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STAGES = ("extracted_at", "normalized_at", "indexed_at")
 
 
-def glob_regex(pattern: Column) -> Column:
-    """A glob as a regular expression over a whole path: * within a part, ** over parts, ? one character."""
-    quoted = F.regexp_replace(pattern, r"([.+^$(){}|\\\[\]])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(F.replace(F.replace(F.replace(quoted, F.lit("**"), F.lit("\x00")), F.lit("*"), F.lit("[^/]*")), F.lit("\x00"), F.lit(".*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
+_ITEM = r"(?:\\.|[^\\\]-])"
+_GLOB = re.compile(rf"(?P<any>\*)|(?P<one>\?)|\[(?P<not>\^?)(?P<items>(?:{_ITEM}(?:-{_ITEM})?)+)\]|\\(?P<quoted>.)|(?P<plain>[^\[\\])", re.S)
 
 
-def match_rules(files: DataFrame, rules: DataFrame, key: str = "rel_path") -> DataFrame:
-    """files with the fields of the first rule, by ordinal, whose pattern fits; nulls where none does.
+def glob_regex(pattern: str) -> str | None:
+    """A glob as a regular expression over a whole path; null for a bad one, which fits nothing.
 
-    Rules are configuration, some tens of rows, hence the broadcast; the first is kept before any shuffle.
+    * stands for any characters of one part of the path and ? for one of them; two stars say no more than one. A class
+    such as [a-f_] or [^0-9] may hold a slash too; a backslash takes away a character's meaning.
     """
-    fields = [c for c in rules.columns if c not in ("pattern", "ordinal")]
-    held = files.join(F.broadcast(rules), F.expr(f"{key} rlike pattern"), "left")
-    best = held.groupBy(*files.columns).agg(F.min_by(F.struct("ordinal", "pattern", *fields), F.coalesce("ordinal", F.lit(2**31 - 1))).alias("r"))
-    return best.select(*files.columns, "r.ordinal", *[f"r.{c}" for c in fields])
+    literal = lambda c: c if c.isalnum() or ord(c) > 127 else "\\" + c
+    out, at = ["(?s)^"], 0
+    while at < len(pattern):
+        m = _GLOB.match(pattern, at)
+        if not m:
+            return None
+        if m["items"]:
+            ends = [[literal(x[-1]) for x in pair if x] for pair in re.findall(rf"({_ITEM})(?:-({_ITEM}))?", m["items"], re.S)]
+            ends = [e for e in ends if len(e) == 1 or e[0][-1] <= e[1][-1]]  # a range that ends before it begins holds nothing
+            out.append(f"[{m['not']}{''.join('-'.join(e) for e in ends)}]" if ends else "." if m["not"] else "(?!)")
+        else:
+            out.append("[^/]*" if m["any"] else "[^/]" if m["one"] else literal(m["quoted"] or m["plain"]))
+        at = m.end()
+    return "".join([*out, r"\z"])
+
+
+def match_rules(files: DataFrame, rules: Sequence[dict], key: str = "rel_path") -> DataFrame:
+    """files with the fields of the first rule whose pattern, a glob, fits; nulls where none does. rules: dicts of equal keys, pattern among them, in order."""
+    fields = [c for c in rules[0] if c != "pattern"] if rules else []
+    found = None
+    for rule in rules:
+        if (regex := glob_regex(rule["pattern"])) is not None:
+            fits, value = F.col(key).rlike(regex), F.struct(*[F.lit(rule[c]).alias(c) for c in fields])
+            found = F.when(fits, value) if found is None else found.when(fits, value)
+    if found is None:
+        return files.withColumns({c: F.lit(None) for c in fields})
+    return files.withColumn("__rule", found).select(*files.columns, *[F.col(f"__rule.{c}") for c in fields])
 
 
 def upsert_manifest(old: DataFrame, scan: DataFrame, key: str = "rel_path", digest: str = "sha256", stages: tuple[str, ...] = STAGES) -> DataFrame:
@@ -31,7 +56,7 @@ def upsert_manifest(old: DataFrame, scan: DataFrame, key: str = "rel_path", dige
     held = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     seen = F.col(f"n.{key}").isNotNull()
     same = F.col(f"o.{digest}") == F.col(f"n.{digest}")
-    any_seen = held.agg(F.max(seen.cast("int")).alias("any"))  # one row
+    any_seen = scan.limit(1).agg(F.count("*").alias("any"))  # one row
     held = held.crossJoin(F.broadcast(any_seen))
     keep = ~seen | F.coalesce(same, F.lit(False))
     status = F.when(seen, "active").when((F.col("any") == 1) & (F.col("o.status") == "active"), "removed").otherwise(F.col("o.status"))
@@ -97,6 +122,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.alias("o").join(new.select(*keys).distinct().alias("n"), same, "left_anti").unionByName(new)
 
 
+def upsert_in_order(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """upsert() of rows that may share a key: the last of them by order, which is not kept, is the one that stays."""
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in old.columns if c not in keys]), order).alias("__r")).select(*keys, "__r.*")
+    return upsert(old, last.select(old.columns), keys)
+
+
 def one_current(versions: DataFrame) -> DataFrame:
     """Frameworks with more than one current version; none is right."""
     return versions.groupBy("framework_code").agg(F.count_if(F.col("is_current")).alias("n")).filter("n > 1")

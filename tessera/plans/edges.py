@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.citations import category_parent, dotted_order, dotted_parent, iso_reference, title_key
+from tessera.functions.citations import category_parent, csf_target, dotted_order, dotted_parent, iso_reference, iso_target, sp80053_target, title_key
 from tessera.operators import mapping, tree
 from tessera.plans.tables import read
 
@@ -111,6 +111,39 @@ def title_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(titles, "key").select("p_partkey", "key", "title")
 
 
+def iso_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and targets of every form that the parsers tell apart, with a nation's number in them."""
+    k = F.col("n_nationkey").cast("string")
+    forms = ["2022: Annex A Controls: 5.@", "2022: Annex A Controls: 5.@,", "2022: Mandatory Clause: 4.@", "2022: Control 5.@", "2022: Mandatory Clause: None", "2022: Annex A Controls:", "2022: Annex A Controls: 5.@, 5.1", "2013: Annex A Controls: 5.@", "2022: Something 5.@", "A5.@", "A.5.@", "7.@", "7.@.1", "@", "ac-@", "AC-2(@)", "pr.aa-0@", "x"]
+    each = read(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*[F.replace(F.lit(f), F.lit("@"), k) for f in forms])).alias("text"))
+    return each.select("n_nationkey", "text", iso_reference(F.col("text")).alias("reference"), iso_target(F.col("text")).alias("iso"), sp80053_target(F.col("text")).alias("sp80053"), csf_target(F.col("text")).alias("csf"))
+
+
+def deduped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge for an order, a version, which may be null, and a number, with the sources that say so."""
+    line = read(spark, sf_dir, "lineitem")
+    rows = line.select("l_orderkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("version"), (F.col("l_partkey") % 3).alias("norm"), F.concat(F.lit("source "), (F.col("l_suppkey") % 7).cast("string")).alias("source_name"))
+    return mapping.dedupe_edges(rows, ["l_orderkey", "version", "norm"])
+
+
+def norm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines' numbers as controls of one framework's current main document; what it lacks stays null."""
+    held, docs, versions, _ = controls(spark, sf_dir)
+    asked = edges(spark, sf_dir).select(F.col("from_control_id"), F.col("to_citation_norm").alias("citation_norm")).distinct()
+    found = mapping.norms_to_ids(asked, held, docs, versions, "iso27001")
+    return found.groupBy("control_id").agg(F.count("*").alias("edges"))
+
+
+def tree_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their region as parent, and the first children of one of them."""
+    region = read(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("r_name").alias("citation"), F.col("r_name").alias("title"), F.lit(0).alias("ordinal"))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 100).cast("long").alias("parent_id"), F.col("n_name").alias("citation"), F.col("n_name").alias("title"), (F.lit(0) - F.col("n_nationkey")).cast("int").alias("ordinal"))
+    every = region.unionAll(nation)
+    up = tree.parents(every).select("id", "citation", "parent_citation", F.lit("parent").alias("walk"))
+    down = tree.children(every, F.lit(102), 3).select("id", "citation", F.lit(None).cast("string").alias("parent_citation"), F.lit("child").alias("walk"))
+    return up.unionByName(down)
+
+
 def ancestor_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region over nation over customer; a customer's context prefix from its ancestors."""
     region = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("citation"))
@@ -167,19 +200,27 @@ _R = f"""{_C}, {_E}, placed as (select *, coalesce(to_version_label, 'N') as v f
             when successor is not null then provenance_detail || '; version-supersession: cited ' || to_version_label || ' resolved in successor N' else provenance_detail end as provenance_detail from tried)"""
 _KEYS = "from_control_id, to_framework_code, to_version_label, to_citation_norm, mapping_source_code"
 
-QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
+QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, iso_forms, deduped_edges, norm_lookup, tree_walks, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
 ORACLES = {
     "resolve_edges": f"with {_C}, {_E} select {_KEYS}, t.id as to_control_id from edges e left join targets t on t.framework_code = e.to_framework_code and t.version_label = coalesce(e.to_version_label, 'N') and t.citation_norm = e.to_citation_norm",
     "resolve_annex": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'annex-prefix'",
     "resolve_supersession": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'supersession'",
     "resolve_all": f"with {_R} select to_framework_code, coalesce(resolved_by, 'open') as resolved_by, count(*) as edges, count(distinct to_control_id) as targets from resolved group by 1, 2",
     "unresolved_groups": f"with {_R} select to_framework_code, to_version_label, to_citation_norm, mapping_source_code, count(*) as edges, string_agg(distinct 'O-' || from_control_id, ', ' order by 'O-' || from_control_id) as from_citations from resolved where to_control_id is null group by 1, 2, 3, 4 order by edges desc, to_framework_code, to_citation_norm, to_version_label nulls first, mapping_source_code limit 50",
-    "outbound_edges": f"with {_R} select {_KEYS}, to_control_id, c.citation as to_citation, to_control_id is not null as resolved from resolved left join controls c on c.id = to_control_id where from_control_id % 100 = 1",
+    "outbound_edges": f"with {_R} select {_KEYS}, to_control_id, c.citation as to_citation, to_control_id is not null as resolved from resolved left join controls c on c.id = to_control_id",
     "inbound_edges": f"with {_R} select to_control_id, o_orderpriority as from_citation, count(*) as edges from resolved join orders on o_orderkey = from_control_id where to_control_id is not null group by 1, 2",
     "structural_edges": f"with {_C}, both_ways as (select a.id as a, b.id as b, a.citation_norm as an, b.citation_norm as bn from controls a join controls b on b.citation_norm = substr(a.citation_norm, 3) where a.citation_norm like 'A.%' and b.citation_norm not like 'A.%') select a as from_id, bn as to_norm, 'equivalent' as relationship from both_ways union all select b, an, 'equivalent' from both_ways",
     "longest_equivalent": "with p as (select f.doc_id as from_id, t.doc_id as to_id, length(t.text) as n from documents f join documents t on t.doc_id in (f.doc_id + 20, f.doc_id + 40, f.doc_id + 60) where length(t.text) > coalesce(length(f.text), 0)) select from_id, to_id, n as length from p qualify row_number() over (partition by from_id order by n desc, to_id) = 1",
     "version_lineage": "select 0 as block, 'from' as kind, 'iso27001' as framework_code, 'R' as version_label, 'amends' as relation_type, false as is_current, 'N amends R' as note union all select 1, 'version', 'iso27001', 'N', '', true, 'edition' union all select 1, 'version', 'iso27001', 'R', '', false, 'edition'",
     "prefix_refs": "select n_nationkey as from_id, 'ISO/IEC 27001' as prefix, 'iso27001' as to_framework_code, 'A.5.' || n_nationkey as to_citation_norm from nation union all select n_nationkey, 'CIS', 'ciscontrols', '4.1' from nation union all select n_nationkey, 'OTHER', null, 'x' from nation",
+    "iso_forms": r"""with f(form) as (values ('2022: Annex A Controls: 5.@'), ('2022: Annex A Controls: 5.@,'), ('2022: Mandatory Clause: 4.@'), ('2022: Control 5.@'), ('2022: Mandatory Clause: None'), ('2022: Annex A Controls:'), ('2022: Annex A Controls: 5.@, 5.1'), ('2013: Annex A Controls: 5.@'), ('2022: Something 5.@'), ('A5.@'), ('A.5.@'), ('7.@'), ('7.@.1'), ('@'), ('ac-@'), ('AC-2(@)'), ('pr.aa-0@'), ('x')),
+        t as (select n_nationkey, form, n_nationkey::varchar as k, replace(form, '@', n_nationkey::varchar) as text from nation, f)
+        select n_nationkey, text, case when form in ('2022: Annex A Controls: 5.@', '2022: Annex A Controls: 5.@,', '2022: Control 5.@') then 'A.5.' || k when form = '2022: Mandatory Clause: 4.@' then '4.' || k end as reference,
+            case when form = 'A5.@' then 'A.5.' || k when form in ('7.@', '7.@.1', '@') then text end as iso, case when form = 'ac-@' then 'AC-' || lpad(k, 2, '0') when form = 'AC-2(@)' then 'AC-02(' || lpad(k, 2, '0') || ')' end as sp80053,
+            case when form = 'pr.aa-0@' and n_nationkey < 10 then 'PR.AA-0' || k end as csf from t""",
+    "deduped_edges": "select l_orderkey, case when l_returnflag <> 'N' then l_returnflag end as version, l_partkey % 3 as norm, string_agg(distinct 'source ' || l_suppkey % 7, '; ' order by 'source ' || l_suppkey % 7) as sources from lineitem group by 1, 2, 3",
+    "norm_lookup": f"with {_C}, {_E}, a as (select distinct from_control_id, to_citation_norm as norm from edges), i as (select citation_norm as norm, max(id) as control_id from controls join docs using (document_id) where framework_code = 'iso27001' and version_label = 'N' group by 1) select control_id, count(*) as edges from a left join i using (norm) group by 1",
+    "tree_walks": "with e as (select r_regionkey + 100 as id, null as parent_id, r_name as citation, 0 as ordinal from region union all select n_nationkey, n_regionkey + 100, n_name, -n_nationkey from nation), d as (select id, citation from e where parent_id = 102 order by ordinal, id limit 3) select e.id::bigint as id, e.citation, p.citation as parent_citation, 'parent' as walk from e left join e p on p.id = e.parent_id union all select id::bigint, citation, null, 'child' from d",
     "title_join": "with t as (select distinct '  ' || replace(upper(p_type), ' ', '   ') as title from part) select p_partkey, lower(regexp_replace(trim(p_type), '\\s+', ' ', 'g')) as key, title from part join t on lower(regexp_replace(trim(title), '\\s+', ' ', 'g')) = lower(regexp_replace(trim(p_type), '\\s+', ' ', 'g'))",
     "ancestor_path": "select 'r' || r_regionkey as id, '' as path from region union all select 'n' || n_nationkey, r_name from nation join region on r_regionkey = n_regionkey union all select 'c' || c_custkey, r_name || ' > ' || n_name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey",
     "dotted_parents": "select p_partkey, '8.' || p_size as parent, 'PR.AA' as category, '00000008.' || lpad(p_size::varchar, 8, '0') || '.' || lpad((p_partkey % 7)::varchar, 8, '0') as sort_key from part",

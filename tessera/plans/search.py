@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.citations import clean_citation, cite_string, match_citations, zero_pad
+from tessera.durable import durable
+from tessera.functions.citations import SCHEMES, clean_citation, cite_string, match_citations, zero_pad
+from tessera.functions.text import embedding_query, embedding_text, same_model
+from tessera.functions.tokens import dimension, sparse_literal, tokens
 from tessera.operators import dense, fusion, lexical, retrieval
 from tessera.plans.tables import CHUNKS, COSINE, QUERY, TERMS, TOKENS, WEIGHTS, chunk_keys, chunks, query_vector, read
 
@@ -30,8 +33,9 @@ def bm25_doc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    terms = lexical.document_frequencies(lexical.term_frequencies(docs)).agg(F.count("*").alias("terms"), F.max("df").alias("most"))
-    return lexical.corpus_statistics(docs).select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
+    tf, stats = lexical.index(docs)
+    terms = lexical.document_frequencies(tf).agg(F.count("*").alias("terms"), F.max("df").alias("most"))
+    return stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,19 +88,66 @@ def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     keys = docs.select("doc_id", "source", "lang")
-    top = lambda within, k: fusion.with_rank(lexical.top_k(docs, QUERY, k, within), "score", "doc_id")
+    asked = lexical.asked_index(docs, lexical.terms_of(spark, QUERY))
+    top = lambda within, k: fusion.with_rank(lexical.best(asked, k, within), "score", "doc_id")
     older = fusion.best_per_group(top(keys.filter("lang <> 'en'"), 3).join(keys, "doc_id"), ["source", "lang"]).select("doc_id", "score", "rank")
     return fusion.append_new(top(keys.filter("lang = 'en'"), 8), older, "doc_id").select("rank", "doc_id", "score")
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieval.search(chunks(spark, sf_dir), vectors, QUERY, query_vector(spark, sf_dir))
+
+
 def search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: both arms over current, active chunks, fused, cut, completed by older versions, and looked up."""
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    hits = retrieval.search(chunks(spark, sf_dir), vectors, QUERY, query_vector(spark, sf_dir))
+    hits = _searched(spark, sf_dir)
     cite = cite_string(F.concat(F.lit("D-"), F.col("chunk_id").cast("string")), F.col("framework_code"), F.col("version_label"))
     return hits.select("rank", "chunk_id", "score", "vector_rank", "bm25_rank", cite.alias("cite"), F.when(F.col("is_current"), "current").otherwise("superseded").alias("version_status"))
 
 
+def evidence_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the flagship's hits say for themselves, under no floor, one that they pass and one that they miss."""
+    hits = durable(_searched(spark, sf_dir).select("score", "similarity", "vector_rank"), "hits")
+    each = [retrieval.evidence(hits, floor).withColumn("floor", F.lit(floor)) for floor in (0.0, 0.2, 1.5)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical hits as a caller sees them: cite string, version status and score."""
+    words = fusion.with_rank(lexical.top_k(read(spark, sf_dir, "documents"), QUERY, 20), "score", "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.shaped(words.join(chunk_keys(spark, sf_dir).withColumn("citation", F.concat(F.lit("D-"), F.col("chunk_id").cast("string"))), "chunk_id"))
+
+
+def reduced_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with licensed text blanked."""
+    return retrieval.reduced(chunks(spark, sf_dir).withColumnRenamed("content", "body")).select("chunk_id", "framework_code", "status", "body")
+
+
+def citation_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks whose citation a query names, of current versions only, and of all."""
+    number = (F.col("chunk_id") % 30 + 1).cast("string")
+    keys = chunk_keys(spark, sf_dir).withColumn("citation_norm", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("AC-"), number)).otherwise(F.concat(F.lit("CC6."), number))).withColumn("ordinal", F.col("chunk_id") % 7)
+    found = [retrieval.pinned(keys, "what do ac-3, cc6.2 and ZZ-1 ask for", retrieval.Options(current_only=only)).withColumn("current_only", F.lit(only)) for only in (True, False)]
+    return found[0].unionByName(found[1])
+
+
+def dimension_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a part's tokens by dimension, as a sparse literal."""
+    each = read(spark, sf_dir, "part").select("p_partkey", F.explode(tokens(F.concat_ws(" ", "p_name", "p_type", "p_type", F.lit("AC-2. 3.1")))).alias("term"))
+    counted = each.groupBy("p_partkey", dimension(F.col("term")).alias("dim")).agg(F.count("*").cast("double").alias("w"))
+    return counted.groupBy("p_partkey").agg(sparse_literal(F.map_from_entries(F.collect_list(F.struct("dim", "w")))).alias("vector"))
+
+
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is embedded of a part as a document and as a query, and whether its brand names the type's model."""
+    p = read(spark, sf_dir, "part")
+    content = F.concat_ws(" ", "p_brand", "p_type")
+    prefix = F.when(F.col("p_size") > 10, F.col("p_name")).otherwise("")
+    same = same_model(F.concat(F.lit("Org/"), F.upper("p_brand")), F.concat(F.lit("other/brand#"), F.col("p_size").cast("string")))
+    return p.select("p_partkey", embedding_text(prefix, content).alias("document"), embedding_query(F.col("p_name")).alias("query"), same.alias("same"))
+
+
 def abstain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector whose id is divisible by 20: the nearest other, and whether that lies below the floor.
 
@@ -111,9 +162,12 @@ def abstain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("compare ac-"), (F.col("n_nationkey") + 1).cast("string"), F.lit(" and EDM01.0"), (F.col("n_nationkey") % 9 + 1).cast("string"), F.lit(" with pr.aa-01, cc6."), F.col("n_regionkey").cast("string")).alias("q"))
-    schemes = ("cobit-objective", "csf-workbook", "ccm-workbook", "tsc-criteria")
-    each = [asked.select("query_id", F.posexplode(match_citations(F.col("q"), s)).alias("n", "m")) for s in schemes]
+    """Citations of every scheme, alone and together, in sentences that hold some of each."""
+    text = lambda name: F.col(name).cast("string")
+    sentence = F.concat(F.lit("compare ac-"), text("k"), F.lit(" and EDM01.0"), text("d"), F.lit(" with pr.aa-01, cc6."), text("r"), F.lit("; Requirement 8."), text("k"), F.lit(".1, A.5."), text("k"), F.lit(" or CLD.9.5."), text("d"), F.lit(" and AC-"), text("k"), F.lit("(2), IVS-0"), text("d"), F.lit(", 4."), text("d"), F.lit("A and PI1."), text("d"))
+    numbers = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), (F.col("n_nationkey") + 1).alias("k"), (F.col("n_nationkey") % 9 + 1).alias("d"), F.col("n_regionkey").alias("r"))
+    asked = numbers.select("query_id", sentence.alias("q"))
+    each = [asked.select("query_id", F.posexplode(match_citations(F.col("q"), s)).alias("n", "m")) for s in SCHEMES]
     found = each[0]
     for e in each[1:]:
         found = found.unionAll(e)
@@ -155,13 +209,17 @@ def _clean_sql() -> str:
     return f"with a as (select p_partkey, concat('AC-', p_partkey % 24, '.', p_size % 30) as s from part), b as (select p_partkey, {clean} as clean from a) select p_partkey, clean, {pad} as padded from b"
 
 
+_SENTENCE = "upper(concat('compare ac-', k, ' and EDM01.0', d, ' with pr.aa-01, cc6.', r, '; Requirement 8.', k, '.1, A.5.', k, ' or CLD.9.5.', d, ' and AC-', k, '(2), IVS-0', d, ', 4.', d, 'A and PI1.', d))"
+
+
 def _match_sql() -> str:
-    parts = {"cobit-objective": r"\b([A-Z]{3}\d{2}\.\d{2})\b", "csf-workbook": r"\b([A-Z]{2}\.[A-Z]{2}-\d{2})\b", "ccm-workbook": r"\b([A-Z][A-Z&]{1,4}-\d{2})\b", "tsc-criteria": r"\b((?:CC|A|PI|P|C)\d+\.\d+)\b"}
-    union = " union all ".join(f"select query_id, '{s}' as scheme, regexp_extract_all(q, '{p}', 1) as found from asked" for s, p in parts.items())
-    return f"with asked as (select n_nationkey as query_id, upper(concat('compare ac-', n_nationkey + 1, ' and EDM01.0', n_nationkey % 9 + 1, ' with pr.aa-01, cc6.', n_regionkey)) as q from nation), each as ({union}) select query_id, scheme, unnest(found) as citation, (generate_subscripts(found, 1) - 1)::int as n from each"
+    once = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+    union = " union all ".join(f"select query_id, '{s}' as scheme, {once.format(f"regexp_extract_all(q, '{p}', 1)")} as found from asked" for s, p in SCHEMES.items())
+    numbers = "select n_nationkey as query_id, n_nationkey + 1 as k, n_nationkey % 9 + 1 as d, n_regionkey as r from nation"
+    return f"with numbers as ({numbers}), asked as (select query_id, {_SENTENCE} as q from numbers), each as ({union}) select query_id, scheme, unnest(found) as citation, (generate_subscripts(found, 1) - 1)::int as n from each"
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_doc_weights, corpus_statistics, dense_topk, dense_filtered, arm_ranks, unit_vectors, rrf_fuse, rrf_pinned_weight, cap_per_group, best_per_group, lineage_append, search_hydrated, abstain_flags, citation_match, citation_clean)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_doc_weights, corpus_statistics, dense_topk, dense_filtered, arm_ranks, unit_vectors, rrf_fuse, rrf_pinned_weight, cap_per_group, best_per_group, lineage_append, search_hydrated, abstain_flags, citation_match, citation_clean, evidence_floors, shaped_hits, reduced_detail, citation_pins, dimension_literals, embedding_texts)}
 ORACLES = {
     "bm25_topk": f"with {WEIGHTS} {_ASKED} order by score desc, doc_id limit 20",
     "bm25_filtered": f"with {WEIGHTS}, {CHUNKS} {_LEXICAL.format(terms=TERMS, within=" and doc_id in (select doc_id from chunks where is_current and status = 'active')")} order by score desc, doc_id limit 20",
@@ -177,7 +235,13 @@ ORACLES = {
     "best_per_group": f"with {WEIGHTS}, {_RANKED.format(k=50)}, own as (select *, row_number() over (partition by source, lang order by r) as n from hits) select r::int as rank, doc_id, source, lang from own where n = 1",
     "lineage_append": f"with {WEIGHTS}, asked as (select * from ({_ASKED}) join (select doc_id, source, lang from documents) using (doc_id)), main as (select doc_id, score, row_number() over (order by score desc, doc_id) as r, 0 as arm from (select * from asked where lang = 'en' order by score desc, doc_id limit 8)), older as (select *, row_number() over (order by score desc, doc_id) as r from (select * from asked where lang <> 'en' order by score desc, doc_id limit 3)), own as (select doc_id, score, r, row_number() over (partition by source, lang order by r) as n from older), listed as (select doc_id, score, r, arm from main union all select doc_id, score, r, 1 from own where n = 1) select (row_number() over (order by arm, r, doc_id))::int as rank, doc_id, score from listed",
     "search_hydrated": _SEARCH,
-    "abstain_flags": f"with s as (select q.vec_id as query_id, e.vec_id, {COSINE} as c from embeddings e, embeddings q where q.vec_id % 25 = 0 and q.vec_id < 500), t as (select *, row_number() over (partition by query_id order by c desc, vec_id) as r from s), b as (select query_id, max(c) as top_cosine from t where r <= 2 and vec_id <> query_id group by 1) select query_id, top_cosine, top_cosine < 0.5 as abstained from b",
+    "abstain_flags": f"with s as (select q.vec_id as query_id, e.vec_id, {COSINE} as c from embeddings e, embeddings q where q.vec_id % 20 = 0), t as (select *, row_number() over (partition by query_id order by c desc, vec_id) as r from s), b as (select query_id, max(c) as top_cosine from t where r <= 2 and vec_id <> query_id group by 1) select query_id, top_cosine, top_cosine < 0.5 as abstained from b",
     "citation_match": _match_sql(),
+    "evidence_floors": f"with found as ({_SEARCH}), near as (select e.vec_id as chunk_id, {COSINE} as similarity from embeddings e, embeddings q where q.vec_id = 0), e as (select count(*) as hits, coalesce(max(score) filter (score < 1.0), 0) as top_score, coalesce(max(similarity) filter (vector_rank > 0), 0) as top_cosine, coalesce(bool_or(vector_rank > 0), false) as dense from found left join near using (chunk_id)), f(floor) as (values (0.0::double), (0.2), (1.5)) select hits, top_score, top_cosine, hits = 0 or (dense and floor > 0 and top_cosine < floor) as abstained, floor from e, f",
+    "shaped_hits": f"with {WEIGHTS}, {CHUNKS}, hits as ({_ASKED} order by score desc, doc_id limit 20) select (row_number() over (order by score desc, doc_id))::int as rank, concat('D-', doc_id, ', ', framework_code, ' ', version_label) as cite, case when is_current then 'current' else 'superseded' end as version_status, score from hits join chunks using (doc_id)",
+    "reduced_detail": f"with {CHUNKS} select doc_id as chunk_id, framework_code, status, '' as body from chunks",
+    "citation_pins": f"with {CHUNKS}, k as (select *, case when doc_id % 2 = 0 then 'AC-' else 'CC6.' end || (doc_id % 30 + 1) as norm, doc_id % 7 as ordinal from chunks where status = 'active'), o(current_only) as (values (true), (false)), r as (select doc_id as chunk_id, current_only, row_number() over (partition by current_only order by is_current desc, framework_code, version_label, norm, ordinal, doc_id) as n from k, o where norm in ('AC-3', 'CC6.2', 'ZZ-1') and (is_current or not current_only)) select chunk_id, n::int as rank, current_only from r where n <= 16",
+    "dimension_literals": f"with t as (select p_partkey, unnest({TOKENS.format("concat_ws(' ', p_name, p_type, p_type, 'AC-2. 3.1')")}) as term from part), d as (select p_partkey, ({_FNV} % 1048576 + 1)::int as dim, count(*)::double as w from t group by 1, 2) select p_partkey, '{{' || string_agg(dim || ':' || w, ',' order by dim) || '}}/1048576' as vector from d group by 1",
+    "embedding_texts": "select p_partkey, case when p_size > 10 then p_name || chr(10) else '' end || p_brand || ' ' || p_type as document, 'Instruct: Given a web search query, retrieve relevant passages that answer the query' || chr(10) || 'Query:' || p_name as query, lower(p_brand) = 'brand#' || p_size as same from part",
     "citation_clean": _clean_sql(),
 }
