@@ -22,6 +22,24 @@ def test_fixity_odd_rows(spark):
     assert fixity.verify(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_fixity_of_any_ids(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    schema = "page_id long, url string, html string, node long, digest string"
+    for ids in ([least, most], [least, -1, 0, None, most], [5 * 10**17, 5 * 10**17 + 1, None], [-5 * 10**18, 9 * 10**18], [most], [None], [-1, 0], [-70, -1]):
+        rows = [(i, "u", f"body {i}", 1, "x") for i in ids]
+        ours = spark.createDataFrame(rows, schema)
+        theirs = spark.createDataFrame([(i, u, "bent" if k == 0 else h, n, d) for k, (i, u, h, n, d) in enumerate(rows)], schema)
+        got = fixity.verify(ours, theirs).collect()
+        assert {r.page_id: r.status for r in got} == {i: "changed" if k == 0 else "ok" for k, i in enumerate(ids)}
+        placed = sorted(got, key=lambda r: (r.page_id is not None, r.page_id or 0))
+        at = 0
+        for r in placed:
+            assert r.offset == at
+            at += r.length
+    far = spark.createDataFrame([(least, "u", "a"), (most, "u", "b"), (5 * 10**17, "u", "c")], "page_id long, url string, html string")
+    assert fixity.verify(far, fixity.damaged(far)).count() >= 3
+
+
 def test_search_matches_sql(spark, sf_dir):
     assert same(spark, sf_dir, topk_search.op3_topk_search, topk_search.ORACLES["op3_topk_search"]) > 0
 
@@ -40,6 +58,44 @@ def test_search_odd_rows(spark):
     assert topk_search.search(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def plain_search(docs, top):
+    """The same over Python lists, from the definition."""
+    import math
+    from collections import Counter
+
+    bags = [Counter(t.lower().split()) for _, t in docs]
+    n, mean = len(docs), sum(sum(b.values()) for b in bags) / len(docs)
+    df = Counter(w for b in bags for w in b)
+    out = set()
+    for (q, text), asked in {d: b for d, b in zip(docs, bags)}.items():
+        if q is None or q % 20:
+            continue
+        found = []
+        for (d, t), b in zip(docs, bags):
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in asked if w in b)
+            if (d, t) != (q, text) and round(s, 4) > 0:
+                found.append((-round(s, 4), d is None, d or 0, d))
+        out |= {(q, k + 1, x[3], -x[0]) for k, x in enumerate(sorted(found, key=lambda x: x[:3])[:top])}
+    return out
+
+
+def test_search_with_ties_copies_and_frequent_words(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    pool = [f"w{k}" for k in range(200)]
+    weights = [1 / (k + 1) for k in range(200)]
+    docs = [(k, " ".join(rng.choices(pool, weights, k=rng.choice([3, 20, 80, 300])))) for k in range(500)]
+    docs += [(d, docs[100][1]) for d in (700, 701, 702)] * 2 + [(700, docs[100][1])] * 20 + [(None, docs[40][1])] * 3  # more equal rows than are asked for
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, terms string, query int").repartition(3)
+    want = plain_search(docs, 5)
+    for first in (8, 1):
+        monkeypatch.setattr(topk_search, "FIRST", first)
+        got = topk_search.search(df, df.filter(topk_search.is_query(df.doc_id)), 5, shard_docs=150).collect()
+        assert {(r.query_id, r.rank, r.doc_id) for r in got} == {x[:3] for x in want}
+        assert {(r.query_id, r.rank): r.score for r in got} == {(q, k): s for q, k, _, s in want}
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
