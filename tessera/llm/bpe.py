@@ -5,15 +5,19 @@ distinct one is encoded once:
 
 1. Each task splits its documents into blocks of bounded size, numbers a block's distinct words by first appearance,
    and keeps a document as the numbers of its words.
-2. A block's distinct words go to buckets by hash; a bucket holds the same words of all blocks, encodes each distinct
-   word once, and answers with the ids in each block's order.
+2. Blocks belong to slices of about `SLICE` bytes of text. A block's distinct words go to its slice's buckets by hash; a
+   bucket holds the same words of all blocks of a slice, encodes each distinct word once, and answers with the ids in
+   each block's order.
 3. Numbers and ids meet again by block: ids are joined back by position, pieces by id.
 
-Only distinct words of blocks, their ids and word numbers are shuffled, all packed; texts never are. A block and a
-bucket of it have bounded size, a frequent word counts once a block, and nothing is cached or collected.
+Only distinct words of blocks, their ids and word numbers are shuffled, all packed; texts never are. A block is bounded
+by its bytes of text, and a bucket by those of a slice, of which it holds one part in `BUCKETS`; slices are as many as
+the input needs, so a group does not grow with it. A frequent word counts once a block, and nothing is cached or
+collected.
 
 Defined results: a null or empty text has no ids and decodes to an empty text. Repeated rows stay, each encoded. A
-null doc_id is a value as any other. An empty table gives no rows. Very long words are encoded whole.
+null doc_id is a value as any other. An empty table gives no rows. Very long words are encoded whole. In text that is no
+valid UTF-8, what cannot be read is taken as U+FFFD.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from tessera.llm.common import table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes of text in a block, unless one document alone is longer.
 BLOCK = 32 << 20
+#: Bytes of text in a slice, about, within which each distinct word is encoded once, and parts of its words.
+SLICE, BUCKETS = 4 << 30, 64
 
 
 @lru_cache(maxsize=2)
@@ -60,32 +66,12 @@ def encode_words(words: list[bytes], vocabulary: str, step: int = 4096) -> tuple
     """The words' ids, one after the other, and how many each word has."""
     t, ids, lens = tokenizer(vocabulary), [np.empty(0, np.uint32)], []
     for k in range(0, len(words), step):
-        out = [e.ids for e in t.encode_batch_fast([w.decode() for w in words[k : k + step]], add_special_tokens=False)]
+        out = [e.ids for e in t.encode_batch_fast([w.decode(errors="replace") for w in words[k : k + step]], add_special_tokens=False)]
         lens += map(len, out)
         ids.append(np.fromiter((i for x in out for i in x), np.uint32))
     return np.concatenate(ids), np.array(lens, np.uint32)
 
 
-#: Words that a Python worker keeps the ids of, over tasks.
-KEPT_WORDS = 600_000
-_kept: dict[str, dict[bytes, bytes]] = {}
-
-
-def encode_kept_words(words: list[bytes], vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """As encode_words(), but what this worker has encoded before is not encoded again. The first words stay, being the frequent ones."""
-    kept = _kept.setdefault(vocabulary, {})
-    new = [w for w in words if w not in kept]
-    flat, lens = encode_words(new, vocabulary)
-    own, at, raw = {}, 0, flat.tobytes()
-    for w, n in zip(new, lens.tolist(), strict=True):
-        own[w] = raw[4 * at : 4 * (at + n)]
-        at += n
-    found = [own[w] if w in own else kept[w] for w in words]
-    for w in new[: max(0, KEPT_WORDS - len(kept))]:
-        kept[w] = own[w]
-    return np.frombuffer(b"".join(found), np.uint32), np.fromiter((len(x) // 4 for x in found), np.uint32, len(found))
-
-
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """flat[starts[k] : starts[k] + lens[k]] for each k, one after the other."""
     ends = np.cumsum(lens)
@@ -128,16 +114,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
         yield key.hexdigest(), ids, codes, known
 
 
-def block_words(docs: DataFrame, buckets: int, size: int) -> DataFrame:
-    """bucket, key, words, codes: a block's distinct words in buckets by hash, with their numbers."""
+def block_words(docs: DataFrame, buckets: int, size: int, slices: int = 1) -> DataFrame:
+    """bucket, key, words, codes: a block's distinct words in its slice's buckets by hash, with their numbers."""
 
     def scan(batches):
         for key, _, _, known in _blocks(batches, size):
+            first = int(key[:15], 16) % slices * buckets
             words = list(known)
             by = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
             order = np.argsort(by, kind="stable")
             ends = np.searchsorted(by[order], np.arange(buckets + 1))
-            own = [(b, order[i:j]) for b, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+            own = [(first + b, order[i:j]) for b, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
             rows = [(b, key, _pack(b" ".join(words[c] for c in codes)), _pack(np.diff(codes, prepend=0).astype(np.uint32))) for b, codes in own]
             for k in range(0, len(rows), 64):
                 yield pa.record_batch([pa.array(x) for x in zip(*rows[k : k + 64], strict=True)], schema=pa.schema([("bucket", pa.int32()), ("key", pa.string()), ("words", pa.binary()), ("codes", pa.binary())]))
@@ -186,8 +173,8 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BL
 
 
 def _joined(docs: DataFrame, vocabulary: str, block: int, buckets: int | None, digest: bool) -> DataFrame:
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = encode_buckets(block_words(docs, buckets, block), vocabulary)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    encoded = encode_buckets(block_words(docs, buckets or BUCKETS, block, max(1, -(-size // SLICE))), vocabulary)
     numbered = block_documents(docs, block)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     schema = pa.schema([("n_tokens", pa.int64())] + ([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digest else [("ids", pa.binary()), ("decoded", pa.binary())]))

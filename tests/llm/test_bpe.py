@@ -26,3 +26,13 @@ def test_odd_rows_in_small_blocks(spark):
     got = sorted(((r.doc_id, list(struct.unpack(f"<{r.n_tokens}I", bytes(r.ids))), bytes(r.decoded).decode()) for r in bpe.encode_decode(df, block=64, buckets=3).collect()), key=repr)
     assert got == sorted(((d, *want(t)) for d, t in docs), key=repr)
     assert bpe.encode_decode(df.limit(0)).count() == 0
+
+
+def test_slices_and_invalid_utf8(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 64)  # many slices: a word is encoded in each
+    docs = [(k, f"shared words and own{k} " * 3) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: list(struct.unpack(f"<{r.n_tokens}I", bytes(r.ids))) for r in bpe.encode_decode(df, block=128, buckets=2).collect()}
+    assert got == {d: want(t)[0] for d, t in docs}
+    bad = spark.sql("select 1L as doc_id, cast(X'61ff62' as string) as text")
+    assert [bytes(r.decoded).decode() for r in bpe.encode_decode(bad).collect()] == [want("a�b")[1]]
