@@ -1,33 +1,44 @@
 """Packing: documents in order, cut into windows where padding and broken documents cost least.
 
-Documents go to shards by ranges of their id, and a shard is one stream of ids in order of doc_id. Windows of at most
-`length` ids may end at a document's end for nothing, at a sentence's end for a small penalty, and, where neither is
-near, after any 64th id for a larger one. The cheapest cuts are found by dynamic programming over these places; since
-padding is linear in a window's start, the best start is the least of a sliding window, kept in a monotone queue, and
-each place is pushed and popped once. A shard's last window is split into sequences whose lengths are powers of two,
-which need no padding.
+Documents are dealt by ranges to partitions, in order of doc_id, then of a hash of the text, then of where the row
+stands, so that even equal rows are spread. A partition is read as a stream, and cut into shards of bounded documents
+and bytes; a shard is one stream of ids. Windows of at most `length` ids may end at a document's end for nothing, at a
+sentence's end for a small penalty, and, where neither is near, after any 64th id for a larger one. The cheapest cuts
+are found by dynamic programming over these places; since padding is linear in a window's start, the best start is the
+least of a sliding window, kept in a monotone queue, and each place is pushed and popped once. A shard's last window is
+split into sequences whose lengths are powers of two, which need no padding.
+
+sequence_id is the number of the partition, then a counter within it. A task that runs again gives the same pieces, as
+long as docs can be read again in the same order, as a table can.
 
 Defined results: a null or empty text is its end id alone. Equal rows are packed each for itself, next to each other.
-Rows without a doc_id form shards of their own, by a hash of their text. Very long texts run over as many windows as
-they need. An empty table gives no rows. Columns other than doc_id and text are passed by.
+Rows without a doc_id come first. Ids may be any longs, near or far from each other. Very long texts run over as many
+windows as they need. An empty table gives no rows. Text that is no valid UTF-8 is read with U+FFFD for what cannot be
+read. Columns other than doc_id and text are passed by.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCABULARY, Numbers, encode_kept_words, gather
+from tessera.llm.bpe import VOCABULARY, encode_words, gather
 from tessera.llm.common import table
 
 LENGTH = 4096
 END_ID = 2
-#: Documents whose ids share a shard.
-SHARD = 8192
+#: Documents and bytes of text in a shard at most, unless one document alone is longer.
+SHARD, SHARD_BYTES = 8192, 16 << 20
+#: Bytes of text in a partition: as many as the session's shuffle has, of at least the first size, and no larger than about the second.
+PARTITION_BYTES = 2 << 20, 128 << 20
+#: Words that a Python worker keeps the ids of.
+KEPT_WORDS = 600_000
 #: Penalties in ids of padding: a cut at a sentence's end, and one elsewhere.
 SENTENCE, ELSEWHERE = 4, 32
 #: Where two places are further apart than GAP, every STEP ids between them is one more.
@@ -37,13 +48,15 @@ _CLOSERS = b"\"')]}"
 
 def places(ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the stream may be cut, ascending, and what that costs. ends: of documents; sentences: of sentences."""
-    at = np.union1d(ends, sentences)
+    kind = np.zeros(ends[-1] + 1, np.uint8)
+    kind[sentences] = 2
+    kind[ends] = 1
+    at = np.nonzero(kind)[0]
     gaps = np.diff(at, prepend=0)
-    wide = np.nonzero(gaps > GAP)[0]
-    more = [np.arange(at[k] - gaps[k] + STEP, at[k], STEP) for k in wide]
-    every = np.union1d(at, np.concatenate(more)) if more else at
-    cost = np.where(np.isin(every, ends, assume_unique=False), 0, np.where(np.isin(every, sentences), SENTENCE, ELSEWHERE))
-    return every, cost
+    for k in np.nonzero(gaps > GAP)[0]:
+        kind[at[k] - gaps[k] + STEP : at[k] : STEP] = 3
+    every = np.nonzero(kind)[0]
+    return every, np.array([0, 0, SENTENCE, ELSEWHERE])[kind[every]]
 
 
 def best_cuts(at: list[int], cost: list[int], length: int) -> list[int]:
@@ -81,58 +94,102 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_shard(docs: list[np.ndarray], sentences: np.ndarray, length: int) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(document's place in docs, start, length, crc32, document's ids, sequence's number, offset) of each piece."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    ends = np.cumsum(sizes)
+def pack_shard(ids: np.ndarray, ends: np.ndarray, sentences: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(number of the document, start, length, crc32, document's ids, sequence's number, offset) of each piece of a stream of ids. ends: of its documents."""
     every, cost = places(ends, sentences)
     cuts = best_cuts(every.tolist(), cost.tolist(), length)
     last = cuts[-2] if len(cuts) > 1 else 0
     bounds = cuts[:-1] + (last + np.cumsum(powers(cuts[-1] - last))).tolist()
-    out, seq, opened = [], 0, 0
-    for doc, (ids, end) in enumerate(zip(docs, ends.tolist(), strict=True)):
-        begin = at = end - len(ids)
+    raw, seq, opened, at = memoryview(ids.astype("<u4").tobytes()), 0, 0, 0
+    for doc, end in enumerate(ends.tolist()):
+        begin = at
         while at < end:
             stop = min(end, bounds[seq])
-            out.append((doc, at - begin, stop - at, zlib.crc32(ids[at - begin : stop - begin].tobytes()), len(ids), seq, at - opened))
+            yield doc, at - begin, stop - at, zlib.crc32(raw[4 * at : 4 * stop]), end - begin, seq, at - opened
             at = stop
             if stop == bounds[seq]:
                 seq, opened = seq + 1, stop
-    return out
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
+class Encoder(dict):
+    """Numbers words, and has the ids of each number: those of new words once they are wanted. Number 0 stands for the end id."""
 
-    One shuffle brings the texts of a shard together; a shard's size is bounded by its range of ids.
-    """
-    own = F.when(F.col("doc_id").isNull(), -(F.pmod(F.xxhash64("text"), F.lit(65536)) + (1 << 41))).otherwise(F.floor(F.col("doc_id") / shard))
-    keyed = docs.select(own.cast("long").alias("shard"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        known, texts = Numbers(), []
-        for text in rows.column("text"):
-            words = text.as_py().split()
-            texts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        flat, lens = encode_kept_words(list(known), vocabulary)
-        lens = lens.astype(np.int64)
-        starts = np.cumsum(lens) - lens
-        closes = np.fromiter((w.rstrip(_CLOSERS)[-1:] in (b".", b"!", b"?") for w in known), bool, len(known))
-        streams, sentences, at = [], [np.empty(0, np.int64)], 0
-        for codes in texts:
-            n = lens[codes]
-            streams.append(np.append(gather(flat, starts[codes], n), end_id).astype("<u4"))
-            sentences.append(at + np.cumsum(n)[closes[codes]])
-            at += len(streams[-1])
-        sentences = np.concatenate(sentences)
-        pieces = pack_shard(streams, sentences[sentences > 0], length)
-        cols = [pa.array(x, pa.int64()) for x in zip(*pieces, strict=True)]
-        base = rows.column("shard")[0].as_py() * (1 << 20)
-        seq = pa.array([base + p[5] for p in pieces], pa.int64())
-        return pa.table([rows.column("doc_id").take(cols[0]), *cols[1:5], seq, cols[6]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return keyed.groupBy("shard").applyInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    def __init__(self, vocabulary: str, end_id: int):
+        super().__init__()
+        self.vocabulary, self.fresh = vocabulary, []
+        self.flat, self.lens, self.closes = np.array([end_id], np.uint32), np.ones(1, np.int64), np.zeros(1, bool)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        self.fresh.append(word)
+        return n
+
+    def numbers(self, text: bytes) -> np.ndarray:
+        words = text.split()
+        found = np.zeros(len(words) + 1, np.uint32)
+        found[:-1] = np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+        return found
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers' ids, one after the other, where each ends, and whether it closes a sentence."""
+        if self.fresh:
+            flat, lens = encode_words(self.fresh, self.vocabulary)
+            closes = np.fromiter((w.rstrip(_CLOSERS)[-1:] in (b".", b"!", b"?") for w in self.fresh), bool, len(self.fresh))
+            self.flat, self.lens, self.closes, self.fresh = np.append(self.flat, flat), np.append(self.lens, lens), np.append(self.closes, closes), []
+            self.starts = np.cumsum(self.lens) - self.lens
+        elif len(self.lens) == 1:
+            self.starts = np.zeros(1, np.int64)
+        lens = self.lens[numbers]
+        return gather(self.flat, self.starts[numbers], lens), np.cumsum(lens), self.closes[numbers]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(vocabulary: str, end_id: int) -> Encoder:
+    """This worker's encoder, a new one where it has grown too large."""
+    if (found := _encoders.get((vocabulary, end_id))) is None or len(found) > KEPT_WORDS:
+        found = _encoders[vocabulary, end_id] = Encoder(vocabulary, end_id)
+    return found
+
+
+SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+
+
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece. One shuffle puts the documents in order."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    some = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(some, size // PARTITION_BYTES[0]), -(-size // PARTITION_BYTES[1]))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    dealt = keyed.repartitionByRange(partitions, "doc_id", "place", "row").sortWithinPartitions("doc_id", "place", "row")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], Encoder]]:
+        docs, numbers, held, own = [], [], 0, encoder(vocabulary, end_id)
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                if docs and (len(docs) >= shard or held + len(text) > SHARD_BYTES):
+                    yield docs, numbers, own
+                    docs, numbers, held, own = [], [], 0, encoder(vocabulary, end_id)
+                docs.append(doc)
+                numbers.append(own.numbers(text))
+                held += len(text)
+        if docs:
+            yield docs, numbers, own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
+        for docs, numbers, own in shards(batches):
+            ids, after, closes = own.ids(np.concatenate(numbers))
+            ends = after[np.cumsum([len(n) for n in numbers]) - 1]
+            sentences = after[closes]
+            pieces = list(pack_shard(ids, ends, sentences[sentences > 0], length))
+            cols = [np.array(x, np.int64) for x in zip(*pieces, strict=True)]
+            yield pa.record_batch([pa.array(docs, pa.int64()).take(pa.array(cols[0])), *map(pa.array, cols[1:5]), pa.array(cols[5] + first), pa.array(cols[6])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            first += pieces[-1][5] + 1
+
+    return dealt.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

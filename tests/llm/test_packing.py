@@ -81,3 +81,36 @@ def test_cuts_are_the_cheapest(seed):
 
 def test_powers():
     assert packing.powers(13) == [8, 4, 1] and packing.powers(4096) == [4096]
+
+
+def padding(spark, docs, **how):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = packing.pack(df, **how).collect()
+    return rows, check(rows, docs)
+
+
+@pytest.mark.parametrize("step", [1, 100_000, 1 << 50])
+def test_ids_near_and_far(spark, step):
+    docs = [(k * step - (1 << 59), "some words of a text. " * (20 + k % 7)) for k in range(400)]
+    rows, pad = padding(spark, docs)
+    total = sum(r.length for r in rows)
+    assert pad < 0.01 * total and len({r.sequence_id for r in rows}) < 4 * (total / packing.LENGTH + 12)
+    assert {r.doc_id for r in rows} == {d for d, _ in docs}
+
+
+def test_rows_that_share_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_BYTES", (1 << 12, 1 << 20))
+    docs = [((1 << 63) - 1, f"text {k % 50} and more.") for k in range(4000)] + [(None, "equal text.")] * 4000 + [(-(1 << 63), "least")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = packing.pack(df, shard=512).collect()
+    assert check(rows, docs) == 0 or check(rows, docs) < 0.02 * sum(r.length for r in rows)
+    by_doc = defaultdict(set)
+    for r in rows:
+        by_doc[r.doc_id].add(r.sequence_id >> 40)
+    assert all(len(by_doc[d]) > 1 for d in (None, (1 << 63) - 1))  # more than one partition
+
+
+def test_invalid_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(X'61ff62' as string) as text union all select 2L, 'fine'")
+    rows = packing.pack(df).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {1: len(ids_of("a�b")), 2: len(ids_of("fine"))}
