@@ -13,7 +13,8 @@ frequent run once a document and may split it. Windows hold the lines of one doc
 
 Defined results: a null text has no lines and stays null; an empty one stays empty. A document that is deleted whole
 is an empty text. Order is that of doc_id, nulls last, then of a hash of the text. Equal rows are one document here:
-each of them gets the same result. An empty table gives no rows. All columns of the input stay as they are but text.
+each of them gets the same result. An empty table gives no rows. All columns of the input stay as they are but text, and n_removed, which is
+replaced.
 """
 
 from __future__ import annotations
@@ -64,15 +65,19 @@ def later_runs(runs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
-    """doc, place, removed: numbers of the lines of later repeated runs, for documents that have any."""
+    """doc, place, removed: first and last numbers of stretches whose lines are of later repeated runs, for documents that have any."""
     later = later_runs(durable(runs_of(lines, least), "runs"))
-    reach = F.max("end").over(Window.partitionBy(*_KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = later.withColumn("start", F.greatest("start", reach + 1)).filter("start <= end")  # what no run before holds, so that each line is in one piece
+    order = Window.partitionBy(*_KEY).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = later.withColumn("apart", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int"))  # from all runs before, neither lapping nor touching
+    pieces = apart.withColumn("stretch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = pieces.groupBy(*_KEY, "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     pieces = pieces.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
     same = lambda a: (F.col(f"x.{a}").eqNullSafe(F.col(f"y.{a}")))
     held = pieces.alias("x").join(lines.dropDuplicates(_KEY).alias("y"), same("doc") & same("place")).select("x.*", "y.lines")
-    numbers = F.flatten(F.transform("pieces", lambda p: F.transform(F.slice("lines", p["start"] + 1, p["end"] - p["start"] + 1), lambda x: x["raw"])))
-    return held.select(*_KEY, F.array_sort(numbers).alias("removed"))
+    raw = lambda k: F.element_at("lines", k + 1)["raw"]
+    numbers = F.transform("pieces", lambda p: F.struct(raw(p["start"]).alias("first"), raw(p["end"]).alias("last"), (p["end"] - p["start"] + 1).alias("n")))
+    return held.select(*_KEY, numbers.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -81,8 +86,9 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     runs = repeated_runs(lines, least).select(F.col("doc").alias("__doc"), F.col("place").alias("__place"), F.col("removed").alias("__removed"))
     keyed = docs.withColumn("__at", F.xxhash64("text"))
     held = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__at") == F.col("__place")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return held.select(*[F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("__removed"), F.lit(0)).alias("n_removed"))
+    within = lambda i: F.exists("__removed", lambda p: i.between(p["first"], p["last"]))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~(within(i) & (_trimmed(x) != ""))), "\n")
+    return held.select(*[F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "n_removed"], F.coalesce(F.aggregate("__removed", F.lit(0), lambda n, p: n + p["n"]), F.lit(0)).alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,16 +98,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL = rf"""
 with raw as materialized (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as raw from documents),
     counted as (select *, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as words from raw),
-    lines as materialized (select doc_id, raw, words, ('0x' || substr(md5(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))), 1, 15))::bigint as hash,
-        row_number() over (partition by doc_id order by raw) - 1 as pos, coalesce(sum(words) over (partition by doc_id order by raw rows between unbounded preceding and 1 preceding), 0)::bigint as begins from counted where words > 0),
-    least as (select doc_id, min(hash::hugeint * 100000000 + pos) over (partition by doc_id order by begins range between current row and {LEAST - 1} following) as m from lines),
-    minima as (select distinct doc_id, (m // 100000000)::bigint as hash, (m % 100000000)::bigint as pos from least),
-    prints as materialized (select doc_id, hash, pos, lag(pos) over (partition by doc_id, hash order by pos) as before from minima),
-    firsts as (select hash, min({{'doc_id': doc_id, 'pos': pos}}) as at from prints where before is null group by 1),
-    shifts as materialized (select doc_id, doc_id as doc0, pos - before as shift from prints where before is not null
-        union select p.doc_id, f.at.doc_id, p.pos - f.at.pos from prints p join firsts f using (hash) where p.before is null and p.doc_id <> f.at.doc_id),
-    equals as (select s.doc_id, s.doc0, s.shift, a.pos, a.raw, a.words, a.pos - row_number() over (partition by s.doc_id, s.doc0, s.shift order by a.pos) as run
-        from shifts s join lines a on a.doc_id = s.doc_id join lines b on b.doc_id = s.doc0 and b.pos = a.pos - s.shift and b.hash = a.hash),
+    lines as materialized (select doc_id, raw, words, trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as line, row_number() over (partition by doc_id order by raw) - 1 as pos from counted where words > 0),
+    equals as (select a.doc_id, b.doc_id as doc0, a.pos - b.pos as shift, a.pos, a.raw, a.words, a.pos - row_number() over (partition by a.doc_id, b.doc_id, a.pos - b.pos order by a.pos) as run
+        from lines a join lines b on a.line = b.line and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.pos < a.pos))),
     runs as (select doc_id, raw, sum(words) over (partition by doc_id, doc0, shift, run) as total from equals),
     removed as (select distinct doc_id, raw from runs where total >= {LEAST}),
     kept as (select r.doc_id, string_agg(r.line, chr(10) order by r.raw) filter (x.raw is null) as text, count(x.raw) as n_removed from raw r left join removed x on x.doc_id = r.doc_id and x.raw = r.raw group by 1)
