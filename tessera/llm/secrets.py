@@ -7,8 +7,8 @@ is at most `scope` code points; an `endpoint` needs both. The interval join is a
 of their start, with the furthest end before and the nearest start after, so that no pair is built.
 
 Defined results: null and empty texts have no spans. Equal rows get equal results, each its own row. A null doc_id is
-a value as any other. A weak part that overlaps a strong one is the same string and left out. An empty table gives no
-rows. Columns other than doc_id and text are passed by.
+a value as any other. A weak part that overlaps a strong one is the same string and left out. Text that is no valid
+UTF-8 is read with U+FFFD for what cannot be read. An empty table gives no rows. Columns other than doc_id and text are passed by.
 """
 
 from __future__ import annotations
@@ -71,18 +71,20 @@ def _clear_of(weak: list[tuple[int, str, int]], taken: list[tuple[int, int]]) ->
     return out
 
 
-def find_parts(docs: DataFrame) -> DataFrame:
-    """key, doc_id and the parts of each document. key stands for doc_id and text, so equal rows share it."""
+def find_parts(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """__key, the columns and __parts of each document. __key stands for doc_id and text, so equal rows share it."""
+    docs = docs.withColumn("text", F.make_valid_utf8("text"))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"), F.length("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
         for batch in batches:
             parts = [[dict(zip(("start", "kind", "end"), p)) for p in parts_of(t)] if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("key"), batch.column("doc_id"), pa.array(parts, kind)], ["key", "doc_id", "parts"])
+            yield pa.record_batch([*(batch.column(c) for c in ("__key", *columns)), pa.array(parts, kind)], ["__key", *columns, "__parts"])
 
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(key.alias("key"), "doc_id", "text").mapInArrow(scan, f"key string, doc_id {doc_type}, parts {PARTS}")
+    read = docs.select(key.alias("__key"), *dict.fromkeys([*columns, "text"]))
+    schema = read.select("__key", *columns).withColumn("__parts", F.lit(None).cast(PARTS)).schema
+    return read.mapInArrow(scan, schema)
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -106,7 +108,11 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     base has the strong parts, spans these and the linked weak ones. The text is read once; what follows works on the
     parts, a few numbers a document.
     """
-    found = durable(find_parts(docs), "secret-parts")
+    return ordered_spans(durable(find_parts(docs, ["doc_id"]).withColumnsRenamed({"__key": "key", "__parts": "parts"}), "secret-parts"), scope)
+
+
+def ordered_spans(found: DataFrame, scope: int) -> DataFrame:
+    """found, of key and parts, with base and spans in their place."""
     weak = found.filter(F.exists("parts", lambda p: ~p["kind"].isin(*STRONG)))
     linked = link(weak.select("key", F.inline("parts")), scope)
     linked = linked.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
@@ -114,16 +120,18 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     place = lambda p: F.struct(p["start"], F.array_position(F.array(*map(F.lit, KINDS)), p["kind"]), p["end"])
     ordered = lambda parts: F.transform(F.array_sort(F.transform(parts, lambda p: F.struct(place(p).alias("at"), p.alias("part")))), lambda x: x["part"])
     joined = found.join(linked, "key", "left")
-    return joined.select("key", "doc_id", ordered(strong).alias("base"), ordered(F.concat(strong, F.coalesce("linked", F.array().cast(PARTS)))).alias("spans"))
+    return joined.select(*[c for c in found.columns if c != "parts"], ordered(strong).alias("base"), ordered(F.concat(strong, F.coalesce("linked", F.array().cast(PARTS)))).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every reported span replaced; overlapping spans become one mask. Documents without spans stay as they are."""
-    spans = scan_secrets(docs, scope).filter(F.size("spans") > 0).select("key", F.transform("spans", lambda p: F.struct(p["start"], p["end"])).alias("spans")).dropDuplicates(["key"])
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"), F.length("text"))
+    columns = docs.columns
+    found = durable(find_parts(docs, columns), "secret-parts")
+    some = found.filter(F.size("__parts") > 0)
+    linked = ordered_spans(some.select(F.col("__key").alias("key"), F.col("__parts").alias("parts")).dropDuplicates(["key"]), scope)
+    hit = some.join(linked.select(F.col("key").alias("__key"), F.transform("spans", lambda p: F.struct(p["start"], p["end"])).alias("__spans")), "__key")
 
-    @F.udf("string", useArrow=True)
-    def masked(text, spans):
+    def masked(text: str, spans: list[dict]) -> str:
         out, at = [], 0
         for s in spans:
             if s["start"] >= at:
@@ -131,11 +139,13 @@ def mask_secrets(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") ->
             at = max(at, s["end"])
         return "".join([*out, text[at:]])
 
-    names = docs.columns
-    held = docs.withColumn("__key", key).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
-    clean = held.filter("__spans is null").select(names)
-    hit = held.filter("__spans is not null").withColumn("text", masked("text", "__spans")).select(names)
-    return clean.unionAll(hit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [masked(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+            k = batch.schema.get_field_index("text")
+            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type)).select(columns)
+
+    return found.filter(F.size("__parts") == 0).select(columns).unionAll(hit.select(*columns, "__spans").mapInArrow(run, docs.schema))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
