@@ -22,19 +22,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.quality_rules import _CLASS, _SPACE, _SYMBOL, _WORD_CLASSES, _Words
+from tessera.llm.quality_rules import _CLASS, _OTHER_SCRIPT, _SPACE, _SYMBOL, _Words
 
 SAMPLE = 3000
+#: Lines of these documents at most.
+SAMPLE_LINES = 400_000
 THRESHOLD = 0.3
 NO_LINES = 0.0
 FOLDS = 5
 #: Lines of a document in one training sequence; a longer document is several.
 CHUNK = 64
 
+_CLASS_OF = np.minimum(_CLASS, _OTHER_SCRIPT - 1)  # letters of all scripts are one class here
 _SHARES = 7  # classes 2 to 8
 
 
@@ -45,7 +48,7 @@ def line_features(text: bytes, known: _Words) -> tuple[np.ndarray, np.ndarray]:
     seen: set[bytes] = set()
     for k, line in enumerate(lines):
         words = line.split()
-        classes = np.bincount(_CLASS[np.frombuffer(line, np.uint8)], minlength=_WORD_CLASSES)
+        classes = np.bincount(_CLASS_OF[np.frombuffer(line, np.uint8)], minlength=_OTHER_SCRIPT)
         chars = max(1, int(classes[2:].sum()))
         n = len(words)
         distinct = len(set(words)) / n
@@ -179,11 +182,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field from at most `sample` labelled documents outside the held-out fold, picked by a hash of their id."""
+def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Field:
+    """The field from at most `sample` labelled documents outside the held-out fold, and `lines` lines, picked by a hash of their id. Of equal ids one text counts."""
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("__lines")).join(F.broadcast(chosen), "doc_id")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))  # its limit of one row comes before the shuffle too
+    picked = picked.withColumn("__one", F.row_number().over(one)).filter("__one = 1")
+    so_far = F.sum("__lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `sample` rows
+    picked = picked.withColumn("__lines", so_far).filter(F.col("__lines") <= lines).select("doc_id", "text", "quality")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()

@@ -5,12 +5,17 @@ of its documents' histograms, over the whole table. A document is held against t
 nearest; it goes if the Jensen-Shannon distance of either histogram is over its limit. Texts too short to tell are
 not judged by distance.
 
-The text is read once, in Python, into a narrow table of counts; references are one aggregation of that table, a row
-per language of LANGUAGES, and distances are DataFrame operations.
+The text is read once, in Python, into a narrow table of counts; references are one aggregation of that table, summed in
+each task first, and distances a pass over it.
+
+References are those of LANGUAGES, and of each further value of `lang` that enough documents have (one in `RARE`, and
+`LEAST_DOCS`). A text is held against none, and so not judged by distance, if most of its characters are letters of a
+script beyond Latin that no reference is written in.
 
 Defined results: a null or empty text has no words and fails the base rules. Repeated rows stay, each judged. Rows
-whose language is null or unknown are judged as any other and only build no reference; without a reference at all no
-distance is taken. Very long texts are read whole. An empty table gives no rows.
+whose language is null or rare are judged as any other and only build no reference; without a reference at all no
+distance is taken. Very long texts are read whole. Text that is no valid UTF-8 is counted by its bytes. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -40,10 +45,14 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 GUARD_WORDS, GUARD_CHARS = 50, 200
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.38
 
-_SPACE, _SYMBOL, _WORD_CLASSES = 1, 6, 9
+#: A language has a reference if at least one in RARE judged documents, and at least LEAST_DOCS, are marked with it; so there are RARE at most.
+RARE, LEAST_DOCS = 200, 100
+
+_SPACE, _SYMBOL, _OTHER_SCRIPT, _CLASSES = 1, 6, 9, 10
 _CLASS = np.full(256, 7, np.uint8)  # other ASCII
 _CLASS[0x80:0xC0] = 0  # later bytes of a character
 _CLASS[0xC0:] = 8
+_CLASS[[*range(0xCE, 0xE2), *range(0xE3, 0xEE)]] = _OTHER_SCRIPT  # first bytes of Greek to Thai and of kana to Hangul
 for _k, _chars in ((_SPACE, b" \t\n\r\v\f"), (2, bytes(range(97, 123))), (3, bytes(range(65, 91))), (4, b"0123456789"), (5, b".,;:!?'\"()-"), (_SYMBOL, b"#*$%&|<>")):
     _CLASS[list(_chars)] = _k
 
@@ -56,7 +65,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 300_000:
             self.clear()
-        self[word] = found = self.slots.get(word.decode().lower().strip(".,;:!?'\"()").encode(), 0), xxhash.xxh3_64_intdigest(word)
+        self[word] = found = self.slots.get(word.decode(errors="replace").lower().strip(".,;:!?'\"()").encode(), 0), xxhash.xxh3_64_intdigest(word)
         return found
 
 
@@ -101,7 +110,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 words = text.split()
                 found = list(map(known.__getitem__, words))
                 slots, hashes = zip(*found) if found else ((), ())
-                classes = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=_WORD_CLASSES)
+                classes = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=_CLASSES)
                 rows.append((len(words), int(classes[1:].sum() - classes[_SPACE]), int(classes[_SYMBOL]), duplicate_lines(text), repeated_words(np.array(hashes, np.uint64)), classes[1:].astype(np.int32), np.bincount(np.array(slots, np.int64), minlength=len(COMMON) + 1).astype(np.int32)))
             yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), *(pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(out), out))], ["doc_id", "lang", *out.names])
 
@@ -109,18 +118,36 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", lang.cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(scan, schema)
 
 
-def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
-
-
 def references(counted: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """Language, mean shares of character classes and of common words; a row for each of LANGUAGES at most."""
-    judged = counted.filter(F.col("lang").isin(*LANGUAGES) & (F.col("n_words") >= GUARD_WORDS))
-    means = lambda name, n: F.array(*[F.avg(F.col(name)[k]) for k in range(n)])
-    held = judged.select("lang", shares(F.col("chars")).alias("c"), shares(F.col("common")).alias("w"))
-    rows = held.groupBy("lang").agg(means("c", _WORD_CLASSES - 1).alias("c"), means("w", len(COMMON) + 1).alias("w")).collect()
-    return sorted((r.lang, list(r.c), list(r.w)) for r in rows)
+    """Language, mean shares of character classes and of common words."""
+    sizes = {"chars": _CLASSES - 1, "common": len(COMMON) + 1}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            held = [of_totals(batch.column(name), n) for name, n in sizes.items()]
+            rows = np.concatenate([np.ones((batch.num_rows, 1)), *held], 1)
+            langs, own = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True) if batch.num_rows else ([], None)
+            for k, lang in enumerate(langs):
+                found[lang] = found.get(lang, 0) + rows[own == k].sum(0)
+        for lang, values in found.items():
+            yield pa.record_batch([pa.array([lang] * len(values)), pa.array(np.arange(len(values))), pa.array(values)], ["lang", "slot", "value"])
+
+    judged = counted.filter(F.col("lang").isNotNull() & (F.col("n_words") >= GUARD_WORDS))
+    by_slot = judged.select("lang", *sizes).mapInArrow(sums, "lang string, slot bigint, value double").groupBy("lang", "slot").agg(F.sum("value").alias("value"))
+    n = by_slot.filter("slot = 0").select("lang", F.col("value").alias("n"))
+    least = n.agg(F.greatest(F.sum("n") / RARE, F.lit(float(LEAST_DOCS)))).first()[0] or 0.0
+    enough = n.filter(F.col("lang").isin(*LANGUAGES) | (F.col("n") >= least))
+    means: dict[str, list[float]] = {}
+    for r in by_slot.filter("slot > 0").join(F.broadcast(enough), "lang").select("lang", "slot", (F.col("value") / F.col("n")).alias("mean")).orderBy("lang", "slot").collect():
+        means.setdefault(r.lang, []).append(r.mean)
+    return [(lang, x[: _CLASSES - 1], x[_CLASSES - 1 :]) for lang, x in means.items()]
+
+
+def of_totals(lists: pa.Array, size: int) -> np.ndarray:
+    """Each list's numbers as shares of their sum; zeros where it is none."""
+    counts = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    return counts / np.maximum(counts.sum(1, keepdims=True), 1)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -148,11 +175,13 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
         by_word = np.stack([js_distance(common, np.array(w)) for _, _, w in known], 1)
         by_char = np.stack([js_distance(chars, np.array(c)) for _, c, _ in known], 1)
         best, row = by_word.argmin(1), np.arange(len(chars))
-        return pd.DataFrame({"language": [known[k][0] for k in best], "char_distance": by_char[row, best], "word_distance": by_word[row, best]})
+        foreign = chars[:, _OTHER_SCRIPT - 1] > np.maximum(0.5 * (1 - chars[:, _SPACE - 1]), max(c[_OTHER_SCRIPT - 1] for _, c, _ in known))
+        pick = lambda x: np.where(foreign, np.nan, x[row, best])
+        return pd.DataFrame({"language": [None if f else known[k][0] for k, f in zip(best, foreign)], "char_distance": pick(by_char), "word_distance": pick(by_word)})
 
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     guard = (F.col("n_words") >= GUARD_WORDS) & (F.col("word_chars") >= GUARD_CHARS)
-    far = F.coalesce(guard & ((F.col("d.char_distance") > char_limit) | (F.col("d.word_distance") > word_limit)), F.lit(False))
+    far = F.col("d.language").isNotNull() & guard & ((F.col("d.char_distance") > char_limit) | (F.col("d.word_distance") > word_limit))
     judged = counted.withColumn("d", distances("chars", "common"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"), "d.*")
 

@@ -42,6 +42,57 @@ def test_distance_of_shouting_and_symbols(spark):
     assert qr.judge(df.limit(0)).count() == 0 and qr.judge(df.drop("lang").limit(3)).count() == 3
 
 
+def test_other_scripts_are_not_judged_by_distance(spark):
+    rng = np.random.default_rng(1)
+    say = lambda words, n=150: " ".join(rng.choice(words.split(), n)) + "."
+    plain = [(k, say("the of and to in that is was house river stone water green"), "en") for k in range(40)]
+    russian = say("и в не на что он как это дом река камень вода старый зелёный")
+    odd = [(100, russian, "ru"), (101, russian, None), (102, "\U0001f600 " * 200, "en"), (103, say("%%% ### $$$ && ||"), None)]
+    got = {r.doc_id: r for r in qr.judge(spark.createDataFrame(plain + odd, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].language is None and got[k].char_distance is None or np.isnan(got[k].char_distance) for k in (100, 101))
+    assert got[100].kept == (not got[100].base_failed) and not got[103].kept and not got[102].kept
+    bad = spark.sql("select 1L as doc_id, cast(X'61ff62' as string) as text, 'en' as lang")
+    assert [(r.n_words, r.base_failed) for r in qr.judge(bad).collect()] == [(1, True)]
+
+
+def test_distances_against_plain_python(spark, sf_dir):
+    """Every row's distances and verdict, from the texts, with references as means of shares."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def shares(text):
+        chars, common = Counter(), Counter()
+        for c in text:
+            b = c.encode()[0]
+            kind = 1 if c in " \t\n\r\v\f" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 5 if c in ".,;:!?'\"()-" else 6 if c in "#*$%&|<>" else 7 if b < 128 else 9 if 0xCE <= b < 0xEE and b != 0xE2 else 8
+            chars[kind] += 1
+        for w in re.split(r"[\x20\x09-\x0D]+", text):
+            if w:
+                common[(w.lower().strip(".,;:!?'\"()") if w.lower().strip(".,;:!?'\"()") in qr.COMMON else None)] += 1
+        of = lambda n: {k: v / sum(n.values()) for k, v in n.items()}
+        return sum(common.values()), sum(v for k, v in chars.items() if k != 1), of(chars), of(common)
+
+    def distance(p, q):
+        total = 0.0
+        for k in {*p, *q}:
+            a, b = p.get(k, 0), q.get(k, 0)
+            total += sum(x * np.log2(2 * x / (a + b)) for x in (a, b) if x) / 2
+        return np.sqrt(max(total, 0))
+
+    held = {d.doc_id: shares(d.text or "") for d in docs}
+    known = {}
+    for lang in sorted({d.lang for d in docs}):
+        own = [held[d.doc_id] for d in docs if d.lang == lang and held[d.doc_id][0] >= 50]
+        mean = lambda k: {x: sum(o[k].get(x, 0) for o in own) / len(own) for x in {y for o in own for y in o[k]}}  # noqa: B023, E731
+        known[lang] = mean(2), mean(3)
+    for r in qr.op4_quality_rules(spark, sf_dir).collect():
+        n, size, chars, common = held[r.doc_id]
+        if n:
+            best = min(known, key=lambda x: (distance(common, known[x][1]), x))  # noqa: B023
+            assert r.language == best and abs(r.char_distance - distance(chars, known[best][0])) < 1e-9 and abs(r.word_distance - distance(common, known[best][1])) < 1e-9
+            far = n >= 50 and size >= 200 and (r.char_distance > qr.CHAR_LIMIT or r.word_distance > qr.WORD_LIMIT)
+            assert r.kept == (not r.base_failed and not far)
+
+
 def test_js_distance():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert np.allclose(qr.js_distance(p, np.array([0.0, 1.0])), [1.0, np.sqrt((0.5 * np.log2(2) + 0.5 * np.log2(0.5 / 0.75) + np.log2(1 / 0.75)) / 2)])
