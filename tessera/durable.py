@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,14 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of texts as it is read, dealt over all cores where its files do not do so themselves, as one large row group does not.
+
+    Files as many as cores are taken as they are; of fewer, a count of the tasks that find rows tells.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if len(table.inputFiles()) >= cores or table.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return table
+    return table.repartition(cores)

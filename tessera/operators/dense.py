@@ -25,9 +25,9 @@ def l2_normalize(v: Column) -> Column:
     return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))  # the norm is taken once, not at each element
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, rounded; null if one is zero or their lengths differ."""
-    size = norm(a) * norm(b)
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine of two vectors, rounded; null if one is zero or their lengths differ. Norms that are known already are not taken again for each pair."""
+    size = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     return F.when((F.size(a) == F.size(b)) & (size > 0), F.round(dot(a, b) / size, DECIMALS))
 
 
@@ -44,6 +44,8 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, key: str
     """query_id, key, similarity, rank of the k nearest to each of a stated set of queries (query_id, query)."""
     from pyspark.sql import Window
 
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", key, cosine(F.col(column), F.col("query")).alias("similarity")).filter("similarity is not null")
+    held = vectors.withColumn("__norm", norm(F.col(column)))
+    asked = queries.withColumn("__asked_norm", norm(F.col("query")))
+    scored = held.crossJoin(F.broadcast(asked)).select("query_id", key, cosine(F.col(column), F.col("query"), F.col("__norm"), F.col("__asked_norm")).alias("similarity")).filter("similarity is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -9,7 +9,7 @@ from tessera.functions.citations import cell_column, cell_row
 from tessera.functions.text import chunk_content, context_prefix, labelled_body
 from tessera.operators import evaluation, lexical, mapping, state, status
 from tessera.operators.embedding import build_chunks
-from tessera.plans.tables import CHUNKS, TOKENS, chunk_keys, chunks, read
+from tessera.plans.tables import CHUNKS, TOKENS, chunk_keys, chunks, read, texts
 
 
 def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     items = read(spark, sf_dir, "benchmark")
     docs = read(spark, sf_dir, "documents")
     asked = lexical.query_terms(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    scored = lexical.score(lexical.term_weights(docs, terms=asked.select("term").distinct()), asked)
+    scored = lexical.score(lexical.term_weights(texts(spark, sf_dir), terms=asked.select("term").distinct()), asked)
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

@@ -5,35 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.durable import durable
+from tessera.durable import durable, spread
 from tessera.functions.citations import SCHEMES, clean_citation, cite_string, match_citations, zero_pad
 from tessera.functions.text import embedding_query, embedding_text, same_model
 from tessera.functions.tokens import dimension, sparse_literal, tokens
 from tessera.operators import dense, fusion, lexical, retrieval
-from tessera.plans.tables import CHUNKS, COSINE, QUERY, TERMS, TOKENS, WEIGHTS, chunk_keys, chunks, query_vector, read
+from tessera.plans.tables import CHUNKS, COSINE, QUERY, TERMS, TOKENS, WEIGHTS, chunk_keys, chunks, query_vector, read, texts
 
 _current = lambda keys: keys.filter("is_current and status = 'active'")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_k(read(spark, sf_dir, "documents"), QUERY, 20)
+    return lexical.top_k(texts(spark, sf_dir), QUERY, 20)
 
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     within = _current(chunk_keys(spark, sf_dir)).select(F.col("chunk_id").alias("doc_id"))
-    return lexical.top_k(read(spark, sf_dir, "documents"), QUERY, 20, within)
+    return lexical.top_k(texts(spark, sf_dir), QUERY, 20, within)
 
 
 def bm25_doc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed vectors of all documents, a row for each: its dimensions, their sum of weights, and the heaviest one."""
-    vectors = lexical.document_vectors(lexical.term_weights(read(spark, sf_dir, "documents")))
+    vectors = lexical.document_vectors(lexical.term_weights(texts(spark, sf_dir)))
     heavy = F.max_by("dim", F.struct(F.round("w", 6), -F.col("dim")))
     return vectors.groupBy("doc_id").agg(F.count("*").alias("dims"), F.round(F.sum("w"), 4).alias("total"), heavy.alias("heaviest"))
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    tf, stats = lexical.index(docs)
+    tf, stats = lexical.index(texts(spark, sf_dir))
     terms = lexical.document_frequencies(tf).agg(F.count("*").alias("terms"), F.max("df").alias("most"))
     return stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
 
@@ -58,7 +57,7 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     near = fusion.with_rank(dense_topk(spark, sf_dir), "similarity", "vec_id").select(F.col("vec_id").alias("chunk_id"), "rank")
-    words = lexical.top_k(read(spark, sf_dir, "documents"), QUERY)
+    words = lexical.top_k(texts(spark, sf_dir), QUERY)
     return near, fusion.with_rank(words, "score", "doc_id").select(F.col("doc_id").alias("chunk_id"), "rank")
 
 
@@ -73,7 +72,7 @@ def rrf_pinned_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    hits = fusion.with_rank(lexical.top_k(read(spark, sf_dir, "documents"), QUERY, k), "score", "doc_id")
+    hits = fusion.with_rank(lexical.top_k(texts(spark, sf_dir), QUERY, k), "score", "doc_id")
     return hits.join(read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
 
 
@@ -88,7 +87,7 @@ def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     keys = docs.select("doc_id", "source", "lang")
-    asked = lexical.asked_index(docs, lexical.terms_of(spark, QUERY))
+    asked = lexical.asked_index(texts(spark, sf_dir), lexical.terms_of(spark, QUERY))
     top = lambda within, k: fusion.with_rank(lexical.best(asked, k, within), "score", "doc_id")
     older = fusion.best_per_group(top(keys.filter("lang <> 'en'"), 3).join(keys, "doc_id"), ["source", "lang"]).select("doc_id", "score", "rank")
     return fusion.append_new(top(keys.filter("lang = 'en'"), 8), older, "doc_id").select("rank", "doc_id", "score")
@@ -115,7 +114,7 @@ def evidence_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical hits as a caller sees them: cite string, version status and score."""
-    words = fusion.with_rank(lexical.top_k(read(spark, sf_dir, "documents"), QUERY, 20), "score", "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    words = fusion.with_rank(lexical.top_k(texts(spark, sf_dir), QUERY, 20), "score", "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return retrieval.shaped(words.join(chunk_keys(spark, sf_dir).withColumn("citation", F.concat(F.lit("D-"), F.col("chunk_id").cast("string"))), "chunk_id"))
 
 
@@ -154,9 +153,9 @@ def abstain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     Where the queries are too many to be sent to all tasks, blocks of them meet blocks of vectors; either way a task keeps
     the best of each of its queries before the merge.
     """
-    vectors = read(spark, sf_dir, "embeddings")
-    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    pairs = vectors.crossJoin(queries).filter("vec_id <> query_id").select("query_id", dense.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+    vectors = spread(read(spark, sf_dir, "embeddings")).select("vec_id", "embedding", dense.norm(F.col("embedding")).alias("norm"))
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("norm").alias("query_norm"))
+    pairs = vectors.crossJoin(queries).filter("vec_id <> query_id").select("query_id", dense.cosine(F.col("embedding"), F.col("query"), F.col("norm"), F.col("query_norm")).alias("similarity"))
     best = pairs.filter("similarity is not null").groupBy("query_id").agg(F.max("similarity").alias("top_cosine"))
     return best.select("query_id", "top_cosine", (F.col("top_cosine") < 0.5).alias("abstained"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import spread
+
 #: Documents with less text than this are one chunk each anyway; the role needs no table.
 CURRENT = "en"
 QUERY = "What control does the thonnt reation and ering address"
@@ -15,10 +17,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on their texts."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, framework_code, version_label, is_current, status, content."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("framework_code"), F.col("lang").alias("version_label"), (F.col("lang") == CURRENT).alias("is_current"), F.col("text").alias("content"))
-    return with_status(docs, read(spark, sf_dir, "labels"))
+    return _chunks(spark, sf_dir, texts(spark, sf_dir))
+
+
+def _chunks(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    held = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("framework_code"), F.col("lang").alias("version_label"), (F.col("lang") == CURRENT).alias("is_current"), F.col("text").alias("content"))
+    return with_status(held, read(spark, sf_dir, "labels"))
 
 
 def with_status(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -28,7 +39,7 @@ def with_status(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunks() without content: no scan of it reads a text."""
-    return chunks(spark, sf_dir).drop("content")
+    return _chunks(spark, sf_dir, read(spark, sf_dir, "documents")).drop("content")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = VECTOR) -> list[float]:
