@@ -46,6 +46,13 @@ def summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def dry_run(cases: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row, without a search: how many cases there are, of which kind, and the summary of nothing found. A case that abstains counts as that only."""
+    kinds = cases.agg(F.count("*").alias("total"), F.count_if(~F.col("expect_abstain") & ~F.col("expect_fail")).alias("in_scope"), F.count_if("expect_abstain").alias("abstaining"), F.count_if(~F.col("expect_abstain") & F.col("expect_fail")).alias("failing"))
+    none = expected.limit(0).select("case_id", F.lit(0).alias("rank"), *KEYS, F.lit(False).alias("is_current"))
+    return kinds.crossJoin(F.broadcast(summary(case_metrics(cases, expected, none))))
+
+
 #: Where a metric has data: its denominator's count of cases.
 _CASES = {"recall": "recall_cases", "mrr": "recall_cases", "current": "current_cases", "abstain": "cases"}
 

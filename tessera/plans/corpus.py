@@ -211,6 +211,7 @@ def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Every benchmark item asks with its whole text, and each document is expected by one of them; hits by BM25, all cases in one job."""
     items = read(spark, sf_dir, "benchmark")
     docs = read(spark, sf_dir, "documents")
+    cases, expected = _cases(spark, sf_dir)
     asked = lexical.query_terms(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
     scored = lexical.score(lexical.term_weights(texts(spark, sf_dir), terms=asked.select("term").distinct()), asked)
     from pyspark.sql import Window
@@ -218,10 +219,15 @@ def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     top = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 8").join(docs.select("doc_id", "source", "lang"), "doc_id")
     hits = top.select(F.col("query_id").alias("case_id"), "rank", F.upper("source").alias("framework_code"), F.col("lang").alias("version_label"), F.col("doc_id").cast("string").alias("citation_norm"), (F.col("lang") == "en").alias("is_current"))
+    return cases, expected, hits
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = read(spark, sf_dir, "benchmark")
     cases = items.select(F.col("item_id").alias("case_id"), (F.col("item_id") % 12 == 0).alias("expect_abstain"), (F.col("item_id") % 20 == 8).alias("expect_fail"))
     n = items.agg(F.greatest(F.max("item_id") + 1, F.lit(1)).alias("n"))  # one row
-    expected = docs.select("doc_id", "source", "lang").crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("case_id"), F.col("source").alias("framework_code"), F.col("lang").alias("version_label"), F.col("doc_id").cast("string").alias("citation_norm"))
-    return cases, expected, hits
+    expected = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("case_id"), F.col("source").alias("framework_code"), F.col("lang").alias("version_label"), F.col("doc_id").cast("string").alias("citation_norm"))
+    return cases, expected
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +238,10 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.summary(evaluation.case_metrics(*_golden(spark, sf_dir)))
 
 
+def eval_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.dry_run(*_cases(spark, sf_dir))
+
+
 def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gate(eval_summary(spark, sf_dir))
 
@@ -263,7 +273,7 @@ _EVAL = f"""asked as (select distinct item_id as case_id, term from (select item
     agg as (select count(*) as cases, count(*) filter (want > 0) as recall_cases, count(*) filter (returned > 0) as current_cases, round(coalesce(sum(found) / nullif(sum(want), 0), 0), 6)::double as recall, round(coalesce(sum(rr) filter (want > 0) / nullif(count(*) filter (want > 0), 0), 0), 6)::double as mrr,
         round(coalesce(sum(ok) / nullif(sum(returned), 0), 0), 6)::double as current, round(coalesce(count(*) filter (abstain_ok) / nullif(count(*), 0), 0), 6)::double as abstain from metrics where not expect_fail)"""
 
-QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, json_capture, eval_metrics, eval_summary, eval_gate, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
+QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, json_capture, eval_metrics, eval_summary, eval_gate, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
 
 
 def _oracles() -> dict[str, str]:
@@ -297,6 +307,7 @@ def _oracles() -> dict[str, str]:
         "relation_upsert": "select lower(n_name) as from_framework_code, 'v2' as from_version_label, lower(n_name) as to_framework_code, 'v1' as to_version_label, 'supersedes' as relation_type, case when lower(n_name) < 'g' then 'new' else 'old' end as note from nation union all select 'ciscontrols', 'v8.1', 'ciscontrols', 'v8', 'supersedes', 'v8.1 supersedes v8' union all select 'csaccm', 'v4.1', 'csaccm', 'v4.0', 'supersedes', 'v4.1 supersedes v4.0'",
         "control_rebuild": "with gone as (select c_custkey as id from customer where c_nationkey = 7), kept as (select c_custkey as id, c_nationkey as d from customer where c_nationkey <> 7 union all select c_custkey + 1000000, 7 from customer where c_nationkey = 7 and c_acctbal > 0), e as (select o_custkey as f, o_custkey % 97 + 1 as t from orders where o_custkey not in (from gone)) select d as document_id, count(*) as controls, sum(id)::bigint as ids, 'controls' as kind from kept group by 1 union all select case when t in (from gone) then -1 else -2 end, count(*), sum(f)::bigint, 'edges' from e group by 1",
         "built_chunks": "with c as (select c_custkey as k, c_nationkey as n, c_name as name, repeat(c_name || ' ', (c_custkey % 4)::int) as body from customer), eq as (select f.k as f, t.name as cite, t.body as body from c f join c t on t.k in (f.k + 1, f.k + 2) where length(t.body) > length(f.body) qualify row_number() over (partition by f.k order by length(t.body) desc, 'c' || t.k) = 1), own as (select 'r' || r_regionkey as control_id, r_name as citation, 'iso27001 2022' as context_prefix, repeat(r_name || ' ', (r_regionkey % 4)::int) as body, '' as more from region union all select 'n' || n_nationkey, n_name, 'iso27001 2022 > ' || r_name, repeat(n_name || ' ', (n_nationkey % 4)::int), '' from nation join region on r_regionkey = n_regionkey union all select 'c' || k, name, 'iso27001 2022 > ' || r_name || ' > ' || n_name, c.body, coalesce(chr(10) || chr(10) || '[equivalent iso27001 ' || cite || ']' || chr(10) || eq.body, '') from c join nation on n_nationkey = n join region on r_regionkey = n_regionkey left join eq on f = k) select control_id, citation, context_prefix, md5(citation || case when body = '' then '' else chr(10) || body end || more) as content_md5, 0 as ordinal from own",
+        "eval_dry_run": f"with c as (select item_id as id, item_id % 12 = 0 as a, item_id % 20 = 8 as f, item_id in (select doc_id % (select max(item_id) + 1 from benchmark) from documents) as w from benchmark) select count(*) as total, count(*) filter (not a and not f) as in_scope, count(*) filter (a) as abstaining, count(*) filter (f and not a) as failing, count(*) filter (not f) as cases, count(*) filter (not f and w) as recall_cases, 0::bigint as current_cases, 0.0::double as recall, 0.0::double as mrr, 0.0::double as current, round(count(*) filter (not f and a) / count(*) filter (not f), 6)::double as abstain from c",
         "eval_metrics": f"with {WEIGHTS}, {_EVAL} select case_id, expect_abstain, expect_fail, found, want, round(rr, 6) as reciprocal_rank, ok, returned, abstain_ok from metrics",
         "eval_summary": f"with {WEIGHTS}, {_EVAL} select * from agg",
         "eval_gate": f"with {WEIGHTS}, {_EVAL} select metric, value, floor from (select 'recall' as metric, recall as value, 0.66::double as floor, recall_cases as n from agg union all select 'mrr', mrr, 0.44, recall_cases from agg union all select 'current', current, 0.98, current_cases from agg union all select 'abstain', abstain, 0.9, cases from agg) where n > 0 and value < floor",
