@@ -9,10 +9,10 @@
    for registers that agree by chance, comes near the threshold are likely; likely ones make clusters. Likely pairs
    are confirmed on their full sets, and linked ones make components within the clusters.
 5. What is left to compare are classes of different components. Within a cluster, those outside its largest component
-   are compared with all others there, in blocks of bounded size; each block holds sets and returns links only.
-   Across clusters, likely pairs of a bucket are few; the estimate is a condition of their join, and they are
-   confirmed as in step 4. So no link between different texts is lost, and a group of near copies, however large,
-   never forms all its pairs.
+   are compared with all others there, in blocks of bounded size; a block holds registers first, sets of those members
+   only that have a likely partner in it, and returns links only. Across clusters, a large band's bucket is compared in
+   blocks likewise; in others the estimate is a condition of their join, and pairs are confirmed as in step 4. So no
+   link between different texts is lost, and a group of near copies, however large, never forms all its pairs.
 
 Components come from alternating star contractions, each written before the next. Classes, links and labels are
 always distributed tables.
@@ -189,8 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = durable(small, "edges")
 
 
-def compare_blocks(members: DataFrame, texts: DataFrame, size: int, similarity: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between members of one cluster and different components. members: node, cluster, root.
+def deal_blocks(members: DataFrame, block: int) -> DataFrame:
+    """members (node, cluster, root and more), each in all the blocks that it is compared in: with cluster, i, j, vs, is_major.
 
     Members of a cluster's largest component are its major ones and not compared with each other. Minor and major
     ones are dealt to blocks by hash; each pair of a minor block with any block is one group.
@@ -200,28 +200,60 @@ def compare_blocks(members: DataFrame, texts: DataFrame, size: int, similarity:
     sizes = sizes.select("cluster", "major", blocks(F.col("n_major")).alias("majors"), blocks(F.col("n") - F.col("n_major")).alias("minors"))
     held = members.join(sizes, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
-    held = held.withColumn("own", own).join(texts, "node")
+    held = held.withColumn("own", own)
     others = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), F.lit(False).alias("vs")))
     against = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("vs")))
     by_minor = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(True).alias("vs")))
-    dealt = held.select("cluster", "node", "root", "is_major", "text", F.explode(F.when(F.col("is_major"), by_minor).otherwise(F.concat(others, against))).alias("to")).select("cluster", "to.*", "node", "root", "is_major", "text")
+    dealt = held.withColumn("to", F.explode(F.when(F.col("is_major"), by_minor).otherwise(F.concat(others, against))))
+    return dealt.select(*members.columns, "is_major", "to.*")
+
+
+def near_in_block(regs: np.ndarray, lens: np.ndarray, own: np.ndarray, major: np.ndarray, vs: bool, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each member the later ones, or the major ones, of other components that are likely to be similar enough. own is read anew for each."""
+    near = similarity / 100
+    near -= MARGIN * (near * (1 - near) / REGISTERS) ** 0.5
+    for x in range(len(lens)):
+        if vs and major[x]:
+            continue
+        y = major if vs else np.arange(len(lens)) > x
+        y = np.nonzero(y & (own != own[x]) & (100 * np.minimum(lens, lens[x]) >= similarity * np.maximum(lens, lens[x])))[0]
+        if len(y):
+            yield x, y[(regs[y] == regs[x]).mean(1) >= near]
+
+
+def compare_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: int, block: int | None = None) -> DataFrame:
+    """Links (a, b) between members of one cluster and different components. members: node, cluster, root; nodes: node, n_shingles, registers.
+
+    Blocks first hold registers; texts follow only for the members of a block that have a likely partner there.
+    """
+    group = ["cluster", "i", "j", "vs"]
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    dealt = deal_blocks(members.join(nodes.select("node", "n_shingles", "registers"), "node"), block or BLOCK)
+
+    def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        roots = rows.column("root").to_pylist()
+        numbers = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+        return np.array([numbers[r] for r in roots]), np.array(rows.column("is_major").to_pylist(), bool)
+
+    def pick(key: tuple, rows: pa.Table) -> pa.Table:
+        own, major = arrays(rows)
+        regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        some = np.zeros(len(own), bool)
+        for x, y in near_in_block(regs, rows.column("n_shingles").to_numpy(), own, major, key[3].as_py(), similarity):
+            some[y] = True
+            some[x] |= len(y) > 0
+        return rows.filter(pa.array(some)).select([*group, "node", "root", "is_major"])
+
+    likely_ones = dealt.groupBy(*group).applyInArrow(pick, f"cluster {kinds['cluster']}, i int, j int, vs boolean, node binary, root binary, is_major boolean")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        known = _Hashes()
-        nodes, roots, major = (rows.column(c).to_pylist() for c in ("node", "root", "is_major"))
+        known, nodes = _Hashes(), rows.column("node").to_pylist()
+        own, major = arrays(rows)
         sets = [shingle_set(t.as_py(), size, known) for t in rows.column("text")]
         regs, lens = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
-        vs, near = key[3].as_py(), similarity / 100
-        near -= MARGIN * (near * (1 - near) / REGISTERS) ** 0.5
-        numbers = {r: k for k, r in enumerate(dict.fromkeys(roots))}
-        own = np.array([numbers[r] for r in roots])
         out = []
-        for x in range(len(nodes)):
-            if vs and major[x]:
-                continue
-            y = np.arange(len(nodes)) > x if not vs else np.array(major)
-            y = np.nonzero(y & (own != own[x]) & (100 * np.minimum(lens, lens[x]) >= similarity * np.maximum(lens, lens[x])))[0]
-            for k in y[(regs[y] == regs[x]).mean(1) >= near].tolist():
+        for x, y in near_in_block(regs, lens, own, major, key[3].as_py(), similarity):
+            for k in y.tolist():
                 if own[k] != own[x]:
                     both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
                     if 100 * both >= similarity * (lens[x] + lens[k] - both):
@@ -229,7 +261,7 @@ def compare_blocks(members: DataFrame, texts: DataFrame, size: int, similarity:
                         own[own == own[k]] = own[x]
         return pa.table([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
 
-    return dealt.groupBy("cluster", "i", "j", "vs").applyInArrow(compare, "a binary, b binary")
+    return likely_ones.join(texts, "node").groupBy(*group).applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -258,15 +290,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
 
     here = shared.select("band", "node").join(roots, "node", "left").join(clusters, "node", "left")
     here = durable(here.select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("cluster", "node").alias("cluster")), "band-roots")
-    within = compare_blocks(here.select("node", "cluster", "root").distinct(), texts, size, similarity)
+    within = compare_blocks(here.select("node", "cluster", "root").distinct(), nodes, texts, size, similarity)
 
-    most = here.groupBy("band", "cluster").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("most"), F.count("*").alias("clusters")).filter("clusters > 1").drop("clusters")
-    open_bands = here.join(most, "band").join(sketch, "node")
+    most = here.groupBy("band", "cluster").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("most"), F.count("*").alias("clusters"), F.sum("n").alias("held")).filter("clusters > 1").drop("clusters")
+    large = here.join(most.filter(F.col("held") > BLOCK).select("band"), "band").select("node", F.col("band").alias("cluster"), F.col("cluster").alias("root"))
+    across = compare_blocks(large, nodes, texts, size, similarity)
+    open_bands = here.join(most.filter(F.col("held") <= BLOCK).drop("held"), "band").join(sketch, "node")
     minor, every = open_bands.filter("cluster <> most").alias("x"), open_bands.alias("y")
     apart = (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
     rest = minor.join(every, (F.col("x.band") == F.col("y.band")) & apart & likely("x", "y", similarity))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = durable(within.unionAll(confirm(rest, texts, size, similarity)), "more-links")
+    more = durable(within.unionAll(across).unionAll(confirm(rest, texts, size, similarity)), "more-links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     labelled = sig.drop("registers").join(roots, "node", "left")
