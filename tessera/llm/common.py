@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import durable, shared_dir, spread
+
+__all__ = ["SPACE", "durable", "lower_ascii", "shared_dir", "table", "words"]
+
 #: Fixed value: what separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Unset, it is a temporary one, as in tests, and an error on a cluster, whose machines share none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def words(text: Column) -> Column:

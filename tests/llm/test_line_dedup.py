@@ -7,7 +7,7 @@ def words(tag, n):
 
 
 def run(spark, docs, least=50):
-    df = spark.createDataFrame([(d, t, "x", 5) for d, t in docs], "doc_id long, text string, place string, n_removed int").drop("n_removed")
+    df = spark.createDataFrame([(d, t, "x", 5) for d, t in docs], "doc_id long, text string, place string, n_removed int")
     return sorted(((r.doc_id, r.text, r.n_removed) for r in ld.dedup_lines(df, least).collect()), key=repr)
 
 
