@@ -31,21 +31,35 @@ def case_metrics(cases: DataFrame, expected: DataFrame, hits: DataFrame) -> Data
 
 
 def summary(metrics: DataFrame) -> DataFrame:
-    """recall and current over all expected and returned, mrr over cases that expect something, abstain over cases; cases that are expected to fail are left out."""
-    held = metrics.filter("not expect_fail")
+    """recall and current over all expected and returned, mrr over cases that expect something, abstain over cases.
+
+    Cases that are expected to fail are only counted, and those of them that found all they want.
+    """
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    asks = F.col("want") > 0
-    return held.agg(
-        F.count("*").alias("cases"),
-        F.count_if(asks).alias("recall_cases"),
-        F.count_if(F.col("returned") > 0).alias("current_cases"),
-        F.round(share(F.sum("found"), F.sum("want")), 6).alias("recall"),
-        F.round(share(F.sum(F.when(asks, F.col("reciprocal_rank")).otherwise(0.0)), F.count_if(asks)), 6).alias("mrr"),
-        F.round(share(F.sum("ok"), F.sum("returned")), 6).alias("current"),
-        F.round(share(F.count_if("abstain_ok"), F.count("*")), 6).alias("abstain"),
+    known, asks = ~F.col("expect_fail"), F.col("want") > 0
+    total = lambda name: F.coalesce(F.sum(F.when(known, F.col(name))), F.lit(0))
+    return metrics.agg(
+        F.count_if(known).alias("cases"),
+        F.count_if(known & asks).alias("recall_cases"),
+        F.count_if(known & (F.col("returned") > 0)).alias("current_cases"),
+        F.count_if(~known).alias("gap_cases"),
+        F.count_if(~known & asks & (F.col("found") == F.col("want"))).alias("gap_passes"),
+        F.round(share(total("found"), total("want")), 6).alias("recall"),
+        F.round(share(F.sum(F.when(known & asks, F.col("reciprocal_rank")).otherwise(0.0)), F.count_if(known & asks)), 6).alias("mrr"),
+        F.round(share(total("ok"), total("returned")), 6).alias("current"),
+        F.round(share(F.count_if(known & F.col("abstain_ok")), F.count_if(known)), 6).alias("abstain"),
     )
 
 
+def case_rows(metrics: DataFrame) -> DataFrame:
+    """A report's line for each case: whether it abstained, found of wanted, the first hit's rank (null without one), the share of current hits, and how it came out."""
+    gap = F.when((F.col("want") > 0) & (F.col("found") == F.col("want")), "GAP-PASS").otherwise("GAP")
+    return metrics.select(
+        "case_id", (F.col("returned") == 0).alias("abstained"), F.concat_ws("/", F.col("found").cast("string"), F.col("want").cast("string")).alias("recall"),
+        F.when(F.col("reciprocal_rank") > 0, F.round(1 / F.col("reciprocal_rank")).cast("int")).alias("rank"), F.when(F.col("returned") > 0, F.round(100 * F.col("ok") / F.col("returned"))).otherwise(0.0).cast("int").alias("current"),
+        F.when(F.col("expect_fail"), gap).when(F.col("abstain_ok"), "PASS").otherwise("FAIL").alias("outcome"))
+
+
 def dry_run(cases: DataFrame, expected: DataFrame) -> DataFrame:
     """One row, without a search: how many cases there are, of which kind, and the summary of nothing found. A case that abstains counts as that only."""
     kinds = cases.agg(F.count("*").alias("total"), F.count_if(~F.col("expect_abstain") & ~F.col("expect_fail")).alias("in_scope"), F.count_if("expect_abstain").alias("abstaining"), F.count_if(~F.col("expect_abstain") & F.col("expect_fail")).alias("failing"))

@@ -72,6 +72,26 @@ def manifest_gaps(manifest: DataFrame) -> DataFrame:
     return held.filter("gap <> 'ok'").select("rel_path", F.coalesce("sha256", F.lit("")).alias("sha256"), F.col("gap").alias("status"), F.coalesce("stage_error", F.lit("")).alias("error"))
 
 
+LISTINGS = ("active", "unrecognized", "ignored")
+
+
+def listing(manifest: DataFrame, kind: str) -> DataFrame:
+    """Active files, all or those that no rule knows or a rule says to ignore, in order of their path."""
+    if kind not in LISTINGS:
+        raise ValueError(f"unknown listing {kind!r}; known: {', '.join(LISTINGS)}")
+    held = manifest.filter("status = 'active'")
+    if kind != "active":
+        held = held.filter(F.col("ignored") if kind == "ignored" else ~F.col("ignored") & F.col("framework_code").isNull())
+    return held.orderBy("rel_path")
+
+
+def lookup(table: DataFrame, **keys) -> DataFrame:
+    """The rows whose columns have these values, null being one; a key names one row at most."""
+    for name, value in keys.items():
+        table = table.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return table
+
+
 def categories(category: str = "") -> list[str]:
     """The categories that a name stands for; an unknown one is an error."""
     name = category.strip().lower()

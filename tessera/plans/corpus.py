@@ -61,6 +61,20 @@ def manifest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.manifest_gaps(_manifest(spark, sf_dir))
 
 
+def manifest_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _manifest(spark, sf_dir)
+    each = [status.listing(held, kind).select(F.lit(kind).alias("listing"), "rel_path") for kind in status.LISTINGS]
+    return each[0].unionAll(each[1]).unionAll(each[2])
+
+
+def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document by its key and a file by its path; a version without a label by null."""
+    held = _manifest(spark, sf_dir)
+    by_path = status.lookup(held, rel_path="orders/7.pdf").select(F.lit("path").alias("by"), "rel_path", "sha256")
+    by_two = status.lookup(held, framework_code=None, version_label="P").select(F.lit("unknown framework").alias("by"), "rel_path", "sha256")
+    return by_path.unionAll(by_two)
+
+
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second scan: a tenth of the files changed, a tenth gone, some new."""
     old = _manifest(spark, sf_dir)
@@ -238,6 +252,10 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.summary(evaluation.case_metrics(*_golden(spark, sf_dir)))
 
 
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.case_rows(evaluation.case_metrics(*_golden(spark, sf_dir)))
+
+
 def eval_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.dry_run(*_cases(spark, sf_dir))
 
@@ -270,10 +288,10 @@ _EVAL = f"""asked as (select distinct item_id as case_id, term from (select item
     last as (select case_id, max(rank) filter (ok) as last from good group by 1),
     cur as (select case_id, count(*) filter (ok) as ok, count(*) as returned from good join last using (case_id) where last is null or rank <= last group by 1),
     metrics as (select case_id, expect_abstain, expect_fail, coalesce(found, 0) as found, coalesce(want, 0) as want, coalesce(1.0 / first, 0.0)::double as rr, coalesce(ok, 0) as ok, coalesce(returned, 0) as returned, expect_abstain = (coalesce(returned, 0) = 0) as abstain_ok from cases left join rec using (case_id) left join cur using (case_id)),
-    agg as (select count(*) as cases, count(*) filter (want > 0) as recall_cases, count(*) filter (returned > 0) as current_cases, round(coalesce(sum(found) / nullif(sum(want), 0), 0), 6)::double as recall, round(coalesce(sum(rr) filter (want > 0) / nullif(count(*) filter (want > 0), 0), 0), 6)::double as mrr,
+    agg as (select count(*) as cases, count(*) filter (want > 0) as recall_cases, count(*) filter (returned > 0) as current_cases, (select count(*) from metrics where expect_fail) as gap_cases, (select count(*) from metrics where expect_fail and want > 0 and found = want) as gap_passes, round(coalesce(sum(found) / nullif(sum(want), 0), 0), 6)::double as recall, round(coalesce(sum(rr) filter (want > 0) / nullif(count(*) filter (want > 0), 0), 0), 6)::double as mrr,
         round(coalesce(sum(ok) / nullif(sum(returned), 0), 0), 6)::double as current, round(coalesce(count(*) filter (abstain_ok) / nullif(count(*), 0), 0), 6)::double as abstain from metrics where not expect_fail)"""
 
-QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, json_capture, eval_metrics, eval_summary, eval_gate, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
+QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, json_capture, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
 
 
 def _oracles() -> dict[str, str]:
@@ -287,6 +305,8 @@ def _oracles() -> dict[str, str]:
         "stage_eligible": f"with {_M} select rel_path, 'extracted_at' as stage from m where {_DUE} and extracted_at is null union all select rel_path, 'normalized_at' from m where {_DUE} and extracted_at is not null and normalized_at is null union all select rel_path, 'indexed_at' from m where {_DUE} and normalized_at is not null",
         "deferred_docs": f"with {_M} select framework_code, version_label, doc_role, case doc_role when 'amendment' then 'amendment parsing deferred' when 'companion-workbook' then 'companion-workbook parsing deferred' else 'parsing not yet implemented' end as reason, count(*) as files from m where framework_code is not null and not ignored and doc_role not in ('guide', 'changelog') and framework_code <> '1-URGENT' and version_label <> 'P' group by 1, 2, 3, 4",
         "manifest_gaps": f"with {_M} select rel_path, sha256, case when framework_code is null and not ignored then 'unrecognized' else 'error' end as status, coalesce(stage_error, '') as error from m where (framework_code is null and not ignored) or stage_error is not null",
+        "manifest_listings": f"with {_M}, a as (select * from m where status = 'active') select 'active' as listing, rel_path from a union all select 'unrecognized', rel_path from a where not ignored and framework_code is null union all select 'ignored', rel_path from a where ignored",
+        "point_lookups": f"with {_M} select 'path' as by, rel_path, sha256 from m where rel_path = 'orders/7.pdf' union all select 'unknown framework', rel_path, sha256 from m where framework_code is null and version_label = 'P'",
         "manifest_upsert": f"with {_M} select rel_path, case when k % 10 = 4 then sha256 || 'x' else sha256 end as sha256, case when k % 10 <> 3 then 'active' when status = 'active' then 'removed' else status end as status, k % 10 <> 4 and extracted_at is not null as extracted, k % 10 <> 4 and normalized_at is not null as normalized from m union all select 'new/' || n_name, 'n', 'active', false, false from nation",
         "stage_mark": f"with {_M} select version_label, case when version_label = 'P' then '2024-01-01' else coalesce(normalized_at::date::varchar, '-') end as normalized, version_label <> 'P' and stage_error is not null as failed, count(*) as files from m group by 1, 2, 3",
         "reseed_overlay": "with u as (select (n_nationkey + 20)::int as n_nationkey, lower(n_name) as n_name from nation where n_nationkey % 4 = 1) select *, 'user' as origin from u union all select n_nationkey, n_name, 'seed' from nation where n_nationkey not in (select n_nationkey from u)",
@@ -307,7 +327,8 @@ def _oracles() -> dict[str, str]:
         "relation_upsert": "select lower(n_name) as from_framework_code, 'v2' as from_version_label, lower(n_name) as to_framework_code, 'v1' as to_version_label, 'supersedes' as relation_type, case when lower(n_name) < 'g' then 'new' else 'old' end as note from nation union all select 'ciscontrols', 'v8.1', 'ciscontrols', 'v8', 'supersedes', 'v8.1 supersedes v8' union all select 'csaccm', 'v4.1', 'csaccm', 'v4.0', 'supersedes', 'v4.1 supersedes v4.0'",
         "control_rebuild": "with gone as (select c_custkey as id from customer where c_nationkey = 7), kept as (select c_custkey as id, c_nationkey as d from customer where c_nationkey <> 7 union all select c_custkey + 1000000, 7 from customer where c_nationkey = 7 and c_acctbal > 0), e as (select o_custkey as f, o_custkey % 97 + 1 as t from orders where o_custkey not in (from gone)) select d as document_id, count(*) as controls, sum(id)::bigint as ids, 'controls' as kind from kept group by 1 union all select case when t in (from gone) then -1 else -2 end, count(*), sum(f)::bigint, 'edges' from e group by 1",
         "built_chunks": "with c as (select c_custkey as k, c_nationkey as n, c_name as name, repeat(c_name || ' ', (c_custkey % 4)::int) as body from customer), eq as (select f.k as f, t.name as cite, t.body as body from c f join c t on t.k in (f.k + 1, f.k + 2) where length(t.body) > length(f.body) qualify row_number() over (partition by f.k order by length(t.body) desc, 'c' || t.k) = 1), own as (select 'r' || r_regionkey as control_id, r_name as citation, 'iso27001 2022' as context_prefix, repeat(r_name || ' ', (r_regionkey % 4)::int) as body, '' as more from region union all select 'n' || n_nationkey, n_name, 'iso27001 2022 > ' || r_name, repeat(n_name || ' ', (n_nationkey % 4)::int), '' from nation join region on r_regionkey = n_regionkey union all select 'c' || k, name, 'iso27001 2022 > ' || r_name || ' > ' || n_name, c.body, coalesce(chr(10) || chr(10) || '[equivalent iso27001 ' || cite || ']' || chr(10) || eq.body, '') from c join nation on n_nationkey = n join region on r_regionkey = n_regionkey left join eq on f = k) select control_id, citation, context_prefix, md5(citation || case when body = '' then '' else chr(10) || body end || more) as content_md5, 0 as ordinal from own",
-        "eval_dry_run": f"with c as (select item_id as id, item_id % 12 = 0 as a, item_id % 20 = 8 as f, item_id in (select doc_id % (select max(item_id) + 1 from benchmark) from documents) as w from benchmark) select count(*) as total, count(*) filter (not a and not f) as in_scope, count(*) filter (a) as abstaining, count(*) filter (f and not a) as failing, count(*) filter (not f) as cases, count(*) filter (not f and w) as recall_cases, 0::bigint as current_cases, 0.0::double as recall, 0.0::double as mrr, 0.0::double as current, round(count(*) filter (not f and a) / count(*) filter (not f), 6)::double as abstain from c",
+        "eval_cases": f"with {WEIGHTS}, {_EVAL} select case_id, returned = 0 as abstained, found || '/' || want as recall, case when rr > 0 then round(1 / rr)::int end as rank, case when returned > 0 then round(100.0 * ok / returned)::int else 0 end as current, case when expect_fail then case when want > 0 and found = want then 'GAP-PASS' else 'GAP' end when abstain_ok then 'PASS' else 'FAIL' end as outcome from metrics",
+        "eval_dry_run": f"with c as (select item_id as id, item_id % 12 = 0 as a, item_id % 20 = 8 as f, item_id in (select doc_id % (select max(item_id) + 1 from benchmark) from documents) as w from benchmark) select count(*) as total, count(*) filter (not a and not f) as in_scope, count(*) filter (a) as abstaining, count(*) filter (f and not a) as failing, count(*) filter (not f) as cases, count(*) filter (not f and w) as recall_cases, 0::bigint as current_cases, count(*) filter (f) as gap_cases, 0::bigint as gap_passes, 0.0::double as recall, 0.0::double as mrr, 0.0::double as current, round(count(*) filter (not f and a) / count(*) filter (not f), 6)::double as abstain from c",
         "eval_metrics": f"with {WEIGHTS}, {_EVAL} select case_id, expect_abstain, expect_fail, found, want, round(rr, 6) as reciprocal_rank, ok, returned, abstain_ok from metrics",
         "eval_summary": f"with {WEIGHTS}, {_EVAL} select * from agg",
         "eval_gate": f"with {WEIGHTS}, {_EVAL} select metric, value, floor from (select 'recall' as metric, recall as value, 0.66::double as floor, recall_cases as n from agg union all select 'mrr', mrr, 0.44, recall_cases from agg union all select 'current', current, 0.98, current_cases from agg union all select 'abstain', abstain, 0.9, cases from agg) where n > 0 and value < floor",
