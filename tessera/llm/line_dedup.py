@@ -1,6 +1,7 @@
 """Line dedup by runs: later repeats of runs of lines are deleted.
 
-A line's hash is taken from its text without outer white space; lines without a word do not count. From each line on,
+A line's hash, of 124 bits, is taken from its text without outer white space and stands for it, as does a run's of 128
+for its lines: no text is compared. Lines without a word do not count. From each line on,
 the run ahead holds the fewest lines that reach `least` words, and the run behind holds the fewest that reach them up
 to this line. Each run has one key of all its hashes. Whatever stretch of at least `least` words also stands earlier,
 in another document or in its own, is covered by its runs ahead and behind, and these stand at the same earlier place,
@@ -37,7 +38,8 @@ def _trimmed(line: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc, place, lines: of each document the lines that have a word, as (raw: number in the text, hash, words)."""
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    line = lambda x, i: F.struct(i.alias("raw"), F.conv(F.substring(F.md5(_trimmed(x)), 1, 15), 16, 10).cast("long").alias("hash"), F.size(words(x)).alias("words"))
+    digest = lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long"), F.xxhash64(x))
+    line = lambda x, i: F.struct(i.alias("raw"), digest(_trimmed(x)).alias("hash"), F.size(words(x)).alias("words"))
     found = F.filter(F.transform(split, line), lambda x: x["words"] > 0)
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("place"), found.alias("lines"))
 
