@@ -116,12 +116,12 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: str, end_id: int):
         super().__init__()
-        self.vocabulary, self.fresh = vocabulary, []
+        self.vocabulary, self.words = vocabulary, []
         self.flat, self.lens, self.closes = np.array([end_id], np.uint32), np.ones(1, np.int64), np.zeros(1, bool)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 1
-        self.fresh.append(word)
+        self.words.append(word)
+        self[word] = n = len(self.words)
         return n
 
     def numbers(self, text: bytes) -> np.ndarray:
@@ -132,24 +132,29 @@ class Encoder(dict):
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers' ids, one after the other, where each ends, and whether it closes a sentence."""
-        if self.fresh:
-            flat, lens = encode_words(self.fresh, self.vocabulary)
-            closes = np.fromiter((w.rstrip(_CLOSERS)[-1:] in (b".", b"!", b"?") for w in self.fresh), bool, len(self.fresh))
-            self.flat, self.lens, self.closes, self.fresh = np.append(self.flat, flat), np.append(self.lens, lens), np.append(self.closes, closes), []
-            self.starts = np.cumsum(self.lens) - self.lens
-        elif len(self.lens) == 1:
-            self.starts = np.zeros(1, np.int64)
-        lens = self.lens[numbers]
-        return gather(self.flat, self.starts[numbers], lens), np.cumsum(lens), self.closes[numbers]
+        if fresh := self.words[len(self.lens) - 1 :]:
+            flat, lens = encode_words(fresh, self.vocabulary)
+            closes = np.fromiter((w.rstrip(_CLOSERS)[-1:] in (b".", b"!", b"?") for w in fresh), bool, len(fresh))
+            self.flat, self.lens, self.closes = np.append(self.flat, flat), np.append(self.lens, lens), np.append(self.closes, closes)
+        starts, lens = np.cumsum(self.lens) - self.lens, self.lens[numbers]
+        return gather(self.flat, starts[numbers], lens), np.cumsum(lens), self.closes[numbers]
+
+    def forget(self, keep: int) -> None:
+        """Forgets all words but the first ones, which are the frequent ones."""
+        for word in self.words[keep:]:
+            del self[word]
+        self.flat = self.flat[: self.lens[: keep + 1].sum()]
+        self.words, self.lens, self.closes = self.words[:keep], self.lens[: keep + 1], self.closes[: keep + 1]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(vocabulary: str, end_id: int) -> Encoder:
-    """This worker's encoder, a new one where it has grown too large."""
-    if (found := _encoders.get((vocabulary, end_id))) is None or len(found) > KEPT_WORDS:
+    """This worker's encoder, with KEPT_WORDS words at most."""
+    if (found := _encoders.get((vocabulary, end_id))) is None:
         found = _encoders[vocabulary, end_id] = Encoder(vocabulary, end_id)
+    found.forget(KEPT_WORDS)
     return found
 
 
