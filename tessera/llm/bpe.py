@@ -10,6 +10,10 @@ distinct one is encoded once:
    each block's order.
 3. Numbers and ids meet again by block: ids are joined back by position, pieces by id.
 
+Step 1 scans the documents twice, once for words and once for numbers, and a block is known by its rows, so both scans
+have to find them in the same order. Files have one, and are scanned as they are; what is no plain scan of files is
+written first, as is a table of so few files that it has to be dealt out.
+
 Only distinct words of blocks, their ids and word numbers are shuffled, all packed; texts never are. A block is bounded
 by its bytes of text, and a bucket by those of a slice, of which it holds one part in `BUCKETS`; slices are as many as
 the input needs, so a group does not grow with it. A frequent word counts once a block, and nothing is cached or
@@ -35,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import durable, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes of text in a block, unless one document alone is longer.
@@ -167,9 +171,14 @@ def block_documents(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(scan, f"key string, docs array<{doc_type}>, counts binary, n_words bigint, codes binary")
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """doc_id and text, written, so that every scan and every retried task finds the same rows in the same order."""
+    return durable(docs.select("doc_id", "text"), "texts")
+
+
 def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and the decoded text, both binary, of every document."""
-    return _joined(docs, vocabulary, block, buckets, False)
+    return _joined(steady(docs), vocabulary, block, buckets, False)
 
 
 def _joined(docs: DataFrame, vocabulary: str, block: int, buckets: int | None, digest: bool) -> DataFrame:
@@ -216,7 +225,10 @@ def _joined(docs: DataFrame, vocabulary: str, block: int, buckets: int | None, d
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(table(spark, sf_dir, "documents"), VOCABULARY, BLOCK, None, True)
+    path = f"{sf_dir}/documents.parquet"
+    files = spark.read.parquet(path)
+    few = len(files.inputFiles()) < spark.sparkContext.defaultParallelism
+    return _joined(steady(table(spark, sf_dir, "documents")) if few else files, VOCABULARY, BLOCK, None, True)
 
 
 QUERIES = {"op7_bpe": op7_bpe}

@@ -14,8 +14,8 @@ frequent run once a document and may split it. Windows hold the lines of one doc
 
 Defined results: a null text has no lines and stays null; an empty one stays empty. A document that is deleted whole
 is an empty text. Order is that of doc_id, nulls last, then of a hash of the text. Equal rows are one document here:
-each of them gets the same result. An empty table gives no rows. All columns of the input stay as they are but text, and n_removed, which is
-replaced.
+each of them gets the same result. An empty table gives no rows. All columns of the input stay as they are but text, and the
+one that takes the number of deleted lines, n_removed by default, which is replaced.
 """
 
 from __future__ import annotations
@@ -82,15 +82,15 @@ def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
     return held.select(*_KEY, numbers.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with later repeated runs of lines deleted from text, and n_removed, the number of those lines."""
+def dedup_lines(docs: DataFrame, least: int = LEAST, counted: str | None = "n_removed") -> DataFrame:
+    """docs with later repeated runs of lines deleted from text, and, as the column `counted` names unless it is none, the number of those lines."""
     lines = durable(lines_of(docs), "lines")
     runs = repeated_runs(lines, least).select(F.col("doc").alias("__doc"), F.col("place").alias("__place"), F.col("removed").alias("__removed"))
     keyed = docs.withColumn("__at", F.xxhash64("text"))
     held = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__at") == F.col("__place")), "left")
     within = lambda i: F.exists("__removed", lambda p: i.between(p["first"], p["last"]))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~(within(i) & (_trimmed(x) != ""))), "\n")
-    return held.select(*[F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "n_removed"], F.coalesce(F.aggregate("__removed", F.lit(0), lambda n, p: n + p["n"]), F.lit(0)).alias("n_removed"))
+    return held.select(*[F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c != counted], *([F.coalesce(F.aggregate("__removed", F.lit(0), lambda n, p: n + p["n"]), F.lit(0)).alias(counted)] if counted else []))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ Training gathers the sample's features, whose number `sample` bounds, on the dri
 texts without a shuffle.
 
 Defined results: null and empty texts, and texts without a word, have no lines and the score NO_LINES. Repeated rows
-stay, each with its score. A null doc_id counts as not held out. Without labels of both kinds every line is good.
+stay, each with its score. A null doc_id counts as not held out. Where labels of both kinds do not meet texts, every line is good.
 Very long texts are read whole, in time that grows with their length. An empty table gives no rows.
 """
 
@@ -29,7 +29,7 @@ from tessera.llm.common import table
 from tessera.llm.quality_rules import _CLASS, _OTHER_SCRIPT, _SPACE, _SYMBOL, _Words
 
 SAMPLE = 3000
-#: Lines of these documents at most.
+#: Lines of these documents, over which no further one is taken, and of which the last one gives no more.
 SAMPLE_LINES = 400_000
 THRESHOLD = 0.3
 NO_LINES = 0.0
@@ -39,12 +39,15 @@ CHUNK = 64
 
 _CLASS_OF = np.minimum(_CLASS, _OTHER_SCRIPT - 1)  # letters of all scripts are one class here
 _SHARES = 7  # classes 2 to 8
+_OWN = _SHARES + 12
+#: Features of a line: its own, and with the text's edge those of its neighbours.
+WIDTH = _OWN + 2 * (_OWN + 1)
 
 
 def line_features(text: bytes, known: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Features of each line that has a word, neighbours' included, and the lines' lengths in bytes."""
     lines = [line for line in text.split(b"\n") if line.strip(b" \t\r\v\f")]
-    own = np.empty((len(lines), _SHARES + 12))
+    own = np.empty((len(lines), _OWN))
     seen: set[bytes] = set()
     for k, line in enumerate(lines):
         words = line.split()
@@ -108,56 +111,86 @@ class Field:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.raw(features, lens) + self.offset))))
 
 
+def _by_line(chunks: list[tuple[np.ndarray, int]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of sequences with one label each, the longest first: the features of all that have a line t, for each t; and the labels."""
+    chunks = sorted(chunks, key=lambda c: -len(c[0]))
+    live = [sum(len(x) > t for x, _ in chunks) for t in range(len(chunks[0][0]))]
+    return [np.stack([x[t] for x, _ in chunks[:n]]) for t, n in enumerate(live)], np.array([y for _, y in chunks])
+
+
+def _forward(own: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """Log odds of good against bad of each line, by what stands up to it."""
+    forward: list[np.ndarray] = []
+    for t, e in enumerate(own):
+        x = e.copy()
+        if t:
+            o = np.exp(np.clip(forward[-1][: len(e)], -40, 40))
+            x += np.log((moves[1, 1] * o + moves[0, 1]) / (moves[1, 0] * o + moves[0, 0]))
+        forward.append(x)
+    return forward
+
+
+def _gradient(lines: list[np.ndarray], y: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """The gradient of the labels' log likelihood: what is marked less what is expected, of features, bias and moves."""
+    width = len(theta) - 5
+    w, b, moves = theta[:width], theta[width], np.exp(theta[-4:].reshape(2, 2))
+    own = [np.clip(x @ w + b, -40, 40) for x in lines]
+    forward = _forward(own, moves)
+    grad = np.zeros_like(theta)
+    back = np.zeros(0)
+    for t in range(len(lines) - 1, -1, -1):
+        n = len(lines[t])
+        x = np.zeros(n)
+        if len(back):
+            k = len(back)
+            o = np.exp(np.clip(back, -40, 40))  # of line t + 1, with its own score
+            x[:k] = np.log((moves[1, 1] * o + moves[1, 0]) / (moves[0, 1] * o + moves[0, 0]))
+            f = np.exp(np.clip(forward[t][:k], -40, 40))
+            joint = np.stack([moves[0, 0] + 0 * o, moves[0, 1] * o, moves[1, 0] * f, moves[1, 1] * f * o], 1)
+            joint /= joint.sum(1, keepdims=True)
+            real = np.zeros_like(joint)
+            real[np.arange(k), 3 * y[:k]] = 1
+            grad[-4:] += (real - joint).sum(0)
+        d = y[:n] - 1 / (1 + np.exp(-np.clip(forward[t] + x, -40, 40)))
+        grad[:width] += d @ lines[t]
+        grad[width] += d.sum()
+        back = own[t] + x
+    return grad
+
+
+def gradient(chunks: list[tuple[np.ndarray, int]], theta: np.ndarray) -> np.ndarray:
+    return _gradient(*_by_line(chunks), theta)
+
+
+def log_likelihood(chunks: list[tuple[np.ndarray, int]], theta: np.ndarray) -> float:
+    """Of sequences whose lines all have one label; theta: weights, bias, and the four moves."""
+    width, total = len(theta) - 5, 0.0
+    moves = theta[-4:].reshape(2, 2)
+    for x, y in chunks:
+        own = x @ theta[:width] + theta[width]
+        alpha = np.array([0.0, own[0]])
+        for e in own[1:]:
+            alpha = np.logaddexp(alpha[0] + moves[0], alpha[1] + moves[1]) + np.array([0.0, e])
+        total += y * own.sum() + (len(x) - 1) * moves[y, y] - np.logaddexp(*alpha)
+    return total
+
+
 def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
     """A field from documents' features and labels, by gradient steps (Adam) on the labels' log likelihood."""
     pairs = [(x, n, y) for (x, n), y in zip(texts, labels, strict=True) if len(n)]
-    width = pairs[0][0].shape[1] if pairs else 0
+    width = WIDTH if not pairs else pairs[0][0].shape[1]
     if len({y for *_, y in pairs}) < 2:
         return Field(np.zeros(width), np.ones(width), np.zeros(width), 40.0, np.zeros((2, 2)))
     every = np.concatenate([x for x, *_ in pairs])
     shift, scale = every.mean(0), every.std(0) + 1e-6
-    chunks = [(x[k : k + CHUNK], y) for x, _, y in pairs for k in range(0, len(x), CHUNK)]
-    size, longest = len(chunks), max(len(x) for x, _ in chunks)
-    chunks.sort(key=lambda c: -len(c[0]))  # the first live[t] sequences have a line t
-    y = np.array([c[1] for c in chunks])
-    sizes = np.array([len(c[0]) for c in chunks])
-    live = [int((sizes > t).sum()) for t in range(longest)]
-    steps_x = [np.stack([(c[0][t] - shift) / scale for c in chunks[: live[t]]]) for t in range(longest)]
-    total = sizes.sum()
+    chunks = [((x[k : k + CHUNK] - shift) / scale, y) for x, _, y in pairs for k in range(0, len(x), CHUNK)]
+    lines = _by_line(chunks)
+    total = sum(len(x) for x, _ in chunks)
     theta = np.zeros(width + 1 + 4)
     theta[-4:] = (0.5, -0.5, -0.5, 0.5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, b, moves = theta[:width], theta[width], np.exp(theta[-4:].reshape(2, 2))
-        e = [np.clip(x @ w + b, -40, 40) for x in steps_x]
-        forward = []
-        for t in range(longest):
-            x = e[t].copy()
-            if t:
-                o = np.exp(np.clip(forward[-1][: live[t]], -40, 40))
-                x += np.log((moves[1, 1] * o + moves[0, 1]) / (moves[1, 0] * o + moves[0, 0]))
-            forward.append(x)
-        grad = np.zeros_like(theta)
-        back = np.zeros(0)
-        for t in range(longest - 1, -1, -1):
-            n = live[t]
-            x = np.zeros(n)
-            if len(back):
-                k = len(back)
-                o = np.exp(np.clip(back, -40, 40))  # of line t + 1, with its own score
-                x[:k] = np.log((moves[1, 1] * o + moves[1, 0]) / (moves[0, 1] * o + moves[0, 0]))
-                f = np.exp(np.clip(forward[t][:k], -40, 40))
-                joint = np.stack([moves[0, 0] + 0 * o, moves[0, 1] * o, moves[1, 0] * f, moves[1, 1] * f * o], 1)
-                joint /= joint.sum(1, keepdims=True)
-                real = np.zeros_like(joint)
-                real[np.arange(k), 3 * y[:k]] = 1
-                grad[-4:] += (real - joint).sum(0)
-            p = 1 / (1 + np.exp(-np.clip(forward[t] + x, -40, 40)))
-            d = y[:n] - p
-            grad[:width] += d @ steps_x[t]
-            grad[width] += d.sum()
-            back = e[t] + x
-        grad = grad / total - ridge * theta
+        grad = _gradient(*lines, theta) / total - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     field = Field(shift, scale, theta[:width], float(theta[width]), theta[-4:].reshape(2, 2))
@@ -183,19 +216,22 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Field:
-    """The field from at most `sample` labelled documents outside the held-out fold, and `lines` lines, picked by a hash of their id. Of equal ids one text counts."""
+    """The field from at most `sample` labelled documents outside the held-out fold, and `lines` lines, picked by a hash of their id. Of equal ids one text counts.
+
+    Documents are taken in order until they reach the lines, so there is always one if any is labelled.
+    """
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("__lines")).join(F.broadcast(chosen), "doc_id")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))  # its limit of one row comes before the shuffle too
     picked = picked.withColumn("__one", F.row_number().over(one)).filter("__one = 1")
-    so_far = F.sum("__lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `sample` rows
-    picked = picked.withColumn("__lines", so_far).filter(F.col("__lines") <= lines).select("doc_id", "text", "quality")
+    before = F.sum("__lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("__lines")  # of `sample` rows
+    picked = picked.withColumn("__left", lines - before).filter("__left > 0").select("doc_id", "text", "quality", "__left")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            rows = [line_features(t.as_py(), known) for t in batch.column("text")]
+            rows = [tuple(x[:most] for x in line_features(t.as_py(), known)) for t, most in zip(batch.column("text"), batch.column("__left").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("doc_id").cast(pa.string()), batch.column("quality"), pa.array([x.astype(np.float32).tobytes() for x, _ in rows], pa.binary()), pa.array([n.tobytes() for _, n in rows], pa.binary())], ["doc_id", "quality", "x", "n"])
 
     rows = sorted(picked.mapInArrow(features, "doc_id string, quality int, x binary, n binary").collect(), key=lambda r: (r.doc_id, r.x))

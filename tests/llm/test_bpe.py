@@ -1,6 +1,8 @@
 import hashlib
 import struct
 
+from pyspark.sql import functions as F
+
 from tessera.llm import bpe
 
 
@@ -36,3 +38,12 @@ def test_slices_and_invalid_utf8(spark, monkeypatch):
     assert got == {d: want(t)[0] for d, t in docs}
     bad = spark.sql("select 1L as doc_id, cast(X'61ff62' as string) as text")
     assert [bytes(r.decoded).decode() for r in bpe.encode_decode(bad).collect()] == [want("a�b")[1]]
+
+
+def test_rows_in_another_order_at_each_scan(spark):
+    docs = [(k, f"shared words and own{k} " * 3) for k in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).orderBy(F.rand()).repartition(3)
+    got = {r.doc_id: list(struct.unpack(f"<{r.n_tokens}I", bytes(r.ids))) for r in bpe.encode_decode(df, block=128, buckets=2).collect()}
+    assert got == {d: want(t)[0] for d, t in docs}
+    once = bpe.steady(df)
+    assert [r.doc_id for r in once.collect()] == [r.doc_id for r in once.collect()]

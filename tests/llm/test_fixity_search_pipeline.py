@@ -153,3 +153,28 @@ def test_pipeline_against_plain_versions(spark, sf_dir):
 def test_pipeline_runs(spark, sf_dir):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, an empty table, no labels, and the caller's own columns under the names that the operators use."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("n_removed", pa.string()), ("score", pa.float64()), ("component_id", pa.int64())])
+    line = "a line of a good many words that stands in more than one text here " * 5
+    texts = [None, "", "one", line, line, f"{line}\nand more\n{line}", "password = abcdefgh99 " + line]
+    table = {"doc_id": [1, 2, 3, 4, 5, None, 6], "text": texts, "lang": [None] * 7, "source": ["s"] * 7, "n_chars": [0] * 7, "n_removed": ["mine"] * 7, "score": [0.5] * 7, "component_id": [9] * 7}
+    labels = pa.table({"doc_id": pa.array([], pa.int64()), "quality": pa.array([], pa.int32()), "toxic": pa.array([], pa.int32())})
+    for name, rows in (("some", 7), ("none", 0)):
+        d = tmp_path / name
+        d.mkdir()
+        pq.write_table(pa.table(table, kinds).slice(0, rows), d / "documents.parquet")
+        pq.write_table(labels, d / "labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            docs = stage(spark, docs, str(d))
+            assert docs.columns == kinds.names
+            kept = docs.collect()
+            assert all(r.n_removed == "mine" and r.score == 0.5 and r.component_id == 9 for r in kept)
+            docs = spark.createDataFrame(kept, docs.schema)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

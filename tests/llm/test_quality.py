@@ -136,3 +136,43 @@ def test_odd_rows(spark):
     none = qc.train_on(odd, labels.filter("quality = 1"))
     assert all(r.score > 0.5 for r in qc.with_scores(odd.filter("doc_id < 60"), none).collect())
     assert qc.with_scores(odd.limit(0), field).count() == 0
+
+
+def test_no_training_rows(spark):
+    docs = spark.createDataFrame([(1, "A line of text.\nAnother."), (2, None), (3, "!!!")], "doc_id long, text string")
+    marks = "doc_id long, quality int, toxic int"
+    for labels in ([], [(77, 1, 0), (78, 0, 0)], [(2, 1, 0), (3, None, 0)]):
+        labels = spark.createDataFrame(labels, marks)
+        field = qc.train_on(docs, labels)
+        assert {r.doc_id: r.score > 0.5 for r in qc.with_scores(docs, field).collect()} == {1: True, 2: False, 3: True}
+        assert {r.doc_id for r in qc.keep_good(docs, labels).collect()} == {1, 3}
+
+
+def test_one_document_over_the_bound_of_lines(spark):
+    text = "The house by the river is old.\nIt was of stone and green water.\n"
+    docs = spark.createDataFrame([(k, (text if k % 2 else "XX!! YY%% ZZ##\n" * 2) * 50) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    sizes = []
+
+    def seen(texts, ys, **_):
+        sizes.append([len(n) for _, n in texts])
+        return train(texts, ys, steps=1)
+
+    train, qc.train = qc.train, seen
+    try:
+        for lines in (30, 150, 10_000):
+            qc.train_on(docs, labels, lines=lines)
+    finally:
+        qc.train = train
+    assert sizes[0] == [30] and sorted(sizes[1]) in ([49, 100], [48, 100], [50, 100]) and set(sizes[2]) == {100}
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(6)
+    chunks = [(rng.normal(size=(n, 3)), y) for n, y in ((4, 1), (1, 0), (6, 0), (2, 1))]
+    theta = rng.normal(size=3 + 1 + 4) * 0.5
+    gradient, likelihood = qc.gradient(chunks, theta), lambda t: qc.log_likelihood(chunks, t)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        assert abs((likelihood(theta + step) - likelihood(theta - step)) / 2e-5 - gradient[k]) < 1e-6
