@@ -49,7 +49,7 @@ FOLDS, HELD = 7, 2
 BACK2, BACK3 = 2000.0, 15.0
 #: Steps of log10 that a quantised probability counts.
 STEP = 4000
-BLOCK, SHARD = 16 << 20, 24 << 20
+BLOCK, SHARD = 8 << 20, 8 << 20
 #: Parts of a shard over which a word is hot, and the greatest number of shards in that bound.
 HOT, MOST_SHARDS = 0.5, 1 << 15
 
@@ -427,8 +427,10 @@ def sent_tokens(held: DataFrame, answers: DataFrame, shards: int, tokens: int, w
         given23 = np.where(hot23, ending[t], 0)
         shard = (_mix(two, np.where(hot2, three, 0), np.where(hot23, one, 0)) % np.uint64(shards)).astype(np.int64) if len(t) else np.zeros(0, np.int64)
         order = np.lexsort((two, three, shard)) if len(t) < 1 << 16 else np.argsort(shard << np.int64(44) | three, kind="stable")
+        at = t[order]
+        doc, steps = owner[at] << 1 | train[at], q1[codes[at]]
+        del ending, owner, place, train, codes, t, at, hot2, hot23
         shard, three, two, one, given2, given12, given23 = (x[order] for x in (shard, three, two, one, given2, given12, given23))
-        doc, steps = owner[t][order] << 1 | train[t][order], q1[codes[t][order]]
         ends = np.searchsorted(shard, np.arange(shards + 1))
         out = []
         for s, (i, j) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
@@ -449,14 +451,15 @@ def answered_tokens(sent: DataFrame) -> DataFrame:
     rest_type = dict(sent.dtypes)["rest"]
 
     def answer(rows: pa.Table) -> pa.Table:
-        parts = [(k, [_unpack(c) for c in p]) for k, p in zip(rows.column("key").to_pylist(), rows.column("part").to_pylist(), strict=True) if p]
+        rows_of = rows.filter(rows.column("part").is_valid())
+        parts = [(k, [_unpack(c) for c in p]) for k, p in zip(rows_of.column("key").to_pylist(), rows_of.column("part").to_pylist(), strict=True)]
         docs, steps = [], []
         if parts:
             sizes = [len(p[0]) for _, p in parts]
             three = np.concatenate([np.cumsum(p[0]) for _, p in parts])
             two, one, doc, unigram, given2, given12, given23 = (np.concatenate([p[c] for _, p in parts]) for c in range(1, 8))
             owners = [k for k, _ in parts]
-            del parts
+            del parts, rows_of
             words = np.unique(np.concatenate([np.unique(one), np.unique(two), np.unique(three), [0]]))  # 0, none, stays 0
             one, two, three = (np.searchsorted(words, x) for x in (one, two, three))
             found = Trie(one, two, three, unigram, (doc & 1).astype(bool), given2, given12, given23).steps(one, two, three, unigram)
