@@ -15,7 +15,8 @@ from tessera.functions.citations import clean_citation, zero_pad
 from tessera.operators import evaluation, mapping, status, tree
 
 SECTIONS = ("children", "mappings", "lineage", "chunks")
-CHUNKS, MOST_CHUNKS, GAPS, MOST_GAPS, OTHERS = 20, 100, 50, 500, 10
+#: How many chunks and gaps a caller gets by default and at most, and how many other versions are named.
+CHUNKS, MOST_CHUNKS, GAPS, MOST_GAPS, OTHERS = 20, 50, 20, 100, 10
 
 GUIDE = {
     "search": "Ask in words or name a citation; pin a framework or a version to narrow it.",
@@ -104,8 +105,7 @@ def quality_gaps(corpus: Mapping[str, DataFrame], category: str = "", limit: int
     wanted = status.categories(category)
     out: dict = {"limit": limit, "categories": wanted}
     if "unresolved_mappings" in wanted:
-        cites = corpus["controls"].select(F.col("id").alias("from_control_id"), F.col("citation").alias("from_citation"))
-        out["unresolved_mappings"] = mapping.unresolved_groups(corpus["edges"].join(cites, "from_control_id"), limit)
+        out["unresolved_mappings"] = mapping.unresolved_groups(corpus["edges"], corpus["controls"], corpus["documents"], limit)
     if "deferred_docs" in wanted:
         out["deferred_docs"] = status.deferred_documents(corpus["manifest"], corpus["documents"]).orderBy("framework_code", "version_label", "doc_role", "qualifier").limit(limit)
     if "manifest" in wanted:

@@ -1,7 +1,4 @@
-"""BM25: statistics and weights of terms, hashed document vectors, top-k.
-
-index(), asked_index() and many_asked_index() write their table when they are called; all else only plans.
-"""
+"""BM25: statistics and weights of terms, hashed document vectors, top-k. asked_index() writes its table when it is called; all else only plans."""
 
 from __future__ import annotations
 
@@ -18,11 +15,23 @@ TOP_K = 50
 DECIMALS = 6
 
 
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, dl, terms: each row's number of tokens, and its distinct ones with their counts, (term, tf), in order. Counts are run lengths of the sorted tokens, so that no row leaves its task."""
+
+    def runs(held):
+        starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
+        term = lambda begin: lambda i, k: F.struct(F.get(held, i).alias("term"), (F.coalesce(F.get(begin, k + 1), F.size(held)) - i).cast("int").alias("tf"))
+        return F.get(F.transform(F.array(starts), lambda begin: F.transform(begin, term(begin))), F.lit(0))
+
+    of = lambda held: F.struct(F.size(held).alias("dl"), F.when(F.size(held) > 0, runs(held)).alias("terms"))
+    found = F.get(F.transform(F.array(F.array_sort(tokens(F.col(text)))), of), F.lit(0))  # the tokens are bound once
+    return docs.select(key, found.alias("__counted")).select(key, "__counted.dl", "__counted.terms")
+
+
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf, dl; one pass over the text and one shuffle with partial counts. A text without tokens has no row."""
-    split = docs.select(key, tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), "tokens")
-    each = split.select(key, "dl", F.explode_outer("tokens").alias("term")).filter("term is not null")  # explode() would have the size tested below, in a second run of the pattern
-    return each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    """key, term, tf, dl of every row, in one pass over the text without a shuffle. A text without tokens has no row."""
+    each = counted(docs, key, text).select(key, "dl", F.explode_outer("terms").alias("t")).filter("t is not null")
+    return each.select(key, "t.term", "t.tf", "dl")
 
 
 def corpus_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,16 +61,9 @@ def asked_index(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text
     return durable(split.select(key, "dl", F.filter("tokens", lambda t: t.isin(*terms)).alias("terms")), "asked-index")
 
 
-def many_asked_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """asked_index() for the terms of many queries: a table (term) that is joined, however large."""
-    split = docs.select(key, tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), "tokens")
-    each = split.select(key, "dl", F.explode_outer("tokens").alias("term")).join(terms.select("term").distinct().withColumn("__asked", F.lit(True)), "term", "left")
-    return durable(each.groupBy(key, "dl").agg(F.collect_list(F.when(F.col("__asked"), F.col("term"))).alias("terms")), "asked-index")
-
-
-def weights(tf: DataFrame, stats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, dim, w: BM25 weights of a table (key, term, tf, dl). Where terms are few, Spark broadcasts their frequencies; a frequent term's rows may be split."""
-    df = document_frequencies(tf).withColumn("dim", dimension(F.col("term")))
+def weights(tf: DataFrame, stats: DataFrame, key: str = "doc_id", df: DataFrame | None = None) -> DataFrame:
+    """key, term, dim, w: BM25 weights of a table (key, term, tf, dl). Where terms are few, Spark broadcasts their frequencies; a frequent term's rows may be split. df: (term, df), if it is known."""
+    df = (document_frequencies(tf) if df is None else df).withColumn("dim", dimension(F.col("term")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", "dim", weight.alias("w"))
@@ -73,14 +75,9 @@ def asked_weights(asked: DataFrame, key: str = "doc_id") -> DataFrame:
     return weights(tf, _statistics(asked), key)
 
 
-def term_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """key, term, dim, w: the BM25 weight of every term of every document, statistics being those of all documents.
-
-    terms: (term), those that will be asked for; others are neither counted nor shuffled then.
-    """
-    if terms is None:
-        return weights(*index(docs, key, text), key)
-    return asked_weights(many_asked_index(docs, terms, key, text), key)
+def term_weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, term, dim, w: the BM25 weight of every term of every document, statistics being those of all documents."""
+    return weights(*index(docs, key, text), key)
 
 
 def document_vectors(weights: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -106,12 +103,11 @@ def terms_of(spark: SparkSession, query: str) -> list[str]:
 
 def top_k(docs: DataFrame, query: str, k: int = TOP_K, within: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of the k best documents for one query, ties to the smaller key. within: (key), those that may be found."""
-    return best(asked_index(docs, terms_of(docs.sparkSession, query), key, text), k, within, key)
+    return best(asked_weights(asked_index(docs, terms_of(docs.sparkSession, query), key, text), key), k, within, key)
 
 
-def best(asked: DataFrame, k: int = TOP_K, within: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """top_k() over an asked_index() of the query's terms, which several arms may share."""
-    held = asked_weights(asked, key)
+def best(held: DataFrame, k: int = TOP_K, within: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """top_k() over weights of the query's terms, which several arms may share."""
     if within is not None:
         held = held.join(within.select(key).distinct(), key, "left_semi")
     scored = held.groupBy(key).agg(F.round(F.sum("w"), DECIMALS).alias("score")).filter("score > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The framework whose bare numbers may mean its annex, and known successors (from, to).
@@ -80,18 +80,22 @@ def structural_edges(controls: DataFrame) -> DataFrame:
 
 
 def longest_equivalent(edges: DataFrame, bodies: DataFrame) -> DataFrame:
-    """from_id, to_id, body: of each control's equivalents the longest body that is longer than its own; ties to the smaller id. bodies: id, body."""
+    """from_id, to_id, body: of each control's equivalents the longest body that is longer than its own; ties to the smaller id. bodies: id, body.
+
+    Lengths decide, and only the winners' bodies are fetched.
+    """
     own = bodies.select(F.col("id").alias("from_id"), F.coalesce(F.length("body"), F.lit(0)).alias("own"))
-    other = bodies.select(F.col("id").alias("to_id"), "body")
-    held = edges.select("from_id", "to_id").join(other, "to_id").join(own, "from_id").filter(F.length("body") > F.col("own"))
-    best = F.row_number().over(Window.partitionBy("from_id").orderBy(F.length("body").desc(), "to_id"))
-    return held.withColumn("__n", best).filter("__n = 1").select("from_id", "to_id", "body")
+    sizes = bodies.select(F.col("id").alias("to_id"), F.length("body").alias("size"))
+    held = edges.select("from_id", "to_id").join(sizes, "to_id").join(own, "from_id").filter(F.col("size") > F.col("own"))
+    best = held.groupBy("from_id").agg(F.min(F.struct(-F.col("size"), "to_id")).alias("best")).select("from_id", F.col("best.to_id").alias("to_id"))
+    return best.join(bodies.select(F.col("id").alias("to_id"), "body"), "to_id").select("from_id", "to_id", "body")
 
 
 def outbound(edges: DataFrame, controls: DataFrame) -> DataFrame:
-    """Edges with their target's citation where it is known, and whether it is."""
-    t = controls.select(F.col("id").alias("to_control_id"), F.col("citation").alias("to_citation"))
-    return edges.join(t, "to_control_id", "left").withColumn("resolved", F.col("to_control_id").isNotNull())
+    """Edges with whether their target is known, and its title; an empty one where it is not."""
+    t = controls.select(F.col("id").alias("to_control_id"), F.col("title").alias("resolved_title"))
+    held = edges.join(t, "to_control_id", "left").withColumn("resolved", F.col("to_control_id").isNotNull())
+    return held.withColumn("resolved_title", F.coalesce("resolved_title", F.lit("")))
 
 
 def inbound(edges: DataFrame, controls: DataFrame) -> DataFrame:
@@ -100,18 +104,28 @@ def inbound(edges: DataFrame, controls: DataFrame) -> DataFrame:
     return edges.filter("to_control_id is not null").join(f, "from_control_id")
 
 
-def unresolved_groups(edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """Open edges by target and source, with their number and the distinct controls they come from; a null version is a group."""
+def unresolved_groups(edges: DataFrame, controls: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Open edges by target and source, with their number and the frameworks that they come from; a null version is a group.
+
+    An edge whose control or document is gone is in none. Edges are counted by group and framework first, so what is
+    gathered for a group are the distinct frameworks, not its edges. controls: id, document_id. documents: id, framework_code.
+    """
     keys = ["to_framework_code", "to_version_label", "to_citation_norm", "mapping_source_code"]
-    found = edges.filter("to_control_id is null").groupBy(*keys).agg(F.count("*").alias("edges"), F.array_join(F.array_sort(F.collect_set("from_citation")), ", ").alias("from_citations"))
+    docs = documents.select(F.col("id").alias("document_id"), "framework_code")
+    source = controls.select(F.col("id").alias("from_control_id"), "document_id").join(docs, "document_id").select("from_control_id", "framework_code")
+    by_framework = edges.filter("to_control_id is null").join(source, "from_control_id").groupBy(*keys, "framework_code").agg(F.count("*").alias("edges"))
+    found = by_framework.groupBy(*keys).agg(F.sum("edges").alias("edges"), F.array_join(F.array_sort(F.collect_set("framework_code")), ", ").alias("from_frameworks"))
+    found = found.withColumn("to_version_label", F.coalesce("to_version_label", F.lit("")))
     if limit is None:
         return found
-    return found.orderBy(F.desc("edges"), "to_framework_code", "to_citation_norm", F.asc_nulls_first("to_version_label"), "mapping_source_code").limit(limit)
+    return found.orderBy(F.desc("edges"), "to_framework_code", "to_citation_norm", "to_version_label", "mapping_source_code").limit(limit)
 
 
-#: What makes an edge one and the same; its relationship and provenance may change.
+#: What makes an edge, a document and a relation one and the same, and what of it a later row may change.
 EDGE_KEY = ("from_control_id", "to_framework_code", "to_version_label", "to_citation_norm", "mapping_source_code")
-DOCUMENT_KEY, RELATION_KEY = ("doc_key",), ("from_framework_code", "from_version_label", "to_framework_code", "to_version_label", "relation_type")
+EDGE_REPLACED = ("relationship", "provenance_detail")
+DOCUMENT_KEY, DOCUMENT_REPLACED = ("doc_key",), ("title", "source_file_sha256", "serve_gate", "markdown")
+RELATION_REPLACED, RELATION_KEY = ("note",), ("from_framework_code", "from_version_label", "to_framework_code", "to_version_label", "relation_type")
 
 
 def rebuild_controls(controls: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

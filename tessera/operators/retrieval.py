@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.citations import cite_string, match_citations, version_status
 from tessera.operators import dense, fusion, lexical
+from tessera.operators.lexical_store import LexicalStore
 
 MODES = ("hybrid", "vector", "bm25")
 PINS, LINEAGE = 16, 3
@@ -68,12 +69,13 @@ def pinned(keys: DataFrame, query: str, o: Options) -> DataFrame:
     return held.select("chunk_id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
-def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Sequence[float] | None = None, o: Options = Options()) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Sequence[float] | None = None, o: Options = Options(), index: LexicalStore | None = None) -> DataFrame:
     """rank, chunk_id, score, vector_rank, bm25_rank, similarity, bm25_score and the chunk's fields, in order.
 
     chunks: chunk_id, framework_code, version_label, is_current, status, content; with citation_norm and ordinal if
     citations are to be pinned. vectors: chunk_id, embedding. Filters stand before scoring; an arm hands on ids and
-    scores only, and what is returned is looked up at the end.
+    scores only, and what is returned is looked up at the end. index: the stored lexical index of all chunks, by chunk_id;
+    without one the query's terms are looked for in their texts.
     """
     if not query:
         return chunks.limit(0).select(F.lit(0).alias("rank"), "chunk_id")
@@ -90,7 +92,8 @@ def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Seq
         near = fusion.with_rank(dense.top_k(vectors, vector, o.vector_k, allowed, "chunk_id"), "similarity", "chunk_id")
     words, asked = none("bm25_score"), None
     if o.mode != "vector":
-        asked = lexical.asked_index(chunks, lexical.terms_of(spark, query), "chunk_id", "content")
+        terms = lexical.terms_of(spark, query)
+        asked = index.asked(terms, "chunk_id") if index else lexical.asked_weights(lexical.asked_index(chunks, terms, "chunk_id", "content"), "chunk_id")
         words = fusion.with_rank(lexical.best(asked, o.bm25_k, allowed, "chunk_id"), "score", "chunk_id").withColumnRenamed("score", "bm25_score")
     weight = max(o.lexical_weight, fusion.PINNED_WEIGHT) if n_pins else o.lexical_weight
     left = max(o.top_k - n_pins, 1)
@@ -109,7 +112,7 @@ def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Seq
 
 
 def lineage_hits(keys: DataFrame, vectors: DataFrame | None, vector: Sequence[float] | None, o: Options, asked: DataFrame | None = None) -> DataFrame:
-    """A few hits of versions that are not current, the best of each framework and version. keys: chunks without content; asked: their index of the query's terms."""
+    """A few hits of versions that are not current, the best of each framework and version. keys: chunks without content; asked: weights of the query's terms."""
     allowed = eligible(keys, o, non_current=True).select("chunk_id")
     k = min(LINEAGE, o.top_k)
     null = F.lit(None).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAGES = ("extracted_at", "normalized_at", "indexed_at")
@@ -116,23 +116,39 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new rows in place of those with equal keys, nulls being equal."""
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    return old.alias("o").join(new.select(*keys).distinct().alias("n"), same, "left_anti").unionByName(new)
+def merge(old: DataFrame, new: DataFrame, keys: list[str], replaced: Sequence[str] = (), coalesced: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """old after the rows of new, by keys of which nulls are equal, in one join. Columns are those of old.
 
-
-def upsert_in_order(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """upsert() of rows that may share a key: the last of them by order, which is not kept, is the one that stays."""
-    last = new.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in old.columns if c not in keys]), order).alias("__r")).select(*keys, "__r.*")
-    return upsert(old, last.select(old.columns), keys)
-
-
-def one_current(versions: DataFrame) -> DataFrame:
-    """Frameworks with more than one current version; none is right."""
-    return versions.groupBy("framework_code").agg(F.count_if(F.col("is_current")).alias("n")).filter("n > 1")
-
-
-def earlier_than(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """rows with their number among equal keys."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    A key that is there keeps its row: `replaced` columns take the new value, `coalesced` ones take it unless it is null,
+    and all others stay, whatever new says of them. A key that is not there gets the new row; columns that new lacks are
+    null. Of new rows with equal keys, which `order` tells apart, each is applied to what the ones before it left.
+    """
+    rest = [c for c in old.columns if c not in keys]
+    own = [c for c in rest if c in new.columns]
+    bad = (set(replaced) | set(coalesced)) - set(own)
+    if bad:
+        raise ValueError(f"no such columns to merge: {sorted(bad)}")
+    first = [c for c in own if c not in replaced and c not in coalesced]
+    if order:
+        at = F.col(order)
+        found = new.groupBy(*keys).agg(
+            F.max_by(F.struct(*replaced, F.lit(1).alias("__")), at).alias("__last"), F.min_by(F.struct(*first, F.lit(1).alias("__")), at).alias("__first"),
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"__{c}") for c in coalesced])
+        value = {c: F.col(f"n.__last.{c}") for c in replaced} | {c: F.col(f"n.__first.{c}") for c in first} | {c: F.col(f"n.__{c}") for c in coalesced}
+    else:
+        found, value = new, {c: F.col(f"n.{c}") for c in own}
+    o, n = old.withColumn("__old", F.lit(True)).alias("o"), found.withColumn("__new", F.lit(True)).alias("n")
+    held = o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
+    was, now = F.col("__old").isNotNull(), F.col("__new").isNotNull()
+    none = F.lit(None)
+
+    def column(c: str) -> Column:
+        if c in keys:
+            return F.when(was, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+        if c in replaced:
+            return F.when(now, value[c]).otherwise(F.col(f"o.{c}"))
+        if c in coalesced:
+            return F.coalesce(value[c], F.col(f"o.{c}"))
+        return F.when(was, F.col(f"o.{c}")).otherwise(value.get(c, none))
+
+    return held.select(*[column(c).alias(c) for c in old.columns])

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
+from tessera.durable import durable
 
-
-def ancestors(controls: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(controls: DataFrame) -> DataFrame:
     """id, path: citations of the ancestors, the root first, itself left out; it ends at a parent that is missing.
 
-    As many self joins as levels; trees of controls have five at most. Columns: id, parent_id, citation.
+    Depth has no bound: in each round a control's pointer goes to where its target's pointer goes, so reach doubles, and
+    rounds are the logarithm of the depth. Each is one join and is written; controls whose pointer has come to its end
+    take no part in it. A control on a cycle or below one has no root, and a null path. Columns: id, parent_id, citation.
     """
-    up = controls.select(F.col("id").alias("__up"), F.col("parent_id").alias("__next"), F.col("citation").alias("__cite"))
-    held = controls.select("id", F.col("parent_id").alias("__at"), F.array().cast("array<string>").alias("path"))
-    for _ in range(depth):
-        held = held.join(up, F.col("__at") == F.col("__up"), "left")
-        held = held.select("id", F.col("__next").alias("__at"), F.when(F.col("__up").isNotNull(), F.concat(F.array("__cite"), F.col("path"))).otherwise(F.col("path")).alias("path"))
-    return held.select("id", "path")
+    own = F.struct("id", "citation")
+    held = controls.select("id", F.col("parent_id").alias("at"), own.alias("self"), F.slice(F.array(own), 1, 0).alias("above"), F.lit(False).alias("cyclic"))
+    while True:
+        held = durable(held, "ancestors")
+        live, ended = held.filter("at is not null"), held.filter("at is null")
+        if live.isEmpty():
+            return held.select("id", F.when(~F.col("cyclic"), F.transform("above", lambda x: x["citation"])).alias("path"))
+        up = held.select(F.col("id").alias("__id"), F.col("at").alias("__at"), F.array_append("above", F.col("self")).alias("__chain"), F.col("cyclic").alias("__cyclic"))
+        held = live.join(up, F.col("at") == F.col("__id"), "left").withColumn("above", F.concat(F.coalesce("__chain", F.slice("above", 1, 0)), "above"))
+        ids = F.transform(F.array_append("above", F.col("self")), lambda x: x["id"])
+        held = held.withColumn("cyclic", F.coalesce("__cyclic", F.lit(False)) | (F.size(F.array_distinct(ids)) < F.size(ids)))
+        held = ended.unionByName(held.select("id", F.when(~F.col("cyclic"), F.col("__at")).alias("at"), "self", "above", "cyclic"))
 
 
 def parents(controls: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions.citations import cell_column, cell_row
 from tessera.functions.text import chunk_content, context_prefix, labelled_body
 from tessera.operators import evaluation, lexical, mapping, state, status
 from tessera.operators.embedding import build_chunks
-from tessera.plans.tables import CHUNKS, TOKENS, chunk_keys, chunks, read, texts
+from tessera.plans.tables import CHUNKS, TOKENS, chunk_keys, chunks, lexical_index, read
 
 
 def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,21 +140,25 @@ def glob_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by their key, a customer's order priority: later orders replace what earlier ones said."""
-    o = read(spark, sf_dir, "orders").select(F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderpriority").alias("doc_key"), F.col("o_orderstatus").alias("version_label"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), "o_orderkey")
-    old = state.latest(o.filter("o_orderkey % 2 = 0"), ["doc_key"], "o_orderkey").select("doc_key", "version_label", "title")
-    return state.upsert_in_order(old, o.filter("o_orderkey % 2 = 1"), list(mapping.DOCUMENT_KEY), "o_orderkey")
+    """Documents by their key, a customer's order priority: later orders bring a title, a capture and a gate, while the row's id and what its key was made of stay."""
+    o = read(spark, sf_dir, "orders").select(
+        F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderpriority").alias("doc_key"), F.col("o_orderkey").alias("id"), F.lower("o_orderpriority").alias("framework_code"), F.col("o_orderstatus").alias("version_label"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("source_file_sha256"), F.when(F.col("o_orderkey") % 3 == 0, "internal").otherwise("open").alias("serve_gate"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderpriority")).alias("markdown"))
+    old = o.filter("id % 2 = 0").groupBy("doc_key").agg(F.max_by(F.struct(*[c for c in o.columns if c != "doc_key"]), "id").alias("r")).select("doc_key", "r.*")
+    new = o.filter("id % 2 = 1").withColumn("at", F.col("id"))
+    return state.merge(old, new, list(mapping.DOCUMENT_KEY), mapping.DOCUMENT_REPLACED, order="at")
 
 
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by their key, of which a null version is a part; a later line changes relationship and provenance."""
+    """Edges by their key, of which a null version is a part; a later line changes relationship and provenance, a target once found stays."""
     line = read(spark, sf_dir, "lineitem")
     version = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
     rows = line.select(F.col("l_orderkey").alias("from_control_id"), F.lit("iso27001").alias("to_framework_code"), version.alias("to_version_label"), (F.col("l_partkey") % 5).cast("string").alias("to_citation_norm"), F.col("l_linestatus").alias("mapping_source_code"),
-        F.concat(F.lit("r"), (F.col("l_suppkey") % 3).cast("string")).alias("relationship"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("provenance_detail"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("at"))
+        F.concat(F.lit("r"), (F.col("l_suppkey") % 3).cast("string")).alias("relationship"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("provenance_detail"), F.col("l_partkey").alias("to_control_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("at"))
     first = state.latest(rows.filter("at.l_linenumber <= 2"), list(mapping.EDGE_KEY), "at").drop("at")
-    found = state.upsert_in_order(first, rows.filter("at.l_linenumber > 2"), list(mapping.EDGE_KEY), "at")
-    return found.groupBy("to_version_label", "mapping_source_code", "to_citation_norm", "relationship").agg(F.count("*").alias("edges"), F.sum(F.regexp_extract("provenance_detail", r"(\d+)", 1).cast("int")).alias("lines"))
+    found = state.merge(first, rows.filter("at.l_linenumber > 2").drop("to_control_id"), list(mapping.EDGE_KEY), mapping.EDGE_REPLACED, order="at")
+    return found.groupBy("to_version_label", "mapping_source_code", "to_citation_norm", "relationship").agg(F.count("*").alias("edges"), F.sum(F.regexp_extract("provenance_detail", r"(\d+)", 1).cast("int")).alias("lines"), F.count("to_control_id").alias("resolved"), F.sum("to_control_id").alias("targets"))
 
 
 def relation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +166,7 @@ def relation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation")
     own = nation.select(F.lower("n_name").alias("from_framework_code"), F.lit("v2").alias("from_version_label"), F.lower("n_name").alias("to_framework_code"), F.lit("v1").alias("to_version_label"), F.lit("supersedes").alias("relation_type"), F.lit("old").alias("note"))
     new = own.filter("from_framework_code < 'g'").withColumn("note", F.lit("new")).unionByName(mapping.known_supersessions(spark))
-    return state.upsert(own, new, list(mapping.RELATION_KEY))
+    return state.merge(own, new, list(mapping.RELATION_KEY), mapping.RELATION_REPLACED)
 
 
 def control_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +231,7 @@ def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     docs = read(spark, sf_dir, "documents")
     cases, expected = _cases(spark, sf_dir)
     asked = lexical.query_terms(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    scored = lexical.score(lexical.term_weights(texts(spark, sf_dir), terms=asked.select("term").distinct()), asked)
+    scored = lexical.score(lexical_index(spark, sf_dir).asked_many(asked), asked)
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -322,8 +326,10 @@ def _oracles() -> dict[str, str]:
         "grid_pivot": 'select p_partkey::int as "row", p_name as "A", p_brand as "B", p_size::varchar as "C" from part',
         "page_lookahead": "with a as (select doc_id, source from documents order by source, doc_id limit 21 offset 40) select doc_id, source, (select case when count(*) > 20 then 60 end from a)::int as next_offset from (select * from a order by source, doc_id limit 20)",
         "json_capture": "select event_type, count(*) as n, sum((props->>'k')::bigint)::bigint as k, count(*) filter (props->>'k' is null) as rejected from events group by 1",
-        "document_upsert": "with o as (select o_custkey || '|' || o_orderpriority as doc_key, o_orderstatus as version_label, 'order ' || o_orderkey as title, o_orderkey as k, o_orderkey % 2 as odd from orders) select doc_key, version_label, title from o qualify row_number() over (partition by doc_key order by odd desc, k desc) = 1",
-        "edge_upsert": "with r as (select l_orderkey as f, case when l_returnflag <> 'N' then l_returnflag end as v, (l_partkey % 5)::varchar as norm, l_linestatus as s, 'r' || l_suppkey % 3 as relationship, l_linenumber as n, l_partkey, l_suppkey, l_quantity, l_extendedprice from lineitem), u as (select * from r qualify row_number() over (partition by f, v, norm, s order by n > 2 desc, n desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc) = 1) select v as to_version_label, s as mapping_source_code, norm as to_citation_norm, relationship, count(*) as edges, sum(n)::bigint as lines from u group by 1, 2, 3, 4",
+        # on conflict of the key only title, capture, gate and markdown are set; the row that was inserted first keeps the rest
+        "document_upsert": "with o as (select o_custkey || '|' || o_orderpriority as doc_key, o_orderkey as id, lower(o_orderpriority) as framework_code, o_orderstatus as version_label, 'order ' || o_orderkey as title, md5(o_orderkey::varchar) as source_file_sha256, case when o_orderkey % 3 = 0 then 'internal' else 'open' end as serve_gate, case when o_orderkey % 5 = 0 then o_orderpriority end as markdown from orders), old as (select * from o where id % 2 = 0 qualify row_number() over (partition by doc_key order by id desc) = 1), base as (select * from old union all select * from (select * from o where id % 2 = 1 and doc_key not in (select doc_key from old) qualify row_number() over (partition by doc_key order by id) = 1)), last as (select * from o where id % 2 = 1 qualify row_number() over (partition by doc_key order by id desc) = 1) select b.doc_key, b.id, b.framework_code, b.version_label, case when l.id is null then b.title else l.title end as title, case when l.id is null then b.source_file_sha256 else l.source_file_sha256 end as source_file_sha256, case when l.id is null then b.serve_gate else l.serve_gate end as serve_gate, case when l.id is null then b.markdown else l.markdown end as markdown from base b left join last l using (doc_key)",
+        # on conflict only relationship and provenance are set; a resolved target stays, and an inserted edge has none
+        "edge_upsert": "with r as (select l_orderkey as f, case when l_returnflag <> 'N' then l_returnflag end as v, (l_partkey % 5)::varchar as norm, l_linestatus as s, 'r' || l_suppkey % 3 as relationship, l_linenumber as n, l_partkey as p, row_number() over (partition by l_orderkey, l_returnflag, l_partkey % 5, l_linestatus, l_linenumber > 2 order by l_linenumber desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc) as k from lineitem), a as (select * from r where n <= 2 and k = 1), b as (select * from r where n > 2 and k = 1), u as (select coalesce(a.v, b.v) as v, coalesce(a.s, b.s) as s, coalesce(a.norm, b.norm) as norm, coalesce(b.relationship, a.relationship) as relationship, coalesce(b.n, a.n) as n, a.p from a full join b on a.f = b.f and a.v is not distinct from b.v and a.norm = b.norm and a.s = b.s) select v as to_version_label, s as mapping_source_code, norm as to_citation_norm, relationship, count(*) as edges, sum(n)::bigint as lines, count(p) as resolved, sum(p)::bigint as targets from u group by 1, 2, 3, 4",
         "relation_upsert": "select lower(n_name) as from_framework_code, 'v2' as from_version_label, lower(n_name) as to_framework_code, 'v1' as to_version_label, 'supersedes' as relation_type, case when lower(n_name) < 'g' then 'new' else 'old' end as note from nation union all select 'ciscontrols', 'v8.1', 'ciscontrols', 'v8', 'supersedes', 'v8.1 supersedes v8' union all select 'csaccm', 'v4.1', 'csaccm', 'v4.0', 'supersedes', 'v4.1 supersedes v4.0'",
         "control_rebuild": "with gone as (select c_custkey as id from customer where c_nationkey = 7), kept as (select c_custkey as id, c_nationkey as d from customer where c_nationkey <> 7 union all select c_custkey + 1000000, 7 from customer where c_nationkey = 7 and c_acctbal > 0), e as (select o_custkey as f, o_custkey % 97 + 1 as t from orders where o_custkey not in (from gone)) select d as document_id, count(*) as controls, sum(id)::bigint as ids, 'controls' as kind from kept group by 1 union all select case when t in (from gone) then -1 else -2 end, count(*), sum(f)::bigint, 'edges' from e group by 1",
         "built_chunks": "with c as (select c_custkey as k, c_nationkey as n, c_name as name, repeat(c_name || ' ', (c_custkey % 4)::int) as body from customer), eq as (select f.k as f, t.name as cite, t.body as body from c f join c t on t.k in (f.k + 1, f.k + 2) where length(t.body) > length(f.body) qualify row_number() over (partition by f.k order by length(t.body) desc, 'c' || t.k) = 1), own as (select 'r' || r_regionkey as control_id, r_name as citation, 'iso27001 2022' as context_prefix, repeat(r_name || ' ', (r_regionkey % 4)::int) as body, '' as more from region union all select 'n' || n_nationkey, n_name, 'iso27001 2022 > ' || r_name, repeat(n_name || ' ', (n_nationkey % 4)::int), '' from nation join region on r_regionkey = n_regionkey union all select 'c' || k, name, 'iso27001 2022 > ' || r_name || ' > ' || n_name, c.body, coalesce(chr(10) || chr(10) || '[equivalent iso27001 ' || cite || ']' || chr(10) || eq.body, '') from c join nation on n_nationkey = n join region on r_regionkey = n_regionkey left join eq on f = k) select control_id, citation, context_prefix, md5(citation || case when body = '' then '' else chr(10) || body end || more) as content_md5, 0 as ordinal from own",

@@ -63,13 +63,15 @@ def resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _resolved(spark, sf_dir).withColumn("from_citation", F.concat(F.lit("O-"), F.col("from_control_id").cast("string")))
-    return mapping.unresolved_groups(held, 50)
+    """Orders are the controls that edges come from, customers' segments their frameworks; some orders' customers are no documents."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"))
+    docs = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("framework_code"))
+    return mapping.unresolved_groups(_resolved(spark, sf_dir), orders, docs, 50)
 
 
 def outbound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, *_ = controls(spark, sf_dir)
-    return mapping.outbound(_resolved(spark, sf_dir), held).select(*_EDGE, "to_control_id", "to_citation", "resolved")
+    return mapping.outbound(_resolved(spark, sf_dir), held.withColumn("title", F.col("citation"))).select(*_EDGE, "to_control_id", "resolved_title", "resolved")
 
 
 def inbound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +93,15 @@ def longest_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, versions, relations = controls(spark, sf_dir)
-    return tree.lineage(relations, versions.withColumn("edition_note", F.lit("edition")), "iso27001", "N")
+    """Suppliers' parts as a framework's versions: a price of the same supplier is superseded by the next higher one; lineage of one supplier's dearest."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    version = F.concat(F.lit("v"), F.year("l_shipdate").cast("string"))
+    each = lines.groupBy(F.col("s_name").alias("framework_code"), version.alias("version_label")).agg(F.count("*").alias("n"))
+    newest = each.groupBy("framework_code").agg(F.max("version_label").alias("newest"))
+    versions = each.join(newest, "framework_code").select("framework_code", "version_label", (F.col("version_label") == F.col("newest")).alias("is_current"), F.concat(F.col("n").cast("string"), F.lit(" lines")).alias("edition_note"))
+    year = F.substring("version_label", 2, 4).cast("int")
+    relations = versions.select(F.col("framework_code").alias("from_framework_code"), F.col("version_label").alias("from_version_label"), F.col("framework_code").alias("to_framework_code"), F.concat(F.lit("v"), (year - 1).cast("string")).alias("to_version_label"), F.lit("supersedes").alias("relation_type"), F.concat(F.lit("one year after, with "), "edition_note").alias("note"))
+    return tree.lineage(relations, versions, "Supplier#000000003", "v1996")
 
 
 def prefix_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +159,7 @@ def ancestor_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.col("n_name").alias("citation"))
     customer = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.col("c_name").alias("citation"))
     every = region.unionAll(nation).unionAll(customer)
-    return tree.ancestors(every, 3).select("id", F.array_join("path", " > ").alias("path"))
+    return tree.ancestors(every).select("id", F.array_join("path", " > ").alias("path"))
 
 
 def dotted_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,12 +215,12 @@ ORACLES = {
     "resolve_annex": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'annex-prefix'",
     "resolve_supersession": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'supersession'",
     "resolve_all": f"with {_R} select to_framework_code, coalesce(resolved_by, 'open') as resolved_by, count(*) as edges, count(distinct to_control_id) as targets from resolved group by 1, 2",
-    "unresolved_groups": f"with {_R} select to_framework_code, to_version_label, to_citation_norm, mapping_source_code, count(*) as edges, string_agg(distinct 'O-' || from_control_id, ', ' order by 'O-' || from_control_id) as from_citations from resolved where to_control_id is null group by 1, 2, 3, 4 order by edges desc, to_framework_code, to_citation_norm, to_version_label nulls first, mapping_source_code limit 50",
-    "outbound_edges": f"with {_R} select {_KEYS}, to_control_id, c.citation as to_citation, to_control_id is not null as resolved from resolved left join controls c on c.id = to_control_id",
+    "unresolved_groups": f"with {_R} select to_framework_code, coalesce(to_version_label, '') as to_version_label, to_citation_norm, mapping_source_code, count(*) as edges, string_agg(distinct lower(c_mktsegment), ', ' order by lower(c_mktsegment)) as from_frameworks from resolved join orders on o_orderkey = from_control_id join customer on c_custkey = o_custkey and c_acctbal > 0 where to_control_id is null group by resolved.to_framework_code, resolved.to_version_label, resolved.to_citation_norm, resolved.mapping_source_code order by edges desc, to_framework_code, to_citation_norm, coalesce(to_version_label, ''), mapping_source_code limit 50",
+    "outbound_edges": f"with {_R} select {_KEYS}, to_control_id, coalesce(c.citation, '') as resolved_title, to_control_id is not null as resolved from resolved left join controls c on c.id = to_control_id",
     "inbound_edges": f"with {_R} select to_control_id, o_orderpriority as from_citation, count(*) as edges from resolved join orders on o_orderkey = from_control_id where to_control_id is not null group by 1, 2",
     "structural_edges": f"with {_C}, both_ways as (select a.id as a, b.id as b, a.citation_norm as an, b.citation_norm as bn from controls a join controls b on b.citation_norm = substr(a.citation_norm, 3) where a.citation_norm like 'A.%' and b.citation_norm not like 'A.%') select a as from_id, bn as to_norm, 'equivalent' as relationship from both_ways union all select b, an, 'equivalent' from both_ways",
     "longest_equivalent": "with p as (select f.doc_id as from_id, t.doc_id as to_id, length(t.text) as n from documents f join documents t on t.doc_id in (f.doc_id + 20, f.doc_id + 40, f.doc_id + 60) where length(t.text) > coalesce(length(f.text), 0)) select from_id, to_id, n as length from p qualify row_number() over (partition by from_id order by n desc, to_id) = 1",
-    "version_lineage": "select 0 as block, 'from' as kind, 'iso27001' as framework_code, 'R' as version_label, 'amends' as relation_type, false as is_current, 'N amends R' as note union all select 1, 'version', 'iso27001', 'N', '', true, 'edition' union all select 1, 'version', 'iso27001', 'R', '', false, 'edition'",
+    "version_lineage": "with v as (select s_name as f, 'v' || year(l_shipdate) as v, year(l_shipdate) as y, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey where s_name = 'Supplier#000000003' group by 1, 2, 3), c as (select *, y = max(y) over () as cur from v) select 0 as block, 'from' as kind, f as framework_code, 'v1995' as version_label, 'supersedes' as relation_type, coalesce((select cur from c where y = 1995), false) as is_current, 'one year after, with ' || n || ' lines' as note from c where y = 1996 union all select 0, 'to', f, 'v1997', 'supersedes', cur, 'one year after, with ' || n || ' lines' from c where y = 1997 union all select 1, 'version', f, v, '', cur, n || ' lines' from c",
     "prefix_refs": "select n_nationkey as from_id, 'ISO/IEC 27001' as prefix, 'iso27001' as to_framework_code, 'A.5.' || n_nationkey as to_citation_norm from nation union all select n_nationkey, 'CIS', 'ciscontrols', '4.1' from nation union all select n_nationkey, 'OTHER', null, 'x' from nation",
     "iso_forms": r"""with f(form) as (values ('2022: Annex A Controls: 5.@'), ('2022: Annex A Controls: 5.@,'), ('2022: Mandatory Clause: 4.@'), ('2022: Control 5.@'), ('2022: Mandatory Clause: None'), ('2022: Annex A Controls:'), ('2022: Annex A Controls: 5.@, 5.1'), ('2013: Annex A Controls: 5.@'), ('2022: Something 5.@'), ('A5.@'), ('A.5.@'), ('7.@'), ('7.@.1'), ('@'), ('ac-@'), ('AC-2(@)'), ('pr.aa-0@'), ('x')),
         t as (select n_nationkey, form, n_nationkey::varchar as k, replace(form, '@', n_nationkey::varchar) as text from nation, f)

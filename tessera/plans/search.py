@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.durable import durable, spread
+from tessera.durable import durable, shared_dir, spread
 from tessera.functions.citations import SCHEMES, clean_citation, cite_string, match_citations, zero_pad
 from tessera.functions.text import embedding_query, embedding_text, same_model
 from tessera.functions.tokens import dimension, sparse_literal, tokens
 from tessera.operators import dense, fusion, lexical, retrieval
-from tessera.plans.tables import CHUNKS, COSINE, QUERY, TERMS, TOKENS, WEIGHTS, chunk_keys, chunks, query_vector, read, texts
+from tessera.operators.lexical_store import LexicalStore
+from tessera.plans.tables import CHUNKS, COSINE, QUERY, TERMS, TOKENS, WEIGHTS, chunk_keys, chunks, lexical_index, query_vector, read, texts
 
 _current = lambda keys: keys.filter("is_current and status = 'active'")
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_index(spark, sf_dir).asked(lexical.terms_of(spark, QUERY))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_k(texts(spark, sf_dir), QUERY, 20)
+    return lexical.best(_asked(spark, sf_dir), 20)
 
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     within = _current(chunk_keys(spark, sf_dir)).select(F.col("chunk_id").alias("doc_id"))
-    return lexical.top_k(texts(spark, sf_dir), QUERY, 20, within)
+    return lexical.best(_asked(spark, sf_dir), 20, within)
 
 
 def bm25_doc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed vectors of all documents, a row for each: its dimensions, their sum of weights, and the heaviest one."""
-    vectors = lexical.document_vectors(lexical.term_weights(texts(spark, sf_dir)))
+    index = lexical_index(spark, sf_dir)
+    vectors = lexical.document_vectors(lexical.weights(index.postings(), index.statistics(), df=index.frequencies()))
     heavy = F.max_by("dim", F.struct(F.round("w", 6), -F.col("dim")))
     return vectors.groupBy("doc_id").agg(F.count("*").alias("dims"), F.round(F.sum("w"), 4).alias("total"), heavy.alias("heaviest"))
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf, stats = lexical.index(texts(spark, sf_dir))
-    terms = lexical.document_frequencies(tf).agg(F.count("*").alias("terms"), F.max("df").alias("most"))
-    return stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
+    index = lexical_index(spark, sf_dir)
+    terms = index.frequencies().agg(F.count("*").alias("terms"), F.max("df").alias("most"))
+    return index.statistics().select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
+
+
+def index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all languages but French; then one batch with French, with poor documents rewritten, and without those of a source. It says what one built anew from what is left says."""
+    docs = texts(spark, sf_dir)
+    store = LexicalStore(spark, f"{shared_dir(spark)}/index-batches-{uuid.uuid4().hex}")
+    store.build(docs.filter("lang <> 'fr'"))
+    gone = docs.filter("source = 'src3'").select("doc_id")
+    poor = docs.join(read(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" rewritten thonnt reation")))
+    store.apply(docs.filter("lang = 'fr'").join(poor.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text").unionByName(poor.select("doc_id", "text")))
+    store.apply(docs.limit(0), gone)
+    hits = lexical.best(store.asked(lexical.terms_of(spark, QUERY)), 50)
+    sums = store.frequencies().agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return hits.crossJoin(F.broadcast(store.statistics().select("n", F.round("avgdl", 6).alias("avgdl")))).crossJoin(F.broadcast(sums))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +79,7 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     near = fusion.with_rank(dense_topk(spark, sf_dir), "similarity", "vec_id").select(F.col("vec_id").alias("chunk_id"), "rank")
-    words = lexical.top_k(texts(spark, sf_dir), QUERY)
+    words = lexical.best(_asked(spark, sf_dir))
     return near, fusion.with_rank(words, "score", "doc_id").select(F.col("doc_id").alias("chunk_id"), "rank")
 
 
@@ -72,7 +94,7 @@ def rrf_pinned_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    hits = fusion.with_rank(lexical.top_k(texts(spark, sf_dir), QUERY, k), "score", "doc_id")
+    hits = fusion.with_rank(lexical.best(_asked(spark, sf_dir), k), "score", "doc_id")
     return hits.join(read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
 
 
@@ -87,7 +109,7 @@ def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     keys = docs.select("doc_id", "source", "lang")
-    asked = lexical.asked_index(texts(spark, sf_dir), lexical.terms_of(spark, QUERY))
+    asked = _asked(spark, sf_dir)
     top = lambda within, k: fusion.with_rank(lexical.best(asked, k, within), "score", "doc_id")
     older = fusion.best_per_group(top(keys.filter("lang <> 'en'"), 3).join(keys, "doc_id"), ["source", "lang"]).select("doc_id", "score", "rank")
     return fusion.append_new(top(keys.filter("lang = 'en'"), 8), older, "doc_id").select("rank", "doc_id", "score")
@@ -95,7 +117,7 @@ def lineage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieval.search(chunks(spark, sf_dir), vectors, QUERY, query_vector(spark, sf_dir))
+    return retrieval.search(chunk_keys(spark, sf_dir), vectors, QUERY, query_vector(spark, sf_dir), index=lexical_index(spark, sf_dir))
 
 
 def search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +136,7 @@ def evidence_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical hits as a caller sees them: cite string, version status and score."""
-    words = fusion.with_rank(lexical.top_k(texts(spark, sf_dir), QUERY, 20), "score", "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    words = fusion.with_rank(lexical.best(_asked(spark, sf_dir), 20), "score", "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return retrieval.shaped(words.join(chunk_keys(spark, sf_dir).withColumn("citation", F.concat(F.lit("D-"), F.col("chunk_id").cast("string"))), "chunk_id"))
 
 
@@ -218,12 +240,13 @@ def _match_sql() -> str:
     return f"with numbers as ({numbers}), asked as (select query_id, {_SENTENCE} as q from numbers), each as ({union}) select query_id, scheme, unnest(found) as citation, (generate_subscripts(found, 1) - 1)::int as n from each"
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_doc_weights, corpus_statistics, dense_topk, dense_filtered, arm_ranks, unit_vectors, rrf_fuse, rrf_pinned_weight, cap_per_group, best_per_group, lineage_append, search_hydrated, abstain_flags, citation_match, citation_clean, evidence_floors, shaped_hits, reduced_detail, citation_pins, dimension_literals, embedding_texts)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_doc_weights, corpus_statistics, index_batches, dense_topk, dense_filtered, arm_ranks, unit_vectors, rrf_fuse, rrf_pinned_weight, cap_per_group, best_per_group, lineage_append, search_hydrated, abstain_flags, citation_match, citation_clean, evidence_floors, shaped_hits, reduced_detail, citation_pins, dimension_literals, embedding_texts)}
 ORACLES = {
     "bm25_topk": f"with {WEIGHTS} {_ASKED} order by score desc, doc_id limit 20",
     "bm25_filtered": f"with {WEIGHTS}, {CHUNKS} {_LEXICAL.format(terms=TERMS, within=" and doc_id in (select doc_id from chunks where is_current and status = 'active')")} order by score desc, doc_id limit 20",
     "bm25_doc_weights": f"with {WEIGHTS}, v as (select doc_id, ({_FNV} % 1048576 + 1)::int as dim, sum(w) as w from weights group by 1, 2) select doc_id, count(*) as dims, round(sum(w), 4) as total, arg_max(dim, round(w, 6) * 10000000 - dim / 10000000.0) as heaviest from v group by 1",
     "corpus_statistics": f"with {WEIGHTS} select n, round(avgdl, 6) as avgdl, terms, most from stats, (select count(*) as terms, max(df) as most from df)",
+    "index_batches": f"with d as (select doc_id, case when exists (select 1 from labels l where l.doc_id = documents.doc_id and quality = 0) then coalesce(text, '') || ' rewritten thonnt reation' else text end as text from documents where source <> 'src3'), {WEIGHTS.replace('from documents', 'from d')}, hits as ({_ASKED} order by score desc, doc_id limit 50) select doc_id, score, n, round(avgdl, 6) as avgdl, terms, postings from hits, stats, (select count(*) as terms, sum(df)::bigint as postings from df)",
     "dense_topk": f"select e.vec_id, {COSINE} as similarity from embeddings e, embeddings q where q.vec_id = 0 order by similarity desc, e.vec_id limit 50",
     "dense_filtered": f"select e.vec_id, {COSINE} as similarity from embeddings e, embeddings q where q.vec_id = 0 and e.label = 1 order by similarity desc, e.vec_id limit 50",
     "arm_ranks": f"with {_NEAR} select vec_id, r::int as rank, similarity, round(1 - similarity, 6) as distance from near join nearr on chunk_id = vec_id",

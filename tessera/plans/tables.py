@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.durable import spread
+from tessera.durable import shared_dir, spread
+from tessera.operators.lexical_store import LexicalStore
 
-#: Documents with less text than this are one chunk each anyway; the role needs no table.
 CURRENT = "en"
 QUERY = "What control does the thonnt reation and ering address"
 VECTOR = 0
@@ -22,6 +22,24 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents"))
 
 
+def lexical_index(spark: SparkSession, sf_dir: str) -> LexicalStore:
+    """The stored index of the documents' texts, in the shared folder; built by the first query that asks for it.
+
+    It goes by the table's files, their sizes and times, so that a table that has changed gets another.
+    """
+    docs = read(spark, sf_dir, "documents")
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    known = docs.select(file.alias("f")).distinct().agg(F.coalesce(F.bit_xor("f"), F.lit(0)).alias("f"), F.count("*").alias("n")).first()
+    store = LexicalStore(spark, f"{shared_dir(spark)}/lexical-{known.f & (1 << 64) - 1:016x}-{known.n}")
+    if not store.exists():
+        try:
+            store.build(texts(spark, sf_dir))
+        except RuntimeError:
+            if not store.exists():  # else another has built it meanwhile
+                raise
+    return store
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, framework_code, version_label, is_current, status, content."""
     return _chunks(spark, sf_dir, texts(spark, sf_dir))
