@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import durable
 from tessera.functions.citations import cite_string, match_citations, version_status
 from tessera.operators import dense, fusion, lexical
 from tessera.operators.lexical_store import LexicalStore
@@ -64,8 +66,6 @@ def pinned(keys: DataFrame, query: str, o: Options) -> DataFrame:
     held = eligible(keys, o).join(F.broadcast(asked), "citation_norm")  # the citations of one query
     held = held.orderBy(F.desc("is_current"), "framework_code", "version_label", "citation_norm", "ordinal", "chunk_id").limit(PINS)
     order = [F.desc("is_current"), "framework_code", "version_label", "citation_norm", "ordinal", "chunk_id"]
-    from pyspark.sql import Window
-
     return held.select("chunk_id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
@@ -124,6 +124,110 @@ def lineage_hits(keys: DataFrame, vectors: DataFrame | None, vector: Sequence[fl
     return own.select("chunk_id", "score", "vector_rank", "bm25_rank", "similarity", "bm25_score", "rank")
 
 
+def _may(o: Options, non_current: bool = False) -> Column:
+    """eligible() as a condition on a query's fields and a chunk's, side by side."""
+    status = (F.col("status") == "active") | (F.col("withdrawn") & (F.col("status") == "withdrawn"))
+    held = status & ((F.col("framework") == "") | (F.col("framework_code") == F.col("framework")))
+    if non_current:
+        return held & ~F.col("is_current")
+    current = F.lit(True) if o.current_only is False else F.col("is_current")
+    return held & F.when(F.col("version") != "", F.col("version_label") == F.col("version")).otherwise(current)
+
+
+_CHUNK_FIELDS = ("framework_of", "version_of", "current_of", "status_of")
+_QUERY_FIELDS = ("framework_asked", "any_framework", "version_asked", "any_version", "withdrawn_too")
+
+
+def _base(q: dict[str, np.ndarray], v: dict[str, np.ndarray]) -> np.ndarray:
+    up = lambda x: x[:, None]
+    status = (v["status_of"] == 0) | (up(q["withdrawn_too"]) > 0) & (v["status_of"] == 1)
+    return status & ((up(q["any_framework"]) > 0) | (up(q["framework_asked"]) == v["framework_of"]))
+
+
+def _may_current(q: dict[str, np.ndarray], v: dict[str, np.ndarray]) -> np.ndarray:
+    return _base(q, v) & np.where(q["any_version"][:, None] > 0, v["current_of"][None] > 0, q["version_asked"][:, None] == v["version_of"][None])
+
+
+def _may_any(q: dict[str, np.ndarray], v: dict[str, np.ndarray]) -> np.ndarray:
+    return _base(q, v) & ((q["any_version"][:, None] > 0) | (q["version_asked"][:, None] == v["version_of"][None]))
+
+
+def _may_old(q: dict[str, np.ndarray], v: dict[str, np.ndarray]) -> np.ndarray:
+    return _base(q, v) & (v["current_of"][None] == 0)
+
+
+def _ranked(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
+def search_many(keys: DataFrame, vectors: DataFrame, queries: DataFrame, index: LexicalStore, o: Options = Options()) -> DataFrame:
+    """query_id, rank, chunk_id, score, vector_rank, bm25_rank, similarity, bm25_score: search() for every query at once.
+
+    queries: query_id, query, and as they like embedding, framework, version and include_withdrawn, in place of what the
+    options say; a query without an embedding has its lexical arm only, one without text no hits. keys: chunks without
+    content. Arms, fusion, caps, pins and lineage are joins and windows by query, and their limits stand before the
+    shuffles. Filters stand before ranks: the lexical arm's on what it has scored, the dense arm's within its products.
+    """
+    has = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in queries.columns else F.lit(other)
+    vector = F.col("embedding") if "embedding" in queries.columns else F.lit(None).cast("array<float>")
+    q = queries.filter("query <> ''").select("query_id", "query", vector.alias("embedding"), has("framework", o.framework).alias("framework"), has("version", o.version).alias("version"), has("include_withdrawn", o.include_withdrawn).alias("withdrawn"))
+    q = durable(q.withColumn("dense", F.col("embedding").isNotNull() & F.lit(o.mode != "bm25")), "queries")
+    asks = q.select("query_id", "framework", "version", "withdrawn", "dense")
+    lineage = o.current_only is None
+
+    chunk = {"framework_of": F.xxhash64("framework_code"), "version_of": F.xxhash64("version_label"), "current_of": F.col("is_current").cast("long"), "status_of": F.when(F.col("status") == "active", 0).when(F.col("status") == "withdrawn", 1).otherwise(2)}
+    asked = {"framework_asked": F.xxhash64("framework"), "any_framework": (F.col("framework") == "").cast("long"), "version_asked": F.xxhash64("version"), "any_version": (F.col("version") == "").cast("long"), "withdrawn_too": F.col("withdrawn").cast("long")}
+    held = vectors.select("chunk_id", "embedding").join(keys.select("chunk_id", *[c.alias(n) for n, c in chunk.items()]), "chunk_id")
+    near_of = lambda rows, k, may: dense.top_k_many(held, rows.filter("dense").select("query_id", "embedding", *[c.alias(n) for n, c in asked.items()]), k, "chunk_id", fields=_CHUNK_FIELDS, query_fields=_QUERY_FIELDS, allowed=may)
+    near = near_of(q, o.vector_k, _may_any if o.current_only is False else _may_current).withColumnRenamed("rank", "v")
+
+    terms = lexical.query_terms(q)
+    scored = lexical.score(index.asked_many(terms, "chunk_id"), terms, "chunk_id").withColumnRenamed("score", "bm25_score")
+    if o.mode == "vector":
+        scored = scored.filter(F.lit(False))
+    words = scored.join(keys, "chunk_id").join(asks, "query_id")
+    if lineage:
+        words = durable(words, "scored")
+    best = lambda rows, k: _ranked(rows, F.desc("bm25_score"), "chunk_id", name="b").filter(F.col("b") <= k)
+    word = best(words.filter(_may(o)), o.bm25_k).select("query_id", "chunk_id", "bm25_score", "b")
+
+    fused = near.join(word, ["query_id", "chunk_id"], "full")
+    pins = None
+    weight, left = F.lit(float(o.lexical_weight)), F.lit(o.top_k)
+    if "citation_norm" in keys.columns:
+        named = q.select("query_id", F.explode(match_citations(F.col("query"), o.scheme)).alias("m")).select("query_id", F.col("m.citation").alias("citation_norm")).distinct()
+        pins = named.join(keys, "citation_norm").join(asks, "query_id").filter(_may(o))
+        pins = durable(_ranked(pins, F.desc("is_current"), "framework_code", "version_label", "citation_norm", "ordinal", "chunk_id").filter(F.col("rank") <= PINS).select("query_id", "chunk_id", "rank"), "pins")
+        fused = fused.join(pins.groupBy("query_id").agg(F.count("*").cast("int").alias("pins")), "query_id", "left")
+        weight = F.when(F.col("pins") > 0, float(max(o.lexical_weight, fusion.PINNED_WEIGHT))).otherwise(weight)
+        left = F.greatest(o.top_k - F.coalesce("pins", F.lit(0)), F.lit(1))
+    part = lambda rank, w: F.coalesce(w / (F.col(rank) + o.rrf_k), F.lit(0.0))
+    fused = fused.withColumn("score", F.round(part("v", F.lit(1.0)) + part("b", weight), fusion.DECIMALS)).withColumn("left", left)
+    hits = _ranked(fused, F.desc("score"), "chunk_id").filter(F.col("rank") <= F.col("left"))
+    if o.doc_cap:
+        own = F.row_number().over(Window.partitionBy("query_id", "framework_code").orderBy("rank")) > o.doc_cap
+        hits = _ranked(hits.join(keys.select("chunk_id", "framework_code"), "chunk_id").withColumn("over", own), "over", F.col("rank"), name="place").withColumn("rank", F.col("place"))
+    none = F.lit(None).cast("double")
+    zero = F.lit(0)
+    shape = lambda rows, arm: rows.select("query_id", "chunk_id", "score", F.coalesce("v", zero).alias("vector_rank"), F.coalesce("b", zero).alias("bm25_rank"), "similarity", "bm25_score", F.lit(arm).alias("arm"), "rank")
+    out = shape(hits, 1)
+    if pins is not None:
+        lead = shape(pins.withColumns({"score": F.lit(1.0), "v": zero, "b": zero, "similarity": none, "bm25_score": none}), 0)
+        both = lead.unionByName(out.join(pins.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
+        out = _ranked(both, "arm", "rank", "chunk_id", name="place").filter((F.col("arm") == 0) | (F.col("place") <= o.top_k)).withColumn("rank", F.col("place")).drop("place")
+    if lineage:
+        k = min(LINEAGE, o.top_k)
+        free = q.filter("version = ''")
+        by_vector = near_of(free, k, _may_old).withColumns({"score": F.lit(0.0), "v": F.col("rank"), "b": zero, "bm25_score": none})
+        by_words = best(words.filter("version = '' and not dense").filter(_may(o, non_current=True)), k).withColumns({"score": F.lit(0.0), "v": zero, "rank": F.col("b"), "similarity": none})
+        older = shape(by_vector, 2).unionByName(shape(by_words, 2)).join(keys.select("chunk_id", "framework_code", "version_label"), "chunk_id")
+        own = F.row_number().over(Window.partitionBy("query_id", "framework_code", "version_label").orderBy("rank"))
+        older = older.withColumn("own", own).filter("own = 1").select(out.columns)
+        out = durable(out, "hits")
+        out = out.unionByName(older.join(out.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
+    return _ranked(out, "arm", F.col("rank"), "chunk_id", name="place").select("query_id", F.col("place").alias("rank"), "chunk_id", "score", "vector_rank", "bm25_rank", "similarity", "bm25_score")
+
+
 def evidence(hits: DataFrame, floor: float = 0.0) -> DataFrame:
     """One row: hits, top_score (of scores below 1), top_cosine, abstained: nothing found, or, where an arm was dense, no cosine at the floor."""
     held = hits.agg(F.count("*").alias("hits"), F.max(F.when(F.col("score") < 1.0, F.col("score"))).alias("top_score"), F.max("similarity").alias("top_cosine"), F.coalesce(F.max(F.col("vector_rank") > 0), F.lit(False)).alias("dense"))

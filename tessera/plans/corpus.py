@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.citations import cell_column, cell_row
 from tessera.functions.text import chunk_content, context_prefix, labelled_body
-from tessera.operators import evaluation, lexical, mapping, state, status
+from tessera.durable import durable
+from tessera.operators import evaluation, lexical, mapping, retrieval, state, status
 from tessera.operators.embedding import build_chunks
-from tessera.plans.tables import CHUNKS, TOKENS, chunk_keys, chunks, lexical_index, read
+from tessera.plans.tables import CHUNKS, COSINE, TOKENS, chunk_keys, chunks, lexical_index, read
 
 
 def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +249,39 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cases, expected
 
 
+def _asked_in_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item twice: in the open lane, and in one that names the framework and version of the first document it expects. Its vector is that of its id."""
+    _, expected = _cases(spark, sf_dir)
+    pinned = expected.groupBy("case_id").agg(F.min_by(F.struct("framework_code", "version_label"), F.col("citation_norm").cast("long")).alias("p"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), "embedding")
+    held = items.join(vectors, "case_id", "left").join(pinned, "case_id", "left").crossJoin(spark.createDataFrame([("open",), ("pinned",)], "lane string"))
+    named = lambda c: F.when((F.col("lane") == "pinned") & F.col("p").isNotNull(), F.col(f"p.{c}")).otherwise("")
+    return held.select(F.concat_ws(":", "lane", F.col("case_id").cast("string")).alias("query_id"), "case_id", "lane", "query", "embedding", named("framework_code").alias("framework"), named("version_label").alias("version"))
+
+
+def _lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked_in_lanes(spark, sf_dir)
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieval.search_many(chunk_keys(spark, sf_dir), vectors, asked, lexical_index(spark, sf_dir))
+
+
+def hybrid_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lanes' hits of every benchmark item, one job."""
+    return _lane_hits(spark, sf_dir).select("query_id", "rank", "chunk_id", "score", "vector_rank", "bm25_rank")
+
+
+def eval_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of either lane of hybrid search over every benchmark item, and which floors the open one misses."""
+    cases, expected = _cases(spark, sf_dir)
+    found = durable(_lane_hits(spark, sf_dir).join(chunk_keys(spark, sf_dir), "chunk_id"), "lane-hits")
+    lane, case = F.split("query_id", ":")[0], F.split("query_id", ":")[1].cast("long")
+    hits = found.select(lane.alias("lane"), case.alias("case_id"), "rank", "framework_code", "version_label", F.col("chunk_id").cast("string").alias("citation_norm"), "is_current")
+    both = evaluation.lanes(cases, expected, hits.filter("lane = 'open'").drop("lane"), hits.filter("lane = 'pinned'").drop("lane"))
+    misses = both["gate"].agg(F.array_join(F.array_sort(F.collect_list("metric")), ",").alias("missed"))
+    return both["open"].withColumn("lane", F.lit("open")).crossJoin(F.broadcast(misses)).unionByName(both["pinned"].withColumns({"lane": F.lit("pinned"), "missed": F.lit("")}))
+
+
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.case_metrics(*_golden(spark, sf_dir)).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
@@ -295,7 +329,31 @@ _EVAL = f"""asked as (select distinct item_id as case_id, term from (select item
     agg as (select count(*) as cases, count(*) filter (want > 0) as recall_cases, count(*) filter (returned > 0) as current_cases, (select count(*) from metrics where expect_fail) as gap_cases, (select count(*) from metrics where expect_fail and want > 0 and found = want) as gap_passes, round(coalesce(sum(found) / nullif(sum(want), 0), 0), 6)::double as recall, round(coalesce(sum(rr) filter (want > 0) / nullif(count(*) filter (want > 0), 0), 0), 6)::double as mrr,
         round(coalesce(sum(ok) / nullif(sum(returned), 0), 0), 6)::double as current, round(coalesce(count(*) filter (abstain_ok) / nullif(count(*), 0), 0), 6)::double as abstain from metrics where not expect_fail)"""
 
-QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, json_capture, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
+_LANES = f"""want as (select doc_id % (select max(item_id) + 1 from benchmark) as case_id, source as f, lang as v, doc_id as d from documents),
+    pin as (select case_id, arg_min(f, d) as f, arg_min(v, d) as v from want group by 1),
+    q as materialized (select lane || ':' || item_id as q, item_id as case_id, lane, case when lane = 'pinned' then coalesce(f, '') else '' end as f, case when lane = 'pinned' then coalesce(v, '') else '' end as v from benchmark left join pin on case_id = item_id, (values ('open'), ('pinned')) l(lane) where text <> ''),
+    terms as (select distinct item_id as case_id, term from (select item_id, unnest({TOKENS.format("text")}) as term from benchmark) where term not in ({_STOP})),
+    scored as materialized (select case_id, doc_id, round(sum(w), 6) as score from weights join terms using (term) group by 1, 2 having round(sum(w), 6) > 0),
+    cos as materialized (select q.vec_id as case_id, e.vec_id as doc_id, {COSINE} as similarity from embeddings e, embeddings q where q.vec_id in (select case_id from q)),
+    ok as materialized (select q, case_id, doc_id, c.is_current, c.framework_code, c.version_label, q.v as pinned, case when q.v <> '' then c.version_label = q.v else c.is_current end as main from q join chunks c on c.status = 'active' and (q.f = '' or c.framework_code = q.f)),
+    near as (select q, doc_id, row_number() over (partition by q order by similarity desc, doc_id) as r from ok join cos using (case_id, doc_id) where main qualify r <= 50),
+    words as (select q, doc_id, row_number() over (partition by q order by score desc, doc_id) as r from ok join scored using (case_id, doc_id) where main qualify r <= 50),
+    fused as (select coalesce(n.q, w.q) as q, coalesce(n.doc_id, w.doc_id) as doc_id, round(coalesce(1.0 / (20 + n.r), 0) + coalesce(0.5 / (20 + w.r), 0), 9)::double as score, coalesce(n.r, 0)::int as vr, coalesce(w.r, 0)::int as br from near n full join words w on n.q = w.q and n.doc_id = w.doc_id),
+    main as (select *, 1 as arm, row_number() over (partition by q order by score desc, doc_id) as r from fused qualify r <= 8),
+    old_near as (select q, doc_id, framework_code, version_label, row_number() over (partition by q order by similarity desc, doc_id) as r, true as dense from ok join cos using (case_id, doc_id) where not is_current and pinned = '' qualify r <= 3),
+    old_words as (select q, doc_id, framework_code, version_label, row_number() over (partition by q order by score desc, doc_id) as r, false as dense from ok join scored using (case_id, doc_id) where not is_current and pinned = '' and case_id not in (select vec_id from embeddings) qualify r <= 3),
+    older as (select * from (select * from old_near union all select * from old_words) qualify row_number() over (partition by q, framework_code, version_label order by r) = 1),
+    listed as (select q, doc_id, score, vr, br, arm, r from main union all select q, doc_id, 0.0, case when dense then r else 0 end, case when dense then 0 else r end, 2, r from older o where not exists (select 1 from main m where m.q = o.q and m.doc_id = o.doc_id)),
+    many as materialized (select q, (row_number() over (partition by q order by arm, r, doc_id))::int as rank, doc_id, score, vr::int as vr, br::int as br from listed)"""
+
+
+def _lane_sql(lane: str) -> str:
+    """The summary's SQL over one lane's hits."""
+    hits = _EVAL[_EVAL.index("    cases as") :]
+    return f"select * from (with hits as (select case_id, rank, lower(source) as f, d.lang as v, doc_id::varchar as c, d.lang = 'en' as cur from many m join q on q.q = m.q join documents d using (doc_id) where q.lane = '{lane}'), {hits.strip()} select *, '{lane}' as lane from agg)"
+
+
+QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
 
 
 def _oracles() -> dict[str, str]:
@@ -333,6 +391,8 @@ def _oracles() -> dict[str, str]:
         "relation_upsert": "select lower(n_name) as from_framework_code, 'v2' as from_version_label, lower(n_name) as to_framework_code, 'v1' as to_version_label, 'supersedes' as relation_type, case when lower(n_name) < 'g' then 'new' else 'old' end as note from nation union all select 'ciscontrols', 'v8.1', 'ciscontrols', 'v8', 'supersedes', 'v8.1 supersedes v8' union all select 'csaccm', 'v4.1', 'csaccm', 'v4.0', 'supersedes', 'v4.1 supersedes v4.0'",
         "control_rebuild": "with gone as (select c_custkey as id from customer where c_nationkey = 7), kept as (select c_custkey as id, c_nationkey as d from customer where c_nationkey <> 7 union all select c_custkey + 1000000, 7 from customer where c_nationkey = 7 and c_acctbal > 0), e as (select o_custkey as f, o_custkey % 97 + 1 as t from orders where o_custkey not in (from gone)) select d as document_id, count(*) as controls, sum(id)::bigint as ids, 'controls' as kind from kept group by 1 union all select case when t in (from gone) then -1 else -2 end, count(*), sum(f)::bigint, 'edges' from e group by 1",
         "built_chunks": "with c as (select c_custkey as k, c_nationkey as n, c_name as name, repeat(c_name || ' ', (c_custkey % 4)::int) as body from customer), eq as (select f.k as f, t.name as cite, t.body as body from c f join c t on t.k in (f.k + 1, f.k + 2) where length(t.body) > length(f.body) qualify row_number() over (partition by f.k order by length(t.body) desc, 'c' || t.k) = 1), own as (select 'r' || r_regionkey as control_id, r_name as citation, 'iso27001 2022' as context_prefix, repeat(r_name || ' ', (r_regionkey % 4)::int) as body, '' as more from region union all select 'n' || n_nationkey, n_name, 'iso27001 2022 > ' || r_name, repeat(n_name || ' ', (n_nationkey % 4)::int), '' from nation join region on r_regionkey = n_regionkey union all select 'c' || k, name, 'iso27001 2022 > ' || r_name || ' > ' || n_name, c.body, coalesce(chr(10) || chr(10) || '[equivalent iso27001 ' || cite || ']' || chr(10) || eq.body, '') from c join nation on n_nationkey = n join region on r_regionkey = n_regionkey left join eq on f = k) select control_id, citation, context_prefix, md5(citation || case when body = '' then '' else chr(10) || body end || more) as content_md5, 0 as ordinal from own",
+        "hybrid_many": f"with {WEIGHTS}, {CHUNKS}, {_LANES} select q as query_id, rank, doc_id as chunk_id, score, vr as vector_rank, br as bm25_rank from many",
+        "eval_lanes": f"with {WEIGHTS}, {CHUNKS}, {_LANES}, both_lanes as ({_lane_sql('open')} union all {_lane_sql('pinned')}) select *, case when lane = 'open' then concat_ws(',', case when cases > 0 and abstain < 0.9 then 'abstain' end, case when current_cases > 0 and current < 0.98 then 'current' end, case when recall_cases > 0 and mrr < 0.44 then 'mrr' end, case when recall_cases > 0 and recall < 0.66 then 'recall' end) else '' end as missed from both_lanes",
         "eval_cases": f"with {WEIGHTS}, {_EVAL} select case_id, returned = 0 as abstained, found || '/' || want as recall, case when rr > 0 then round(1 / rr)::int end as rank, case when returned > 0 then round(100.0 * ok / returned)::int else 0 end as current, case when expect_fail then case when want > 0 and found = want then 'GAP-PASS' else 'GAP' end when abstain_ok then 'PASS' else 'FAIL' end as outcome from metrics",
         "eval_dry_run": f"with c as (select item_id as id, item_id % 12 = 0 as a, item_id % 20 = 8 as f, item_id in (select doc_id % (select max(item_id) + 1 from benchmark) from documents) as w from benchmark) select count(*) as total, count(*) filter (not a and not f) as in_scope, count(*) filter (a) as abstaining, count(*) filter (f and not a) as failing, count(*) filter (not f) as cases, count(*) filter (not f and w) as recall_cases, 0::bigint as current_cases, count(*) filter (f) as gap_cases, 0::bigint as gap_passes, 0.0::double as recall, 0.0::double as mrr, 0.0::double as current, round(count(*) filter (not f and a) / count(*) filter (not f), 6)::double as abstain from c",
         "eval_metrics": f"with {WEIGHTS}, {_EVAL} select case_id, expect_abstain, expect_fail, found, want, round(rr, 6) as reciprocal_rank, ok, returned, abstain_ok from metrics",

@@ -170,16 +170,19 @@ def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abstain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every vector whose id is divisible by 20: the nearest other, and whether that lies below the floor.
+    """For every vector whose id is divisible by 20: the nearest other, and whether that lies below the floor."""
+    vectors = spread(read(spark, sf_dir, "embeddings")).select("vec_id", "embedding")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best = dense.top_k_many(vectors, queries, 1, apart=True)
+    return best.select("query_id", F.col("similarity").alias("top_cosine"), (F.col("similarity") < 0.5).alias("abstained"))
 
-    Where the queries are too many to be sent to all tasks, blocks of them meet blocks of vectors; either way a task keeps
-    the best of each of its queries before the merge.
-    """
-    vectors = spread(read(spark, sf_dir, "embeddings")).select("vec_id", "embedding", dense.norm(F.col("embedding")).alias("norm"))
-    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("norm").alias("query_norm"))
-    pairs = vectors.crossJoin(queries).filter("vec_id <> query_id").select("query_id", dense.cosine(F.col("embedding"), F.col("query"), F.col("norm"), F.col("query_norm")).alias("similarity"))
-    best = pairs.filter("similarity is not null").groupBy("query_id").agg(F.max("similarity").alias("top_cosine"))
-    return best.select("query_id", "top_cosine", (F.col("top_cosine") < 0.5).alias("abstained"))
+
+def dense_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose id is divisible by 20: the nearest ten of its own label, and of the next."""
+    vectors = spread(read(spark, sf_dir, "embeddings")).select("vec_id", "embedding", "label")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    allowed = lambda q, v: (v["label"][None] - q["label"][:, None]) % 10 <= 1
+    return dense.top_k_many(vectors, queries, 10, fields=["label"], query_fields=["label"], allowed=allowed)
 
 
 def citation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +243,7 @@ def _match_sql() -> str:
     return f"with numbers as ({numbers}), asked as (select query_id, {_SENTENCE} as q from numbers), each as ({union}) select query_id, scheme, unnest(found) as citation, (generate_subscripts(found, 1) - 1)::int as n from each"
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_doc_weights, corpus_statistics, index_batches, dense_topk, dense_filtered, arm_ranks, unit_vectors, rrf_fuse, rrf_pinned_weight, cap_per_group, best_per_group, lineage_append, search_hydrated, abstain_flags, citation_match, citation_clean, evidence_floors, shaped_hits, reduced_detail, citation_pins, dimension_literals, embedding_texts)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_doc_weights, corpus_statistics, index_batches, dense_topk, dense_filtered, arm_ranks, unit_vectors, rrf_fuse, rrf_pinned_weight, cap_per_group, best_per_group, lineage_append, search_hydrated, abstain_flags, dense_many, citation_match, citation_clean, evidence_floors, shaped_hits, reduced_detail, citation_pins, dimension_literals, embedding_texts)}
 ORACLES = {
     "bm25_topk": f"with {WEIGHTS} {_ASKED} order by score desc, doc_id limit 20",
     "bm25_filtered": f"with {WEIGHTS}, {CHUNKS} {_LEXICAL.format(terms=TERMS, within=" and doc_id in (select doc_id from chunks where is_current and status = 'active')")} order by score desc, doc_id limit 20",
@@ -258,6 +261,7 @@ ORACLES = {
     "lineage_append": f"with {WEIGHTS}, asked as (select * from ({_ASKED}) join (select doc_id, source, lang from documents) using (doc_id)), main as (select doc_id, score, row_number() over (order by score desc, doc_id) as r, 0 as arm from (select * from asked where lang = 'en' order by score desc, doc_id limit 8)), older as (select *, row_number() over (order by score desc, doc_id) as r from (select * from asked where lang <> 'en' order by score desc, doc_id limit 3)), own as (select doc_id, score, r, row_number() over (partition by source, lang order by r) as n from older), listed as (select doc_id, score, r, arm from main union all select doc_id, score, r, 1 from own where n = 1) select (row_number() over (order by arm, r, doc_id))::int as rank, doc_id, score from listed",
     "search_hydrated": _SEARCH,
     "abstain_flags": f"with s as (select q.vec_id as query_id, e.vec_id, {COSINE} as c from embeddings e, embeddings q where q.vec_id % 20 = 0), t as (select *, row_number() over (partition by query_id order by c desc, vec_id) as r from s), b as (select query_id, max(c) as top_cosine from t where r <= 2 and vec_id <> query_id group by 1) select query_id, top_cosine, top_cosine < 0.5 as abstained from b",
+    "dense_many": f"with s as (select q.vec_id as query_id, e.vec_id, {COSINE} as similarity from embeddings e, embeddings q where q.vec_id % 20 = 0 and (e.label - q.label + 10) % 10 <= 1), t as (select *, (row_number() over (partition by query_id order by similarity desc, vec_id))::int as rank from s) select * from t where rank <= 10",
     "citation_match": _match_sql(),
     "evidence_floors": f"with found as ({_SEARCH}), near as (select e.vec_id as chunk_id, {COSINE} as similarity from embeddings e, embeddings q where q.vec_id = 0), e as (select count(*) as hits, coalesce(max(score) filter (score < 1.0), 0) as top_score, coalesce(max(similarity) filter (vector_rank > 0), 0) as top_cosine, coalesce(bool_or(vector_rank > 0), false) as dense from found left join near using (chunk_id)), f(floor) as (values (0.0::double), (0.2), (1.5)) select hits, top_score, top_cosine, hits = 0 or (dense and floor > 0 and top_cosine < floor) as abstained, floor from e, f",
     "shaped_hits": f"with {WEIGHTS}, {CHUNKS}, hits as ({_ASKED} order by score desc, doc_id limit 20) select (row_number() over (order by score desc, doc_id))::int as rank, concat('D-', doc_id, ', ', framework_code, ' ', version_label) as cite, case when is_current then 'current' else 'superseded' end as version_status, score from hits join chunks using (doc_id)",
