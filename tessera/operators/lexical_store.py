@@ -2,8 +2,8 @@
 
 Three tables, published together, that only grow; every row bears a sign, and what counts is the sum:
 
-- forward: a document's length and its terms with their counts, by slots of keys. A batch finds here what its documents
-  said before, and reads the slots of its own keys only.
+- forward: a document's length and its terms with their counts, as its task has found them. A batch finds here what its
+  documents said before.
 - postings: a row for each term of each document, in a folder for each bucket of terms. A query reads the folders of its
   terms' buckets, and no text.
 - terms and totals: how documents, frequencies and lengths change with each batch.
@@ -26,18 +26,13 @@ from tessera.durable import durable
 from tessera.operators import lexical
 from tessera.published import Published
 
-BUCKETS, SLOTS, FILES = 32, 16, 4
-_BY = {"postings": ("bucket",), "forward": ("slot",)}
+BUCKETS, FILES = 32, 4
 
 
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
-
-
 class LexicalStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.published = spark, Published(spark, root)
@@ -52,13 +47,12 @@ class LexicalStore:
     def apply(self, changed: DataFrame, removed: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> int:
         """The next version, after new and changed documents (key, text) and removed ones (key). A key that is in both is changed."""
         after = self.published.version()
-        new = durable(lexical.counted(changed, key, text).select(F.col(key).alias("key"), "dl", "terms"), "lexical-batch")
-        touched = new.select("key")
+        new = lexical.counted(changed, key, text).select(F.col(key).alias("key"), "dl", "terms")
+        touched = changed.select(F.col(key).alias("key"))
         if removed is not None:
             touched = touched.unionByName(removed.select(F.col(key).alias("key")))
         touched = durable(touched.distinct(), "lexical-keys")
-        slots = [r.slot for r in touched.select(_slot(F.col("key")).alias("slot")).distinct().collect()]  # SLOTS at most
-        old = self._forward().filter(F.col("slot").isin(slots)).join(touched, "key", "left_semi").groupBy("key", "dl", "terms").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
+        old = self._forward().join(touched, "key", "left_semi").groupBy("key", "dl", "terms").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
         old = old.withColumn("sign", (-F.col("sign")).cast("int"))
         return self._add(old.select("key", "dl", "terms", "sign").unionByName(new.withColumn("sign", F.lit(1))), after)
 
@@ -73,11 +67,15 @@ class LexicalStore:
 
     def _add(self, delta: DataFrame, after: int, anew: bool = False) -> int:
         kept = {} if anew else self.published.listed(after)
-        forward = self.published.write("forward", delta.withColumn("slot", _slot(F.col("key"))).repartition(SLOTS, "slot"), _BY["forward"])
+        forward = self.published.write("forward", delta)
         held = self.published.written("forward", forward)
-        each = held.select("key", "dl", "sign", F.explode_outer("terms").alias("t")).filter("t is not null").select("key", "dl", "sign", "t.term", "t.tf").withColumn("bucket", bucket(F.col("term")))
-        dealt = each.repartition(BUCKETS * FILES, "bucket", F.pmod(F.xxhash64("key"), F.lit(FILES))).sortWithinPartitions("bucket", "term")
-        written = {"forward": forward, "postings": self.published.write("postings", dealt, _BY["postings"])}
+        each = held.select("key", F.explode_outer("terms").alias("t"), "dl", "sign").filter("t is not null")
+        # what a term says of a document is one number on its way to its bucket
+        said = F.shiftleft(F.col("t.tf").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("dl").cast("long"), 1)).bitwiseOR((F.col("sign") > 0).cast("long"))
+        dealt = each.select("key", "t.term", said.alias("said")).repartition(BUCKETS * FILES, bucket(F.col("term")), F.pmod(F.xxhash64("key"), F.lit(FILES))).withColumn("bucket", bucket(F.col("term")))
+        sign = F.when(F.col("said") % 2 == 1, 1).otherwise(-1)
+        dealt = dealt.sortWithinPartitions("bucket", "term").select("key", F.shiftright("said", 1).bitwiseAND((1 << 32) - 1).cast("int").alias("dl"), sign.alias("sign"), "term", F.shiftright("said", 33).cast("int").alias("tf"), "bucket")
+        written = {"forward": forward, "postings": self.published.write("postings", dealt, ["bucket"])}
         postings = self.published.written("postings", written["postings"])
         written["terms"] = self.published.write("terms", postings.groupBy("bucket", "term").agg(F.sum("sign").alias("df")).filter("df <> 0"))
         written["totals"] = self.published.write("totals", held.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("total")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The framework whose bare numbers may mean its annex, and known successors (from, to).
@@ -155,8 +157,33 @@ def dedupe_edges(edges: DataFrame, key: list[str]) -> DataFrame:
     return edges.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("source_name")), "; ").alias("sources"))
 
 
+def _prefixed(lines: DataFrame) -> DataFrame:
+    """from_id, prefix, rest of every line that is not blank; nulls where it has no colon."""
+    each = lines.select("from_id", F.explode(F.split("text", "\n")).alias("line")).select("from_id", F.trim("line").alias("line")).filter("line <> ''")
+    part = lambda pattern: F.when(F.contains("line", F.lit(":")), F.trim(F.regexp_extract("line", pattern, 1)))
+    return each.select("from_id", part("^([^:]*):").alias("prefix"), part("^[^:]*:(.*)$").alias("rest"))
+
+
 def prefix_references(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """from_id, prefix, rest, and what the longest part before a colon stands for; to_framework_code null if unknown. lines: from_id, text."""
-    each = lines.select("from_id", F.explode(F.split("text", "\n")).alias("line"))
-    each = each.select("from_id", F.trim(F.regexp_extract("line", r"^([^:]+):", 1)).alias("prefix"), F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1)).alias("rest")).filter("prefix <> ''")
+    """from_id, prefix, rest, and what the part before a line's first colon stands for; to_framework_code null if unknown. lines: from_id, text."""
+    each = _prefixed(lines).filter("prefix <> ''")
     return each.join(F.broadcast(sources.filter("enabled")), "prefix", "left")  # the vocabulary of sources has some tens of rows
+
+
+def counted_references(lines: DataFrame, sources: DataFrame, citation: Callable[[Column, Column], Column]) -> tuple[DataFrame, Observation]:
+    """Edges of reference lines, (from_id, to_framework_code, to_version_label, to_citation_norm), and what was left out on the way.
+
+    citation: from prefix and rest the citation of a line, or null for one that names none. Counts are observed as the
+    edges are read, so they cost no pass of their own and are there once an action has read the edges: lines, no_prefix
+    (without a colon), unknown_prefix, skipped, edges, and skipped:<prefix> for each of the sources, which are some tens.
+    """
+    known = sources.filter("enabled")
+    norm = F.upper(F.trim(citation(F.col("prefix"), F.col("rest"))))
+    each = _prefixed(lines).join(F.broadcast(known), "prefix", "left").withColumn("to_citation_norm", norm)
+    unknown, skipped = F.col("to_framework_code").isNull(), F.col("to_citation_norm").isNull()
+    bare = F.col("prefix").isNull()
+    seen = Observation()
+    counts = {"lines": F.count(F.lit(1)), "no_prefix": F.count_if(bare), "unknown_prefix": F.count_if(~bare & unknown), "skipped": F.count_if(~unknown & skipped), "edges": F.count_if(~unknown & ~skipped)}
+    counts |= {f"skipped:{r.prefix}": F.count_if(~unknown & skipped & (F.col("prefix") == r.prefix)) for r in known.select("prefix").collect()}
+    found = each.observe(seen, *[c.alias(name) for name, c in counts.items()]).filter(~unknown & ~skipped)
+    return found.select("from_id", "to_framework_code", "to_version_label", "to_citation_norm"), seen

@@ -11,6 +11,7 @@ from tessera.durable import durable
 from tessera.operators import evaluation, lexical, mapping, retrieval, state, status
 from tessera.operators.embedding import build_chunks
 from tessera.plans.tables import CHUNKS, COSINE, TOKENS, chunk_keys, chunks, lexical_index, read
+from tessera.sources import iso
 
 
 def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +222,29 @@ def page_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(more.withColumn("next_offset", F.col("next_offset").cast("int"))))
 
 
+def _iso_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of publications' pages: numbers of clauses and controls, text, page numbers and furniture, by the part's key."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    main = text(4 + size % 16)
+    line = (
+        F.when(k % 8 == 0, F.concat(main, F.lit("."), text(k % 9), F.lit(" "), "p_name")).when(k % 8 == 1, F.concat(F.lit(" "), main, F.lit(" "), "p_name")).when(k % 8 == 2, F.col("p_name"))
+        .when(k % 8 == 3, F.concat(F.lit("CLD."), text(size % 5 + 5), F.lit("."), text(k % 4), F.when(size % 2 == 0, F.concat(F.lit("."), text(k % 3))).otherwise(""), F.lit(" "), "p_type")).when(k % 8 == 4, F.when(size % 3 == 0, "ISO/IEC 27001:2022(E)").otherwise(F.col("p_type")))
+        .when(k % 8 == 5, F.when(size % 2 == 0, text(size)).otherwise("")).when(k % 8 == 6, F.when(size % 6 == 0, "Table A.1 (continued)").otherwise(F.concat("p_name", F.lit(" ... 12"))))
+        .otherwise(F.concat(main, F.lit("."), text(k % 5), F.lit("."), text(size % 3), F.lit(" "), "p_type"))
+    )
+    part = read(spark, sf_dir, "part").select(F.concat(F.lit("doc"), text(size % 5)).alias("doc_key"), (k % 30 + 1).cast("int").alias("page"), k.alias("k"), line.alias("line"))
+    return part.groupBy("doc_key", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def iso_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of a publication with clauses and an annex, and of one with sections and cloud controls, from the same pages."""
+    pages = durable(_iso_pages(spark, sf_dir), "pages")
+    each = [iso.iso_tree(pages, f).withColumn("framework_code", F.lit(f)) for f in ("iso27001", "iso27017")]
+    found = each[0].unionByName(each[1])
+    return found.select("framework_code", "doc_key", "ordinal", "citation", "kind", "title", F.md5(F.coalesce("body", F.lit("-")).cast("binary")).alias("body"), "parent")
+
+
 def json_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = F.from_json("props", "k long")
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(typed["k"]).alias("k"), F.count_if(typed["k"].isNull()).alias("rejected"))
@@ -329,6 +353,22 @@ _EVAL = f"""asked as (select distinct item_id as case_id, term from (select item
     agg as (select count(*) as cases, count(*) filter (want > 0) as recall_cases, count(*) filter (returned > 0) as current_cases, (select count(*) from metrics where expect_fail) as gap_cases, (select count(*) from metrics where expect_fail and want > 0 and found = want) as gap_passes, round(coalesce(sum(found) / nullif(sum(want), 0), 0), 6)::double as recall, round(coalesce(sum(rr) filter (want > 0) / nullif(count(*) filter (want > 0), 0), 0), 6)::double as mrr,
         round(coalesce(sum(ok) / nullif(sum(returned), 0), 0), 6)::double as current, round(coalesce(count(*) filter (abstain_ok) / nullif(count(*), 0), 0), 6)::double as abstain from metrics where not expect_fail)"""
 
+# headings and furniture as each publication has them; a first sighting opens a section, in the annex a line is its own body
+_ISO = r"""l as (select 'doc' || p_size % 5 as d, p_partkey % 30 + 1 as page, p_partkey as k, trim(case p_partkey % 8 when 0 then (4 + p_size % 16) || '.' || p_partkey % 9 || ' ' || p_name when 1 then (4 + p_size % 16) || ' ' || p_name when 2 then p_name
+        when 3 then 'CLD.' || (p_size % 5 + 5) || '.' || p_partkey % 4 || case when p_size % 2 = 0 then '.' || p_partkey % 3 else '' end || ' ' || p_type when 4 then case when p_size % 3 = 0 then 'ISO/IEC 27001:2022(E)' else p_type end
+        when 5 then case when p_size % 2 = 0 then p_size::varchar else '' end when 6 then case when p_size % 6 = 0 then 'Table A.1 (continued)' else p_name || ' ... 12' end else (4 + p_size % 16) || '.' || p_partkey % 5 || '.' || p_size % 3 || ' ' || p_type end) as t from part),
+    tabled as (select distinct d, page from l where t like 'Table A.1%' and page > 10), starts as (select d, min(page) as start from tabled group by 1),
+    streams as (select 'iso27001' as f, 0 as s, l.* from l left join starts using (d) where (start is null or page < start) and t <> '' and not regexp_matches(t, '^ISO/IEC 2700|^Table A\.1|All rights reserved|^\d+$|\.\.\.')
+        union all select 'iso27001', 1, l.* from l join tabled using (d, page) where t <> '' and not regexp_matches(t, '^ISO/IEC|^Table A\.1|All rights reserved|^\d+$')
+        union all select 'iso27017', 0, l.* from l where t <> '' and not regexp_matches(t, '^ISO/IEC|All rights reserved|^\d+$|\.\.\.')),
+    marked as (select *, case when f = 'iso27001' and s = 0 then nullif(regexp_extract(t, '^((?:[4-9]|10)(?:\.\d+)*)\s+.', 1), '')
+        when f = 'iso27001' then 'A.' || coalesce(nullif(regexp_extract(t, '^([5-8]\.\d+)\s+.', 1), ''), nullif(regexp_extract(t, '^([5-8])\s+.', 1), ''))
+        else coalesce(nullif(regexp_extract(t, '^(CLD\.\d+\.\d+(?:\.\d+)?)\s', 1), ''), nullif(regexp_extract(t, '^((?:[5-9]|1[0-8])(?:\.\d+)*)\s+.', 1), '')) end as c from streams),
+    opened as (select *, c is not null and row_number() over (partition by f, s, d, c order by page, k) = 1 as opens from marked), parted as (select *, sum(opens::int) over (partition by f, s, d order by page, k) as section from opened),
+    sections as (select f, s, d, max(c) filter (opens) as c, max(page * 1000000 + k) filter (opens) as place, max(t) filter (opens) as head, string_agg(t, chr(10) order by page, k) filter (not opens) as told from parted where section > 0 group by f, s, d, section),
+    placed as (select *, case when f = 'iso27001' then s else (c like 'CLD%')::int end as g, case when s = 1 then list_transform(string_split(substr(c, 3), '.'), lambda x: x::int) end as num from sections),
+    numbered as (select *, (row_number() over (partition by f, d order by g, num nulls first, place) - 1)::int as ordinal, case when c not like '%.%' or regexp_full_match(c, 'CLD\.\d+\.\d+') then null else regexp_replace(c, '\.[^.]*$', '') end as w from placed)"""
+
 _LANES = f"""want as (select doc_id % (select max(item_id) + 1 from benchmark) as case_id, source as f, lang as v, doc_id as d from documents),
     pin as (select case_id, arg_min(f, d) as f, arg_min(v, d) as v from want group by 1),
     q as materialized (select lane || ':' || item_id as q, item_id as case_id, lane, case when lane = 'pinned' then coalesce(f, '') else '' end as f, case when lane = 'pinned' then coalesce(v, '') else '' end as v from benchmark left join pin on case_id = item_id, (values ('open'), ('pinned')) l(lane) where text <> ''),
@@ -353,7 +393,7 @@ def _lane_sql(lane: str) -> str:
     return f"select * from (with hits as (select case_id, rank, lower(source) as f, d.lang as v, doc_id::varchar as c, d.lang = 'en' as cur from many m join q on q.q = m.q join documents d using (doc_id) where q.lane = '{lane}'), {hits.strip()} select *, '{lane}' as lane from agg)"
 
 
-QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
+QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, iso_trees, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
 
 
 def _oracles() -> dict[str, str]:
@@ -383,6 +423,7 @@ def _oracles() -> dict[str, str]:
         "labelled_bodies": "select p_partkey, p_name || chr(10) || chr(10) || 'Brand: ' || p_brand || chr(10) || case when p_size > 25 then 'Large: Yes' || chr(10) else '' end || 'Type: ' || p_type as body from part",
         "grid_pivot": 'select p_partkey::int as "row", p_name as "A", p_brand as "B", p_size::varchar as "C" from part',
         "page_lookahead": "with a as (select doc_id, source from documents order by source, doc_id limit 21 offset 40) select doc_id, source, (select case when count(*) > 20 then 60 end from a)::int as next_offset from (select * from a order by source, doc_id limit 20)",
+        "iso_trees": f"with {_ISO} select n.f as framework_code, n.d as doc_key, n.ordinal, n.c as citation, case when n.f = 'iso27017' then 'control' when n.s = 0 then 'clause' when n.c like 'A.%.%' then 'annex-control' else 'domain' end as kind, case when n.f = 'iso27017' then 'Control ' when n.s = 0 then 'Clause ' when n.c like 'A.%.%' then 'Annex A control ' else 'Annex A theme ' end || n.c as title, md5(coalesce(nullif(case when n.s = 1 then case when n.c like 'A.%.%' then trim(regexp_replace(n.head, '^[0-9.]+', '')) end else n.told end, ''), '-')) as body, p.c as parent from numbered n left join numbered p on p.f = n.f and p.d = n.d and p.c = n.w and p.ordinal < n.ordinal",
         "json_capture": "select event_type, count(*) as n, sum((props->>'k')::bigint)::bigint as k, count(*) filter (props->>'k' is null) as rejected from events group by 1",
         # on conflict of the key only title, capture, gate and markdown are set; the row that was inserted first keeps the rest
         "document_upsert": "with o as (select o_custkey || '|' || o_orderpriority as doc_key, o_orderkey as id, lower(o_orderpriority) as framework_code, o_orderstatus as version_label, 'order ' || o_orderkey as title, md5(o_orderkey::varchar) as source_file_sha256, case when o_orderkey % 3 = 0 then 'internal' else 'open' end as serve_gate, case when o_orderkey % 5 = 0 then o_orderpriority end as markdown from orders), old as (select * from o where id % 2 = 0 qualify row_number() over (partition by doc_key order by id desc) = 1), base as (select * from old union all select * from (select * from o where id % 2 = 1 and doc_key not in (select doc_key from old) qualify row_number() over (partition by doc_key order by id) = 1)), last as (select * from o where id % 2 = 1 qualify row_number() over (partition by doc_key order by id desc) = 1) select b.doc_key, b.id, b.framework_code, b.version_label, case when l.id is null then b.title else l.title end as title, case when l.id is null then b.source_file_sha256 else l.source_file_sha256 end as source_file_sha256, case when l.id is null then b.serve_gate else l.serve_gate end as serve_gate, case when l.id is null then b.markdown else l.markdown end as markdown from base b left join last l using (doc_key)",

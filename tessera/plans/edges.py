@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import durable, shared_dir
 from tessera.functions.citations import category_parent, csf_target, dotted_order, dotted_parent, iso_reference, iso_target, sp80053_target, title_key
-from tessera.operators import mapping, tree
+from tessera.operators import mapping, numbering, tree
 from tessera.plans.tables import read
+from tessera.published import Published
 
 #: Parts over this size are not loaded, so that edges to them stay open.
 LOADED = 35
@@ -113,6 +119,53 @@ def prefix_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("from_id", "prefix", "to_framework_code", norm.alias("to_citation_norm"))
 
 
+def skip_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' reference lines under their brands, of which the lower half is known: how many became edges, and what was left out, counted as the edges are written."""
+    part = read(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    good = F.concat("p_brand", F.lit(" : 2022: Annex A Controls: 5."), size)
+    lines = part.select(k.alias("from_id"), F.concat_ws("\n", F.when(k % 3 == 0, good).when(k % 3 == 1, F.concat("p_brand", F.lit(": None"))).otherwise(F.col("p_name")), F.lit("  "), F.when(k % 5 == 0, F.concat("p_brand", F.lit(":"), F.lit("2022: Mandatory Clause: 4."), size))).alias("text"))
+    brands = part.select("p_brand").distinct()
+    sources = brands.filter("p_brand < 'Brand#3'").select(F.col("p_brand").alias("prefix"), F.lit("iso27001").alias("to_framework_code"), F.lit("2022").alias("to_version_label"), (F.col("p_brand") != "Brand#12").alias("enabled"))
+    found, seen = mapping.counted_references(lines, sources, lambda prefix, rest: iso_reference(rest))
+    held = durable(found, "edges")
+    counts = seen.get
+    totals = held.agg(F.count("*").alias("written"), F.count_distinct("to_citation_norm").alias("norms"))
+    return totals.select(*[F.lit(counts[c]).cast("long").alias(c) for c in ("lines", "no_prefix", "unknown_prefix", "skipped", "edges")], F.lit(sum(v for c, v in counts.items() if c.startswith("skipped:"))).cast("long").alias("skipped_by_prefix"), "written", "norms")
+
+
+def dealt_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as controls of their customer's document, their lines below them: ids without gaps and parents by id."""
+    order = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("document_id"))
+    norm = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct().join(order, "o_orderkey")
+    top = order.select("document_id", (F.col("o_orderkey") * 100).alias("ordinal"), norm.alias("citation_norm"), F.lit(None).cast("string").alias("parent_norm"))
+    below = line.select("document_id", (F.col("o_orderkey") * 100 + 1 + F.col("l_linenumber")).alias("ordinal"), F.concat(norm, F.lit("."), F.col("l_linenumber").cast("string")).alias("citation_norm"), norm.alias("parent_norm"))
+    return numbering.with_ids(top.unionByName(below), 1001).select("id", "document_id", "citation_norm", "parent_control_id")
+
+
+def published_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as controls and orders as edges, published together; a nation rebuilt is the second version, and a rebuild that fails is none. Rows of both versions."""
+    store = Published(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    held = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("document_id"), "c_acctbal")
+    links = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_control_id"), (F.col("o_custkey") % 97 + 1).alias("to_control_id"))
+    store.replace({"controls": held, "edges": links})
+    new = held.filter("document_id = 7 and c_acctbal > 0").withColumn("id", F.col("id") + 1_000_000)
+    controls, edges = mapping.rebuild_controls(store.read("controls"), store.read("edges"), new)
+    store.replace({"controls": controls, "edges": edges}, after=1)
+    broken = new.withColumn("id", F.when(F.col("id") > 0, F.raise_error(F.lit("no such page")).cast("long")))
+    try:
+        store.replace({"edges": links.limit(0), "controls": broken}, after=2)
+    except PySparkException:
+        pass  # what the query shows: the version is still the second
+    each = []
+    for version in store.versions():
+        open_ = F.when(F.col("to_control_id").isNull(), "open edges").otherwise("edges")
+        each.append(store.read("controls", version).agg(F.count("*").alias("rows"), F.sum("id").alias("ids")).select(F.lit("controls").alias("table"), "rows", "ids", F.lit(version).alias("version")))
+        each.append(store.read("edges", version).groupBy(open_.alias("table")).agg(F.count("*").alias("rows"), F.sum("from_control_id").alias("ids")).withColumn("version", F.lit(version)))
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 def title_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by their type's key against titles written otherwise."""
     parts = read(spark, sf_dir, "part").select("p_partkey", title_key(F.col("p_type")).alias("key"))
@@ -209,7 +262,7 @@ _R = f"""{_C}, {_E}, placed as (select *, coalesce(to_version_label, 'N') as v f
             when successor is not null then provenance_detail || '; version-supersession: cited ' || to_version_label || ' resolved in successor N' else provenance_detail end as provenance_detail from tried)"""
 _KEYS = "from_control_id, to_framework_code, to_version_label, to_citation_norm, mapping_source_code"
 
-QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, iso_forms, deduped_edges, norm_lookup, tree_walks, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
+QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, skip_counters, dealt_controls, published_rebuild, iso_forms, deduped_edges, norm_lookup, tree_walks, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
 ORACLES = {
     "resolve_edges": f"with {_C}, {_E} select {_KEYS}, t.id as to_control_id from edges e left join targets t on t.framework_code = e.to_framework_code and t.version_label = coalesce(e.to_version_label, 'N') and t.citation_norm = e.to_citation_norm",
     "resolve_annex": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'annex-prefix'",
@@ -222,6 +275,9 @@ ORACLES = {
     "longest_equivalent": "with p as (select f.doc_id as from_id, t.doc_id as to_id, length(t.text) as n from documents f join documents t on t.doc_id in (f.doc_id + 20, f.doc_id + 40, f.doc_id + 60) where length(t.text) > coalesce(length(f.text), 0)) select from_id, to_id, n as length from p qualify row_number() over (partition by from_id order by n desc, to_id) = 1",
     "version_lineage": "with v as (select s_name as f, 'v' || year(l_shipdate) as v, year(l_shipdate) as y, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey where s_name = 'Supplier#000000003' group by 1, 2, 3), c as (select *, y = max(y) over () as cur from v) select 0 as block, 'from' as kind, f as framework_code, 'v1995' as version_label, 'supersedes' as relation_type, coalesce((select cur from c where y = 1995), false) as is_current, 'one year after, with ' || n || ' lines' as note from c where y = 1996 union all select 0, 'to', f, 'v1997', 'supersedes', cur, 'one year after, with ' || n || ' lines' from c where y = 1997 union all select 1, 'version', f, v, '', cur, n || ' lines' from c",
     "prefix_refs": "select n_nationkey as from_id, 'ISO/IEC 27001' as prefix, 'iso27001' as to_framework_code, 'A.5.' || n_nationkey as to_citation_norm from nation union all select n_nationkey, 'CIS', 'ciscontrols', '4.1' from nation union all select n_nationkey, 'OTHER', null, 'x' from nation",
+    "skip_counters": "with p as (select p_partkey as k, p_size as size, p_brand as b, p_brand < 'Brand#3' and p_brand <> 'Brand#12' as known from part), l as (select b, known, case when k % 3 = 0 then 'A.5.' || size end as norm, k % 3 = 2 as bare from p union all select b, known, '4.' || size, false from p where k % 5 = 0) select count(*) as lines, count(*) filter (bare) as no_prefix, count(*) filter (not bare and not known) as unknown_prefix, count(*) filter (not bare and known and norm is null) as skipped, count(*) filter (not bare and known and norm is not null) as edges, count(*) filter (not bare and known and norm is null) as skipped_by_prefix, count(*) filter (not bare and known and norm is not null) as written, count(distinct norm) filter (not bare and known) as norms from l",
+    "dealt_controls": "with l as (select distinct l_orderkey as k, l_linenumber as n from lineitem), c as (select o_custkey as document_id, o_orderkey * 100 as ordinal, 'O' || o_orderkey as citation_norm, null as parent_norm from orders union all select o_custkey, k * 100 + 1 + n, 'O' || k || '.' || n, 'O' || k from l join orders on o_orderkey = k), i as (select *, 1000 + row_number() over (order by document_id, ordinal, citation_norm) as id from c) select i.id, i.document_id, i.citation_norm, p.id as parent_control_id from i left join i p on p.document_id = i.document_id and p.citation_norm = i.parent_norm",
+    "published_rebuild": "with gone as (select c_custkey as id from customer where c_nationkey = 7), e as (select o_custkey as f, o_custkey % 97 + 1 as t from orders), kept as (select c_custkey as id from customer where c_nationkey <> 7 union all select c_custkey + 1000000 from customer where c_nationkey = 7 and c_acctbal > 0) select 'controls' as table, count(*) as rows, sum(c_custkey)::bigint as ids, 1 as version from customer union all select 'edges', count(*), sum(f)::bigint, 1 from e union all select 'controls', count(*), sum(id)::bigint, 2 from kept union all select case when t in (from gone) then 'open edges' else 'edges' end, count(*), sum(f)::bigint, 2 from e where f not in (from gone) group by 1",
     "iso_forms": r"""with f(form) as (values ('2022: Annex A Controls: 5.@'), ('2022: Annex A Controls: 5.@,'), ('2022: Mandatory Clause: 4.@'), ('2022: Control 5.@'), ('2022: Mandatory Clause: None'), ('2022: Annex A Controls:'), ('2022: Annex A Controls: 5.@, 5.1'), ('2013: Annex A Controls: 5.@'), ('2022: Something 5.@'), ('A5.@'), ('A.5.@'), ('7.@'), ('7.@.1'), ('@'), ('ac-@'), ('AC-2(@)'), ('pr.aa-0@'), ('x')),
         t as (select n_nationkey, form, n_nationkey::varchar as k, replace(form, '@', n_nationkey::varchar) as text from nation, f)
         select n_nationkey, text, case when form in ('2022: Annex A Controls: 5.@', '2022: Annex A Controls: 5.@,', '2022: Control 5.@') then 'A.5.' || k when form = '2022: Mandatory Clause: 4.@' then '4.' || k end as reference,

@@ -46,11 +46,6 @@ SCHEMES = {
     "pci-requirement": Scheme(r"^(A?\d+(?:\.\d+)+)\s", ((r"^A?\d+\.\d+$", "requirement-group"), (".", "requirement")), "Requirement", drop=r"^A?\d+(?:\.\d+)+(?:\.[a-z](?:\.\d+)?\s|\s+\(continued\))", skip=r"^(?:\d*|Defined Approach Requirements|Requirements and Testing Procedures)\s*$", stop=r"^(?:Customized Approach Objective|Applicability Notes|Testing Procedures|Purpose|Guidance)", midline=r"(?<=\S)\s(?=A?\d+\.\d+(?:\.\d+)+\s)", siblings=True),
     "tsc-criteria": Scheme(r"^((?:CC|A|C|PI|P)\d+\.\d+)\s", ((".", "criterion"),), "Criterion", drop=r"^P\d+\.0\s", parent="none", midline=r"(?<=\S)\s(?=(?:CC|A|C|PI|P)\d+\.[1-9]\d*\s)"),
     "cobit-objective": Scheme(r"^(?:(?i:(?:Governance|Management)\s+Objective:)\s+)?((?:EDM|APO|BAI|DSS|MEA)\d{2}(?:\.\d{2})?)\s", ((r"^[A-Z]{3}\d{2}$", "objective"), (".", "practice")), "Practice", skip=r"^(?:\d?|\d+\.\s.*|[a-z]\.\s.*)$", stop=r"^(?:Activities\s|Related Guidance|[B-G]\.\s+Component)", parent="cobit", roots=(("EDM", "domain", "Evaluate, Direct and Monitor"), ("APO", "domain", "Align, Plan and Organize"), ("BAI", "domain", "Build, Acquire and Implement"), ("DSS", "domain", "Deliver, Service and Support"), ("MEA", "domain", "Monitor, Evaluate and Assess"))),
-    "iso27001-clauses": Scheme(r"^((?:[4-9]|10)(?:\.\d+)*)\s+[A-Z]", ((".", "clause"),), "Clause", stop=r"^(?:Annex A|Table A\.1)", drop=r"\.{4,}"),
-    "iso27001-annex": Scheme(r"^([5-8]\.\d+)\s+[A-Z]", ((r"^A\.\d+$", "domain"), (".", "annex-control")), "Annex A control", prefix="A.", pages=(11, None), roots=(("A.5", "domain", "Annex A theme 5"), ("A.6", "domain", "Annex A theme 6"), ("A.7", "domain", "Annex A theme 7"), ("A.8", "domain", "Annex A theme 8"))),
-    "iso27002": Scheme(r"^([5-8](?:\.\d+)?)\s+[A-Z]", ((r"^\d$", "domain"), (".", "control")), "Control", drop=r"\.{4,}"),
-    "iso27017": Scheme(r"^((?:CLD\.\d+\.\d+(?:\.\d+)?|(?:[5-9]|1[0-8])(?:\.\d+)*))\s+[A-Z]", ((r"^CLD\.\d+\.\d+$", "domain"), (r"^CLD", "control"), (r"^\d+$", "domain"), (r"^\d+\.\d+$", "objective"), (".", "control")), "Control", drop=r"\.{4,}"),
-    "iso27018": Scheme(r"^(A\.\d+(?:\.\d+)?|(?:[5-9]|1[0-8])(?:\.\d+)*)\s+[A-Z]", ((r"^A\.\d+$", "domain"), (r"^A\.", "annex-control"), (r"^\d+$", "domain"), (r"^\d+\.\d+$", "objective"), (".", "control")), "Control", drop=r"\.{4,}"),
 }
 
 
@@ -156,8 +151,3 @@ def amendment_tree(pages: DataFrame) -> DataFrame:
 def amendments(pages: DataFrame) -> DataFrame:
     """doc_key, citation, action of an amendment's instructions."""
     return amendment_tree(pages).select("doc_key", "citation", F.col("amend_action").alias("action"))
-
-
-def strip_attributes(body: Column) -> Column:
-    """A body without its attribute table: from a `#tag` line to the line `Control`, where both stand near its start."""
-    return F.when(body.rlike(r"(?s)^(?:[^\n]*\n){0,20}?#") & body.rlike(r"(?s)^(?:[^\n]*\n){0,21}?Control\n"), F.regexp_replace(body, r"(?s)^.*?(?:^|\n)Control\n", "")).otherwise(body)

@@ -1,6 +1,6 @@
-"""Workbooks: an XLSX data source, cells as rows, and the trees and edges that workbooks hold.
+"""Workbooks: XLSX files, their cells as rows, and the trees and edges that workbooks hold.
 
-A capture is flat cells (doc_key, sheet, ref, value), one row per non-empty cell, so that any number of workbooks is
+A capture is flat cells (doc_key, sheet_no, sheet, ref, value), one row per non-empty cell, so that any number of workbooks is
 read in one job. Trees are (doc_key, ordinal, citation, citation_norm, kind, status, title, body, parent): parent is a
 citation_norm of the same document, null for a root. ordinal is the sheet's row.
 """
@@ -10,11 +10,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Sequence
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.citations import cell_column, cell_row, title_key
 from tessera.functions.text import labelled_body, withdrawal_action, withdrawal_targets
@@ -23,8 +23,8 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "h
 CELLS = "doc_key string, sheet_no int, sheet string, ref string, value string"
 
 
-def workbook_cells(content: bytes) -> list[tuple[int, str, str, str]]:
-    """(sheet's number, sheet, ref, value) of the non-empty cells, sheets in their order, rows from left to right."""
+def workbook_cells(content: bytes, sheets: str = "") -> list[tuple[int, str, str, str]]:
+    """(sheet's number, sheet, ref, value) of the non-empty cells, sheets in their order, rows from left to right; of sheets whose name holds the pattern, others are not parsed."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = []
@@ -34,6 +34,8 @@ def workbook_cells(content: bytes) -> list[tuple[int, str, str, str]]:
         rels = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = []
         for no, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)):
+            if not re.search(sheets, sheet.get("name")):
+                continue
             target = rels[sheet.get(f"{{{_NS['r']}}}id")]
             path = target if target.startswith("xl/") else f"xl/{target}"
             for cell in ElementTree.fromstring(z.read(path)).iter(f"{{{_NS['m']}}}c"):
@@ -48,8 +50,8 @@ def workbook_cells(content: bytes) -> list[tuple[int, str, str, str]]:
         return out
 
 
-def read_workbooks(spark, path: str) -> DataFrame:
-    """Cells of all workbooks under a path, through Spark's binary files, so that any store will do. A file that is no workbook gives one row without a cell."""
+def read_workbooks(spark, path: str, sheets: str = "") -> DataFrame:
+    """Cells of all workbooks under a path, of sheets whose name holds the pattern, through Spark's binary files, so that any store will do and files are dealt over tasks. A file that is no workbook gives one row without a cell."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(path)
 
     def cells(batches):
@@ -59,7 +61,7 @@ def read_workbooks(spark, path: str) -> DataFrame:
             rows = []
             for key, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows += [(key, *cell) for cell in workbook_cells(content)]
+                    rows += [(key, *cell) for cell in workbook_cells(content, sheets)]
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
                     rows.append((key, None, None, None, None))
             yield pd.DataFrame(rows, columns=["doc_key", "sheet_no", "sheet", "ref", "value"]).astype({"sheet_no": "Int32"})
@@ -67,39 +69,12 @@ def read_workbooks(spark, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(cells, CELLS)
 
 
-class WorkbookSource(DataSource):
-    """spark.read.format("workbook").load(path): one workbook on a path that executors can open."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def schema(self) -> str:
-        return CELLS
-
-    def reader(self, schema) -> DataSourceReader:
-        return _WorkbookReader(self.options["path"])
-
-
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        return [InputPartition(0)]
-
-    def read(self, partition):
-        with open(re.sub("^file:(//)?", "", self.path), "rb") as f:
-            for cell in workbook_cells(f.read()):
-                yield (self.path, *cell)
-
-
-def grid(cells: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_key, sheet, row and a trimmed text for each column; missing cells are empty."""
-    placed = cells.filter("ref is not null").select("doc_key", "sheet", cell_row(F.col("ref")).alias("row"), cell_column(F.col("ref")).alias("col"), "value")
-    wide = placed.groupBy("doc_key", "sheet", "row").pivot("col", columns).agg(F.first("value"))
+def grid(cells: DataFrame, columns: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """doc_key, sheet, further columns of cells, row and a trimmed text for each column; missing cells are empty."""
+    placed = cells.filter("ref is not null").select("doc_key", "sheet", *by, cell_row(F.col("ref")).alias("row"), cell_column(F.col("ref")).alias("col"), "value")
+    wide = placed.groupBy("doc_key", "sheet", *by, "row").pivot("col", columns).agg(F.first("value"))
     clean = lambda c: F.coalesce(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""), F.lit(""))
-    return wide.select("doc_key", "sheet", "row", *[clean(F.col(c)).alias(c) for c in columns])
+    return wide.select("doc_key", "sheet", *by, "row", *[clean(F.col(c)).alias(c) for c in columns])
 
 
 def _tree(rows: DataFrame, citation: Column, kind: Column, title: Column, body: Column, parent: Column, status: Column | None = None) -> DataFrame:
@@ -175,9 +150,9 @@ def csf_withdrawals(cells: DataFrame, sheet: str = "CSF") -> DataFrame:
 
 def crosswalk_edges(cells: DataFrame) -> DataFrame:
     """from_norm, to_norm, provenance of a crosswalk's shaped pairs, once each, from the lowest row of the first sheet."""
-    rows = grid(cells.filter("sheet <> 'Definitions'"), ["A", "D"])
+    rows = grid(cells.filter("sheet <> 'Definitions'"), ["A", "D"], by=["sheet_no"])
     shaped = rows.filter(F.col("A").rlike(CROSSWALK[0]) & F.col("D").rlike(CROSSWALK[1]))
-    first = shaped.groupBy("doc_key", F.upper("A").alias("from_norm"), F.upper("D").alias("to_norm")).agg(F.min(F.struct("sheet", "row")).alias("at"))
+    first = shaped.groupBy("doc_key", F.upper("A").alias("from_norm"), F.upper("D").alias("to_norm")).agg(F.min(F.struct("sheet_no", "row", "sheet")).alias("at"))
     return first.select("doc_key", "from_norm", "to_norm", F.concat(F.lit("sheet "), "at.sheet", F.lit(" row "), F.col("at.row").cast("string")).alias("provenance"))
 
 

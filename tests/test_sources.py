@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tessera.functions.citations import csf_target
-from tessera.sources import catalogs, pages, workbooks
+from tessera.sources import catalogs, iso, pages, workbooks
 
 
 def cells(spark, sheet, rows):
@@ -24,8 +24,7 @@ def test_workbook_file(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(b"no workbook")
     got = workbooks.read_workbooks(spark, str(tmp_path)).collect()
     assert {(r.sheet, r.ref, r.value) for r in got} == {("One", "A1", "hello"), ("One", "B1", "4.10"), (None, None, None)}
-    spark.dataSource.register(workbooks.WorkbookSource)
-    assert spark.read.format("workbook").load(str(tmp_path / "a.xlsx")).count() == 2
+    assert workbooks.read_workbooks(spark, str(tmp_path), "^T").filter("ref is not null").count() == 0
 
 
 def test_cis_tree(spark):
@@ -57,6 +56,8 @@ def test_crosswalks(spark):
     rows = {"A2": "AC-01", "D2": "A.5.1", "A3": "AC-01", "D3": "A.5.1", "A4": "prose", "D4": "5.2", "A5": "AC-02(01)", "D5": "7.5.1"}
     got = {(r.from_norm, r.to_norm, r.provenance) for r in workbooks.crosswalk_edges(cells(spark, "Map", rows)).collect()}
     assert got == {("AC-01", "A.5.1", "sheet Map row 2"), ("AC-02(01)", "7.5.1", "sheet Map row 5")}
+    two = cells(spark, "Zeta", {"A9": "AC-01", "D9": "5.2"}).unionByName(cells(spark, "Alpha", {"A1": "AC-01", "D1": "5.2"}).withColumn("sheet_no", F.lit(1)))
+    assert [r.provenance for r in workbooks.crosswalk_edges(two).collect()] == ["sheet Zeta row 9"]  # the first in the workbook's order
     rows = {"F1": "t", "K1": "Relationship", "L1": "Target", "F2": "First  Thing", "K2": "Subset", "L2": "PR.AA-01", "F3": "first thing", "L3": "PR.AA-02", "F4": "First Thing", "K4": "odd", "L4": "PR.AA-03", "F5": "First Thing", "L5": "??"}
     known = spark.createDataFrame([(7, "first thing", None)], "id long, title string, title_original string")
     got = {(r.from_id, r.to_norm, r.relationship) for r in workbooks.mapping_edges(cells(spark, "All CIS x", rows), known, csf_target).collect()}
@@ -85,9 +86,6 @@ def test_page_trees(spark):
     doc = [("d", 1, "Management Objective: APO01 Managed things\nAPO01.01 Do it\nwell\nActivities 1\n1. act")]
     got = {r.citation: r for r in pages.page_tree(spark.createDataFrame(doc, "doc_key string, page int, text string"), pages.SCHEMES["cobit-objective"]).collect()}
     assert got["APO01"].parent == "APO" and got["APO01.01"].parent == "APO01" and got["APO01.01"].body == "Do it\nwell" and got["APO"].kind == "domain"
-    doc = [("d", 5, "5.1 Contents line"), ("d", 12, "5.1 Policies shall\nbe there\n5.2 Roles")]
-    got = {r.citation: r for r in pages.page_tree(spark.createDataFrame(doc, "doc_key string, page int, text string"), pages.SCHEMES["iso27001-annex"]).collect()}
-    assert got["A.5.1"].parent == "A.5" and got["A.5.1"].kind == "annex-control" and got["A.5.1"].body == "Policies shall\nbe there" and got["A.5"].kind == "domain"
     doc = [("d", 1, "ADDITIONAL CRITERIA PI1.1 The entity defines\n• Lead In [C] — what it is\n• Only text\nP1.0 Head\nP1.1 Notice")]
     tree = pages.page_tree(spark.createDataFrame(doc, "doc_key string, page int, text string"), pages.SCHEMES["tsc-criteria"])
     assert {r.citation for r in tree.collect()} == {"PI1.1", "P1.1"}
@@ -110,13 +108,38 @@ def test_ids_within_a_line(spark):
     assert got["1.1.2"].parent == "1.1" and got["1.1.1"].body == "First text." and "9.8.7" in got["2.1.1"].body and got["2.1.3"].body == "More 1.1.3 again"
 
 
-def test_schemes_of_the_control_catalogues(spark):
-    got = read_pages(spark, ["5 Organizational controls\n5.1 Policies for security\nControl text\n5.1.2 Not a control\n8.34 Last one"], "iso27002")
-    assert {c: r.kind for c, r in got.items()} == {"5": "domain", "5.1": "control", "8.34": "control"} and got["5.1"].parent == "5"
-    got = read_pages(spark, ["5 Policies\n5.1 Direction\n5.1.1 Rules\ntext\n18 Compliance\nCLD.6.3 Relationship\nCLD.6.3.1 Shared roles\nmore"], "iso27017")
-    assert {c: (r.kind, r.parent) for c, r in got.items()} == {"5": ("domain", None), "5.1": ("objective", "5"), "5.1.1": ("control", "5.1"), "18": ("domain", None), "CLD.6.3": ("domain", None), "CLD.6.3.1": ("control", "CLD.6.3")}
-    got = read_pages(spark, ["9 Access\n9.2 User access\n9.2.1 Registration\nA.2 Consent\nA.2.1 Obligation\nwhat it says"], "iso27018")
-    assert {c: r.kind for c, r in got.items()} == {"9": "domain", "9.2": "objective", "9.2.1": "control", "A.2": "domain", "A.2.1": "annex-control"} and got["A.2.1"].parent == "A.2" and got["A.2.1"].body == "Obligation\nwhat it says"
+def read_iso(spark, texts, framework):
+    doc = [("d", page, text) for page, text in texts.items()]
+    return [tuple(r)[1:] for r in iso.iso_tree(spark.createDataFrame(doc, "doc_key string, page int, text string"), framework).orderBy("ordinal").collect()]
+
+
+def test_clauses_and_annex_are_one_tree(spark):
+    texts = {
+        3: "4 Context ........ 7\n4.1 Understanding ...... 8", 5: "ISO/IEC 27001:2022(E)\n12\n4 Context\n4.1 Understanding it\nThe first text.\n3.9 is no clause\n4.1 Understanding it\n11.2 nor this", 6: "6.1.3 Treatment\nsteps\nAll rights reserved\n6 Planning\n10 Improvement",
+        9: "Table A.1 is named here\n5.1 Leadership", 14: "Table A.1 - Controls\n8 Technological\n8.10 Deletion Control\n8.2 Access rights Control\n5 Organizational controls\n5.1.1 no control", 15: "7.1 on a page without the table", 16: "Table A.1 (continued)\n5.12 Classification of it Control\n9.1 no theme\n5.12 again",
+    }
+    assert read_iso(spark, texts, "iso27001") == [
+        (0, "4", "4", "clause", "active", "Clause 4", None, None),
+        (1, "4.1", "4.1", "clause", "active", "Clause 4.1", "The first text.\n3.9 is no clause\n4.1 Understanding it\n11.2 nor this", "4"),
+        (2, "6.1.3", "6.1.3", "clause", "active", "Clause 6.1.3", "steps", None),
+        (3, "6", "6", "clause", "active", "Clause 6", None, None),
+        (4, "10", "10", "clause", "active", "Clause 10", None, None),
+        (5, "5.1", "5.1", "clause", "active", "Clause 5.1", None, None),
+        (6, "A.5", "A.5", "domain", "active", "Annex A theme A.5", None, None),
+        (7, "A.5.12", "A.5.12", "annex-control", "active", "Annex A control A.5.12", "Classification of it Control", "A.5"),
+        (8, "A.8", "A.8", "domain", "active", "Annex A theme A.8", None, None),
+        (9, "A.8.2", "A.8.2", "annex-control", "active", "Annex A control A.8.2", "Access rights Control", "A.8"),
+        (10, "A.8.10", "A.8.10", "annex-control", "active", "Annex A control A.8.10", "Deletion Control", "A.8"),
+    ]
+
+
+def test_control_catalogues(spark):
+    got = read_iso(spark, {1: "5 Organizational controls\nabout it\n5.1 Policies\nControl type\n#Preventive #Corrective\nControl\nThe text.\n5.1.2 Not a control\n9.1 nor this\n8.34 Last ... 12\n8.34 Last one\nends"}, "iso27002")
+    assert got == [(0, "5", "5", "domain", "active", "Theme 5", None, None), (1, "5.1", "5.1", "control", "active", "Control 5.1", "The text.\n5.1.2 Not a control\n9.1 nor this", "5"), (2, "8.34", "8.34", "control", "active", "Control 8.34", "ends", None)]
+    got = read_iso(spark, {1: "CLD.6.3 Relationship\nCLD.6.3.1 Shared roles\nmore\n5 Policies\n5.1 Direction\n5.1.1 Rules\ntext\n18 Compliance\n19 no section\n4.1 nor this"}, "iso27017")
+    assert [(c, kind, title, body, parent) for _, c, _, kind, _, title, body, parent in got] == [("5", "control", "Control 5", None, None), ("5.1", "control", "Control 5.1", None, "5"), ("5.1.1", "control", "Control 5.1.1", "text", "5.1"), ("18", "control", "Control 18", "19 no section\n4.1 nor this", None), ("CLD.6.3", "control", "Control CLD.6.3", None, None), ("CLD.6.3.1", "control", "Control CLD.6.3.1", "more", "CLD.6.3")]
+    got = read_iso(spark, {1: "A.2.1 Obligation\nwhat it says\n9 Access\n9.2 User access\n9.2.1 Registration\nA.2 Consent"}, "iso27018")
+    assert [(c, kind, title, body, parent) for _, c, _, kind, _, title, body, parent in got] == [("9", "control", "Control 9", None, None), ("9.2", "control", "Control 9.2", None, "9"), ("9.2.1", "control", "Control 9.2.1", "A.2 Consent", "9.2"), ("A.2.1", "annex-control", "Annex A control A.2.1", "what it says", None)]
 
 
 def test_amendment_bodies(spark):
@@ -130,6 +153,6 @@ def test_amendment_bodies(spark):
 
 
 def test_bodies_without_their_attributes(spark):
-    texts = [("Control type\n#Preventive\nx\nControl\nThe text stays.", "The text stays."), ("No table here.\nControl\nrest", "No table here.\nControl\nrest"), ("#tag only", "#tag only")]
-    rows = spark.createDataFrame(texts, "body string, want string").select(pages.strip_attributes(F.col("body")).alias("got"), "want").collect()
+    texts = [("Control type\n#Preventive\nx\nControl\nThe text stays.", "The text stays."), ("No table here.\nControl\nrest", "No table here.\nControl\nrest"), ("#tag only", "#tag only"), ("Control\n#late\nControl\n end ", "end"), ("#t\n" + "x\n" * 30 + "Control\nfar", "#t\n" + "x\n" * 30 + "Control\nfar")]
+    rows = spark.createDataFrame(texts, "body string, want string").select(iso.strip_attributes(F.col("body")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in rows)

@@ -132,3 +132,76 @@ def test_ancestors_of_any_depth_and_cycles(spark):
     got = {r.id: r.path for r in tree.ancestors(spark.createDataFrame(rows, "id long, parent_id long, citation string")).collect()}
     assert got == {i: want(i) for i in up}
     assert len(got[39]) == 39 and got[203] is None and got[300] is None and tree.ancestors(spark.createDataFrame([], "id long, parent_id long, citation string")).count() == 0
+
+
+def test_dealt_ids_and_parents(spark):
+    from tessera.operators import numbering
+
+    rows = [(d, o, f"{d}-{o}", f"{d}-{o // 3}" if o and o % 4 else None) for d in range(6) for o in range(0, 40, 1 + d)] + [(9, 1, "child", "missing")]
+    table = spark.createDataFrame(rows, "document_id long, ordinal int, citation_norm string, parent_norm string").repartition(5)
+    got = {(r.document_id, r.ordinal): r for r in numbering.with_ids(table, 100).collect()}
+    order = sorted((d, o) for d, o, *_ in rows)
+    assert {k: r.id for k, r in got.items()} == {k: 100 + n for n, k in enumerate(order)}
+    norms = {(d, n): got[(d, o)].id for d, o, n, _ in rows}
+    assert all(got[(d, o)].parent_control_id == norms.get((d, p)) for d, o, _, p in rows)
+    with pytest.raises(ValueError, match="'x' 2 times"):
+        numbering.with_ids(spark.createDataFrame([(1, 1, "x", None), (1, 2, "x", None)], table.schema))
+    assert numbering.with_ids(table.limit(0)).count() == 0
+
+
+def test_what_references_are_skipped(spark):
+    from tessera.functions.citations import iso_reference
+    from tessera.operators import mapping
+
+    lines = spark.createDataFrame([(1, "ISO: 2022: Annex A Controls: 5.1\nCIS: 4.1\n\nno colon"), (2, "ISO: None\nOFF: 2022: Annex A Controls: 5.2\n: empty\nISO : 2022: Mandatory Clause: 4.4"), (3, None)], "from_id long, text string")
+    sources = spark.createDataFrame([("ISO", "iso27001", "2022", True), ("OFF", "off", None, False), ("EMPTY", "e", None, True)], "prefix string, to_framework_code string, to_version_label string, enabled boolean")
+    edges, seen = mapping.counted_references(lines, sources, lambda prefix, rest: iso_reference(rest))
+    assert sorted(tuple(r) for r in edges.collect()) == [(1, "iso27001", "2022", "A.5.1"), (2, "iso27001", "2022", "4.4")]
+    assert seen.get == {"lines": 7, "no_prefix": 1, "unknown_prefix": 3, "skipped": 1, "edges": 2, "skipped:ISO": 1, "skipped:EMPTY": 0}
+
+
+def test_search_of_many_equals_search_of_each(spark, tmp_path):
+    from tessera.operators import retrieval
+
+    rng = random.Random(5)
+    words = ["risk", "access", "log", "review", "AC-2", "cc6.1", "the", "of", "key"]
+    rows = [(k, f"fw{k % 3}", f"v{k % 2 + 1}", k % 2 == 1, rng.choice(["active", "active", "active", "withdrawn", "deprecated"]), f"AC-{k % 9}", k % 4, " ".join(rng.choices(words, k=12))) for k in range(90)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, framework_code string, version_label string, is_current boolean, status string, citation_norm string, ordinal int, content string")
+    vectors = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(80)] + [(80, [0.0] * 4), (81, None), (82, [1.0, 2.0])], "chunk_id long, embedding array<float>")
+    index = LexicalStore(spark, str(tmp_path / "index"))
+    index.build(chunks, "chunk_id", "content")
+    asked = [(1, "what of access", [1.0, 0.0, 0.0, 1.0], "", "", False), (2, "ac-2 and ac-3 log", [0.2, -1.0, 0.5, 0.1], "", "", False), (3, "risk", None, "fw1", "", True), (4, "review the key", [0.0, 1.0, 1.0, 0.0], "fw2", "v1", True), (5, "", [1.0, 0.0, 0.0, 0.0], "", "", False), (6, "absent", [0.3, 0.3, 0.3, 0.4], "nowhere", "", False)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, embedding array<float>, framework string, version string, include_withdrawn boolean")
+    for o in (retrieval.Options(top_k=6, vector_k=9, bm25_k=9, scheme="oscal-catalog"), retrieval.Options(top_k=5, doc_cap=2, current_only=False, scheme="oscal-catalog"), retrieval.Options(mode="bm25", scheme="oscal-catalog")):
+        many = {}
+        for r in retrieval.search_many(chunks.drop("content"), vectors, queries, index, o).orderBy("query_id", "rank").collect():
+            many.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.score, r.vector_rank, r.bm25_rank))
+        for qid, query, vector, framework, version, withdrawn in asked:
+            own = retrieval.replace(o, framework=framework, version=version, include_withdrawn=withdrawn)
+            want = [] if not query else [(r["rank"], r.chunk_id, r.score, r.vector_rank, r.bm25_rank) for r in retrieval.search(chunks, vectors if vector else None, query, vector, own, index).orderBy("rank").collect()]
+            assert many.get(qid, []) == want, (o, qid)
+    with_none = queries.drop("embedding", "framework", "version", "include_withdrawn")
+    assert {r.query_id for r in retrieval.search_many(chunks.drop("content", "citation_norm"), vectors, with_none, index).select("query_id").distinct().collect()} == {1, 2, 3, 4}
+
+
+def test_nearest_of_many_against_all_pairs(spark):
+    from tessera.operators import dense
+
+    rng = random.Random(8)
+    vectors = [(k, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)], k % 4) for k in range(150)] + [(200, None, 0), (201, [0.0] * 3, 1), (202, [1.0], 1), (203, [float("nan"), 1.0, 1.0], 1), (204, [2e-30] * 3, 2)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, tag int").repartition(4)
+    asked = table.filter("vec_id % 7 = 0 or vec_id > 199").withColumnRenamed("vec_id", "query_id")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or any(x != x for x in (*a, *b)) or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 6)
+
+    held = {i: (v, t) for i, v, t in vectors}
+    for k, apart, allowed in ((5, True, None), (3, False, lambda q, v: q["tag"][:, None] == v["tag"][None])):
+        got = {}
+        for r in dense.top_k_many(table, asked, k, apart=apart, fields=["tag"], query_fields=["tag"], allowed=allowed, block=16).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, round(r.similarity, 6) + 0.0))
+        for r in asked.collect():
+            all_ = [(-c, i) for i, (v, t) in held.items() if (c := cosine(held[r.query_id][0], v)) is not None and not (apart and i == r.query_id) and (allowed is None or t == r.tag)]
+            assert got.get(r.query_id, []) == [(i, -c + 0.0) for c, i in sorted(all_)[:k]]
