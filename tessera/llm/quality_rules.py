@@ -1,36 +1,41 @@
 """Quality rules: counts first, then how far a document's histograms lie from its language's.
 
-Two histograms are taken of each text, of character classes and of common words. A language's reference is the mean
-of its documents' histograms, over the whole table. A document is held against the language whose common words are
-nearest; it goes if the Jensen-Shannon distance of either histogram is over its limit. Texts too short to tell are
-not judged by distance.
-
-The text is read once, in Python, into a narrow table of counts; references are one aggregation of that table, summed in
-each task first, and distances a pass over it.
-
-References are those of LANGUAGES, and of each further value of `lang` that enough documents have (one in `RARE`, and
-`LEAST_DOCS`). A text is held against none, and so not judged by distance, if most of its characters are letters of a
-script beyond Latin that no reference is written in.
-
-Defined results: a null or empty text has no words and fails the base rules. Repeated rows stay, each judged. Rows
-whose language is null or rare are judged as any other and only build no reference; without a reference at all no
-distance is taken. Very long texts are read whole. Text that is no valid UTF-8 is counted by its bytes. An empty table
-gives no rows.
+Two histograms are taken of each text, of character classes and of its language's common words. A language is a value of
+`lang` down to its first part, two or three letters, so there are 18,252 at most; its common words are the TOP that the
+most of its documents hold, and its reference is the mean of its documents' histograms, both learned from the whole table,
+whatever number of documents that is. A document is held against its own language's reference. Where that is far, and
+for a text that no language is marked on, the reference whose words are nearest is tried. A text that is marked goes if
+the Jensen-Shannon distance of either histogram is over its limit to both. A text that is not marked may be of a language
+that the table does not have, so it is judged by its characters alone then, letters of all scripts being one class: it goes
+if these are far from every reference. Texts too short to tell are not judged by distance.
+
+The text is read twice, in Python: for the words that documents hold, of which each task sends a count by language and
+word, and for a narrow table of counts. References are one aggregation of that table, summed in each task first, and
+distances a pass over it.
+
+Defined results: a null or empty text has no words and fails the base rules. Repeated rows stay, each judged. A text that
+is alone in its language is its own reference, and no distance away. Where no document is marked no distance is taken.
+Very long texts are read whole. Text that is no valid UTF-8 is counted by its bytes. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import durable, table
 
-#: Common words of each language.
+#: Common words of a language.
+TOP = 20
+#: Common words of four languages, for features that do not learn them.
 LANGUAGES = {
     "de": "der die das und in zu den von mit ist des auf für nicht ein eine dem sich auch als",
     "en": "the of and to in a is that for it as was with be by on not he this are",
@@ -43,10 +48,7 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Below these a histogram says too little: words, and characters.
 GUARD_WORDS, GUARD_CHARS = 50, 200
-CHAR_LIMIT, WORD_LIMIT = 0.25, 0.38
-
-#: A language has a reference if at least one in RARE judged documents, and at least LEAST_DOCS, are marked with it; so there are RARE at most.
-RARE, LEAST_DOCS = 200, 100
+CHAR_LIMIT, WORD_LIMIT = 0.3, 0.38
 
 _SPACE, _SYMBOL, _OTHER_SCRIPT, _CLASSES = 1, 6, 9, 10
 _CLASS = np.full(256, 7, np.uint8)  # other ASCII
@@ -57,15 +59,25 @@ for _k, _chars in ((_SPACE, b" \t\n\r\v\f"), (2, bytes(range(97, 123))), (3, byt
     _CLASS[list(_chars)] = _k
 
 
+def _plain(word: bytes) -> str:
+    """A word in lower case without the punctuation around it."""
+    return word.decode(errors="replace").lower().strip(".,;:!?'\"()")
+
+
+_FIXED = {w: k + 1 for k, w in enumerate(COMMON)}
+
+
 class _Words(dict):
-    """Slot in COMMON (0: none) and hash of a word. Emptied when it is full."""
+    """Slot (0: none; by default in COMMON) and hash of a word. Emptied when it is full."""
 
-    slots = {w.encode(): k + 1 for k, w in enumerate(COMMON)}
+    def __init__(self, slots: dict[str, int] = _FIXED):
+        super().__init__()
+        self.slots = slots
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 300_000:
             self.clear()
-        self[word] = found = self.slots.get(word.decode(errors="replace").lower().strip(".,;:!?'\"()").encode(), 0), xxhash.xxh3_64_intdigest(word)
+        self[word] = found = self.slots.get(_plain(word), 0), xxhash.xxh3_64_intdigest(word)
         return found
 
 
@@ -95,59 +107,187 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and both histograms."""
-    types = dict(docs.dtypes)
-    lang = F.col("lang") if "lang" in types else F.lit(None)
-    out = pa.schema([(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("chars", pa.list_(pa.int32())), ("common", pa.list_(pa.int32()))])
+def language(lang: Column) -> Column:
+    """The first part of a language tag, of two or three letters, in lower case; null for what is none."""
+    found = F.regexp_extract(F.lower(F.trim(lang.cast("string"))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(found != "", found)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text as bytes."""
+    lang = language(F.col("lang")) if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", lang.alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def common_words(docs: DataFrame, top: int = TOP) -> dict[str, list[str]]:
+    """Of each language the words that the most of its documents hold, ties in order of the words."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[tuple[str, bytes]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            by_word: Counter[tuple[str, str]] = Counter()
+            for (lang, word), n in found.items():
+                by_word[lang, word.decode(errors="replace")] += n
+            found.clear()
+            langs, words = zip(*by_word) if by_word else ((), ())
+            return pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(by_word.values(), pa.int64())], ["lang", "word", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                words = text.as_py().split()
+                if len(words) >= GUARD_WORDS:
+                    own = {w: None for w in words}
+                    found.update((lang, p) for p in {plain[w] for w in own} if p)
+            if len(found) > 500_000:
+                yield flush()
+                plain.clear()
+        yield flush()
+
+    class Plain(dict):
+        def __missing__(self, word: bytes) -> bytes:
+            self[word] = p = _plain(word).encode(errors="replace")
+            return p
+
+    plain = Plain()
+    each = _marked(docs).filter("lang is not null").select("lang", "text").mapInArrow(held, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    out: dict[str, list[str]] = {}
+    for r in each.withColumn("rank", rank).filter(F.col("rank") <= top).orderBy("lang", "rank").collect():  # `top` words of each language
+        out.setdefault(r.lang, []).append(r.word)
+    return out
+
+
+def counts(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, character classes, and which of all languages' common words stand in the text how often."""
+    kind = dict(docs.dtypes)["doc_id"]
+    slots = {w: k + 1 for k, w in enumerate(sorted({w for own in words.values() for w in own}))}
+    out = pa.schema([(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [(c, pa.list_(pa.int32())) for c in ("chars", "slots", "times")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known = _Words(slots)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                text = text.as_py() or b""
-                words = text.split()
-                found = list(map(known.__getitem__, words))
-                slots, hashes = zip(*found) if found else ((), ())
+                text = text.as_py()
+                held = text.split()
+                found = list(map(known.__getitem__, held))
+                at, hashes = zip(*found) if found else ((), ())
                 classes = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=_CLASSES)
-                rows.append((len(words), int(classes[1:].sum() - classes[_SPACE]), int(classes[_SYMBOL]), duplicate_lines(text), repeated_words(np.array(hashes, np.uint64)), classes[1:].astype(np.int32), np.bincount(np.array(slots, np.int64), minlength=len(COMMON) + 1).astype(np.int32)))
+                times = np.bincount(np.array(at, np.int64), minlength=1)
+                some = np.flatnonzero(times[1:]) + 1
+                rows.append((len(held), int(classes[1:].sum() - classes[_SPACE]), int(classes[_SYMBOL]), duplicate_lines(text), repeated_words(np.array(hashes, np.uint64)), classes[1:].astype(np.int32), some.astype(np.int32), times[some].astype(np.int32)))
             yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), *(pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(out), out))], ["doc_id", "lang", *out.names])
 
-    schema = f"doc_id {types['doc_id']}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, chars array<int>, common array<int>"
-    return docs.select("doc_id", lang.cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(scan, schema)
-
-
-def references(counted: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """Language, mean shares of character classes and of common words."""
-    sizes = {"chars": _CLASSES - 1, "common": len(COMMON) + 1}
+    numbers = ", ".join(f"{c} bigint" for c in out.names[:5])
+    return _marked(docs).mapInArrow(scan, f"doc_id {kind}, lang string, {numbers}, chars array<int>, slots array<int>, times array<int>")
+
+
+@dataclass
+class Reference:
+    """A language: slots of its common words in order, mean shares of character classes, and of its words and all others."""
+
+    lang: str
+    slots: np.ndarray
+    chars: np.ndarray
+    common: np.ndarray
+
+    @staticmethod
+    def shares(slots: np.ndarray, rows: Histograms) -> np.ndarray:
+        """Shares of the words in these slots, and of all others."""
+        place = np.full(max(rows.most, int(slots.max(initial=0))) + 1, -1)
+        place[slots] = np.arange(len(slots))
+        at = place[rows.slots]
+        out = np.zeros((len(rows.words), len(slots) + 1))
+        np.add.at(out, (rows.owner[at >= 0], at[at >= 0]), rows.times[at >= 0])
+        out[:, -1] = rows.words - out.sum(1)
+        return out / np.maximum(rows.words, 1)[:, None]
+
+
+class Histograms:
+    """Rows of counts() side by side."""
+
+    def __init__(self, words, chars, slots, times):
+        self.words = np.asarray(words, float)
+        raw = np.array(list(chars), float).reshape(len(self.words), _CLASSES - 1)
+        self.chars = raw / np.maximum(raw.sum(1, keepdims=True), 1)
+        self.owner = np.repeat(np.arange(len(self.words)), [len(s) for s in slots]).astype(np.int64)
+        self.slots = np.concatenate([np.zeros(0, np.int64), *[np.asarray(s, np.int64) for s in slots]])
+        self.times = np.concatenate([np.zeros(0), *[np.asarray(t, float) for t in times]])
+        self.most = int(self.slots.max(initial=0))
+
+    def take(self, rows: np.ndarray) -> Histograms:
+        out = object.__new__(Histograms)
+        number = np.full(len(self.words), -1)
+        number[rows] = np.arange(len(rows))
+        own = number[self.owner] >= 0
+        out.words, out.chars, out.most = self.words[rows], self.chars[rows], self.most
+        out.owner, out.slots, out.times = number[self.owner[own]], self.slots[own], self.times[own]
+        return out
+
+
+def references(counted: DataFrame, words: dict[str, list[str]]) -> list[Reference]:
+    """The references of all languages, in order of their names."""
+    slots = {w: k + 1 for k, w in enumerate(sorted({w for own in words.values() for w in own}))}
+    own_slots = {lang: np.array([slots[w] for w in own]) for lang, own in words.items()}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
-            held = [of_totals(batch.column(name), n) for name, n in sizes.items()]
-            rows = np.concatenate([np.ones((batch.num_rows, 1)), *held], 1)
-            langs, own = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True) if batch.num_rows else ([], None)
-            for k, lang in enumerate(langs):
-                found[lang] = found.get(lang, 0) + rows[own == k].sum(0)
+            rows = Histograms(*(batch.column(c).to_pylist() for c in ("n_words", "chars", "slots", "times")))
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for lang in set(langs.tolist()) & own_slots.keys():
+                own = rows.take(np.flatnonzero(langs == lang))
+                held = np.concatenate([[len(own.words)], own.chars.sum(0), Reference.shares(own_slots[lang], own).sum(0)])
+                found[lang] = found.get(lang, 0) + held
         for lang, values in found.items():
             yield pa.record_batch([pa.array([lang] * len(values)), pa.array(np.arange(len(values))), pa.array(values)], ["lang", "slot", "value"])
 
-    judged = counted.filter(F.col("lang").isNotNull() & (F.col("n_words") >= GUARD_WORDS))
-    by_slot = judged.select("lang", *sizes).mapInArrow(sums, "lang string, slot bigint, value double").groupBy("lang", "slot").agg(F.sum("value").alias("value"))
-    n = by_slot.filter("slot = 0").select("lang", F.col("value").alias("n"))
-    least = n.agg(F.greatest(F.sum("n") / RARE, F.lit(float(LEAST_DOCS)))).first()[0] or 0.0
-    enough = n.filter(F.col("lang").isin(*LANGUAGES) | (F.col("n") >= least))
-    means: dict[str, list[float]] = {}
-    for r in by_slot.filter("slot > 0").join(F.broadcast(enough), "lang").select("lang", "slot", (F.col("value") / F.col("n")).alias("mean")).orderBy("lang", "slot").collect():
-        means.setdefault(r.lang, []).append(r.mean)
-    return [(lang, x[: _CLASSES - 1], x[_CLASSES - 1 :]) for lang, x in means.items()]
-
-
-def of_totals(lists: pa.Array, size: int) -> np.ndarray:
-    """Each list's numbers as shares of their sum; zeros where it is none."""
-    counts = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
-    return counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    judged = counted.filter(F.col("lang").isNotNull() & (F.col("n_words") >= GUARD_WORDS)).select("lang", "n_words", "chars", "slots", "times")
+    held: dict[str, list[float]] = {}
+    for r in judged.mapInArrow(sums, "lang string, slot bigint, value double").groupBy("lang", "slot").agg(F.sum("value").alias("value")).orderBy("lang", "slot").collect():
+        held.setdefault(r.lang, []).append(r.value)
+    return [Reference(lang, own_slots[lang], (x := np.array(v[1:]) / v[0])[: _CLASSES - 1], x[_CLASSES - 1 :]) for lang, v in held.items()]
+
+
+def _one_script(chars: np.ndarray) -> np.ndarray:
+    """Shares of character classes with letters of all scripts as one class, but for capitals of ASCII."""
+    out = chars.copy()
+    out[:, 1] += out[:, 7] + out[:, _OTHER_SCRIPT - 1]
+    out[:, [7, _OTHER_SCRIPT - 1]] = 0
+    return out
+
+
+def nearest(rows: Histograms, langs: list[str | None], known: list[Reference], char_limit: float, word_limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, character and word distance of each row: of its own language where it is not far, else of the one whose words are nearest; an unmarked row that is far from it has neither language nor word distance, and a character distance only if its characters are far from all."""
+    n = len(rows.words)
+    picked, chars, common = np.full(n, None, object), np.full(n, np.nan), np.full(n, np.nan)
+    names = {r.lang: r for r in known}
+    marks = np.array([x if x in names else None for x in langs], object)
+    far = lambda at: (chars[at] > char_limit) | (common[at] > word_limit)
+
+    def hold(ref: Reference, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = rows.take(at)
+        return js_distance(own.chars, ref.chars), js_distance(Reference.shares(ref.slots, own), ref.common)
+
+    for lang in {x for x in marks.tolist() if x is not None}:
+        at = np.flatnonzero(marks == lang)
+        picked[at] = lang
+        chars[at], common[at] = hold(names[lang], at)
+    again = np.flatnonzero((marks == None) | far(np.arange(n)))  # noqa: E711
+    if len(again) and known:
+        each = [hold(r, again) for r in known]
+        best = np.argmin([w for _, w in each], 0)
+        row = np.arange(len(again))
+        c, w = np.array([c for c, _ in each])[best, row], np.array([w for _, w in each])[best, row]
+        near = (c <= char_limit) & (w <= word_limit)
+        at = again[near]
+        picked[at], chars[at], common[at] = np.array([r.lang for r in known], object)[best[near]], c[near], w[near]
+        lost = again[~near & (marks[again] == None)]  # noqa: E711
+        if len(lost):
+            least = np.min([js_distance(_one_script(rows.take(lost).chars), _one_script(r.chars[None])[0]) for r in known], 0)
+            chars[lost] = np.where(least > char_limit, least, np.nan)
+    return picked, chars, common
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -161,28 +301,20 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, language, char_distance, word_distance."""
-    counted = durable(counts(docs), "rule-counts")
-    known = references(counted)
+    words = common_words(docs)
+    counted = durable(counts(docs, words), "rule-counts")
+    known = references(counted, words)
 
     @F.pandas_udf("language string, char_distance double, word_distance double")
-    def distances(chars, common):
-        import pandas as pd
-
-        if not known or not len(chars):
-            return pd.DataFrame({"language": pd.Series([None] * len(chars), dtype=object), "char_distance": np.full(len(chars), np.nan), "word_distance": np.full(len(chars), np.nan)})
-        of = lambda x: (a := np.stack(x.to_numpy()).astype(float)) / np.maximum(a.sum(1, keepdims=True), 1)
-        chars, common = of(chars), of(common)
-        by_word = np.stack([js_distance(common, np.array(w)) for _, _, w in known], 1)
-        by_char = np.stack([js_distance(chars, np.array(c)) for _, c, _ in known], 1)
-        best, row = by_word.argmin(1), np.arange(len(chars))
-        foreign = chars[:, _OTHER_SCRIPT - 1] > np.maximum(0.5 * (1 - chars[:, _SPACE - 1]), max(c[_OTHER_SCRIPT - 1] for _, c, _ in known))
-        pick = lambda x: np.where(foreign, np.nan, x[row, best])
-        return pd.DataFrame({"language": [None if f else known[k][0] for k, f in zip(best, foreign)], "char_distance": pick(by_char), "word_distance": pick(by_word)})
+    def distances(lang: pd.Series, n_words: pd.Series, chars: pd.Series, slots: pd.Series, times: pd.Series) -> pd.DataFrame:
+        found = nearest(Histograms(n_words, chars, slots, times), [x if isinstance(x, str) else None for x in lang], known, char_limit, word_limit)
+        return pd.DataFrame(dict(zip(("language", "char_distance", "word_distance"), found, strict=True)))
 
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     guard = (F.col("n_words") >= GUARD_WORDS) & (F.col("word_chars") >= GUARD_CHARS)
-    far = F.col("d.language").isNotNull() & guard & ((F.col("d.char_distance") > char_limit) | (F.col("d.word_distance") > word_limit))
-    judged = counted.withColumn("d", distances("chars", "common"))
+    over = lambda c, limit: F.coalesce(~F.isnan(c) & (F.col(c) > limit), F.lit(False))
+    far = guard & (over("d.char_distance", char_limit) | over("d.word_distance", word_limit))
+    judged = counted.withColumn("d", distances("lang", "n_words", "chars", "slots", "times"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"), "d.*")
 
 

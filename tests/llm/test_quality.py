@@ -3,6 +3,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality_classifier as qc
 from tessera.llm import quality_rules as qr
@@ -34,7 +36,7 @@ def test_rules_on_the_whole_table(spark, sf_dir):
 def test_distance_of_shouting_and_symbols(spark):
     rng = np.random.default_rng(0)
     plain = [" ".join(rng.choice("the of and to in that is was house river stone water green".split(), 120)) + "." for _ in range(30)]
-    docs = [(k, t, "en") for k, t in enumerate(plain)] + [(100, " ".join(w.upper() + "!!" for w in plain[0].split()), "en"), (101, plain[1].replace(" ", "%%% "), None), (102, None, "en"), (103, "", "xx"), (104, plain[2], None)]
+    docs = [(k, t, "en") for k, t in enumerate(plain)] + [(100, " ".join(w.upper() + "!!" for w in plain[0].split()), "en"), (101, plain[1].replace(" ", "%%% "), "en"), (102, None, "en"), (103, "", "xx"), (104, plain[2], None)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, chars int")
     got = {r.doc_id: r for r in qr.judge(df).collect()}
     assert not got[100].kept and not got[101].kept and got[104].kept and got[102].base_failed and got[103].n_words == 0
@@ -42,34 +44,57 @@ def test_distance_of_shouting_and_symbols(spark):
     assert qr.judge(df.limit(0)).count() == 0 and qr.judge(df.drop("lang").limit(3)).count() == 3
 
 
-def test_other_scripts_are_not_judged_by_distance(spark):
+def say(rng, words, n=120):
+    return " ".join(rng.choice(words.split(), n)) + "."
+
+
+VIETNAMESE = "và của là có không được một trong cho người với những nước đã này khi nhà đường sông cây thành phố việc làm"
+CZECH = "a se na je že to v s z do by si jsem ale jako za už dům řeka kámen voda starý zelený město práce škola příběh"
+
+
+@pytest.mark.parametrize("mark", ["vi", None])
+@pytest.mark.parametrize("words", [VIETNAMESE, CZECH])
+def test_a_verdict_does_not_depend_on_how_many_neighbours_a_language_has(spark, words, mark):
+    rng = np.random.default_rng(4)
+    held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    asked = [(10**6 + k, say(rng, words), mark and "vi-VN") for k in range(20)]
+    verdicts = []
+    for n in (0, 20, 150, 5000):
+        companions = [(2 * 10**6 + k, say(rng, words), mark) for k in range(n)]
+        rows = qr.judge(held.unionByName(spark.createDataFrame(asked + companions, held.schema))).filter(f"doc_id >= {10**6} and doc_id < {2 * 10**6}").collect()
+        verdicts.append({r.doc_id: r.kept for r in rows})
+    assert all(v == verdicts[0] for v in verdicts) and all(verdicts[0].values())
+
+
+def test_texts_without_a_reference(spark):
     rng = np.random.default_rng(1)
-    say = lambda words, n=150: " ".join(rng.choice(words.split(), n)) + "."
-    plain = [(k, say("the of and to in that is was house river stone water green"), "en") for k in range(40)]
-    russian = say("и в не на что он как это дом река камень вода старый зелёный")
-    odd = [(100, russian, "ru"), (101, russian, None), (102, "\U0001f600 " * 200, "en"), (103, say("%%% ### $$$ && ||"), None)]
+    plain = [(k, say(rng, "the of and to in that is was house river stone water green", 150), "en") for k in range(40)]
+    russian = say(rng, "и в не на что он как это дом река камень вода старый зелёный", 150)
+    odd = [(100, russian, "ru"), (101, russian, None), (102, "\U0001f600 " * 200, "en"), (103, say(rng, "%%% ### $$$ && ||", 150), None), (104, russian, "no language"), (105, russian, "en")]
     got = {r.doc_id: r for r in qr.judge(spark.createDataFrame(plain + odd, "doc_id long, text string, lang string")).collect()}
-    assert all(got[k].language is None and got[k].char_distance is None or np.isnan(got[k].char_distance) for k in (100, 101))
-    assert got[100].kept == (not got[100].base_failed) and not got[103].kept and not got[102].kept
+    assert got[100].kept and got[100].language == "ru" and got[100].word_distance == 0
+    assert all(got[k].kept and got[k].language == "ru" for k in (101, 104, 105))
+    alone = {r.doc_id: r for r in qr.judge(spark.createDataFrame(plain + odd[1:], "doc_id long, text string, lang string")).collect()}
+    assert alone[101].kept and alone[104].kept and alone[101].language is None and not alone[105].kept and not alone[103].kept
+    assert not got[103].kept and not got[102].kept and all(got[k].kept or got[k].base_failed for k in range(40))
     bad = spark.sql("select 1L as doc_id, cast(X'61ff62' as string) as text, 'en' as lang")
     assert [(r.n_words, r.base_failed) for r in qr.judge(bad).collect()] == [(1, True)]
+    assert [r.got for r in spark.createDataFrame([("EN-us",), (" de ",), ("deutsch",), ("",), (None,), ("zh_Hant",), ("e1",)], "x string").select(qr.language(F.col("x")).alias("got")).collect()] == ["en", "de", None, None, None, "zh", None]
 
 
 def test_distances_against_plain_python(spark, sf_dir):
-    """Every row's distances and verdict, from the texts, with references as means of shares."""
+    """Every row's distances and verdict, from the texts: common words by documents, references as means of shares."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
 
     def shares(text):
-        chars, common = Counter(), Counter()
+        chars, words = Counter(), []
         for c in text:
             b = c.encode()[0]
             kind = 1 if c in " \t\n\r\v\f" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 5 if c in ".,;:!?'\"()-" else 6 if c in "#*$%&|<>" else 7 if b < 128 else 9 if 0xCE <= b < 0xEE and b != 0xE2 else 8
             chars[kind] += 1
-        for w in re.split(r"[\x20\x09-\x0D]+", text):
-            if w:
-                common[(w.lower().strip(".,;:!?'\"()") if w.lower().strip(".,;:!?'\"()") in qr.COMMON else None)] += 1
-        of = lambda n: {k: v / sum(n.values()) for k, v in n.items()}
-        return sum(common.values()), sum(v for k, v in chars.items() if k != 1), of(chars), of(common)
+        words = [w.lower().strip(".,;:!?'\"()") for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        total = sum(chars.values())
+        return len(words), sum(v for k, v in chars.items() if k != 1), {k: v / total for k, v in chars.items()}, Counter(words)
 
     def distance(p, q):
         total = 0.0
@@ -79,18 +104,25 @@ def test_distances_against_plain_python(spark, sf_dir):
         return np.sqrt(max(total, 0))
 
     held = {d.doc_id: shares(d.text or "") for d in docs}
+    mean = lambda rows: {x: sum(o.get(x, 0) for o in rows) / len(rows) for x in {y for o in rows for y in o}}
     known = {}
     for lang in sorted({d.lang for d in docs}):
         own = [held[d.doc_id] for d in docs if d.lang == lang and held[d.doc_id][0] >= 50]
-        mean = lambda k: {x: sum(o[k].get(x, 0) for o in own) / len(own) for x in {y for o in own for y in o[k]}}  # noqa: B023, E731
-        known[lang] = mean(2), mean(3)
+        n = Counter(w for o in own for w in o[3] if w)
+        common = {w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: qr.TOP]}
+        within = lambda o, common=common: mean([{**{w: o[3][w] / o[0] for w in common}, None: 1 - sum(o[3][w] for w in common) / o[0]}])
+        known[lang] = mean([o[2] for o in own]), mean([within(o) for o in own]), within
+    lang_of = {d.doc_id: d.lang for d in docs}
     for r in qr.op4_quality_rules(spark, sf_dir).collect():
-        n, size, chars, common = held[r.doc_id]
+        n, size, chars, _ = held[r.doc_id]
         if n:
-            best = min(known, key=lambda x: (distance(common, known[x][1]), x))  # noqa: B023
-            assert r.language == best and abs(r.char_distance - distance(chars, known[best][0])) < 1e-9 and abs(r.word_distance - distance(common, known[best][1])) < 1e-9
-            far = n >= 50 and size >= 200 and (r.char_distance > qr.CHAR_LIMIT or r.word_distance > qr.WORD_LIMIT)
-            assert r.kept == (not r.base_failed and not far)
+            each = {x: (distance(chars, c), distance(within(held[r.doc_id]), w)) for x, (c, w, within) in known.items()}
+            lang = lang_of[r.doc_id]
+            near = lambda x: x[0] <= qr.CHAR_LIMIT and x[1] <= qr.WORD_LIMIT
+            if not near(each[lang]) and near(each[best := min(each, key=lambda x: (each[x][1], x))]):  # noqa: B023
+                lang = best
+            assert r.language == lang and abs(r.char_distance - each[lang][0]) < 1e-9 and abs(r.word_distance - each[lang][1]) < 1e-9
+            assert r.kept == (not r.base_failed and not (n >= 50 and size >= 200 and not near(each[lang])))
 
 
 def test_js_distance():
