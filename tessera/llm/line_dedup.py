@@ -1,13 +1,21 @@
-"""Line dedup by runs: later repeats of runs of lines are deleted.
+"""Line dedup by winnowing: later repeats of runs of lines are deleted.
 
 A line's hash, of 124 bits, is taken from its text without outer white space and stands for it, as does a run's of 128
-for its lines: no text is compared. Lines without a word do not count. From each line on,
-the run ahead holds the fewest lines that reach `least` words, and the run behind holds the fewest that reach them up
-to this line. Each run has one key of all its hashes. Whatever stretch of at least `least` words also stands earlier,
-in another document or in its own, is covered by its runs ahead and behind, and these stand at the same earlier place,
-since what a run holds depends on its lines alone. So a run is deleted if its key has an earlier place at all: the
-first place of each key decides, and no pair of places is compared. A line is only ever deleted for an equal one at an
-earlier place, so the first of all stays.
+for its lines: no text is compared. Lines without a word do not count.
+
+1. Windows. From each line on, the run ahead holds the fewest lines that reach `least` words, and the run behind holds the
+   fewest that reach them up to this line. What a window holds depends on its lines alone.
+2. Fingerprints. A window selects the first of its lines with the least hash. Equal windows select the same line, so
+   whatever stretch of at least `least` words also stands earlier, in another document or in its own, has a fingerprint
+   in each of its windows that stands in both places.
+3. Positions. Fingerprints are joined by hash: one with a single position matches nothing, and the windows that it stands
+   for, which are most, end here.
+4. Extension. From the others matches extend both ways, by the windows ahead and behind of each line around them: a
+   window is keyed by all its lines, and the first place of each key decides, so that no pair of places is compared and
+   a fingerprint of many contexts has one row for each distinct one. Windows with an earlier place are deleted; those of
+   one match lap, and together they are all of it.
+
+A line is only ever deleted for an equal one at an earlier place, so the first of all stays.
 
 Everything is DataFrame operations. A key's first place comes from partial minima; the join that follows meets a
 frequent run once a document and may split it. Windows hold the lines of one document, frames `least` lines at most.
@@ -45,7 +53,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def runs_of(lines: DataFrame, least: int) -> DataFrame:
-    """doc, place, start, end, key, check: the shortest runs of at least `least` words from each line on and up to it; key and check are hashes of all their lines."""
+    """doc, place, start, end, key, check, low, at: the windows, of at least `least` words, from each line on and up to it; key and check are hashes of all their lines, low is the fingerprint, and at its position's hash."""
     each = lines.dropDuplicates(_KEY).select(*_KEY, F.posexplode("lines").alias("pos", "line")).select(*_KEY, "pos", "line.hash", "line.words")
     each = each.withColumn("ends", F.sum("words").over(Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     each = each.withColumn("begins", F.col("ends") - F.col("words"))
@@ -53,12 +61,19 @@ def runs_of(lines: DataFrame, least: int) -> DataFrame:
     for way, frame in frames.items():
         each = each.withColumns({way: F.collect_list("hash").over(frame), f"{way}_words": F.sum("words").over(frame)})
     hashes = lambda way: (F.xxhash64(F.lit(way), way).alias("key"), F.xxhash64(F.lit(f"{way} again"), way).alias("check"))
-    run = lambda way, start, end: F.when(F.col(f"{way}_words") >= least, F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *hashes(way)))
+    low = lambda way, start: (F.array_min(way).alias("low"), F.xxhash64(*_KEY, start + F.array_position(way, F.array_min(way))).alias("at"))
+    run = lambda way, start, end: F.when(F.col(f"{way}_words") >= least, F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *hashes(way), *low(way, start)))
     ahead = run("ahead", F.col("pos"), F.col("pos") + F.size("ahead") - 1)
     behind = run("behind", F.col("pos") - F.size("behind") + 1, F.col("pos"))
     return each.select(*_KEY, F.inline(F.array_compact(F.array(ahead, behind))))
 
 
+def matching(runs: DataFrame) -> DataFrame:
+    """The windows whose fingerprint stands at two positions or more."""
+    joined = runs.groupBy("low").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first <> last")
+    return runs.join(joined, "low", "left_semi")
+
+
 def later_runs(runs: DataFrame) -> DataFrame:
     """doc, place, start, end: the runs that also stand at an earlier place."""
     first = runs.groupBy("key", "check").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "start")).alias("at"), F.count("*").alias("n")).filter("n > 1")
@@ -68,7 +83,8 @@ def later_runs(runs: DataFrame) -> DataFrame:
 
 def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
     """doc, place, removed: first and last numbers of stretches whose lines are of later repeated runs, for documents that have any."""
-    later = later_runs(durable(runs_of(lines, least), "runs"))
+    runs = durable(runs_of(lines, least), "runs")
+    later = later_runs(durable(matching(runs).select(*_KEY, "start", "end", "key", "check"), "matches"))
     order = Window.partitionBy(*_KEY).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = later.withColumn("apart", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int"))  # from all runs before, neither lapping nor touching
