@@ -76,6 +76,7 @@ def matching(runs: DataFrame) -> DataFrame:
 
 def later_runs(runs: DataFrame) -> DataFrame:
     """doc, place, start, end: the runs that also stand at an earlier place."""
+    runs = runs.select(*_KEY, "start", "end", "key", "check")
     first = runs.groupBy("key", "check").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "start")).alias("at"), F.count("*").alias("n")).filter("n > 1")
     own = F.col("doc").eqNullSafe(F.col("at.doc")) & (F.col("place") == F.col("at.place")) & (F.col("start") == F.col("at.start"))
     return runs.join(first, ["key", "check"]).filter(~own).select(*_KEY, "start", "end")
@@ -84,7 +85,7 @@ def later_runs(runs: DataFrame) -> DataFrame:
 def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
     """doc, place, removed: first and last numbers of stretches whose lines are of later repeated runs, for documents that have any."""
     runs = durable(runs_of(lines, least), "runs")
-    later = later_runs(durable(matching(runs).select(*_KEY, "start", "end", "key", "check"), "matches"))
+    later = later_runs(durable(matching(runs).drop("low", "at"), "matches"))
     order = Window.partitionBy(*_KEY).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = later.withColumn("apart", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int"))  # from all runs before, neither lapping nor touching

@@ -89,11 +89,11 @@ def test_windows_without_a_shared_fingerprint_end(spark):
     own = lambda k: "\n".join(f"line {j} of text {k} " + "and so on " * 6 for j in range(12))
     shared = "\n".join(f"shared line {j} " + "word " * 20 for j in range(4))
     docs = spark.createDataFrame([(k, own(k) + ("\n" + shared if k in (3, 7) else "")) for k in range(10)], "doc_id long, text string")
-    runs = line_dedup.runs_of(line_dedup.lines_of(docs), 50)
-    kept = line_dedup.matching(runs).select("doc", "start", "end").distinct().collect()
+    runs = ld.runs_of(ld.lines_of(docs), 50)
+    kept = ld.matching(runs).select("doc", "start", "end").distinct().collect()
     assert {r.doc for r in kept} == {3, 7} and len(kept) < runs.count() / 4
-    assert {(r.doc, r.start) for r in line_dedup.later_runs(runs).collect()} <= {(r.doc, r.start) for r in kept}
-    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert {(r.doc, r.start) for r in ld.later_runs(runs).collect()} <= {(r.doc, r.start) for r in kept}
+    out = {r.doc_id: r.n_removed for r in ld.dedup_lines(docs).collect()}
     assert out == {k: 4 if k == 7 else 0 for k in range(10)}
 
 
@@ -101,5 +101,5 @@ def test_very_long_and_invalid_texts(spark):
     line = "a line of ten words that stands in very many places "
     bad = spark.sql("select 5L as doc_id, cast(X'61ff62' as string) as text")
     docs = spark.createDataFrame([(1, (line * 6 + "\n") * 3000), (2, "x" * 500_000 + "\n" + line * 6)], "doc_id long, text string").unionByName(bad)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    got = {r.doc_id: r for r in ld.dedup_lines(docs).collect()}
     assert got[1].n_removed == 2999 and got[2].n_removed == 1 and got[2].text == "x" * 500_000 and got[5].n_removed == 0
