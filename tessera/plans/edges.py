@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import api
 from tessera.durable import durable, shared_dir
 from tessera.functions.citations import category_parent, csf_target, dotted_order, dotted_parent, iso_reference, iso_target, sp80053_target, title_key
 from tessera.operators import mapping, numbering, tree
@@ -75,6 +76,24 @@ def unresolved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.unresolved_groups(_resolved(spark, sf_dir), orders, docs, 50)
 
 
+def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What nations ask for, a number, a third of them of one framework and a quarter of an old version: the control that it opens, with what hangs on it."""
+    held, docs, versions, relations = controls(spark, sf_dir)
+    empty = lambda kind: F.lit(None).cast(kind)
+    held = held.withColumns({"title": F.col("citation"), "status": F.lit("active"), "body": empty("string"), "parent_id": (F.col("id") / 20).cast("long"), "ordinal": F.col("id") % 5, "amends_citation_norm": empty("string"), "amend_action": empty("string")})
+    docs = docs.withColumns({"qualifier": F.lit(""), "doc_key": F.concat_ws("|", "framework_code", "version_label")})
+    chunk = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 300).alias("control_id"), F.col("lang").alias("content"), F.lit(0).alias("ordinal"))
+    corpus = {"controls": held, "documents": docs, "versions": versions.withColumn("edition_note", F.lit("")), "relations": relations, "edges": durable(_resolved(spark, sf_dir), "edges"), "chunks": chunk}
+    k = F.col("n_nationkey")
+    asked = read(spark, sf_dir, "nation").select(k.alias("query_id"), F.concat((k % 11 + 1).cast("string"), F.lit("."), (k * 7 % 40).cast("string")).alias("citation"), F.when(k % 3 == 1, "iso27001").when(k % 6 == 2, "none").otherwise("").alias("framework"), F.when(k % 4 == 3, "R").otherwise("").alias("version"))
+    found = api.dossiers(corpus, asked)
+    listed = lambda column, of: F.array_join(F.transform(column, of), ",")
+    return found.select(
+        "query_id", "found", F.col("control.id").alias("control_id"), F.col("control.framework_code").alias("framework_code"), F.col("control.version_label").alias("version_label"), listed("gaps", lambda g: F.concat_ws(":", g["kind"], F.array_join(g["found_in"], "/"))).alias("gaps"),
+        listed("children", lambda c: c["id"].cast("string")).alias("children"), F.col("n_outbound"), listed("outbound", lambda e: F.concat_ws("|", e["to_framework_code"], e["to_citation_norm"], e["resolved_title"])).alias("outbound"), "n_inbound", listed("lineage", lambda x: F.concat_ws(" ", x["kind"], x["version_label"], x["relation_type"])).alias("lineage"),
+        listed("chunks", lambda c: c["chunk_id"].cast("string")).alias("chunks"), "n_chunks", "more_chunks")
+
+
 def outbound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, *_ = controls(spark, sf_dir)
     return mapping.outbound(_resolved(spark, sf_dir), held.withColumn("title", F.col("citation"))).select(*_EDGE, "to_control_id", "resolved_title", "resolved")
@@ -262,13 +281,28 @@ _R = f"""{_C}, {_E}, placed as (select *, coalesce(to_version_label, 'N') as v f
             when successor is not null then provenance_detail || '; version-supersession: cited ' || to_version_label || ' resolved in successor N' else provenance_detail end as provenance_detail from tried)"""
 _KEYS = "from_control_id, to_framework_code, to_version_label, to_citation_norm, mapping_source_code"
 
-QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, skip_counters, dealt_controls, published_rebuild, iso_forms, deduped_edges, norm_lookup, tree_walks, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
+QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, dossiers, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, skip_counters, dealt_controls, published_rebuild, iso_forms, deduped_edges, norm_lookup, tree_walks, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
 ORACLES = {
     "resolve_edges": f"with {_C}, {_E} select {_KEYS}, t.id as to_control_id from edges e left join targets t on t.framework_code = e.to_framework_code and t.version_label = coalesce(e.to_version_label, 'N') and t.citation_norm = e.to_citation_norm",
     "resolve_annex": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'annex-prefix'",
     "resolve_supersession": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'supersession'",
     "resolve_all": f"with {_R} select to_framework_code, coalesce(resolved_by, 'open') as resolved_by, count(*) as edges, count(distinct to_control_id) as targets from resolved group by 1, 2",
     "unresolved_groups": f"with {_R} select to_framework_code, coalesce(to_version_label, '') as to_version_label, to_citation_norm, mapping_source_code, count(*) as edges, string_agg(distinct lower(c_mktsegment), ', ' order by lower(c_mktsegment)) as from_frameworks from resolved join orders on o_orderkey = from_control_id join customer on c_custkey = o_custkey and c_acctbal > 0 where to_control_id is null group by resolved.to_framework_code, resolved.to_version_label, resolved.to_citation_norm, resolved.mapping_source_code order by edges desc, to_framework_code, to_citation_norm, coalesce(to_version_label, ''), mapping_source_code limit 50",
+    "dossiers": f"""with {_R}, v(framework_code, version_label, is_current) as (values ('iso27001', 'N', true), ('iso27001', 'R', false), ('ciscontrols', 'N', true), ('ciscontrols', 'R', false)),
+        q as (select n_nationkey as q, n_nationkey % 11 + 1 || '.' || n_nationkey * 7 % 40 as norm, case when n_nationkey % 3 = 1 then 'iso27001' when n_nationkey % 6 = 2 then 'none' else '' end as f, case when n_nationkey % 4 = 3 then 'R' else '' end as v from nation),
+        bear as (select q.*, c.id, d.framework_code, d.version_label, v.is_current from q join controls c on c.citation_norm = q.norm join docs d using (document_id) join v on v.framework_code = d.framework_code and v.version_label = d.version_label),
+        pick as (select * from bear where (f = '' or framework_code = f) and case when v <> '' then version_label = v else is_current end qualify row_number() over (partition by q order by is_current desc, framework_code, id) = 1),
+        oth as (select b.q, string_agg(distinct b.framework_code, '/' order by b.framework_code) as o from bear b left join pick p using (q) where b.is_current and b.framework_code <> coalesce(p.framework_code, b.f) group by 1),
+        ver as (select q, string_agg(distinct framework_code || ' ' || version_label, '/' order by framework_code || ' ' || version_label) as o from bear where f = '' or framework_code = f group by 1),
+        kid as (select p.q, string_agg(k.id, ',' order by k.id % 5, k.id) as ids from pick p join controls k on k.id // 20 = p.id group by 1),
+        outb as (select p.q, count(*) as n, string_agg(to_framework_code || '|' || to_citation_norm || '|' || coalesce(t.citation, ''), ',' order by to_framework_code, to_citation_norm, to_version_label nulls first, mapping_source_code) as e from pick p join resolved on from_control_id = p.id left join controls t on t.id = to_control_id group by 1),
+        inb as (select p.q, count(*) as n from pick p join resolved r on r.to_control_id = p.id join controls s on s.id = r.from_control_id group by 1),
+        lin as (select q, string_agg(line, ',' order by b, kind, f, ver) as line from (select q, 0 as b, 'from' as kind, framework_code as f, case framework_code when 'iso27001' then 'R' else 'A' end as ver, 'from ' || case framework_code when 'iso27001' then 'R amends' else 'A supersedes' end as line from pick where version_label = 'N'
+            union all select q, 0, 'to', framework_code, 'N', 'to N amends' from pick where framework_code = 'iso27001' and version_label = 'R' union all select q, 1, 'version', p.framework_code, v.version_label, 'version ' || v.version_label || ' ' from pick p join v on v.framework_code = p.framework_code) group by 1),
+        chk as (select p.q, count(*) as n, string_agg(doc_id, ',' order by doc_id) filter (r <= 20) as ids from (select p.q, doc_id, row_number() over (partition by p.q order by doc_id) as r from pick p join documents on doc_id % 300 = p.id) p group by 1)
+        select q.q as query_id, p.id is not null as found, p.id as control_id, p.framework_code, p.version_label, concat_ws(',', case when p.id is null then 'no_evidence' end, case when p.id is null and q.v <> '' and ver.o is not null then 'version_not_found:' || ver.o end, case when p.id is null and q.f <> '' and oth.o is not null then 'found_elsewhere:' || oth.o end, case when p.id is not null and q.f = '' and oth.o is not null then 'ambiguous_citation:' || oth.o end, case when p.id is not null and chk.n is null then 'no_chunks' end) as gaps,
+            kid.ids as children, coalesce(outb.n, 0) as n_outbound, outb.e as outbound, coalesce(inb.n, 0) as n_inbound, lin.line as lineage, chk.ids as chunks, coalesce(chk.n, 0) as n_chunks, coalesce(chk.n, 0) > 20 as more_chunks
+        from q left join pick p using (q) left join oth using (q) left join ver using (q) left join kid using (q) left join outb using (q) left join inb using (q) left join lin using (q) left join chk using (q)""",
     "outbound_edges": f"with {_R} select {_KEYS}, to_control_id, coalesce(c.citation, '') as resolved_title, to_control_id is not null as resolved from resolved left join controls c on c.id = to_control_id",
     "inbound_edges": f"with {_R} select to_control_id, o_orderpriority as from_citation, count(*) as edges from resolved join orders on o_orderkey = from_control_id where to_control_id is not null group by 1, 2",
     "structural_edges": f"with {_C}, both_ways as (select a.id as a, b.id as b, a.citation_norm as an, b.citation_norm as bn from controls a join controls b on b.citation_norm = substr(a.citation_norm, 3) where a.citation_norm like 'A.%' and b.citation_norm not like 'A.%') select a as from_id, bn as to_norm, 'equivalent' as relationship from both_ways union all select b, an, 'equivalent' from both_ways",

@@ -25,6 +25,24 @@ def corpus(spark):
     }
 
 
+def test_dossiers_of_many(spark, corpus):
+    asked = [(1, "ac-2", "", ""), (2, "AC-2", "fw", "v7"), (3, "GX-1", "", ""), (4, "AC-2", "fw", "v1"), (5, "none", "fw", ""), (6, "GX-1", "fw", ""), (7, "AC", None, None), (8, None, "", "")]
+    rows = {r.query_id: r for r in api.dossiers(corpus, spark.createDataFrame(asked, "query_id long, citation string, framework string, version string"), limit=1).collect()}
+    assert len(rows) == len(asked)
+    for k, citation, framework, version in asked[:7]:
+        one, r = api.document(corpus, citation, framework or "", version or "", limit=1), rows[k]
+        assert r.found == one["found"] and [g.kind for g in r.gaps] == [g["kind"] for g in one["gaps"]], k
+        assert [list(g.found_in or []) for g in r.gaps] == [g.get("found_in", []) for g in one["gaps"]]
+        if not r.found:
+            continue
+        assert r.control.id == one["control"]["id"] and r.more_chunks == (one["next_offset"] is not None)
+        assert [c.id for c in r.children or []] == [c.id for c in one["children"].collect()] and [c.chunk_id for c in r.chunks or []] == [c.id for c in one["chunks"].collect()]
+        assert sorted((e.to_citation_norm, e.resolved, e.resolved_title) for e in r.outbound or []) == sorted((e.to_citation_norm, e.resolved, e.resolved_title) for e in one["outbound"].collect())
+        assert r.n_inbound == one["inbound"].count() and [(x.kind, x.version_label) for x in r.lineage] == [(x.kind, x.version_label) for x in one["lineage"].orderBy("block", "kind", "version_label").collect()]
+        assert [a.citation for a in r.amendments or []] == [a.citation for a in one["amendments"].collect()]
+    assert not rows[8].found
+
+
 def test_document(corpus):
     got = api.document(corpus, "ac-2", limit=1)
     assert got["found"] and got["control"]["id"] == 11 and [g["kind"] for g in got["gaps"]] == ["ambiguous_citation"]
