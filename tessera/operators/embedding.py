@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.durable import durable
 from tessera.functions.text import chunk_content, context_prefix, embedding_text
 from tessera.operators import mapping, state, tree
+from tessera.published import Published
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
@@ -55,6 +57,39 @@ def embed_missing(chunks: DataFrame, embeddings: DataFrame, model: str, load: Ca
     return found.select(F.col("id").alias("chunk_id"), F.lit(model).alias("model"), F.size("embedding").alias("dims"), "embedding")
 
 
+def embed_in_rounds(store: Published, chunks: DataFrame, model: str, load: Callable[[], Embedder], part_rows: int = 100_000, parts_a_round: int = 32, most_rounds: int | None = None) -> int:
+    """Embeds what the store's table `vectors` lacks of the chunks, by this model and with this text, and returns the number of rounds that it took.
+
+    Chunks fall into parts by a hash of their id, and each round embeds some parts and publishes their rows as one more
+    version, so an interrupted run loses its last round at most. What is due is found anew by each call, from what is
+    published: calling again resumes, calling once more does nothing, and a chunk whose text has changed is due again.
+    chunks: id, context_prefix, content. vectors: chunk_id, model, text_md5, dims, embedding.
+    """
+    text = embedding_text(F.col("context_prefix"), F.col("content"))
+    wanted = chunks.select("id", text.alias("text")).withColumn("text_md5", F.md5(F.col("text").cast("binary")))
+    due = wanted
+    if "vectors" in store.listed():
+        have = store.read("vectors").filter(F.col("model") == model).select(F.col("chunk_id").alias("id"), "text_md5")
+        due = wanted.join(have, ["id", "text_md5"], "left_anti")
+    ledger = durable(due.select("id"), "due")  # ids only: texts are read again with each round's parts
+    n = -(-ledger.count() // part_rows)
+    rounds = -(-n // parts_a_round)
+    done = min(rounds, most_rounds) if most_rounds is not None else rounds
+    part = F.pmod(F.xxhash64("id"), F.lit(max(n, 1)))
+    for k in range(done):
+        mine = part.between(k * parts_a_round, (k + 1) * parts_a_round - 1)
+        rows = wanted.filter(mine).join(ledger.filter(mine), "id", "left_semi")
+        found = embed(rows.withColumn("key", F.struct("id", "text_md5")), load, key="key")
+        store.append({"vectors": found.select(F.col("key.id").alias("chunk_id"), F.lit(model).alias("model"), "key.text_md5", F.size("embedding").alias("dims"), "embedding")})
+    return done
+
+
+def latest_vectors(store: Published, model: str, chunks: DataFrame) -> DataFrame:
+    """chunk_id, model, dims, embedding of the chunks' present texts."""
+    now = chunks.select(F.col("id").alias("chunk_id"), F.md5(embedding_text(F.col("context_prefix"), F.col("content")).cast("binary")).alias("text_md5"))
+    return store.read("vectors").filter(F.col("model") == model).join(now, ["chunk_id", "text_md5"], "left_semi").select("chunk_id", "model", "dims", "embedding")
+
+
 def build_chunks(controls: DataFrame, documents: DataFrame, edges: DataFrame) -> DataFrame:
     """control_id, citation, context_prefix, content, ordinal of every control: one chunk each, by a stable id.
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import durable, shared_dir
 from tessera.functions.citations import cell_column, cell_row
 from tessera.functions.text import chunk_content, context_prefix, labelled_body
-from tessera.durable import durable
-from tessera.operators import evaluation, lexical, mapping, retrieval, state, status
+from tessera.operators import embedding, evaluation, lexical, mapping, retrieval, state, status
 from tessera.operators.embedding import build_chunks
-from tessera.plans.tables import CHUNKS, COSINE, TOKENS, chunk_keys, chunks, lexical_index, read
+from tessera.plans.tables import CHUNKS, COSINE, TOKENS, chunk_keys, chunks, lexical_index, read, texts
+from tessera.published import Published
 from tessera.sources import iso
 
 
@@ -203,6 +206,21 @@ def chunk_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("chunk_id", "prefix", F.md5(F.col("text").cast("binary")).alias("content_md5"), F.length("text").cast("long").alias("length"))
 
 
+def embedding_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded in rounds: a run that ends after its first, one that goes on, and one after some texts have changed, which embeds these alone. Each document's vector once."""
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("context_prefix"), F.col("text").alias("content"))
+    store = Published(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    small = max(1, docs.count() // 5)
+    first = embedding.embed_in_rounds(store, docs, "hashed", lambda: embedding.hash_embedder, part_rows=small, parts_a_round=2, most_rounds=1)
+    rest = embedding.embed_in_rounds(store, docs, "hashed", lambda: embedding.hash_embedder, part_rows=small, parts_a_round=2)
+    none = embedding.embed_in_rounds(store, docs, "hashed", lambda: embedding.hash_embedder)
+    changed = docs.withColumn("content", F.when(F.col("context_prefix") == "fr", F.concat_ws(" ", "content", F.lit("changed"))).otherwise(F.col("content")))
+    embedding.embed_in_rounds(store, changed, "hashed", lambda: embedding.hash_embedder)
+    found = embedding.latest_vectors(store, "hashed", changed)
+    rows = store.read("vectors").groupBy("chunk_id").agg(F.count("*").alias("rows"))
+    return found.join(rows, "chunk_id").select("chunk_id", "model", "dims", "rows", F.lit(first > 0 and rest > 0 and none == 0).alias("resumed"))
+
+
 def labelled_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("p_size") > 25, "True").otherwise("")
     body = labelled_body(F.col("p_name"), [("Brand", F.col("p_brand")), ("Large", flag), ("Type", F.col("p_type"))])
@@ -393,7 +411,7 @@ def _lane_sql(lane: str) -> str:
     return f"select * from (with hits as (select case_id, rank, lower(source) as f, d.lang as v, doc_id::varchar as c, d.lang = 'en' as cur from many m join q on q.q = m.q join documents d using (doc_id) where q.lane = '{lane}'), {hits.strip()} select *, '{lane}' as lane from agg)"
 
 
-QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, labelled_bodies, grid_pivot, page_lookahead, iso_trees, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
+QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, embedding_rounds, labelled_bodies, grid_pivot, page_lookahead, iso_trees, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
 
 
 def _oracles() -> dict[str, str]:
@@ -420,6 +438,7 @@ def _oracles() -> dict[str, str]:
         "source_url_min": "with u as (select page_id % 60 as s, min(url) as url from pages where page_id % 60 < 50 group by 1) select doc_id as id, coalesce(url, '') as source_url from documents left join u on s = doc_id % 70",
         "glob_rules": f"select page_id, ({case(str)})::int as ordinal, {case(lambda k: repr(RULES[k][1]))} as identity from pages",
         "chunk_build": f"with {CHUNKS}, b as (select a.doc_id as chunk_id, a.framework_code || ' ' || a.version_label || ' > root > ' || a.status || ' > title' as prefix, 'D-' || a.doc_id || ' title' || case when a.text <> '' then chr(10) || a.text else '' end || case when a.doc_id % 3 = 0 and e.text <> '' then chr(10) || chr(10) || '[equivalent ' || e.framework_code || ' D-' || e.doc_id || ']' || chr(10) || e.text else '' end as text from chunks a left join chunks e on e.doc_id = a.doc_id + 1) select chunk_id, prefix, md5(text) as content_md5, length(text) as length from b",
+        "embedding_rounds": "select doc_id as chunk_id, 'hashed' as model, 64 as dims, case when lang = 'fr' then 2 else 1 end as rows, true as resumed from documents",
         "labelled_bodies": "select p_partkey, p_name || chr(10) || chr(10) || 'Brand: ' || p_brand || chr(10) || case when p_size > 25 then 'Large: Yes' || chr(10) else '' end || 'Type: ' || p_type as body from part",
         "grid_pivot": 'select p_partkey::int as "row", p_name as "A", p_brand as "B", p_size::varchar as "C" from part',
         "page_lookahead": "with a as (select doc_id, source from documents order by source, doc_id limit 21 offset 40) select doc_id, source, (select case when count(*) > 20 then 60 end from a)::int as next_offset from (select * from a order by source, doc_id limit 20)",

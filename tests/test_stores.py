@@ -205,3 +205,38 @@ def test_nearest_of_many_against_all_pairs(spark):
         for r in asked.collect():
             all_ = [(-c, i) for i, (v, t) in held.items() if (c := cosine(held[r.query_id][0], v)) is not None and not (apart and i == r.query_id) and (allowed is None or t == r.tag)]
             assert got.get(r.query_id, []) == [(i, -c + 0.0) for c, i in sorted(all_)[:k]]
+
+
+def test_embedding_goes_on_where_it_was_interrupted(spark, tmp_path):
+    from tessera.operators import embedding
+    from tessera.published import Published
+
+    store = Published(spark, str(tmp_path / "vectors"))
+    chunks = spark.createDataFrame([(k, None if k % 3 else "prefix", f"text {k}" if k % 5 else None) for k in range(60)], "id long, context_prefix string, content string")
+    flag = str(tmp_path / "broken")
+
+    def load():
+        import os
+
+        def run(texts):
+            if os.path.exists(flag) and any("text 41" in t for t in texts):
+                raise ValueError("out of memory")
+            return embedding.hash_embedder(texts, 8)
+
+        return run
+
+    open(flag, "w").close()
+    with pytest.raises(Exception, match="out of memory"):
+        embedding.embed_in_rounds(store, chunks, "m", load, part_rows=10, parts_a_round=1)
+    kept = store.read("vectors").count() if store.version() else 0
+    assert kept < 60
+    (tmp_path / "broken").unlink()
+    rounds = embedding.embed_in_rounds(store, chunks, "m", load, part_rows=10, parts_a_round=1)
+    assert rounds == -(-(60 - kept) // 10)
+    got = {r.chunk_id: r.embedding for r in embedding.latest_vectors(store, "m", chunks).collect()}
+    assert len(got) == 60 and store.read("vectors").count() == 60
+    assert embedding.embed_in_rounds(store, chunks, "m", load) == 0
+    assert embedding.embed_in_rounds(store, chunks.filter("id < 3"), "other", load) == 1
+    changed = chunks.withColumn("content", F.when(F.col("id") == 7, "new words").otherwise(F.col("content")))
+    assert embedding.embed_in_rounds(store, changed, "m", load) == 1 and store.read("vectors").filter("model = 'm'").count() == 61
+    assert embedding.latest_vectors(store, "m", changed).count() == 60 and embedding.embed_in_rounds(store, chunks.limit(0), "m", load) == 0
