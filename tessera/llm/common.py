@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.durable import durable, shared_dir, spread
+from tessera.durable import delete, durable, scratch, shared_dir, spread
 
-__all__ = ["SPACE", "durable", "lower_ascii", "shared_dir", "table", "words"]
+__all__ = ["SPACE", "delete", "durable", "lower_ascii", "scratch", "shared_dir", "table", "words"]
 
 #: Fixed value: what separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
