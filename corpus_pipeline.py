@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import line_dedup, near_dedup, packing, quality_classifier, secrets
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import delete, scratch, shared_dir, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that the stages leave."""
+    """The packed pieces of the documents that the stages leave.
+
+    What a stage has written on its way goes when its result is written, and so does the result before; those of the last
+    stage stay, as the rows that are returned are read from them.
+    """
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{root}/{k}")
-            docs = spark.read.parquet(f"{root}/{k}")
-    return docs
+    *first, (_, last) = STAGES
+    for k, (_, stage) in enumerate(first):
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
+        if k:
+            delete(spark, f"{root}/{k - 1}")
+    return last(spark, docs, sf_dir)

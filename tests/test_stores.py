@@ -240,3 +240,18 @@ def test_embedding_goes_on_where_it_was_interrupted(spark, tmp_path):
     changed = chunks.withColumn("content", F.when(F.col("id") == 7, "new words").otherwise(F.col("content")))
     assert embedding.embed_in_rounds(store, changed, "m", load) == 1 and store.read("vectors").filter("model = 'm'").count() == 61
     assert embedding.latest_vectors(store, "m", changed).count() == 60 and embedding.embed_in_rounds(store, chunks.limit(0), "m", load) == 0
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from tessera.durable import durable, scratch, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        assert durable(spark.range(3), "gone").count() == 3 and len(set(os.listdir(folder)) - before) == 1
+        with scratch(spark):
+            durable(spark.range(3), "inner")
+        assert len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
