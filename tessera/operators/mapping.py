@@ -152,6 +152,14 @@ def norms_to_ids(rows: DataFrame, controls: DataFrame, documents: DataFrame, ver
     return rows.join(ids, norm, "left")
 
 
+def crosswalk(pairs: DataFrame, controls: DataFrame, documents: DataFrame, versions: DataFrame, focal: str, target: str, version: str, source: str) -> tuple[DataFrame, Observation]:
+    """A crosswalk's pairs (from_norm, to_norm, provenance) as edges from the focal framework's controls, not yet resolved, and how many pairs there were, with an unknown focal control, and with a known one."""
+    held = norms_to_ids(pairs, controls, documents, versions, focal, "from_norm")
+    seen, known = Observation(), F.col("control_id").isNotNull()
+    held = held.observe(seen, F.count(F.lit(1)).alias("pairs"), F.count_if(~known).alias("unknown_focal"), F.count_if(known).alias("edges")).filter(known)
+    return held.select(F.col("control_id").alias("from_control_id"), F.lit(target).alias("to_framework_code"), F.lit(version).alias("to_version_label"), F.col("to_norm").alias("to_citation_norm"), F.lit(source).alias("mapping_source_code"), F.lit("related").alias("relationship"), F.col("provenance").alias("provenance_detail")), seen
+
+
 def dedupe_edges(edges: DataFrame, key: list[str]) -> DataFrame:
     """One edge for a key, nulls being equal, with all its sources' names in order."""
     return edges.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("source_name")), "; ").alias("sources"))

@@ -20,7 +20,7 @@ PINS, LINEAGE = 16, 3
 
 @dataclass(frozen=True)
 class Options:
-    """What a search is asked for. version pins a version in place of the current one."""
+    """What a search is asked for. version pins a version in place of the current one; a number that is not over 0 stands for the default."""
 
     top_k: int = 8
     vector_k: int = 50
@@ -39,6 +39,14 @@ class Options:
     def __post_init__(self):
         if self.mode not in MODES:
             raise ValueError(f"mode {self.mode!r} is none of {MODES}")
+        for name in ("top_k", "vector_k", "bm25_k", "rrf_k", "doc_cap", "lexical_weight"):
+            if getattr(self, name) <= 0:
+                object.__setattr__(self, name, type(self).__dataclass_fields__[name].default)
+
+    @property
+    def shows_older(self) -> bool:
+        """Whether hits of older versions are appended: only where neither currency, a framework nor a version is asked for."""
+        return self.current_only is None and not self.framework and not self.version
 
     def without_vector(self) -> Options:
         """What is left of a search that has no query vector."""
@@ -106,7 +114,7 @@ def search(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Seq
     if n_pins:
         lead = pins.select("chunk_id", F.lit(1.0).alias("score"), F.lit(0).alias("vector_rank"), F.lit(0).alias("bm25_rank"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("bm25_score"), "rank")
         hits = fusion.merge_pinned(lead, hits, "chunk_id", o.top_k)
-    if o.current_only is None and not o.version:
+    if o.shows_older:
         hits = fusion.append_new(hits, lineage_hits(keys, vectors, vector, o, asked), "chunk_id")
     return hits.join(keys, "chunk_id").orderBy("rank")
 
@@ -217,9 +225,9 @@ def search_many(keys: DataFrame, vectors: DataFrame, queries: DataFrame, index:
         out = _ranked(both, "arm", "rank", "chunk_id", name="place").filter((F.col("arm") == 0) | (F.col("place") <= o.top_k)).withColumn("rank", F.col("place")).drop("place")
     if lineage:
         k = min(LINEAGE, o.top_k)
-        free = q.filter("version = ''")
+        free = q.filter("framework = '' and version = ''")
         by_vector = near_of(free, k, _may_old).withColumns({"score": F.lit(0.0), "v": F.col("rank"), "b": zero, "bm25_score": none})
-        by_words = best(words.filter("version = '' and not dense").filter(_may(o, non_current=True)), k).withColumns({"score": F.lit(0.0), "v": zero, "rank": F.col("b"), "similarity": none})
+        by_words = best(words.filter("framework = '' and version = '' and not dense").filter(_may(o, non_current=True)), k).withColumns({"score": F.lit(0.0), "v": zero, "rank": F.col("b"), "similarity": none})
         older = shape(by_vector, 2).unionByName(shape(by_words, 2)).join(keys.select("chunk_id", "framework_code", "version_label"), "chunk_id")
         own = F.row_number().over(Window.partitionBy("query_id", "framework_code", "version_label").orderBy("rank"))
         older = older.withColumn("own", own).filter("own = 1").select(out.columns)

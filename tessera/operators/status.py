@@ -85,6 +85,21 @@ def listing(manifest: DataFrame, kind: str) -> DataFrame:
     return held.orderBy("rel_path")
 
 
+#: What each listing of the registry and of the corpus keeps, and its order.
+REGISTRY = {
+    "frameworks": ("true", ("code",)), "versions": ("true", ("framework_code", "version_label")), "current_versions": ("is_current", ("framework_code",)), "mapping_sources": ("true", ("code",)), "control_kinds": ("true", ("code",)),
+    "file_rules": ("true", ("ordinal",)), "reference_sources": ("enabled", ("prefix",)), "control_titles": ("true", ("citation_norm",)), "documents": ("true", ("framework_code", "version_label", "doc_role", "qualifier")), "relations": ("true", ("from_framework_code", "from_version_label")), "controls": ("true", ("ordinal", "id")),
+}
+
+
+def listed(kind: str, table: DataFrame, **keys) -> DataFrame:
+    """A listing of REGISTRY in its order, of the rows whose columns have the values given."""
+    if kind not in REGISTRY:
+        raise ValueError(f"unknown listing {kind!r}; known: {', '.join(REGISTRY)}")
+    keep, order = REGISTRY[kind]
+    return lookup(table, **keys).filter(keep).orderBy(*order)
+
+
 def lookup(table: DataFrame, **keys) -> DataFrame:
     """The rows whose columns have these values, null being one; a key names one row at most."""
     for name, value in keys.items():

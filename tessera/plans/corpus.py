@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.durable import durable, shared_dir
 from tessera.functions.citations import cell_column, cell_row
 from tessera.functions.text import chunk_content, context_prefix, labelled_body
-from tessera.operators import embedding, evaluation, lexical, mapping, retrieval, state, status
+from tessera.operators import embedding, evaluation, lexical, mapping, numbering, retrieval, state, status
 from tessera.operators.embedding import build_chunks
 from tessera.plans.tables import CHUNKS, COSINE, TOKENS, chunk_keys, chunks, lexical_index, read, texts
 from tessera.published import Published
@@ -72,6 +72,24 @@ def manifest_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionAll(each[1]).unionAll(each[2])
 
 
+def registry_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as frameworks, nations as their versions, suppliers as sources of references, parts as controls of a document: each listing with its rows' places."""
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("framework_code"), F.col("n_name").alias("version_label"), (F.col("n_nationkey") % 5 == 1).alias("is_current"))
+    supplier = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("prefix"), (F.col("s_acctbal") > 0).alias("enabled"))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("ordinal"), F.col("p_brand").alias("document_id"), "p_name")
+    region = read(spark, sf_dir, "region").select(F.lower("r_name").alias("code"))
+    each = {
+        "frameworks": (status.listed("frameworks", region), F.col("code")), "versions": (status.listed("versions", nation), F.concat_ws(" ", "framework_code", "version_label")), "current_versions": (status.listed("current_versions", nation), F.concat_ws(" ", "framework_code", "version_label")),
+        "reference_sources": (status.listed("reference_sources", supplier), F.col("prefix")), "controls": (status.listed("controls", part, document_id="Brand#1"), F.col("p_name")),
+    }
+    found = None
+    for kind, (rows, name) in each.items():
+        _, order = status.REGISTRY[kind]
+        own = numbering.dealt(rows.withColumn("name", name), [*order, "name"], "place").select(F.lit(kind).alias("listing"), "place", "name")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document by its key and a file by its path; a version without a label by null."""
     held = _manifest(spark, sf_dir)
@@ -411,7 +429,7 @@ def _lane_sql(lane: str) -> str:
     return f"select * from (with hits as (select case_id, rank, lower(source) as f, d.lang as v, doc_id::varchar as c, d.lang = 'en' as cur from many m join q on q.q = m.q join documents d using (doc_id) where q.lane = '{lane}'), {hits.strip()} select *, '{lane}' as lane from agg)"
 
 
-QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, embedding_rounds, labelled_bodies, grid_pivot, page_lookahead, iso_trees, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
+QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, registry_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, embedding_rounds, labelled_bodies, grid_pivot, page_lookahead, iso_trees, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
 
 
 def _oracles() -> dict[str, str]:
@@ -426,6 +444,7 @@ def _oracles() -> dict[str, str]:
         "deferred_docs": f"with {_M} select framework_code, version_label, doc_role, case doc_role when 'amendment' then 'amendment parsing deferred' when 'companion-workbook' then 'companion-workbook parsing deferred' else 'parsing not yet implemented' end as reason, count(*) as files from m where framework_code is not null and not ignored and doc_role not in ('guide', 'changelog') and framework_code <> '1-URGENT' and version_label <> 'P' group by 1, 2, 3, 4",
         "manifest_gaps": f"with {_M} select rel_path, sha256, case when framework_code is null and not ignored then 'unrecognized' else 'error' end as status, coalesce(stage_error, '') as error from m where (framework_code is null and not ignored) or stage_error is not null",
         "manifest_listings": f"with {_M}, a as (select * from m where status = 'active') select 'active' as listing, rel_path from a union all select 'unrecognized', rel_path from a where not ignored and framework_code is null union all select 'ignored', rel_path from a where ignored",
+        "registry_listings": "with v as (select lower(r_name) as f, n_name as v, n_nationkey % 5 = 1 as cur from nation join region on r_regionkey = n_regionkey) select 'frameworks' as listing, row_number() over (order by lower(r_name)) as place, lower(r_name) as name from region union all select 'versions', row_number() over (order by f, v), f || ' ' || v from v union all select 'current_versions', row_number() over (order by f, v), f || ' ' || v from v where cur union all select 'reference_sources', row_number() over (order by s_name), s_name from supplier where s_acctbal > 0 union all select 'controls', row_number() over (order by p_size, p_partkey, p_name), p_name from part where p_brand = 'Brand#1'",
         "point_lookups": f"with {_M} select 'path' as by, rel_path, sha256 from m where rel_path = 'orders/7.pdf' union all select 'unknown framework', rel_path, sha256 from m where framework_code is null and version_label = 'P'",
         "manifest_upsert": f"with {_M} select rel_path, case when k % 10 = 4 then sha256 || 'x' else sha256 end as sha256, case when k % 10 <> 3 then 'active' when status = 'active' then 'removed' else status end as status, k % 10 <> 4 and extracted_at is not null as extracted, k % 10 <> 4 and normalized_at is not null as normalized from m union all select 'new/' || n_name, 'n', 'active', false, false from nation",
         "stage_mark": f"with {_M} select version_label, case when version_label = 'P' then '2024-01-01' else coalesce(normalized_at::date::varchar, '-') end as normalized, version_label <> 'P' and stage_error is not null as failed, count(*) as files from m group by 1, 2, 3",

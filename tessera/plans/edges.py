@@ -15,6 +15,7 @@ from tessera.functions.citations import category_parent, csf_target, dotted_orde
 from tessera.operators import mapping, numbering, tree
 from tessera.plans.tables import read
 from tessera.published import Published
+from tessera.sources import workbooks
 
 #: Parts over this size are not loaded, so that edges to them stay open.
 LOADED = 35
@@ -153,6 +154,25 @@ def skip_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select(*[F.lit(counts[c]).cast("long").alias(c) for c in ("lines", "no_prefix", "unknown_prefix", "skipped", "edges")], F.lit(sum(v for c, v in counts.items() if c.startswith("skipped:"))).cast("long").alias("skipped_by_prefix"), "written", "norms")
 
 
+def crosswalks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of crosswalk workbooks, a brand's each, of three sheets; nations are the focal controls. Edges, with how many pairs had no control."""
+    k, text = F.col("p_partkey"), lambda c: F.lpad((c).cast("string"), 2, "0")
+    focal = F.when(k % 11 == 0, "Focal element").otherwise(F.concat(F.lit(" AC-"), text(k % 30 + 1), F.when(k % 4 == 0, F.concat(F.lit("("), text(k % 3 + 1), F.lit(")"))).otherwise("")))
+    target = F.when(k % 13 == 0, F.col("p_name")).otherwise(F.concat(F.when(k % 2 == 0, "A.").otherwise(""), (F.col("p_size") % 8 + 1).cast("string"), F.lit("."), (k % 5).cast("string")))
+    part = read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_key"), (F.col("p_size") % 3).alias("sheet_no"), k.alias("k"), focal.alias("focal"), target.alias("target"))
+    sheet = F.when(F.col("sheet_no") == 0, "Relationships").when(F.col("sheet_no") == 1, "Definitions").otherwise("More")
+    cell = lambda letter, c: F.struct(F.concat(F.lit(letter), F.col("k").cast("string")).alias("ref"), F.col(c).alias("value"))
+    cells = part.select("doc_key", "sheet_no", sheet.alias("sheet"), F.inline(F.array(cell("A", "focal"), cell("D", "target"))))
+    nation = read(spark, sf_dir, "nation")
+    held = nation.select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") % 2).cast("long").alias("document_id"), F.concat(F.lit("AC-"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0"), F.when(F.col("n_nationkey") % 4 == 3, "(01)").otherwise("")).alias("citation_norm"))
+    docs = spark.createDataFrame([(0, "nist80053", "r5", "main"), (1, "nist80053", "r4", "main")], "id long, framework_code string, version_label string, doc_role string")
+    versions = spark.createDataFrame([("nist80053", "r5", True), ("nist80053", "r4", False)], "framework_code string, version_label string, is_current boolean")
+    edges, seen = mapping.crosswalk(workbooks.crosswalk_edges(cells), held, docs, versions, "nist80053", "iso27001", "2022", "olir")
+    found = durable(edges, "edges")
+    counts = seen.get
+    return found.groupBy("from_control_id").agg(F.count("*").alias("edges"), F.min("to_citation_norm").alias("least"), F.max("provenance_detail").alias("provenance")).withColumns({c: F.lit(counts[c]).cast("long") for c in ("pairs", "unknown_focal")})
+
+
 def dealt_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as controls of their customer's document, their lines below them: ids without gaps and parents by id."""
     order = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("document_id"))
@@ -281,7 +301,7 @@ _R = f"""{_C}, {_E}, placed as (select *, coalesce(to_version_label, 'N') as v f
             when successor is not null then provenance_detail || '; version-supersession: cited ' || to_version_label || ' resolved in successor N' else provenance_detail end as provenance_detail from tried)"""
 _KEYS = "from_control_id, to_framework_code, to_version_label, to_citation_norm, mapping_source_code"
 
-QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, dossiers, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, skip_counters, dealt_controls, published_rebuild, iso_forms, deduped_edges, norm_lookup, tree_walks, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
+QUERIES = {f.__name__: f for f in (resolve_edges, resolve_annex, resolve_supersession, resolve_all, unresolved_groups, dossiers, outbound_edges, inbound_edges, structural_edges, longest_equivalent, version_lineage, prefix_refs, skip_counters, crosswalks, dealt_controls, published_rebuild, iso_forms, deduped_edges, norm_lookup, tree_walks, title_join, ancestor_path, dotted_parents, sections, pick_control, amendments)}
 ORACLES = {
     "resolve_edges": f"with {_C}, {_E} select {_KEYS}, t.id as to_control_id from edges e left join targets t on t.framework_code = e.to_framework_code and t.version_label = coalesce(e.to_version_label, 'N') and t.citation_norm = e.to_citation_norm",
     "resolve_annex": f"with {_R} select {_KEYS}, to_control_id, provenance_detail from resolved where resolved_by = 'annex-prefix'",
@@ -310,6 +330,7 @@ ORACLES = {
     "version_lineage": "with v as (select s_name as f, 'v' || year(l_shipdate) as v, year(l_shipdate) as y, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey where s_name = 'Supplier#000000003' group by 1, 2, 3), c as (select *, y = max(y) over () as cur from v) select 0 as block, 'from' as kind, f as framework_code, 'v1995' as version_label, 'supersedes' as relation_type, coalesce((select cur from c where y = 1995), false) as is_current, 'one year after, with ' || n || ' lines' as note from c where y = 1996 union all select 0, 'to', f, 'v1997', 'supersedes', cur, 'one year after, with ' || n || ' lines' from c where y = 1997 union all select 1, 'version', f, v, '', cur, n || ' lines' from c",
     "prefix_refs": "select n_nationkey as from_id, 'ISO/IEC 27001' as prefix, 'iso27001' as to_framework_code, 'A.5.' || n_nationkey as to_citation_norm from nation union all select n_nationkey, 'CIS', 'ciscontrols', '4.1' from nation union all select n_nationkey, 'OTHER', null, 'x' from nation",
     "skip_counters": "with p as (select p_partkey as k, p_size as size, p_brand as b, p_brand < 'Brand#3' and p_brand <> 'Brand#12' as known from part), l as (select b, known, case when k % 3 = 0 then 'A.5.' || size end as norm, k % 3 = 2 as bare from p union all select b, known, '4.' || size, false from p where k % 5 = 0) select count(*) as lines, count(*) filter (bare) as no_prefix, count(*) filter (not bare and not known) as unknown_prefix, count(*) filter (not bare and known and norm is null) as skipped, count(*) filter (not bare and known and norm is not null) as edges, count(*) filter (not bare and known and norm is null) as skipped_by_prefix, count(*) filter (not bare and known and norm is not null) as written, count(distinct norm) filter (not bare and known) as norms from l",
+    "crosswalks": r"with c as (select p_brand as d, p_size % 3 as no, case p_size % 3 when 0 then 'Relationships' when 1 then 'Definitions' else 'More' end as sheet, p_partkey as k, case when p_partkey % 11 = 0 then 'Focal element' else 'AC-' || lpad((p_partkey % 30 + 1)::varchar, 2, '0') || case when p_partkey % 4 = 0 then '(' || lpad((p_partkey % 3 + 1)::varchar, 2, '0') || ')' else '' end end as f, case when p_partkey % 13 = 0 then p_name else case when p_partkey % 2 = 0 then 'A.' else '' end || (p_size % 8 + 1) || '.' || p_partkey % 5 end as t from part), p as (select d, f, t, 'sheet ' || arg_min(sheet, no * 100000000 + k) || ' row ' || arg_min(k, no * 100000000 + k) as prov from c where sheet <> 'Definitions' and regexp_full_match(f, '[A-Z]{2}-\d{2}(\(\d{2}\))?') and regexp_full_match(t, '(A\.)?\d+(\.\d+)*') group by 1, 2, 3), n as (select n_nationkey as id, 'AC-' || lpad((n_nationkey + 1)::varchar, 2, '0') || case when n_nationkey % 4 = 3 then '(01)' else '' end as f from nation where n_regionkey % 2 = 0) select id::bigint as from_control_id, count(*) as edges, min(t) as least, max(prov) as provenance, (select count(*) from p) as pairs, (select count(*) from p where f not in (select f from n)) as unknown_focal from p join n using (f) group by 1",
     "dealt_controls": "with l as (select distinct l_orderkey as k, l_linenumber as n from lineitem), c as (select o_custkey as document_id, o_orderkey * 100 as ordinal, 'O' || o_orderkey as citation_norm, null as parent_norm from orders union all select o_custkey, k * 100 + 1 + n, 'O' || k || '.' || n, 'O' || k from l join orders on o_orderkey = k), i as (select *, 1000 + row_number() over (order by document_id, ordinal, citation_norm) as id from c) select i.id, i.document_id, i.citation_norm, p.id as parent_control_id from i left join i p on p.document_id = i.document_id and p.citation_norm = i.parent_norm",
     "published_rebuild": "with gone as (select c_custkey as id from customer where c_nationkey = 7), e as (select o_custkey as f, o_custkey % 97 + 1 as t from orders), kept as (select c_custkey as id from customer where c_nationkey <> 7 union all select c_custkey + 1000000 from customer where c_nationkey = 7 and c_acctbal > 0) select 'controls' as table, count(*) as rows, sum(c_custkey)::bigint as ids, 1 as version from customer union all select 'edges', count(*), sum(f)::bigint, 1 from e union all select 'controls', count(*), sum(id)::bigint, 2 from kept union all select case when t in (from gone) then 'open edges' else 'edges' end, count(*), sum(f)::bigint, 2 from e where f not in (from gone) group by 1",
     "iso_forms": r"""with f(form) as (values ('2022: Annex A Controls: 5.@'), ('2022: Annex A Controls: 5.@,'), ('2022: Mandatory Clause: 4.@'), ('2022: Control 5.@'), ('2022: Mandatory Clause: None'), ('2022: Annex A Controls:'), ('2022: Annex A Controls: 5.@, 5.1'), ('2013: Annex A Controls: 5.@'), ('2022: Something 5.@'), ('A5.@'), ('A.5.@'), ('7.@'), ('7.@.1'), ('@'), ('ac-@'), ('AC-2(@)'), ('pr.aa-0@'), ('x')),

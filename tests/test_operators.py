@@ -186,3 +186,21 @@ def test_lanes_pool_and_titles(spark):
     controls = spark.createDataFrame([(1, "A", "own"), (2, "B", "own")], "id long, citation_norm string, title string")
     titles = spark.createDataFrame([("fw", "v1", "A", "ours"), ("fw", "v2", "B", "not this")], "framework_code string, version_label string, citation_norm string, title string")
     assert {(r.id, r.title) for r in tree.curated_titles(controls, titles, "fw", "v1").collect()} == {(1, "ours"), (2, "own")}
+
+
+def test_listings_and_reports(spark):
+    rows = spark.createDataFrame([("b", False), ("a", True), ("c", True)], "prefix string, enabled boolean")
+    assert [r.prefix for r in status.listed("reference_sources", rows).collect()] == ["a", "c"] and status.listed("reference_sources", rows, prefix="c").count() == 1
+    with pytest.raises(ValueError):
+        status.listed("everything", rows)
+    lines = [{"case_id": "one", "recall": "1/2"}, {"case_id": "second", "recall": "0/1"}]
+    assert evaluation.report(lines, ["case_id", "recall"]).split("\n") == ["case_id  recall", "one      1/2", "second   0/1"]
+    assert evaluation.report_json({"top_k": 8}, lines, {"recall": 0.5}) == {"schema_version": 1, "top_k": 8, "aggregate": {"recall": 0.5}, "cases": lines}
+
+
+def test_options_fall_back_to_their_defaults():
+    o = retrieval.Options(top_k=0, vector_k=-3, lexical_weight=0, doc_cap=-1)
+    assert (o.top_k, o.vector_k, o.bm25_k, o.rrf_k, o.lexical_weight, o.doc_cap) == (8, 50, 50, 20, 0.5, 0)
+    assert retrieval.Options().shows_older and not any(retrieval.Options(**k).shows_older for k in ({"framework": "f"}, {"version": "v"}, {"current_only": True}, {"current_only": False}))
+    with pytest.raises(ValueError):
+        retrieval.Options(mode="fuzzy")
