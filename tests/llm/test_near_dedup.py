@@ -74,3 +74,11 @@ def test_estimates_are_near(spark):
         agree = (nd.registers(a) == nd.registers(b)).mean()
         true = shared / (2000 - shared)
         assert abs((agree - nd.BY_CHANCE) / (1 - nd.BY_CHANCE) - true) < 0.15
+
+
+def test_very_long_and_invalid_texts(spark):
+    bad = spark.sql("select id as doc_id, cast(X'61ff622063206420' as string) as text from range(2)")
+    words = " ".join(f"w{k}" for k in range(60_000))
+    long = spark.createDataFrame([(10, words), (11, words.replace("w77 ", "other "))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.with_component_ids(nd.near_duplicates(bad.unionByName(long), 2)).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 10: (59_999, 10), 11: (59_999, 10)}

@@ -208,3 +208,9 @@ def test_gradient_against_differences():
         step = np.zeros_like(theta)
         step[k] = 1e-5
         assert abs((likelihood(theta + step) - likelihood(theta - step)) / 2e-5 - gradient[k]) < 1e-6
+
+
+def test_invalid_text_is_scored(spark):
+    bad = spark.sql("select 1L as doc_id, cast(X'61ff622063206420' as string) as text")
+    field = qc.train_on(bad, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert [r.score > 0.5 for r in qc.with_scores(bad, field).collect()] == [True]

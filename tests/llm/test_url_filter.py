@@ -61,3 +61,10 @@ def test_distrust_goes_further_than_eight_links(spark):
     rows = [(k, f"http://{h}/", f'<a href="//{hosts[k + 1]}/">' if k < 11 else '<a href="//bad.com/">') for k, h in enumerate(hosts)] + [(99, "http://bad.com/en/1", None)]
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert set(got.values()) == {"block"} and len(got) == 13
+
+
+def test_very_long_and_invalid_rows(spark):
+    bad = spark.sql("select 1L as page_id, cast(X'687474703a2f2f61ff2e636f6d2f656e2f' as string) as url, cast(X'3c61ff' as string) as html")
+    long = spark.createDataFrame([(2, "http://example.com/en/" + "x" * 300_000, "<a href='http://b.io/'>" * 20_000), (3, "http://" + "a." * 2000 + "org/es/", "y" * 500_000)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(bad.unionByName(long)).collect()}
+    assert got[1].verdict == "block" and got[2].verdict == "block" and got[3].verdict == "block" and len(got[2].path) == 300_004
