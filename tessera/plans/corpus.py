@@ -320,10 +320,11 @@ def _asked_in_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.concat_ws(":", "lane", F.col("case_id").cast("string")).alias("query_id"), "case_id", "lane", "query", "embedding", named("framework_code").alias("framework"), named("version_label").alias("version"))
 
 
-def _lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lane_hits(spark: SparkSession, sf_dir: str, o: retrieval.Options = retrieval.Options(), lane: str = "") -> DataFrame:
     asked = _asked_in_lanes(spark, sf_dir)
+    asked = asked.filter(F.col("lane") == lane) if lane else asked
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieval.search_many(chunk_keys(spark, sf_dir), vectors, asked, lexical_index(spark, sf_dir))
+    return retrieval.search_many(chunk_keys(spark, sf_dir), vectors, asked, lexical_index(spark, sf_dir), o)
 
 
 def hybrid_many(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,6 +343,21 @@ def eval_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both["open"].withColumn("lane", F.lit("open")).crossJoin(F.broadcast(misses)).unionByName(both["pinned"].withColumns({"lane": F.lit("pinned"), "missed": F.lit("")}))
 
 
+#: How deep a pool is probed.
+POOL = 50
+
+
+def eval_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of what is expected a pool of POOL hits of the open lane holds, and how deep its first ones lie."""
+    _, expected = _cases(spark, sf_dir)
+    deep = retrieval.Options(top_k=POOL, vector_k=POOL, bm25_k=POOL, doc_cap=POOL)
+    found = _lane_hits(spark, sf_dir, deep, "open").join(chunk_keys(spark, sf_dir), "chunk_id")
+    pool = durable(found.select(F.split("query_id", ":")[1].cast("long").alias("case_id"), "rank", "framework_code", "version_label", F.col("chunk_id").cast("string").alias("citation_norm")), "pool")
+    first = pool.join(expected, ["case_id", *evaluation.KEYS]).groupBy("case_id").agg(F.min("rank").alias("rank"))
+    ranks = first.agg(F.count("*").alias("cases"), F.max("rank").alias("deepest"))
+    return evaluation.pool_recall(expected, pool).crossJoin(F.broadcast(ranks))
+
+
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.case_metrics(*_golden(spark, sf_dir)).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
@@ -429,7 +445,7 @@ def _lane_sql(lane: str) -> str:
     return f"select * from (with hits as (select case_id, rank, lower(source) as f, d.lang as v, doc_id::varchar as c, d.lang = 'en' as cur from many m join q on q.q = m.q join documents d using (doc_id) where q.lane = '{lane}'), {hits.strip()} select *, '{lane}' as lane from agg)"
 
 
-QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, registry_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, embedding_rounds, labelled_bodies, grid_pivot, page_lookahead, iso_trees, json_capture, hybrid_many, eval_lanes, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
+QUERIES = {f.__name__: f for f in (corpus_status, corpus_totals, framework_versions, stage_eligible, deferred_docs, manifest_gaps, manifest_listings, registry_listings, point_lookups, manifest_upsert, stage_mark, reseed_overlay, ambiguity, duplicate_keys, orphans, missing_embeddings, latest_capture, source_url_min, glob_rules, chunk_build, embedding_rounds, labelled_bodies, grid_pivot, page_lookahead, iso_trees, json_capture, hybrid_many, eval_lanes, eval_pool, eval_metrics, eval_summary, eval_gate, eval_cases, eval_dry_run, document_upsert, edge_upsert, relation_upsert, control_rebuild, built_chunks)}
 
 
 def _oracles() -> dict[str, str]:
@@ -472,6 +488,7 @@ def _oracles() -> dict[str, str]:
         "built_chunks": "with c as (select c_custkey as k, c_nationkey as n, c_name as name, repeat(c_name || ' ', (c_custkey % 4)::int) as body from customer), eq as (select f.k as f, t.name as cite, t.body as body from c f join c t on t.k in (f.k + 1, f.k + 2) where length(t.body) > length(f.body) qualify row_number() over (partition by f.k order by length(t.body) desc, 'c' || t.k) = 1), own as (select 'r' || r_regionkey as control_id, r_name as citation, 'iso27001 2022' as context_prefix, repeat(r_name || ' ', (r_regionkey % 4)::int) as body, '' as more from region union all select 'n' || n_nationkey, n_name, 'iso27001 2022 > ' || r_name, repeat(n_name || ' ', (n_nationkey % 4)::int), '' from nation join region on r_regionkey = n_regionkey union all select 'c' || k, name, 'iso27001 2022 > ' || r_name || ' > ' || n_name, c.body, coalesce(chr(10) || chr(10) || '[equivalent iso27001 ' || cite || ']' || chr(10) || eq.body, '') from c join nation on n_nationkey = n join region on r_regionkey = n_regionkey left join eq on f = k) select control_id, citation, context_prefix, md5(citation || case when body = '' then '' else chr(10) || body end || more) as content_md5, 0 as ordinal from own",
         "hybrid_many": f"with {WEIGHTS}, {CHUNKS}, {_LANES} select q as query_id, rank, doc_id as chunk_id, score, vr as vector_rank, br as bm25_rank from many",
         "eval_lanes": f"with {WEIGHTS}, {CHUNKS}, {_LANES}, both_lanes as ({_lane_sql('open')} union all {_lane_sql('pinned')}) select *, case when lane = 'open' then concat_ws(',', case when cases > 0 and abstain < 0.9 then 'abstain' end, case when current_cases > 0 and current < 0.98 then 'current' end, case when recall_cases > 0 and mrr < 0.44 then 'mrr' end, case when recall_cases > 0 and recall < 0.66 then 'recall' end) else '' end as missed from both_lanes",
+        "eval_pool": f"with {WEIGHTS}, {CHUNKS}, {_LANES.replace('qualify r <= 8', f'qualify r <= {POOL}')}, hit as (select q.case_id, m.rank, d.doc_id as d from many m join q on q.q = m.q join documents d using (doc_id) where q.lane = 'open'), j as (select w.case_id, h.rank from want w left join hit h on h.case_id = w.case_id and h.d = w.d) select count(rank) as found, count(*) as want, round(count(rank) / count(*), 6)::double as recall, count(distinct case_id) filter (rank is not null) as cases, (select max(r) from (select min(rank) as r from j group by case_id))::int as deepest from j",
         "eval_cases": f"with {WEIGHTS}, {_EVAL} select case_id, returned = 0 as abstained, found || '/' || want as recall, case when rr > 0 then round(1 / rr)::int end as rank, case when returned > 0 then round(100.0 * ok / returned)::int else 0 end as current, case when expect_fail then case when want > 0 and found = want then 'GAP-PASS' else 'GAP' end when abstain_ok then 'PASS' else 'FAIL' end as outcome from metrics",
         "eval_dry_run": f"with c as (select item_id as id, item_id % 12 = 0 as a, item_id % 20 = 8 as f, item_id in (select doc_id % (select max(item_id) + 1 from benchmark) from documents) as w from benchmark) select count(*) as total, count(*) filter (not a and not f) as in_scope, count(*) filter (a) as abstaining, count(*) filter (f and not a) as failing, count(*) filter (not f) as cases, count(*) filter (not f and w) as recall_cases, 0::bigint as current_cases, count(*) filter (f) as gap_cases, 0::bigint as gap_passes, 0.0::double as recall, 0.0::double as mrr, 0.0::double as current, round(count(*) filter (not f and a) / count(*) filter (not f), 6)::double as abstain from c",
         "eval_metrics": f"with {WEIGHTS}, {_EVAL} select case_id, expect_abstain, expect_fail, found, want, round(rr, 6) as reciprocal_rank, ok, returned, abstain_ok from metrics",
