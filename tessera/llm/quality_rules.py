@@ -123,23 +123,20 @@ def common_words(docs: DataFrame, top: int = TOP) -> dict[str, list[str]]:
     """Of each language the words that the most of its documents hold, ties in order of the words."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[tuple[str, bytes]] = Counter()
+        found: dict[str, Counter[bytes]] = {}
 
         def flush() -> pa.RecordBatch:
-            by_word: Counter[tuple[str, str]] = Counter()
-            for (lang, word), n in found.items():
-                by_word[lang, word.decode(errors="replace")] += n
+            rows = [(lang, word.decode(errors="replace"), n) for lang, own in found.items() for word, n in own.items() if word]
             found.clear()
-            langs, words = zip(*by_word) if by_word else ((), ())
-            return pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(by_word.values(), pa.int64())], ["lang", "word", "n"])
+            langs, words, times = zip(*rows) if rows else ((), (), ())
+            return pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(times, pa.int64())], ["lang", "word", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 words = text.as_py().split()
                 if len(words) >= GUARD_WORDS:
-                    own = {w: None for w in words}
-                    found.update((lang, p) for p in {plain[w] for w in own} if p)
-            if len(found) > 500_000:
+                    found.setdefault(lang, Counter()).update(set(map(plain.__getitem__, set(words))))
+            if sum(map(len, found.values())) > 500_000:
                 yield flush()
                 plain.clear()
         yield flush()
