@@ -12,7 +12,8 @@ A batch of changed and removed documents adds their old rows with sign -1 and th
 over all batches are those of an index built anew. compact() writes the sums as one batch.
 
 Text is tokenised once, and a text's counts are taken within its row, so that building shuffles postings once, to their
-buckets. A frequent term's postings are dealt over several files of its bucket.
+buckets. A frequent term's postings are dealt over several files of its bucket,
+as many as the session's shuffle partitions allow; a file is in order of terms, so that a query skips most of it.
 """
 
 from __future__ import annotations
@@ -26,16 +27,18 @@ from tessera.durable import durable
 from tessera.operators import lexical
 from tessera.published import Published
 
+#: Folders of postings, and files of a folder at least.
 BUCKETS, FILES = 32, 4
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+class LexicalStore:
+    """A store under root. buckets: how many folders a batch's postings are parted in, the more the larger the corpus; a store keeps to the number that it was built with."""
 
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.published, self.buckets = spark, Published(spark, root), buckets
 
-class LexicalStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.published = spark, Published(spark, root)
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def exists(self) -> bool:
         return self.published.version() > 0
@@ -72,7 +75,8 @@ class LexicalStore:
         each = held.select("key", F.explode_outer("terms").alias("t"), "dl", "sign").filter("t is not null")
         # what a term says of a document is one number on its way to its bucket
         said = F.shiftleft(F.col("t.tf").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("dl").cast("long"), 1)).bitwiseOR((F.col("sign") > 0).cast("long"))
-        dealt = each.select("key", "t.term", said.alias("said")).repartition(BUCKETS * FILES, bucket(F.col("term")), F.pmod(F.xxhash64("key"), F.lit(FILES))).withColumn("bucket", bucket(F.col("term")))
+        files = max(FILES, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets))
+        dealt = each.select("key", "t.term", said.alias("said")).repartition(self.buckets * files, self._bucket(F.col("term")), F.pmod(F.xxhash64("key"), F.lit(files))).withColumn("bucket", self._bucket(F.col("term")))
         sign = F.when(F.col("said") % 2 == 1, 1).otherwise(-1)
         dealt = dealt.sortWithinPartitions("bucket", "term").select("key", F.shiftright("said", 1).bitwiseAND((1 << 32) - 1).cast("int").alias("dl"), sign.alias("sign"), "term", F.shiftright("said", 33).cast("int").alias("tf"), "bucket")
         written = {"forward": forward, "postings": self.published.write("postings", dealt, ["bucket"])}
@@ -103,7 +107,7 @@ class LexicalStore:
         """key, term, dim, w: weights of one query's terms, from their buckets' folders."""
         if not terms:
             return lexical.weights(self.postings(key).limit(0), self.statistics(), key)
-        buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t")).alias("b")).distinct().collect()]
+        buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(self._bucket(F.col("t")).alias("b")).distinct().collect()]
         rows = self.published.read("postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
         df = self.published.read("terms").filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms))).groupBy("term").agg(F.sum("df").alias("df"))
         return lexical.weights(self._live(rows, key), self.statistics(), key, df)

@@ -61,7 +61,7 @@ def test_batches_equal_a_rebuild(spark, tmp_path):
     text = lambda: rng.choice([None, "", *[" ".join(rng.choices(["risk", "ac-2", "access", "AC-2(1)", "8.3.6", "the", "log"], k=rng.randint(1, 9))) for _ in range(6)]])
     schema = "doc_id long, text string"
     held = {k: text() for k in range(40)}
-    store = LexicalStore(spark, str(tmp_path / "batches"))
+    store = LexicalStore(spark, str(tmp_path / "batches"), buckets=3)
     store.build(spark.createDataFrame(list(held.items()), schema))
     for batch in range(3):
         changed = {k: text() for k in rng.sample(range(40 + 10 * batch, 60 + 10 * batch), 8)} | {k: text() for k in rng.sample(sorted(held), 8)}
@@ -70,7 +70,7 @@ def test_batches_equal_a_rebuild(spark, tmp_path):
             held.pop(k, None)
         held |= changed
         store.apply(spark.createDataFrame(list(changed.items()), schema), spark.createDataFrame([(k,) for k in removed], "doc_id long"))
-        anew = LexicalStore(spark, str(tmp_path / f"anew{batch}"))
+        anew = LexicalStore(spark, str(tmp_path / f"anew{batch}"), buckets=3)
         docs = spark.createDataFrame(list(held.items()), schema)
         anew.build(docs)
         assert contents(store) == contents(anew)
@@ -81,13 +81,13 @@ def test_batches_equal_a_rebuild(spark, tmp_path):
 
 
 def test_empty_index(spark, tmp_path):
-    store = LexicalStore(spark, str(tmp_path / "none"))
+    store = LexicalStore(spark, str(tmp_path / "none"), buckets=3)
     store.build(spark.createDataFrame([], "doc_id long, text string"))
     assert contents(store) == ([], [], (0, 1.0)) and store.asked(["risk"]).count() == 0 and store.asked([]).count() == 0
 
 
 def test_an_index_query_reads_no_text(spark, tmp_path):
-    store = LexicalStore(spark, str(tmp_path / "plan"))
+    store = LexicalStore(spark, str(tmp_path / "plan"), buckets=3)
     store.build(spark.createDataFrame([(1, "risk of access"), (2, "log")], "doc_id long, text string"))
     plan = lexical.best(store.asked(["risk"]))._jdf.queryExecution().toString()
     assert "regexp_extract_all" not in plan and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket") or "PartitionFilters: [" in plan and "bucket" in plan
@@ -168,7 +168,7 @@ def test_search_of_many_equals_search_of_each(spark, tmp_path):
     rows = [(k, f"fw{k % 3}", f"v{k % 2 + 1}", k % 2 == 1, rng.choice(["active", "active", "active", "withdrawn", "deprecated"]), f"AC-{k % 9}", k % 4, " ".join(rng.choices(words, k=12))) for k in range(90)]
     chunks = spark.createDataFrame(rows, "chunk_id long, framework_code string, version_label string, is_current boolean, status string, citation_norm string, ordinal int, content string")
     vectors = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(80)] + [(80, [0.0] * 4), (81, None), (82, [1.0, 2.0])], "chunk_id long, embedding array<float>")
-    index = LexicalStore(spark, str(tmp_path / "index"))
+    index = LexicalStore(spark, str(tmp_path / "index"), buckets=3)
     index.build(chunks, "chunk_id", "content")
     asked = [(1, "what of access", [1.0, 0.0, 0.0, 1.0], "", "", False), (2, "ac-2 and ac-3 log", [0.2, -1.0, 0.5, 0.1], "", "", False), (3, "risk", None, "fw1", "", True), (4, "review the key", [0.0, 1.0, 1.0, 0.0], "fw2", "v1", True), (5, "", [1.0, 0.0, 0.0, 0.0], "", "", False), (6, "absent", [0.3, 0.3, 0.3, 0.4], "nowhere", "", False)]
     queries = spark.createDataFrame(asked, "query_id long, query string, embedding array<float>, framework string, version string, include_withdrawn boolean")
