@@ -264,7 +264,7 @@ def _pack(x: np.ndarray) -> bytes:
     x = x.astype(np.uint64)
     width = max(1, -(-int(x.max() if len(x) else 0).bit_length() // 8))
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpack(x: bytes) -> np.ndarray:
