@@ -193,11 +193,13 @@ def search_many(keys: DataFrame, vectors: DataFrame, queries: DataFrame, index:
     scored = lexical.score(index.asked_many(terms, "chunk_id"), terms, "chunk_id").withColumnRenamed("score", "bm25_score")
     if o.mode == "vector":
         scored = scored.filter(F.lit(False))
-    words = scored.join(keys, "chunk_id").join(asks, "query_id")
-    if lineage:
-        words = durable(words, "scored")
-    best = lambda rows, k: _ranked(rows, F.desc("bm25_score"), "chunk_id", name="b").filter(F.col("b") <= k)
-    word = best(words.filter(_may(o)), o.bm25_k).select("query_id", "chunk_id", "bm25_score", "b")
+    # A row may be a hit of the query's own arm or, where it has no vector, one of its older ones; only the best of either are kept.
+    older = F.lit(lineage) & (F.col("framework") == "") & (F.col("version") == "") & ~F.col("dense")
+    arm = F.when(_may(o), 1).when(older & _may(o, non_current=True), 2)
+    words = scored.join(keys, "chunk_id").join(asks, "query_id").withColumn("arm", arm).filter("arm is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id", "arm").orderBy(F.desc("bm25_score"), "chunk_id"))
+    words = durable(words.withColumn("b", rank).filter(F.col("b") <= max(o.bm25_k, LINEAGE)).select("query_id", "chunk_id", "bm25_score", "b", "arm"), "scored")
+    word = words.filter((F.col("arm") == 1) & (F.col("b") <= o.bm25_k)).drop("arm")
 
     fused = near.join(word, ["query_id", "chunk_id"], "full")
     pins = None
@@ -227,7 +229,7 @@ def search_many(keys: DataFrame, vectors: DataFrame, queries: DataFrame, index:
         k = min(LINEAGE, o.top_k)
         free = q.filter("framework = '' and version = ''")
         by_vector = near_of(free, k, _may_old).withColumns({"score": F.lit(0.0), "v": F.col("rank"), "b": zero, "bm25_score": none})
-        by_words = best(words.filter("framework = '' and version = '' and not dense").filter(_may(o, non_current=True)), k).withColumns({"score": F.lit(0.0), "v": zero, "rank": F.col("b"), "similarity": none})
+        by_words = words.filter((F.col("arm") == 2) & (F.col("b") <= k)).withColumns({"score": F.lit(0.0), "v": zero, "rank": F.col("b"), "similarity": none})
         older = shape(by_vector, 2).unionByName(shape(by_words, 2)).join(keys.select("chunk_id", "framework_code", "version_label"), "chunk_id")
         own = F.row_number().over(Window.partitionBy("query_id", "framework_code", "version_label").orderBy("rank"))
         older = older.withColumn("own", own).filter("own = 1").select(out.columns)
