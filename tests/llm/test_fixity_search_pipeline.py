@@ -96,6 +96,18 @@ def test_search_with_ties_copies_and_frequent_words(spark, monkeypatch):
         assert {(r.query_id, r.rank): r.score for r in got} == {(q, k): s for q, k, _, s in want}
 
 
+def test_search_looks_up_a_block_in_parts(spark, sf_dir, monkeypatch):
+    """A block of queries is one pass over the shards, whatever part of it a shard looks up at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted(map(tuple, topk_search.search(docs, docs.filter("doc_id % 3 = 0"), 5).collect()))
+    want = rows()
+    passes = []
+    hits = topk_search._hits
+    monkeypatch.setattr(topk_search, "_hits", lambda *a: passes.append(1) or hits(*a))
+    monkeypatch.setattr(topk_search, "LOOKED_UP", 700)
+    assert rows() == want and len(passes) == 2
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
