@@ -13,22 +13,22 @@ over all batches are those of an index built anew. compact() writes the sums as
 
 Text is tokenised once, and a text's counts are taken within its row, so that building shuffles postings once, to their
 buckets. A frequent term's postings are dealt over several files of its bucket,
-as many as the session's shuffle partitions allow; a file is in order of terms, so that a query skips most of it.
+as many as keep a file to a bounded number of them; a file is in order of terms, so that a query skips most of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.durable import durable
-from tessera.operators import lexical
+from tessera.operators import lexical, lexical_many
 from tessera.published import Published
 
-#: Folders of postings, and files of a folder at least.
-BUCKETS, FILES = 32, 4
+#: Folders of postings, files of a folder at least, and postings of a file, which one task sorts, at most about.
+BUCKETS, FILES, POSTINGS = 32, 4, 500_000
 
 
 class LexicalStore:
@@ -55,19 +55,25 @@ class LexicalStore:
         if removed is not None:
             touched = touched.unionByName(removed.select(F.col(key).alias("key")))
         touched = durable(touched.distinct(), "lexical-keys")
-        old = self._forward().join(touched, "key", "left_semi").groupBy("key", "dl", "terms").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
+        old = self._standing(self._forward().join(touched.hint("shuffle_hash"), "key", "left_semi"))  # keys are kept in memory, and no document is sorted
         old = old.withColumn("sign", (-F.col("sign")).cast("int"))
         return self._add(old.select("key", "dl", "terms", "sign").unionByName(new.withColumn("sign", F.lit(1))), after)
 
     def compact(self) -> int:
         """The next version: the same index as one batch."""
         after = self.published.version()
-        held = self._forward().groupBy("key", "dl", "terms").agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
+        held = self._standing(self._forward()).withColumn("sign", F.col("sign").cast("int"))
         return self._add(held.select("key", "dl", "terms", "sign"), after, anew=True)
 
     def _forward(self) -> DataFrame:
         return self.published.read("forward")
 
+    def _standing(self, rows: DataFrame) -> DataFrame:
+        """Those of the forward rows that count. Of a single batch all do."""
+        if len(self.published.listed()["forward"]) > 1:
+            rows = rows.groupBy("key", "dl", "terms").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
+        return rows
+
     def _add(self, delta: DataFrame, after: int, anew: bool = False) -> int:
         kept = {} if anew else self.published.listed(after)
         forward = self.published.write("forward", delta)
@@ -75,8 +81,11 @@ class LexicalStore:
         each = held.select("key", F.explode_outer("terms").alias("t"), "dl", "sign").filter("t is not null")
         # what a term says of a document is one number on its way to its bucket
         said = F.shiftleft(F.col("t.tf").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("dl").cast("long"), 1)).bitwiseOR((F.col("sign") > 0).cast("long"))
-        files = max(FILES, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets))
-        dealt = each.select("key", "t.term", said.alias("said")).repartition(self.buckets * files, self._bucket(F.col("term")), F.pmod(F.xxhash64("key"), F.lit(files))).withColumn("bucket", self._bucket(F.col("term")))
+        n = held.agg(F.sum(F.greatest(F.size("terms"), F.lit(0)))).first()[0] or 0
+        files = max(FILES, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets), -(-n // (self.buckets * POSTINGS)))
+        # A task for each file: hashed, several files of a few buckets would meet in one task.
+        place = self._bucket(F.col("term")) * files + F.pmod(F.xxhash64("key"), F.lit(files)).cast("int")
+        dealt = each.select("key", "t.term", said.alias("said")).repartitionById(self.buckets * files, place).withColumn("bucket", self._bucket(F.col("term")))
         sign = F.when(F.col("said") % 2 == 1, 1).otherwise(-1)
         dealt = dealt.sortWithinPartitions("bucket", "term").select("key", F.shiftright("said", 1).bitwiseAND((1 << 32) - 1).cast("int").alias("dl"), sign.alias("sign"), "term", F.shiftright("said", 33).cast("int").alias("tf"), "bucket")
         written = {"forward": forward, "postings": self.published.write("postings", dealt, ["bucket"])}
@@ -118,3 +127,7 @@ class LexicalStore:
         rows = self.published.read("postings").join(wanted, "term", "left_semi")
         df = self.published.read("terms").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
         return lexical.weights(self._live(rows, key), self.statistics(), key, df)
+
+    def best_many(self, terms: DataFrame, arms: Mapping[int, lexical_many.Arm], queries: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+        """The best documents of many queries, from what each document holds: lexical_many.best_many()."""
+        return lexical_many.best_many(self._standing(self._forward()), self.frequencies(), self.statistics(), terms, arms, queries, docs)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.durable import durable
 from tessera.functions.citations import cite_string, match_citations, version_status
 from tessera.operators import dense, fusion, lexical
+from tessera.operators.lexical_many import Arm
 from tessera.operators.lexical_store import LexicalStore
 
 MODES = ("hybrid", "vector", "bm25")
@@ -174,7 +175,7 @@ def search_many(keys: DataFrame, vectors: DataFrame, queries: DataFrame, index:
     queries: query_id, query, and as they like embedding, framework, version and include_withdrawn, in place of what the
     options say; a query without an embedding has its lexical arm only, one without text no hits. keys: chunks without
     content. Arms, fusion, caps, pins and lineage are joins and windows by query, and their limits stand before the
-    shuffles. Filters stand before ranks: the lexical arm's on what it has scored, the dense arm's within its products.
+    shuffles. Filters stand before ranks: within the dense arm's products, and on each batch that the lexical arm has scored.
     """
     has = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in queries.columns else F.lit(other)
     vector = F.col("embedding") if "embedding" in queries.columns else F.lit(None).cast("array<float>")
@@ -190,15 +191,15 @@ def search_many(keys: DataFrame, vectors: DataFrame, queries: DataFrame, index:
     near = near_of(q, o.vector_k, _may_any if o.current_only is False else _may_current).withColumnRenamed("rank", "v")
 
     terms = lexical.query_terms(q)
-    scored = lexical.score(index.asked_many(terms, "chunk_id"), terms, "chunk_id").withColumnRenamed("score", "bm25_score")
-    if o.mode == "vector":
-        scored = scored.filter(F.lit(False))
     # A row may be a hit of the query's own arm or, where it has no vector, one of its older ones; only the best of either are kept.
+    may_old = lambda q, v: _may_old(q, v) & (q["older_too"] > 0)[:, None]
+    arms = {1: Arm(o.bm25_k, _may_any if o.current_only is False else _may_current)} | ({2: Arm(LINEAGE, may_old)} if lineage else {})
     older = F.lit(lineage) & (F.col("framework") == "") & (F.col("version") == "") & ~F.col("dense")
-    arm = F.when(_may(o), 1).when(older & _may(o, non_current=True), 2)
-    words = scored.join(keys, "chunk_id").join(asks, "query_id").withColumn("arm", arm).filter("arm is not null")
-    rank = F.row_number().over(Window.partitionBy("query_id", "arm").orderBy(F.desc("bm25_score"), "chunk_id"))
-    words = durable(words.withColumn("b", rank).filter(F.col("b") <= max(o.bm25_k, LINEAGE)).select("query_id", "chunk_id", "bm25_score", "b", "arm"), "scored")
+    if o.mode == "vector":
+        terms = terms.limit(0)
+    fields = q.select("query_id", *[c.alias(n) for n, c in asked.items()], older.cast("long").alias("older_too"))
+    words = index.best_many(terms, arms, fields, keys.select(F.col("chunk_id").cast("long").alias("key"), *[c.cast("long").alias(n) for n, c in chunk.items()]))
+    words = durable(words.select("query_id", F.col("key").alias("chunk_id"), F.col("score").alias("bm25_score"), F.col("rank").alias("b"), "arm"), "scored")
     word = words.filter((F.col("arm") == 1) & (F.col("b") <= o.bm25_k)).drop("arm")
 
     fused = near.join(word, ["query_id", "chunk_id"], "full")

@@ -12,6 +12,7 @@ from tessera.functions.citations import cell_column, cell_row
 from tessera.functions.text import chunk_content, context_prefix, labelled_body
 from tessera.operators import embedding, evaluation, lexical, mapping, numbering, retrieval, state, status
 from tessera.operators.embedding import build_chunks
+from tessera.operators.lexical_many import Arm
 from tessera.plans.tables import CHUNKS, COSINE, TOKENS, chunk_keys, chunks, lexical_index, read, texts
 from tessera.published import Published
 from tessera.sources import iso
@@ -292,11 +293,8 @@ def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     docs = read(spark, sf_dir, "documents")
     cases, expected = _cases(spark, sf_dir)
     asked = lexical.query_terms(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    scored = lexical.score(lexical_index(spark, sf_dir).asked_many(asked), asked)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 8").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    best = lexical_index(spark, sf_dir).best_many(asked, {1: Arm(8)})
+    top = best.select("query_id", F.col("key").alias("doc_id"), "rank").join(docs.select("doc_id", "source", "lang"), "doc_id")
     hits = top.select(F.col("query_id").alias("case_id"), "rank", F.upper("source").alias("framework_code"), F.col("lang").alias("version_label"), F.col("doc_id").cast("string").alias("citation_norm"), (F.col("lang") == "en").alias("is_current"))
     return cases, expected, hits
 

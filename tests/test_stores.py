@@ -80,6 +80,40 @@ def test_batches_equal_a_rebuild(spark, tmp_path):
     assert store.compact() == 5 and contents(store) == contents(anew) and len(store.published.listed()["postings"]) == 1
 
 
+def test_each_file_of_postings_is_one_task_of_bounded_size(spark, tmp_path, monkeypatch):
+    from tessera.operators import lexical_store
+
+    monkeypatch.setattr(lexical_store, "POSTINGS", 50)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), (F.col("id") % 7).cast("string")) for k in range(12)]).alias("text"))
+    store = LexicalStore(spark, str(tmp_path / "sizes"), buckets=3)
+    store.build(docs)
+    held = store.published.read("postings").groupBy(F.col("_metadata.file_path"), "bucket").count().collect()
+    assert sum(r["count"] for r in held) == 200 * 12
+    assert len(held) == len({r.file_path for r in held}) <= 3 * 16 and max(r["count"] for r in held) <= 150  # by hashed buckets, tasks wrote up to 4 files' rows
+
+
+def test_best_of_many_against_all_scores(spark, tmp_path, monkeypatch):
+    """In blocks of queries and batches of documents, after a second batch, with ties; and with no query at all."""
+    from pyspark.sql import Window
+    from tessera.operators import lexical_many
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    docs = [(k, " ".join(rng.choices(words, k=rng.choice([0, 3, 9, 40])))) for k in range(120)] + [(500, "w1 w2"), (501, "w1 w2"), (502, None)]
+    store = LexicalStore(spark, str(tmp_path / "many"), buckets=3)
+    store.build(spark.createDataFrame(docs, "doc_id long, text string").filter("doc_id < 100 or doc_id > 400"))
+    store.apply(spark.createDataFrame([(k, t) for k, t in docs if 95 <= k < 400], "doc_id long, text string"))
+    terms = lexical.query_terms(spark.createDataFrame([(f"q{k}", " ".join(rng.choices(words, k=6))) for k in range(9)] + [("none", "absent")], "query_id string, query string"))
+    scored = lexical.score(store.asked_many(terms), terms)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    want = {tuple(r) for r in scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 7").select("query_id", "doc_id", "score", "rank").collect()}
+    monkeypatch.setattr(lexical_many, "QUERY_TERMS", 11)
+    monkeypatch.setattr(lexical_many, "DOCS", 5)
+    found = store.best_many(terms, {1: lexical_many.Arm(7)})
+    assert {(r.query_id, r.key, r.score, r["rank"]) for r in found.collect()} == want and len(want) > 50
+    assert store.best_many(terms.limit(0), {1: lexical_many.Arm(7)}).count() == 0
+
+
 def test_empty_index(spark, tmp_path):
     store = LexicalStore(spark, str(tmp_path / "none"), buckets=3)
     store.build(spark.createDataFrame([], "doc_id long, text string"))
