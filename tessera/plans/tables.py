@@ -22,15 +22,20 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents"))
 
 
-def lexical_index(spark: SparkSession, sf_dir: str) -> LexicalStore:
-    """The stored index of the documents' texts, in the shared folder; built by the first query that asks for it.
+def lexical_store(spark: SparkSession, sf_dir: str) -> LexicalStore:
+    """Where the stored index of the documents' texts is, or will be, in the shared folder.
 
     It goes by the table's files, their sizes and times, so that a table that has changed gets another.
     """
     docs = read(spark, sf_dir, "documents")
     file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     known = docs.select(file.alias("f")).distinct().agg(F.coalesce(F.bit_xor("f"), F.lit(0)).alias("f"), F.count("*").alias("n")).first()
-    store = LexicalStore(spark, f"{shared_dir(spark)}/lexical-{known.f & (1 << 64) - 1:016x}-{known.n}")
+    return LexicalStore(spark, f"{shared_dir(spark)}/lexical-{known.f & (1 << 64) - 1:016x}-{known.n}")
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> LexicalStore:
+    """The stored index of the documents' texts; built by the first query that asks for all of it."""
+    store = lexical_store(spark, sf_dir)
     if not store.exists():
         try:
             store.build(texts(spark, sf_dir))

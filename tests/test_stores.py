@@ -289,3 +289,25 @@ def test_scratch_tables_go(spark):
             durable(spark.range(3), "inner")
         assert len(set(os.listdir(folder)) - before) == 1
     assert set(os.listdir(folder)) == before
+
+
+def test_a_query_of_few_terms_builds_no_index(spark, tmp_path):
+    from tessera.plans import search, tables
+
+    spark.createDataFrame([(3, "thonnt of ering"), (5, "log"), (6, "thonnt"), (7, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda: [tuple(r) for r in search.bm25_topk(spark, str(tmp_path)).collect()]
+    before = rows()
+    assert [d for d, _ in before] == [3, 6] and not tables.lexical_store(spark, str(tmp_path)).exists()
+    tables.lexical_index(spark, str(tmp_path))
+    assert rows() == before and tables.lexical_store(spark, str(tmp_path)).exists()
+
+
+def test_parts_are_dealt_before_their_tokens_are_taken(spark, tmp_path):
+    from tessera.plans import search
+
+    spark.createDataFrame([(1, "red", "tin"), (1, "red", None), (2, "blue", "tin")], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = search.dimension_literals(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    vectors = {r.p_partkey: r.vector for r in found.collect()}
+    assert sorted(x.split(":")[1] for x in vectors[1][1:-9].split(",")) == ["2.0"] * 4 and len(vectors) == 2
