@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.durable import durable
@@ -40,7 +40,24 @@ def corpus_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _statistics(sizes: DataFrame) -> DataFrame:
-    return sizes.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).select("n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
+    return sizes.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).select("n", _mean_length())
+
+
+def _mean_length() -> Column:
+    return F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl")
+
+
+def term_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: n and avgdl of corpus_statistics(), terms, how many there are, and most, how many documents the most frequent one is in (null without any).
+
+    One pass over the text, from which only the terms of each task leave it. A null beside a text's distinct tokens stands for the text itself.
+    """
+    held = docs.select(tokens(F.col(text)).alias("tokens"))
+    each = held.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    whole = F.col("term").isNull()
+    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(whole, F.col("dl"))).alias("total"))
+    sums = counts.agg(F.coalesce(F.sum(F.when(whole, F.col("df"))), F.lit(0)).alias("n"), F.sum("total").alias("total"), F.count("term").alias("terms"), F.max(F.when(~whole, F.col("df"))).alias("most"))
+    return sums.select("n", _mean_length(), "terms", "most")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:

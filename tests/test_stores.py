@@ -302,6 +302,23 @@ def test_a_query_of_few_terms_builds_no_index(spark, tmp_path):
     assert rows() == before and tables.lexical_store(spark, str(tmp_path)).exists()
 
 
+def test_statistics_of_terms_build_no_index(spark, tmp_path):
+    """corpus_statistics by one pass over the texts and by the stored index, with empty, missing and no texts at all."""
+    from tessera.plans import search, tables
+
+    for name, held in {"some": [(3, "b a b AC-2(1) c b"), (5, "b ac-2(1)."), (6, ""), (7, None), (8, "... !")], "blank": [(1, None), (2, "")], "none": []}.items():
+        folder = str(tmp_path / name)
+        spark.createDataFrame(held, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        found = search.corpus_statistics(spark, folder)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and not tables.lexical_store(spark, folder).exists()
+        got = [tuple(r) for r in found.collect()]
+        assert got == {"some": [(5, 1.6, 4, 2)], "blank": [(2, 1.0, 0, None)], "none": [(0, 1.0, 0, None)]}[name]
+        tables.lexical_index(spark, folder)
+        stored = search.corpus_statistics(spark, folder)
+        assert [tuple(r) for r in stored.collect()] == got and stored.dtypes == found.dtypes
+
+
 def test_parts_are_dealt_before_their_tokens_are_taken(spark, tmp_path):
     from tessera.plans import search
 
