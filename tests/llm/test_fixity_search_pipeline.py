@@ -108,6 +108,22 @@ def test_search_looks_up_a_block_in_parts(spark, sf_dir, monkeypatch):
     assert rows() == want and len(passes) == 2
 
 
+def test_search_scores_only_what_reaches_the_floor(spark, sf_dir, monkeypatch):
+    """A query that no document of a shard can serve costs no scoring there; those at the floor or over it are all found."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").coalesce(1)
+    index = topk_search.build_index(docs)
+    n, mean, df = topk_search.statistics(index)
+    rows = topk_search.query_terms(docs.filter("doc_id % 3 = 0"), df, n).toArrow()
+    shard = topk_search.Shard(index.first().asDict(), mean)
+    ask = lambda floor: [(q, d, s) for q, at, scores in shard.search(topk_search.Queries(rows.append_column("floor", [[floor] * len(rows)])), 5) for d, s in zip(at.tolist(), scores.tolist())]
+    every = ask(0.0)
+    floor = sorted(s for *_, s in every)[len(every) * 3 // 4]
+    scored, score = [], topk_search.Shard.score
+    monkeypatch.setattr(topk_search.Shard, "score", lambda self, found, *a: scored.append(len(found)) or score(self, found, *a))
+    assert {x for x in ask(floor) if x[2] >= floor} == {x for x in every if x[2] >= floor}
+    assert scored and min(scored) > 0 and len(scored) < len(rows)
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
